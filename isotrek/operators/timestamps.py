@@ -37,7 +37,7 @@ DATE = (
 )
 TIME = r"(?P<h>99?):(?P<mi>99)(?::(?P<s>99)(?:[.,]9+)?)?"
 ZONE = r"(?:(?P<z>A)|(?P<off> ?[+-](?:99:?99|99))(?:\[[A9_+/-]+\])?|\[(?P<bracket>[A9_+/-]+)\]| (?P<name>A[A9_+-]*(?:/[A9_+-]+)+)| (?P<abbr>A{2,5}))"
-DATED = re.compile(rf"{DATE}(?P<sep>A| +)(?:{TIME}|(?P<bt>999999|9999))(?P<ap> ?AA)?{ZONE}?")
+DATED = re.compile(rf"{DATE}(?P<sep>A| +)(?:{TIME}|(?P<bt>999999|9999))(?P<ap> ?AA(?!A))?{ZONE}?")
 CLOCK = re.compile(rf"(?P<h>9+):(?P<mi>99)(?::(?P<s>99))?(?P<ap> ?AA)?")
 NUMBER = re.compile(r"9{10}|9{13}|9{14}|9{16}")
 
