@@ -20,6 +20,7 @@ def local_session(cores: str = "8", app: str = "isotrek") -> SparkSession:
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("ISOTREK_DRIVER_MEMORY", "8g"))
         .config("spark.sql.adaptive.enabled", "true")
         .getOrCreate()
