@@ -1,9 +1,12 @@
 """Overlapping and gapped intervals per entity.
 
 The aggregate is mergeable: its state is a sorted list of disjoint intervals, and two states combine
-by a linear merge. Each partition reduces its rows to one state per entity, a salted round reduces
+by a linear merge. Each partition reduces its rows to one state per entity, a salted round merges
 these per entity and salt, a last round per entity. A state holds at most one interval for every
 second day between the first and the last representable day, however many rows an entity has.
+
+All entities of a partition are merged together: days are moved by a large stride per entity, so that
+intervals of different entities never touch, and one vectorised merge serves them all.
 """
 
 from __future__ import annotations
@@ -15,32 +18,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isotrek.session import shuffle_partitions
+
 SALTS = 16
-STATE = "entity string, kind string, firsts array<int>, lasts array<int>"
+STRIDE = 1 << 34  # days are 32-bit integers; between entities lies more than all of them
+HELD_ROWS = 500_000  # rows that a task takes in before it merges them into its state
+STATE = "entity string, kind string, first int, last int"
+Lists = tuple[np.ndarray, np.ndarray]
 
 
-def union(firsts: np.ndarray, lasts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def union(firsts: np.ndarray, lasts: np.ndarray) -> Lists:
     """Sorted disjoint intervals (inclusive integer ends, none adjacent) that cover what the given ones cover."""
     if not len(firsts):
         return np.zeros(0, "int64"), np.zeros(0, "int64")
     order = np.argsort(firsts, kind="stable")
     firsts, lasts = np.asarray(firsts, "int64")[order], np.maximum.accumulate(np.asarray(lasts, "int64")[order])
-    new = np.r_[True, firsts[1:] > lasts[:-1] + 1]
-    starts = np.flatnonzero(new)
+    starts = np.flatnonzero(np.r_[True, firsts[1:] > lasts[:-1] + 1])
     return firsts[starts], lasts[np.r_[starts[1:] - 1, len(lasts) - 1]]
 
 
-def subtract(firsts: np.ndarray, lasts: np.ndarray, cut_firsts: np.ndarray, cut_lasts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Disjoint intervals less other disjoint intervals; all sorted."""
-    if not len(firsts) or not len(cut_firsts):
-        return firsts, lasts
-    low, high = int(firsts[0]), int(lasts[-1])
-    open_firsts, open_lasts = np.r_[low, cut_lasts + 1], np.r_[cut_firsts - 1, high]
-    keep = open_firsts <= open_lasts
-    return intersect(firsts, lasts, open_firsts[keep], open_lasts[keep])
-
-
-def intersect(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def intersect(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> Lists:
     """What two sorted lists of disjoint intervals share, by one linear merge."""
     first = np.searchsorted(b2, a1, side="left")
     after = np.searchsorted(b1, a2, side="right")
@@ -50,52 +47,77 @@ def intersect(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray) ->
     return np.maximum(a1[which], b1[other]), np.minimum(a2[which], b2[other])
 
 
-def gaps(firsts: np.ndarray, lasts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The days between neighbouring intervals."""
-    return lasts[:-1] + 1, firsts[1:] - 1
+def subtract(firsts: np.ndarray, lasts: np.ndarray, cut_firsts: np.ndarray, cut_lasts: np.ndarray) -> Lists:
+    """Disjoint intervals less other disjoint intervals; all sorted."""
+    if not len(firsts) or not len(cut_firsts):
+        return firsts, lasts
+    open_firsts = np.r_[min(firsts[0], cut_firsts[0]), cut_lasts + 1]
+    open_lasts = np.r_[cut_firsts - 1, max(lasts[-1], cut_lasts[-1])]
+    keep = open_firsts <= open_lasts
+    return intersect(firsts, lasts, open_firsts[keep], open_lasts[keep])
+
+
+def _moved(codes: np.ndarray, days: np.ndarray) -> np.ndarray:
+    return codes.astype("int64") * STRIDE + days.astype("int64") + STRIDE // 2
 
 
-def _states(frame: pd.DataFrame, lists: bool) -> pd.DataFrame:
-    rows = []
-    for (entity, kind), part in frame.groupby(["entity", "kind"], sort=False):
-        a, b = (np.concatenate(part[c].to_list()) if lists else part[c].to_numpy() for c in ("firsts", "lasts"))
-        rows.append((entity, kind, *union(a, b)))
-    return pd.DataFrame(rows, columns=["entity", "kind", "firsts", "lasts"])
+def _back(moved: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return moved // STRIDE, (moved % STRIDE - STRIDE // 2).astype("int32")
 
 
-def interval_states(intervals: DataFrame, salts: int = SALTS) -> DataFrame:
-    """One state per entity and kind from rows (entity string, kind string, first int, last int).
+def _merged(frames: list[pd.DataFrame]) -> pd.DataFrame:
+    """One state per entity and kind of rows or states."""
+    rows = pd.concat(frames) if len(frames) > 1 else frames[0]
+    codes, keys = pd.factorize(pd.MultiIndex.from_frame(rows[["entity", "kind"]]))
+    firsts, lasts = union(_moved(codes, rows["first"].to_numpy()), _moved(codes, rows["last"].to_numpy()))
+    code, first = _back(firsts)
+    return pd.DataFrame({"entity": keys.get_level_values(0)[code], "kind": keys.get_level_values(1)[code], "first": first, "last": _back(lasts)[1]})
 
-    Rows with a null or with last < first cover nothing. No row, no state.
-    """
-    rows = intervals.select("entity", "kind", F.col("first").cast("int").alias("firsts"), F.col("last").cast("int").alias("lasts")).dropna().filter("firsts <= lasts")
 
-    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = None
-        for batch in batches:
-            new = _states(batch, lists=False)
-            state = new if state is None else _states(pd.concat([state, new]), lists=True)
-        if state is not None and len(state):
-            yield state
+def _merge_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    state: list[pd.DataFrame] = []
+    fresh = 0
+    for batch in batches:
+        state.append(batch[["entity", "kind", "first", "last"]])
+        fresh += len(batch)
+        if fresh > HELD_ROWS:
+            state, fresh = [_merged(state)], 0
+    if sum(map(len, state)):
+        yield _merged(state)
 
-    partial = rows.mapInPandas(within, STATE)
-    salted = partial.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    half = salted.groupBy("entity", "kind", "salt").applyInPandas(lambda f: _states(f, lists=True), STATE)
-    return half.groupBy("entity", "kind").applyInPandas(lambda f: _states(f, lists=True), STATE)
+
+def _periods(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for state in _merge_batches(batches):
+        codes, entities = pd.factorize(state["entity"])
+        lists = {}
+        for kind in ("add", "cut"):
+            rows = (state["kind"] == kind).to_numpy()
+            lists[kind] = union(_moved(codes[rows], state["first"].to_numpy()[rows]), _moved(codes[rows], state["last"].to_numpy()[rows]))
+        firsts, lasts = subtract(*lists["add"], *lists["cut"])
+        code, first = _back(firsts)
+        last = _back(lasts)[1]
+        same = code[1:] == code[:-1]
+        yield pd.DataFrame({"entity": entities[code], "kind": "period", "first": first, "last": last})
+        yield pd.DataFrame({"entity": entities[code[1:][same]], "kind": "gap", "first": last[:-1][same] + 1, "last": first[1:][same] - 1})
+
+
+def interval_states(intervals: DataFrame, salts: int = SALTS) -> DataFrame:
+    """The states after the salted round: rows (entity, kind, first, last), disjoint within an entity, kind and salt.
+
+    Rows with a null or with last < first cover nothing.
+    """
+    rows = intervals.select("entity", "kind", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last")).dropna().filter("first <= last")
+    partial = rows.mapInPandas(_merge_batches, STATE).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    parts = shuffle_partitions(intervals.sparkSession)
+    return partial.repartition(parts, "entity", "salt").mapInPandas(_merge_batches, STATE)
 
 
 def periods_and_gaps(intervals: DataFrame, salts: int = SALTS) -> DataFrame:
     """(entity, kind, first, last): the continuous periods of each entity and the gaps between them.
 
     ``intervals``: (entity, kind, first, last) with kind 'add' or 'cut', inclusive integer days. An
-    entity's days are those of its adds less those of its cuts; an entity without a day gives no row.
+    entity's days are those of its adds less those of its cuts; an entity without a day gives no row,
+    and neither does an empty table. Repeated rows change nothing, other columns are ignored.
     """
-    def finish(frame: pd.DataFrame) -> pd.DataFrame:
-        entity = frame["entity"].iloc[0]
-        of = {k: (np.asarray(a, "int64"), np.asarray(b, "int64")) for k, a, b in zip(frame["kind"], frame["firsts"], frame["lasts"])}
-        none = (np.zeros(0, "int64"), np.zeros(0, "int64"))
-        runs = subtract(*of.get("add", none), *of.get("cut", none))
-        out = [pd.DataFrame({"entity": entity, "kind": k, "first": a, "last": b}) for k, (a, b) in (("period", runs), ("gap", gaps(*runs)))]
-        return pd.concat(out)
-
-    return interval_states(intervals, salts).groupBy("entity").applyInPandas(finish, "entity string, kind string, first int, last int")
+    parts = shuffle_partitions(intervals.sparkSession)
+    return interval_states(intervals, salts).repartition(parts, "entity").mapInPandas(_periods, STATE)
