@@ -126,7 +126,7 @@ class Vocabulary:
             pass
         if len(known) > CACHED_PIECES:
             known.clear()
-        for p in set(pieces) - known.keys():
+        for p in {p for p in pieces if p not in known}:
             known[p] = np.array(self.encode_piece(p), "<i4").tobytes()
         return b"".join([known[p] for p in pieces])
 
