@@ -37,7 +37,7 @@ def display_duration(col: Column) -> Column:
     return F.when(col.isNull(), None).when(col < 1, "< 1 min").when(whole < 60, F.concat(whole.cast("string"), F.lit(" min"))).otherwise(hours)
 
 
-def thousands(col: Column, sign: str = " ") -> Column:
+def thousands(col: Column, sign: str = "\u202f") -> Column:
     return F.replace(F.format_number(col.cast("long"), 0), F.lit(","), F.lit(sign))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EARTH_M = 6_371_000.0
@@ -32,33 +32,65 @@ def _cells_of_band(band: Column, radius_m: float) -> Column:
     return F.greatest(F.lit(1), F.floor(360.0 / width)).cast("long")
 
 
-def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
-    """(key_a, key_b, metres) of all pairs of different keys with positions at most ``radius_m`` apart, key_a < key_b.
-
-    ``points`` has key (string), lat, lon (valid degrees); rows with a null give no pair, repeated
-    rows count once, a key with several positions is near whatever one of them is near. The 180th
-    meridian and the poles need no care: cells wrap around, and bands at a pole have one cell.
-    """
+def _own_cell(points: DataFrame, radius_m: float) -> DataFrame:
     h = _band_height_deg(radius_m)
-    own = points.select("key", "lat", "lon").dropna().distinct().withColumn("band", F.floor((F.col("lat") + 90) / h))
+    own = points.withColumn("band", F.floor((F.col("lat") + 90) / h))
     own = own.withColumn("cells", _cells_of_band(F.col("band"), radius_m))
-    at = lambda cells: F.least(F.floor((F.col("lon") + 180) / (F.lit(360.0) / cells)), cells - 1)
-    left = own.select("band", F.pmod(at(F.col("cells")), F.col("cells")).alias("cell"), F.col("key").alias("key_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"))
-    beside = own.drop("cells").withColumn("band", F.explode(F.expr("array(band - 1, band, band + 1)")))
-    beside = beside.withColumn("cells", _cells_of_band(F.col("band"), radius_m)).withColumn("cell", at(F.col("cells")))
-    beside = beside.withColumn("cell", F.explode(F.expr("array_distinct(array(pmod(cell - 1, cells), pmod(cell, cells), pmod(cell + 1, cells)))")))
-    right = beside.select("band", "cell", F.col("key").alias("key_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
+    return own.withColumn("cell", F.pmod(_cell_at(F.col("lon"), F.col("cells")), F.col("cells"))).drop("cells")
+
+
+def _cell_at(lon: Column, cells: Column) -> Column:
+    return F.least(F.floor((lon + 180) / (F.lit(360.0) / cells)), cells - 1)
+
+
+def _cells_around(points: DataFrame, radius_m: float) -> DataFrame:
+    h = _band_height_deg(radius_m)
+    beside = points.withColumn("band", F.floor((F.col("lat") + 90) / h)).withColumn("band", F.explode(F.expr("array(band - 1, band, band + 1)")))
+    beside = beside.withColumn("cells", _cells_of_band(F.col("band"), radius_m)).withColumn("cell", _cell_at(F.col("lon"), F.col("cells")))
+    return beside.withColumn("cell", F.explode(F.expr("array_distinct(array(pmod(cell - 1, cells), pmod(cell, cells), pmod(cell + 1, cells)))"))).drop("cells")
+
+
+def near_join(left: DataFrame, right: DataFrame, radius_m: float, keep: str = "true") -> DataFrame:
+    """(key_a, lat_a, lon_a, key_b, lat_b, lon_b, metres): positions of ``left`` and ``right`` at most ``radius_m`` apart (inclusive).
+
+    Both have key, lat, lon (valid degrees); rows with a null give nothing, repeated rows count once.
+    ``keep`` is a condition on key_a and key_b that is tested before the distance. The 180th meridian
+    and the poles need no care: cells wrap around, and a band at a pole has one cell.
+    """
+    named = lambda df, x: df.select("band", "cell", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "lat", "lon")))
+    a = named(_own_cell(left.select("key", "lat", "lon").dropna().distinct(), radius_m), "a")
+    b = named(_cells_around(right.select("key", "lat", "lon").dropna().distinct(), radius_m), "b")
     metres = haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
     return (
-        left.join(right, ["band", "cell"])
-        .filter("key_a < key_b and abs(lat_a - lat_b) <= " + repr(h))
+        a.join(b, ["band", "cell"])
+        .filter(f"({keep}) and abs(lat_a - lat_b) <= {_band_height_deg(radius_m)!r}")
         .withColumn("metres", metres)
         .filter(F.col("metres") <= radius_m)
-        .groupBy("key_a", "key_b")
-        .agg(F.min("metres").alias("metres"))
+        .drop("band", "cell")
     )
 
 
+def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
+    """(key_a, key_b, metres) of all pairs of different keys with positions at most ``radius_m`` apart, key_a < key_b.
+
+    A key with several positions is near whatever one of them is near; metres is the smallest distance.
+    """
+    return near_join(points, points, radius_m, "key_a < key_b").groupBy("key_a", "key_b").agg(F.min("metres").alias("metres"))
+
+
+def nearest(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
+    """(key, nearest, metres) for every key of ``left``: the nearest key of ``right`` within the radius, ties to the smaller key; nulls if none."""
+    best = near_join(left, right, radius_m).groupBy("key_a").agg(F.min(F.struct("metres", "key_b")).alias("best"))
+    return left.select("key").distinct().join(best.select(F.col("key_a").alias("key"), F.col("best.key_b").alias("nearest"), F.col("best.metres").alias("metres")), "key", "left")
+
+
+def k_nearest(left: DataFrame, right: DataFrame, radius_m: float, k: int) -> DataFrame:
+    """(key, nearest, metres, rank): up to ``k`` nearest of ``right`` within the radius, ranked by distance, then key."""
+    order = Window.partitionBy("key_a").orderBy("metres", "key_b")
+    ranked = near_join(left, right, radius_m).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select(F.col("key_a").alias("key"), F.col("key_b").alias("nearest"), "metres", "rank")
+
+
 def zone_edges(zones: DataFrame) -> DataFrame:
     """The edges of zones(zone_id, polygons array<array<array<struct<lat,lon>>>>), hashed to the cells in which a ray to the east can meet them."""
     rings = (
