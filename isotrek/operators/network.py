@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from isotrek.functions.geo import thin_line
 from isotrek.functions.numbers import round_half_even
-from isotrek.functions.values import key, strip
+from isotrek.functions.values import digits_only, key, strip
 from isotrek.operators.proximity import near_join
 from isotrek.params import MIN_RIDE_MINUTES, City, Wait
 
@@ -33,6 +33,11 @@ def service_seconds(col: Column) -> Column:
     return F.when(ok, at(0) * 3600 + at(1) * 60 + at(2))
 
 
+def sequence_number(col: Column) -> Column:
+    """A stop_sequence of ASCII digits as a number; anything else is null, and its row takes no part in a trip."""
+    return F.when(digits_only(col), strip(col)).try_cast("int")
+
+
 def clock_text(seconds: Column) -> Column:
     """Seconds of the service day as 'HH:MM', with '(+1)' for the next day."""
     day = F.floor(seconds / 86_400).cast("int")
@@ -54,12 +59,15 @@ def hops(stop_times: DataFrame, trip: str, order: list[str], stop: str, arrival:
     return paired.filter("b is not null and a <> b and dep is not null and arr is not null")
 
 
-def ride_minutes(hops_of_lines: DataFrame, line: list[str]) -> DataFrame:
-    """(line.., a, b, minutes): exact median of the scheduled minutes of each hop, not under the floor, rounded to 2."""
+def ride_medians(hops_of_lines: DataFrame, line: list[str]) -> DataFrame:
+    """(line.., a, b, minutes): exact median of the scheduled minutes of each hop, not under the floor."""
     minutes = F.greatest(F.lit(0), F.col("arr") - F.col("dep")) / 60.0
-    return hops_of_lines.groupBy(*line, "a", "b").agg(F.median(minutes).alias("m")).select(
-        *line, "a", "b", round_half_even(F.greatest(F.lit(MIN_RIDE_MINUTES), F.col("m")), 2).alias("minutes")
-    )
+    return hops_of_lines.groupBy(*line, "a", "b").agg(F.greatest(F.lit(MIN_RIDE_MINUTES), F.median(minutes)).alias("minutes"))
+
+
+def ride_minutes(hops_of_lines: DataFrame, line: list[str]) -> DataFrame:
+    """ride_medians rounded to 2, as they are published."""
+    return ride_medians(hops_of_lines, line).withColumn("minutes", round_half_even(F.col("minutes"), 2))
 
 
 def boarding_wait(headway: Column, factor: Column, low: Column, high: Column) -> Column:
@@ -93,9 +101,9 @@ def line_hops(feed: dict[str, DataFrame], active: DataFrame, city: City) -> Data
     times = feed["stop_times"]
     row_no = F.col("row_no") if "row_no" in times.columns else F.lit(0)
     times = times.select(
-        key("trip_id").alias("trip_id"), key("stop_id").alias("stop_id"), strip("stop_sequence").try_cast("int").alias("seq"), row_no.alias("row_no"),
+        key("trip_id").alias("trip_id"), key("stop_id").alias("stop_id"), sequence_number(F.col("stop_sequence")).alias("seq"), row_no.alias("row_no"),
         service_seconds(F.col("arrival_time")).alias("arr"), service_seconds(F.col("departure_time")).alias("dep"),
-    ).join(trips.select("trip_id"), "trip_id", "left_semi")
+    ).filter("seq is not null").join(trips.select("trip_id"), "trip_id", "left_semi")
     start, end = city.window.seconds
     valid = hops(times, "trip_id", ["seq", "row_no", "stop_id"], "stop_id", "arr", "dep").filter((F.col("dep") >= start) & (F.col("dep") < end))
     return valid.join(trips, valid["trip"] == trips["trip_id"]).drop("trip_id")

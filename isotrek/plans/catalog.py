@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isotrek.plans import problems, problems_sql
+from isotrek.plans import problems, problems_sql, reference
 
-FLAGSHIP = "p6_found"
+FLAGSHIP = "hop_median"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(problems.QUERIES)
+    return problems.QUERIES | reference.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1 +1 @@
-"""See README for what lives in isotrek.streaming."""
+"""Streams of departures and feed rows; the batch operators serve both."""
