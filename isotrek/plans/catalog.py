@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isotrek.plans import problems, problems_sql, reference
+from isotrek.plans import problems, problems_sql, reference, reference_sql
 
 FLAGSHIP = "hop_median"
 
@@ -16,4 +16,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(problems_sql.SQL)
+    return problems_sql.SQL | reference_sql.SQL

@@ -132,7 +132,7 @@ def common_pattern(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_stop(spark: SparkSession, d: str) -> DataFrame:
-    return nearest(customers(spark, d), suppliers(spark, d), 2500).select("key", "nearest", _r("metres", 2))
+    return nearest(customers(spark, d), suppliers(spark, d), 2500).select("key", F.col("nearest").cast("string").alias("nearest"), _r("metres", 2))
 
 
 def within_radius(spark: SparkSession, d: str) -> DataFrame:
