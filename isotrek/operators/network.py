@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from isotrek.functions.geo import thin_line
 from isotrek.functions.numbers import round_half_even
 from isotrek.functions.values import digits_only, key, strip
+from isotrek.operators.numbering import dense_index
 from isotrek.operators.proximity import near_join
-from isotrek.params import MIN_RIDE_MINUTES, City, Wait
+from isotrek.params import MIN_RIDE_MINUTES, City
+from isotrek.session import cut
 
 
 @dataclass
@@ -80,11 +82,6 @@ def departures(hops_of_lines: DataFrame, line: list[str], window_minutes: float)
     return hops_of_lines.groupBy(*line, "a").agg(F.count("*").alias("departures")).withColumn("headway", F.lit(float(window_minutes)) / F.col("departures"))
 
 
-def with_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Numbers the rows of a small distinct set by sorted key, from 0."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy().orderBy(*order)) - 1)
-
-
 def line_hops(feed: dict[str, DataFrame], active: DataFrame, city: City) -> DataFrame:
     """The valid hops of the day's trips in the city's window, with route, direction and mode.
 
@@ -117,18 +114,21 @@ def waits_table(spark, city: City) -> DataFrame:
 def build_network(feed: dict[str, DataFrame], active: DataFrame, city: City) -> Network:
     """The network of one service day: stops in use, lines (route and direction), rides, waits and walking neighbours (straight lines).
 
-    ``active``: (service_id) of the day. No hop in the window gives empty tables.
+    ``active``: (service_id) of the day. No hop in the window gives empty tables. The timetable is read
+    once: rides and departures come from one aggregation by hop, which is cut by a checkpoint.
     """
     spark = active.sparkSession
     found = line_hops(feed, active, city)
     line = ["route_id", "direction", "mode"]
     start, end = city.window.seconds
-    rides = ride_minutes(found, line)
-    boards = departures(found, line, (end - start) / 60.0)
-    lines = with_index(rides.select(*line).distinct(), ["route_id", "direction"], "line_ix").withColumn("line_id", F.concat_ws(":", "route_id", "direction"))
+    minutes = F.greatest(F.lit(0), F.col("arr") - F.col("dep")) / 60.0
+    measured = cut(found.groupBy(*line, "a", "b").agg(F.median(minutes).alias("m"), F.count("*").alias("n")))
+    rides = measured.select(*line, "a", "b", round_half_even(F.greatest(F.lit(MIN_RIDE_MINUTES), F.col("m")), 2).alias("minutes"))
+    boards = measured.groupBy(*line, "a").agg(F.sum("n").alias("departures")).withColumn("headway", F.lit((end - start) / 60.0) / F.col("departures"))
+    lines = dense_index(rides.select(*line).distinct(), ["route_id", "direction"], "line_ix").withColumn("line_ix", F.col("line_ix").cast("int")).withColumn("line_id", F.concat_ws(":", "route_id", "direction"))
     used = rides.select(F.col("a").alias("stop_id")).union(rides.select("b")).distinct()
     places = feed["stops"].select(key("stop_id").alias("stop_id"), strip("stop_name").alias("name"), strip("stop_lat").try_cast("double").alias("lat"), strip("stop_lon").try_cast("double").alias("lon")).dropDuplicates(["stop_id"])
-    stops = with_index(used.join(places, "stop_id"), ["stop_id"], "stop_ix")
+    stops = dense_index(used.join(places, "stop_id"), ["stop_id"], "stop_ix").withColumn("stop_ix", F.col("stop_ix").cast("int"))
     number = stops.select("stop_id", "stop_ix")
     at = lambda df, c, name: df.join(number.select(F.col("stop_id").alias(c), F.col("stop_ix").alias(name)), c)
     ride_ix = at(at(rides.join(lines.drop("mode"), ["route_id", "direction"]), "a", "ix_a"), "b", "ix_b").select("line_ix", F.col("ix_a").alias("a"), F.col("ix_b").alias("b"), "minutes")

@@ -21,7 +21,7 @@ from isotrek.operators.proximity import near_join
 from isotrek.params import City, Walk
 from isotrek.session import cut, ship
 
-MAX_SENT_EDGES = 20_000_000  # a network with more goes through relaxed_stop_times
+MAX_SENT_EDGES = 5_000_000  # a network with more goes through relaxed_stop_times
 
 
 @dataclass
@@ -183,10 +183,10 @@ class NetArrays:
 
 
 def _records(df: DataFrame, columns: list[str], limit: int = MAX_SENT_EDGES) -> np.ndarray:
-    rows = df.select(*columns)
-    if (n := rows.count()) > limit:
-        raise ValueError(f"{n} rows are too many to send to every worker; use relaxed_stop_times")
-    return rows.orderBy(*columns).toPandas().to_records(index=False)
+    rows = df.select(*columns).limit(limit + 1).toPandas()
+    if len(rows) > limit:
+        raise ValueError(f"over {limit} rows are too many to send to every worker; use relaxed_stop_times")
+    return rows.sort_values(columns).to_records(index=False)
 
 
 def net_arrays(net: Network, city: City) -> NetArrays:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from isotrek.functions.geo import METRES_PER_DEGREE, hilbert_key, simplify_indices
 from isotrek.functions.numbers import round_half_even
+from isotrek.operators.numbering import dense_index
 from isotrek.operators.proximity import haversine_m, nearest
 from isotrek.session import cut
 
@@ -35,12 +36,11 @@ def split_long(segs: DataFrame, spacing_m: float = SPACING_M) -> tuple[DataFrame
     """
     counted = segs.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("metres") / spacing_m)).cast("int"))
     top = segs.select(F.greatest(F.max("a"), F.max("b")).alias("top"))
-    order = Window.partitionBy(F.lit(0)).orderBy("way", "pos")
-    long = counted.filter("parts > 1")
-    offsets = long.select("way", "pos", (F.sum(F.col("parts") - 1).over(order.rowsBetween(Window.unboundedPreceding, 0)) - (F.col("parts") - 1)).alias("offset"))
-    numbered = long.join(offsets, ["way", "pos"]).join(F.broadcast(top)).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)))
+    top = top.first()["top"]
+    inner_steps = counted.filter("parts > 1").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)))
+    numbered = dense_index(inner_steps, ["way", "pos", "k"], "number")
     along = lambda c: round_half_even(F.col(f"{c}_a") + (F.col(f"{c}_b") - F.col(f"{c}_a")) * F.col("k") / F.col("parts"), 5)
-    node = F.col("top") + F.col("offset") + F.col("k")
+    node = F.lit((top if top is not None else -1) + 1) + F.col("number")
     inner = numbered.select(node.alias("node"), along("lat").alias("lat"), along("lon").alias("lon"))
     share = F.col("metres") / F.col("parts")
     starts = numbered.select(F.when(F.col("k") == 1, F.col("a")).otherwise(node - 1).alias("a"), node.alias("b"), share.alias("metres"), "cls")
@@ -148,7 +148,7 @@ def hilbert_numbers(nodes: DataFrame) -> DataFrame:
         return cells.select("node", F.lit(0).alias("node_ix"))
     bits = max(box[2] - box[0], box[3] - box[1], 1).bit_length()
     keyed = cells.withColumn("key", hilbert_key(F.col("x") - box[0], F.col("y") - box[1], bits))
-    return keyed.select("node", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("key", "x", "y", "node")) - 1).alias("node_ix"))
+    return dense_index(keyed, ["key", "x", "y", "node"], "node_ix").select("node", F.col("node_ix").cast("int").alias("node_ix"))
 
 
 def build_street_graph(nodes: DataFrame, ways: DataFrame, spacing_m: float = SPACING_M, simplify_m: float = SIMPLIFY_M) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from isotrek.functions.geo import segments_cross
 from isotrek.functions.numbers import round_half_even
 from isotrek.functions.text import display_name, normalise_name
+from isotrek.operators.numbering import dense_index
 from isotrek.operators.proximity import k_nearest, near_join
 from isotrek.operators.streets import components
 
@@ -26,7 +27,7 @@ def stop_complexes(stops: DataFrame) -> tuple[DataFrame, DataFrame]:
     become components of a link graph, so no name is ever gathered in one task.
     """
     named = stops.select("stop_id", "name", "lat", "lon", normalise_name(F.col("name")).alias("norm")).dropDuplicates(["stop_id"])
-    numbered = named.withColumn("n", F.dense_rank().over(Window.orderBy("stop_id")))
+    numbered = dense_index(named, ["stop_id"], "n")
     points = numbered.select(F.struct("norm", "n").alias("key"), "lat", "lon")
     links = near_join(points, points, GROUP_RADIUS_M, "key_a.norm = key_b.norm and key_a.n <= key_b.n").select(F.col("key_a.n").alias("a"), F.col("key_b.n").alias("b"))
     members = numbered.join(components(links), F.col("n") == F.col("node"), "left").withColumn("first", F.coalesce("component", "n"))
