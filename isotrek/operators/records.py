@@ -136,7 +136,7 @@ def parse_text(text: str) -> Iterator[tuple[int, list[str], SyntaxProblem | None
         except _Broken as e:
             values, problem = [], e.problem
             end = _anchor(text, at, width)
-        if problem is None and width and len(values) != width:
+        if problem is None and width and any(values) and len(values) != width:
             problem = SyntaxProblem(COLUMN_COUNT, at, f"{len(values)} values, the header has {width}")
         if any(values) or problem:
             yield at, values, problem

@@ -27,7 +27,7 @@ def weighted_median(df: DataFrame, value: str, weight: str, keys: list[str] = ()
     exact = F.abs(F.col("seen") - F.col("half")) <= 1e-9 * F.greatest(F.abs("seen"), F.abs("half"))
     at = F.when(exact & F.col("next").isNotNull(), (F.col("value") + F.col("next")) / 2).when(F.col("seen") > F.col("half"), F.col("value")).when(F.col("next").isNull(), F.col("value"))
     picked = ranked.withColumn("at", at).filter("at is not null")
-    return picked.groupBy(*keys).agg(F.min_by("at", "value").alias(value))
+    return picked.groupBy(*keys).agg(F.min_by("at", "value").alias(value)).filter(F.col(value).isNotNull())
 
 
 def headway_summary(medians: DataFrame) -> DataFrame:
