@@ -29,14 +29,13 @@ class Network:
 
 def service_seconds(col: Column) -> Column:
     """'H:MM:SS' to seconds of the service day; hours may pass 24; anything else is null."""
-    parts = F.split(strip(col), ":")
-    ok = strip(col).rlike("^[0-9]+:[0-9]{1,2}:[0-9]{1,2}$")
-    at = lambda i: F.get(parts, F.lit(i)).cast("int")
-    return F.when(ok, at(0) * 3600 + at(1) * 60 + at(2))
+    text = strip(col)
+    parts = F.transform(F.split(F.when(text.rlike("^[0-9]+:[0-9]{1,2}:[0-9]{1,2}$"), text), ":"), lambda p: p.try_cast("int"))
+    return F.aggregate(parts, F.lit(0), lambda s, p: s * 60 + p)
 
 
 def sequence_number(col: Column) -> Column:
-    """A stop_sequence of ASCII digits as a number; anything else is null, and its row takes no part in a trip."""
+    """A stop_sequence of ASCII digits as a number; anything else is null. Rows without a sequence or a stop take no part in a trip."""
     return F.when(digits_only(col), strip(col)).try_cast("int")
 
 
@@ -93,14 +92,15 @@ def line_hops(feed: dict[str, DataFrame], active: DataFrame, city: City) -> Data
     routes = feed["routes"].select(key("route_id").alias("route_id"), key("route_type").alias("route_type")).join(F.broadcast(modes), "route_type").select("route_id", "mode").distinct()
     trips = feed["trips"].select(
         key("trip_id").alias("trip_id"), key("route_id").alias("route_id"), key("service_id").alias("service_id"), F.coalesce(key("direction_id"), F.lit("0")).alias("direction")
-    ).dropDuplicates(["trip_id"])
+    ).filter("route_id is not null")
+    trips = trips.groupBy("trip_id").agg(F.min(F.struct("route_id", "direction", "service_id")).alias("t")).select("trip_id", "t.*")
     trips = trips.join(active, "service_id", "left_semi").join(routes, "route_id").select("trip_id", "route_id", "direction", "mode")
     times = feed["stop_times"]
     row_no = F.col("row_no") if "row_no" in times.columns else F.lit(0)
     times = times.select(
         key("trip_id").alias("trip_id"), key("stop_id").alias("stop_id"), sequence_number(F.col("stop_sequence")).alias("seq"), row_no.alias("row_no"),
         service_seconds(F.col("arrival_time")).alias("arr"), service_seconds(F.col("departure_time")).alias("dep"),
-    ).filter("seq is not null").join(trips.select("trip_id"), "trip_id", "left_semi")
+    ).filter("seq is not null and stop_id is not null").join(trips.select("trip_id"), "trip_id", "left_semi")
     start, end = city.window.seconds
     valid = hops(times, "trip_id", ["seq", "row_no", "stop_id"], "stop_id", "arr", "dep").filter((F.col("dep") >= start) & (F.col("dep") < end))
     return valid.join(trips, valid["trip"] == trips["trip_id"]).drop("trip_id")

@@ -11,17 +11,17 @@ WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday",
 BUSIEST_SHARE = 0.92
 
 
-def weekday_flag(day: Column) -> Column:
-    """The calendar's flag column for a day, chosen by its weekday (Monday first)."""
-    flags = F.array(*(strip(c) for c in WEEKDAYS))
-    return F.element_at(flags, F.weekday(day) + 1)
-
-
 def calendar_days(calendar: DataFrame) -> DataFrame:
-    """(service_id, day): every flagged day of every calendar row; unreadable or reversed dates give none."""
-    rows = calendar.withColumn("_a", F.date_from_unix_date(real_day(F.col("start_date")))).withColumn("_b", F.date_from_unix_date(real_day(F.col("end_date")))).filter("_a <= _b")
-    days = rows.withColumn("day", F.explode(F.sequence("_a", "_b")))
-    return days.filter(weekday_flag(F.col("day")) == "1").select(key("service_id").alias("service_id"), "day").filter("service_id is not null").distinct()
+    """(service_id, day): every flagged day of every calendar row; unreadable or reversed dates give none.
+
+    The flags are read once a row and the days are chosen inside the array, so that only running days
+    become rows.
+    """
+    flags = F.array(*(F.coalesce(strip(c) == "1", F.lit(False)) for c in WEEKDAYS))
+    rows = calendar.select(key("service_id").alias("service_id"), real_day(F.col("start_date")).alias("a"), real_day(F.col("end_date")).alias("b"), flags.alias("flags"))
+    whole = rows.filter("service_id is not null and a <= b").select("service_id", "flags", F.sequence(F.date_from_unix_date("a"), F.date_from_unix_date("b")).alias("days"))
+    running = F.filter("days", lambda d: F.element_at("flags", F.weekday(d) + 1))
+    return whole.select("service_id", F.explode(running).alias("day")).distinct()
 
 
 def service_days(calendar: DataFrame, calendar_dates: DataFrame, row_order: str, other_types_remove: bool = False) -> DataFrame:

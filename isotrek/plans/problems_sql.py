@@ -114,4 +114,15 @@ union all
 select s, 'gap', strftime(b + 1, '%Y%m%d'), strftime(n - 1, '%Y%m%d') from beside where n is not null and s <> ''
 """
 
-SQL = {"p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_found": P6}
+_TIMES = " union all ".join(f"select '{f}' as field, {_strip(f)} as value from stop_times where {_strip('trip_id')} <> ''" for f in ("arrival_time", "departure_time"))
+P1_MASKS = f"""select field, regexp_replace(regexp_replace(value, '[0-9]', '9', 'g'), '[A-Za-z]', 'A', 'g') as mask, count(*) as n
+from ({_TIMES}) where value <> '' group by 1, 2"""
+
+P5_REPORT = f"""with direct as ({P5}),
+heirs as (
+  select distinct 'stop_times' as src, 'trip_id' as field, cast(st_id as varchar) as rec_key, feed_day[1:4] || '-' || feed_day[5:6] as ref_month, 'inherited' as kind
+  from stop_times where {_strip('trip_id')} in (select rec_key from direct where src = 'trips')
+    and cast(st_id as varchar) not in (select rec_key from direct where src = 'stop_times'))
+select src, field, ref_month, kind, count(*) as orphans from (select * from direct union all select * from heirs) group by 1, 2, 3, 4"""
+
+SQL = {"p1_masks": P1_MASKS, "p5_report": P5_REPORT, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_found": P6}

@@ -252,7 +252,7 @@ def transport_day(spark: SparkSession, d: str) -> DataFrame:
 
 def normalise_names(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "stops").select("stop_name").filter("stop_name is not null").distinct()
-    return names.select("stop_name", normalise_name(F.translate("stop_name", "     　", "       ")).alias("norm"))
+    return names.select("stop_name", normalise_name(F.col("stop_name")).alias("norm"))
 
 
 def display_names(spark: SparkSession, d: str) -> DataFrame:

@@ -168,6 +168,17 @@ SQL = {
       x as (select stop_id, min(dep) as a, arg_min(route_id, (dep, route_id)) as la, max(dep) as b from w group by stop_id)
       select x.stop_id, a as first_seconds, la as first_line, b as last_seconds, min(w.route_id) as last_line, {CLOCK.format('a')} as first_time, {CLOCK.format('b')} as last_time
       from x join w on w.stop_id = x.stop_id and w.dep = x.b group by all""",
+    "normalise_names": r"""select distinct stop_name, trim(regexp_replace(translate(lower(stop_name), '-’', ' ' || chr(39)), '\s+', ' ', 'g')) as norm from stops where stop_name is not null""",
+    "network_waits": f"""with {TIMED}, modes(route_type, mode, low, high) as (values ('3', 'bus', 1, 15), ('700', 'bus', 1, 15), ('4', 'ferry', 2, 20), ('0', 'rail', 1, 10), ('1', 'rail', 1, 10), ('2', 'rail', 1, 10)),
+      r as (select distinct {_key('route_id')} as route_id, mode, low, high from routes join modes on {_key('routes.route_type')} = modes.route_type),
+      t as (select trip_id, t.route_id as route_id, t.direction as direction from (
+        select {_key('trip_id')} as trip_id, min({{'route_id': {_key('route_id')}, 'direction': coalesce({_key('direction_id')}, '0'), 'service_id': {_key('service_id')}}}) as t
+        from trips where {_key('route_id')} is not null group by 1) where t.service_id is not null),
+      w as (select trip_id, stop_id as a, dep, lead(stop_id) over x as b, lead(arr) over x as arr from timed window x as (partition by trip_id order by seq, st_id, stop_id)),
+      h as (select route_id, direction, mode, low, high, a, b from w join t using (trip_id) join r using (route_id) where b is not null and a <> b and dep is not null and arr is not null and dep >= 25200 and dep < 79200),
+      ok as (select distinct {_key('stop_id')} as a from stops where {_lat_ok(_strip('stop_lat'))} and {_lon_ok(_strip('stop_lon'))})
+      select route_id || ':' || direction as line_id, mode, a as stop_id, count(*) as departures, round_even(900e0 / count(*), 2) as headway,
+        cast(round_even(least(high, greatest(low, 450e0 / count(*))), 2) as double) as wait from h join ok using (a) group by route_id, direction, mode, low, high, a""",
     "display_names": """select distinct upper(p_name) as name, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') as shown from part""",
     "route_modes": """select t as route_type, case when v = 0 or v between 900 and 999 then 'tram' when v in (1, 2) or v between 100 and 199 or v between 400 and 499 then 'metro'
       when v = 7 or v between 1400 and 1499 then 'funicular' when v in (5, 6) or v between 1300 and 1399 then 'cable' when v = 4 or v between 1000 and 1299 then 'ferry' else 'bus' end as mode
