@@ -154,34 +154,47 @@ class NetArrays:
         parts.append((b_at(a_code), r_at(b_code), rides["minutes"]))
         on_board = np.isin(a_code, r_codes)
         parts.append((r_at(a_code[on_board]), r_at(b_code[on_board]), rides["minutes"][on_board]))
-        boards: dict[int, list[tuple[int, float]]] = {}
-        for s, line, wait in zip(waits["stop_ix"].tolist(), waits["line_ix"].tolist(), waits["wait"].tolist()):
-            boards.setdefault(s, []).append((line, wait))
-        near: dict[int, list[tuple[int, float]]] = {}
-        for a, b, m in zip(self.neighbors["a"].tolist(), self.neighbors["b"].tolist(), self.neighbors["minutes"].tolist()):
-            near.setdefault(a, []).append((b, m))
         penalty = np.array([self.penalties.get(m, 0.0) for m in self.line_mode] or [0.0])
-        change = [
-            (n_s + n_b + i, t * n_lines + other, penalty[other] + minutes + wait)
-            for i, c in enumerate(r_codes.tolist())
-            for t, minutes in [(c // n_lines, 0.0), *near.get(c // n_lines, ())]
-            for other, wait in boards.get(t, ())
-            if other != c % n_lines
-        ]
-        if change:
-            src, dst, cost = map(np.array, zip(*change))
-            parts.append((src, b_at(dst), cost))
+        parts.append(_changes(r_codes, n_lines, self.neighbors, waits, penalty, n_s + n_b, lambda stop, line: b_at(code(stop, line))))
         source, target, cost = (np.concatenate([np.asarray(p[i]) for p in parts]) for i in range(3))
         n = n_s + n_b + len(r_codes)
         kind = np.r_[np.zeros(n_s, int), np.ones(n_b, int), np.full(len(r_codes), 2)]
         return StateGraph(
             kind, np.r_[stops, b_codes // n_lines, r_codes // n_lines].astype(int), np.r_[np.full(n_s, -1), b_codes % n_lines, r_codes % n_lines].astype(int),
             Csr.of(n, source.astype(int), target.astype(int), cost), Csr.of(n, target.astype(int), source.astype(int), cost), penalty,
-            {(a, b): m for a, of in near.items() for b, m in of}, {(s, line): w for s, of in boards.items() for line, w in of},
+            dict(zip(zip(self.neighbors["a"].tolist(), self.neighbors["b"].tolist()), self.neighbors["minutes"].tolist())),
+            dict(zip(zip(waits["stop_ix"].tolist(), waits["line_ix"].tolist()), waits["wait"].tolist())),
             {(line, a, b): m for line, a, b, m in zip(rides["line_ix"].tolist(), rides["a"].tolist(), rides["b"].tolist(), rides["minutes"].tolist())},
         )
 
 
+def _spans(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each wanted key all its places in the sorted ``keys``: (index into wanted, place), flattened."""
+    start = np.searchsorted(keys, wanted, side="left")
+    counts = np.searchsorted(keys, wanted, side="right") - start
+    which = np.repeat(np.arange(len(wanted)), counts)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(start, counts)
+
+
+def _changes(r_codes: np.ndarray, n_lines: int, neighbors: np.ndarray, waits: np.ndarray, penalty: np.ndarray, first_r: int, board_state) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of a change of line: from every ridden state to every other line that boards at its stop or at a neighbour of it."""
+    stop, line = r_codes // n_lines, r_codes % n_lines
+    here = np.unique(stop)
+    a = np.r_[np.asarray(neighbors["a"], "int64"), here]
+    b = np.r_[np.asarray(neighbors["b"], "int64"), here]
+    minutes = np.r_[np.asarray(neighbors["minutes"], float), np.zeros(len(here))]
+    order = np.argsort(a, kind="stable")
+    a, b, minutes = a[order], b[order], minutes[order]
+    by_stop = np.argsort(waits["stop_ix"], kind="stable")
+    at, other, wait = (np.asarray(waits[c])[by_stop] for c in ("stop_ix", "line_ix", "wait"))
+    state, pair = _spans(a, stop)
+    step, board = _spans(at, b[pair])
+    state, pair = state[step], pair[step]
+    keep = other[board] != line[state]
+    state, pair, board = state[keep], pair[keep], board[keep]
+    return first_r + state, board_state(at[board], other[board]), penalty[other[board]] + minutes[pair] + wait[board]
+
+
 def _records(df: DataFrame, columns: list[str], limit: int = MAX_SENT_EDGES) -> np.ndarray:
     rows = df.select(*columns).limit(limit + 1).toPandas()
     if len(rows) > limit:
