@@ -139,7 +139,7 @@ def test_statistics(spark):
     assert rows(stats.weighted_median(w, "v", "w")) == [(15.0,)]
     assert stats.weighted_median(w.limit(0), "v", "w").collect() == []
     medians = spark.createDataFrame([(0, 60.0), (1, 10.0), (2, 12.0)], "line_ix int, median_min double")
-    assert rows(stats.headway_summary(medians)) == [(12.0, 10.0)]  # weights 1/60, 1/10, 1/12
+    assert rows(stats.headway_summary(medians)) == [(11.0, 10.0)]  # weights 1/60, 1/10, 1/12: exactly half at 10, so the middle to 12
     assert rows(stats.headway_summary(medians.limit(0))) == [(None, None)]
     times = spark.createDataFrame([("o", "a", 10.0), ("o", "b", 31.0), ("p", "a", 30.0), ("p", "b", 1.0)], "origin string, point string, minutes double")
     points, origins = spark.createDataFrame([("a",), ("b",), ("c",)], "point string"), spark.createDataFrame([("o",), ("p",)], "origin string")
