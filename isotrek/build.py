@@ -6,18 +6,23 @@ import argparse
 import json
 import sys
 import tempfile
+from dataclasses import replace
 from datetime import date, datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isotrek.operators import checks, network, search, service_days, stats
+from isotrek.operators import checks, network, search, service_days, stats, streets
 from isotrek.operators.checks import ExpiredFeed, FeedError, Offer
 from isotrek.params import City, ConfigError, parse_city
+from isotrek.session import cut
 from isotrek.sources import assets, gtfs, osm
 
 
+THRESHOLD_MIN = 30
+
+
 def fetch(sources: list[str], folder: str, today: date, spark: SparkSession, allow_expired: bool = False, opener=gtfs.urlopen) -> tuple[str, dict[str, DataFrame], tuple[date, date]]:
     """Path, tables and validity of the first source that gives a feed valid today, else what checks.choose_offer allows."""
     offers, read = [], {}
@@ -37,8 +42,57 @@ def fetch(sources: list[str], folder: str, today: date, spark: SparkSession, all
     return read[checks.choose_offer(offers, today, allow_expired).source]
 
 
+def confined(points: DataFrame, polygons: list, what: str) -> DataFrame:
+    """The points inside the boundary, or all if there is none; an error if it holds none."""
+    if not polygons:
+        return points
+    rows = [([[[(float(lat), float(lon)) for lat, lon in ring] for ring in polygon] for polygon in polygons],)]
+    zone = points.sparkSession.createDataFrame(rows, f"polygons array<array<array<{osm.POINT}>>>")
+    kept = cut(stats.inside_boundary(points.crossJoin(F.broadcast(zone)), F.col("polygons")).drop("polygons"))
+    if kept.isEmpty():
+        raise FeedError(f"the boundary contains none of the {what}")
+    return kept
+
+
+def along_streets(city: City, net: network.Network, origin: DataFrame, part: dict) -> tuple[network.Network, DataFrame, DataFrame, DataFrame, dict[str, object]]:
+    """The network with its neighbours along streets, times (origin, point, minutes) at its stops and at street nodes, the nodes, and the street asset."""
+    walk = city.walk
+    nodes, edges = (cut(df) for df in streets.build_street_graph(*osm.cached_streets(net.stops.sparkSession, part)))
+    snapped = lambda df, c: streets.snap(df.select(F.col(c).alias("key"), "lat", "lon"), nodes, walk.max_snap_m)
+    sources = lambda df: df.select(F.col("key").alias("source"), F.col("node_ix").alias("node"), F.col("snap_m").alias("metres0"))
+    snaps = cut(snapped(net.stops, "stop_ix"))
+    found = snaps.filter("node_ix is not null").select(F.col("key").alias("stop_ix"), F.col("node_ix").alias("node"), "snap_m")
+    reached = cut(search.street_reach(edges, sources(snaps), max(walk.max_access_m, walk.max_transfer_walk_m)))
+    net = replace(net, neighbors=cut(search.street_neighbors(reached, found, walk.max_transfer_walk_m, walk.speed_m_per_min)))
+    stop_walks = reached.filter(F.col("metres") <= walk.max_access_m)
+    origin_walks = cut(search.street_reach(edges, sources(snapped(origin, "origin")), walk.max_access_m))
+    to_stops = origin_walks.join(found, "node").withColumn("metres", F.col("metres") + F.col("snap_m")).filter(F.col("metres") <= walk.max_access_m)
+    walked = to_stops.select(F.col("source").alias("origin"), "stop_ix", (F.col("metres") / walk.speed_m_per_min).alias("minutes"))
+    at_stops = cut(search.stop_times(search.net_arrays(net, city), origin, walked=walked))
+    ends = found.join(net.stops.select("stop_ix", F.col("stop_id").alias("point")), "stop_ix").select("point", "node", "snap_m")
+    times = search.street_point_times(at_stops, stop_walks, origin_walks, ends, walk.max_access_m, walk.speed_m_per_min)
+    at_nodes = search.node_times(at_stops, stop_walks, origin_walks, walk.speed_m_per_min).withColumn("point", F.col("node").cast("string"))
+    stop_snaps = [None if r.node_ix is None else (r.node_ix, r.snap_m) for r in snaps.orderBy("key").collect()]
+    drawn = [(r.a, r.b, r.metres, r.cls, [(p.lat, p.lon) for p in r["shape"]]) for r in edges.collect()]
+    asset = assets.street_asset([(r.lat, r.lon) for r in nodes.orderBy("node_ix").collect()], drawn, stop_snaps)
+    return net, times, at_nodes, nodes, {"walk": asset}
+
+
+def lines_asset(found: DataFrame) -> dict:
+    """Each line's polyline, in line order, and what had to be drawn otherwise."""
+    rows = found.orderBy("line_ix").collect()
+    drawn = [{"id": r.line_id, "mode": r.mode, "source": r.source, "points": [[p.lat, p.lon] for p in r.points]} for r in rows if r.source]
+    return {"lines": drawn, "warnings": [f"line {r.line_id}: {r.warning}" for r in rows if r.warning]}
+
+
 def build_assets(city: City, feed: dict[str, DataFrame], today: date, built_at: datetime, context: dict) -> dict[str, object]:
-    """Every asset of a city whose people walk in straight lines, with the statistics from its centre."""
+    """Every asset of a city, with the statistics from its centre.
+
+    context: the cached parts of the map. A city that walks along streets gets its neighbours, times and
+    shares from them; a boundary confines what the shares are taken of.
+    """
+    if city.walk.streets and not context.get("streets"):
+        raise osm.OsmError("a city that walks along streets needs the street map; the cache has none")
     calendar, dates = (feed.get(t) for t in ("calendar", "calendar_dates"))
     some = calendar if calendar is not None else dates
     blank = lambda *c: some.limit(0).select(*(F.lit(None).cast("string").alias(x) for x in c), F.lit(0).cast("long").alias("row_no"))
@@ -50,19 +104,28 @@ def build_assets(city: City, feed: dict[str, DataFrame], today: date, built_at:
     if reference is None:
         raise FeedError("no Tuesday to Thursday with service")
     trips = feed["trips"] if "direction_id" in feed["trips"].columns else feed["trips"].withColumn("direction_id", F.lit("0"))
-    net = network.build_network(feed | {"trips": trips}, service_days.services_on(days, F.lit(reference.day)), city)
+    feed, active = feed | {"trips": trips}, service_days.services_on(days, F.lit(reference.day))
+    net = network.build_network(feed, active, city)
     spark = days.sparkSession
+    boundary = osm.cached_boundary(spark, context.get("boundary") or {})
+    polygons = boundary.get("polygons") or []
     origin = spark.createDataFrame([("center", *map(float, city.center))], "origin string, lat double, lon double")
-    points = net.stops.select(F.col("stop_id").alias("point"), "lat", "lon")
-    times = search.point_times(search.stop_times(search.net_arrays(net, city), origin), net.stops, origin, points, city.walk)
-    row = stats.city_stats(net.waits, net.lines, net.stops, stats.reach_share(times, points, origin, 30), 30, stats.scope(False, False)).first()
-    if row is None or row.stops == 0:
+    if net.stops.isEmpty():
         raise FeedError("no line departs inside the window")
+    points = confined(net.stops.select(F.col("stop_id").alias("point"), "lat", "lon"), polygons, "stops")
+    extra, node_share = {}, None
+    if city.walk.streets:
+        net, times, at_nodes, nodes, extra = along_streets(city, net, origin, context["streets"])
+        node_share = stats.reach_share(at_nodes, confined(nodes.select(F.col("node_ix").cast("string").alias("point"), "lat", "lon"), polygons, "street nodes"), origin, THRESHOLD_MIN)
+    else:
+        times = search.point_times(search.stop_times(search.net_arrays(net, city), origin), net.stops, origin, points, city.walk)
+    share = stats.reach_share(times, points, origin, THRESHOLD_MIN)
+    row = stats.city_stats(net.waits, net.lines, net.stops, share, THRESHOLD_MIN, stats.scope(city.walk.streets, bool(polygons)), node_share).first()
     return {
         "meta": {"schema": assets.VERSION, "city": city.id, "built_at": built_at.isoformat(), "built_on": today.isoformat(), "reference_date": reference.day.isoformat()},
-        "graph": assets.graph_asset(assets.graph_tables(net, feed["routes"])), "lines": {"lines": [r.line_id for r in net.lines.orderBy("line_ix").collect()]},
-        "boundary": context.get("boundary", {}), "basemap": context.get("basemap", {}), "stats": row.asDict(recursive=True),
-    }
+        "graph": assets.graph_asset(assets.graph_tables(net, feed["routes"])), "lines": lines_asset(network.feed_geometry(feed, active, net.lines)),
+        "boundary": boundary, "basemap": context.get("basemap", {}), "stats": row.asDict(recursive=True),
+    } | extra
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, now: datetime | None = None) -> int:
@@ -86,11 +149,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, now:
             spark = local_session()
         with tempfile.TemporaryDirectory() as folder:
             _, feed, valid = fetch(args.gtfs, folder, today, spark, args.allow_expired)
-            assets.write_assets(build_assets(city, feed, today, built_at, context), str(Path(args.out, city.id)))
+            built = build_assets(city, feed, today, built_at, context)
+            assets.write_assets(built, str(Path(args.out, city.id)))
         if checks.check_expiry(valid[1], today, True):
             print(f"warning: feed expired on {valid[1].isoformat()}", file=sys.stderr)
-        if warning:
-            print(f"warning: {warning}", file=sys.stderr)
+        for line in ([warning] if warning else []) + built["lines"]["warnings"]:
+            print(f"warning: {line}", file=sys.stderr)
     except ExpiredFeed as e:
         print(f"error: {e}", file=sys.stderr)
         return 2

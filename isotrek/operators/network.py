@@ -156,6 +156,27 @@ def trip_patterns(stop_times: DataFrame, trip: str, order: list[str], stop: str)
     return rows.select("trip", F.col("rows._stop").alias("pattern"))
 
 
+def feed_geometry(feed: dict[str, DataFrame], active: DataFrame, lines: DataFrame) -> DataFrame:
+    """line_geometry of a feed's own shapes and stop patterns, over all trips of the day's services."""
+    spark = active.sparkSession
+    trips = feed["trips"].withColumn("shape", key("shape_id") if "shape_id" in feed["trips"].columns else F.lit(None).cast("string"))
+    trips = trips.select(key("trip_id").alias("trip"), F.concat_ws(":", key("route_id"), F.coalesce(key("direction_id"), F.lit("0"))).alias("line_id"), key("service_id").alias("service_id"), "shape")
+    trips = trips.filter("trip is not null").groupBy("trip").agg(F.min(F.struct("line_id", "service_id", "shape")).alias("t")).select("trip", "t.*").join(active, "service_id", "left_semi")
+    number = lambda c: strip(c).try_cast("double")
+    if "shapes" in feed:
+        rows = feed["shapes"].select(key("shape_id").alias("shape_id"), sequence_number(F.col("shape_pt_sequence")).alias("seq"), number("shape_pt_lat").alias("lat"), number("shape_pt_lon").alias("lon")).dropna()
+        placed = rows.groupBy("shape_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon"))).alias("p"))
+        shapes = placed.select("shape_id", F.transform("p", lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"))).alias("points"))
+    else:
+        shapes = spark.createDataFrame([], "shape_id string, points array<struct<lat:double,lon:double>>")
+    times = feed["stop_times"].select(key("trip_id").alias("trip"), key("stop_id").alias("stop_id"), sequence_number(F.col("stop_sequence")).alias("seq")).filter("seq is not null and stop_id is not null")
+    patterns = trip_patterns(times.join(trips.select("trip"), "trip", "left_semi"), "trip", ["seq"], "stop_id").join(trips.select("trip", "line_id"), "trip")
+    stops = feed["stops"].select(key("stop_id").alias("stop_id"), number("stop_lat").alias("lat"), number("stop_lon").alias("lon")).dropna().dropDuplicates(["stop_id"])
+    drawn = spark.createDataFrame([], "line_id string, points array<struct<lat:double,lon:double>>")
+    found = line_geometry(lines, trips.select("line_id", F.col("shape").alias("shape_id")), shapes, drawn, patterns.select("line_id", "pattern"), stops)
+    return found.join(lines.select("line_id", "line_ix", "mode"), "line_id")
+
+
 def line_geometry(lines: DataFrame, shape_uses: DataFrame, shapes: DataFrame, osm: DataFrame, patterns: DataFrame, stops: DataFrame, min_distance_m: float = 15.0) -> DataFrame:
     """(line_id, source, points, warning): each line's polyline from its most used shape, else from the map, else from its commonest stop pattern, else none.
 

@@ -226,26 +226,33 @@ def walkable_stops(net: NetArrays, lat: float, lon: float) -> list[tuple[int, fl
     return [(int(s), net.walk.minutes(float(metres[s]))) for s in np.flatnonzero(metres <= net.walk.max_access_m)]
 
 
-def stop_times(net: NetArrays, origins: DataFrame, modes: tuple[str, ...] | None = None, reverse: bool = False) -> DataFrame:
+def stop_times(net: NetArrays, origins: DataFrame, modes: tuple[str, ...] | None = None, reverse: bool = False, walked: DataFrame | None = None) -> DataFrame:
     """(origin, stop_ix, minutes): minutes at which each stop can be left after riding, per origin (origin, lat, lon).
 
     ``reverse``: minutes from boarding at each stop until the place is reached. Stops out of reach give
-    no row; origins with a null position give none; a repeated origin is searched again.
+    no row; origins with a null position give none; a repeated origin is searched again. ``walked``
+    (origin, stop_ix, minutes): the stops walked to along streets, else those in straight lines.
     """
     ship(origins.sparkSession)
-    sent = origins.sparkSession.sparkContext.broadcast(net)
+    sent, straight = origins.sparkSession.sparkContext.broadcast(net), walked is None
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         states = sent.value.states(modes)
         for batch in batches:
             out = []
-            for origin, lat, lon in zip(batch["origin"], batch["lat"], batch["lon"]):
-                seeds = states.entries(walkable_stops(sent.value, lat, lon), reverse)
+            for origin, lat, lon, known in zip(batch["origin"], batch["lat"], batch["lon"], batch["walked"]):
+                near = walkable_stops(sent.value, lat, lon) if straight else [(int(w["stop_ix"]), float(w["minutes"])) for w in (known if known is not None else ())]
+                seeds = states.entries(near, reverse)
                 best, _ = settle(states.backward if reverse else states.forward, seeds)
                 out += [(origin, s, m) for s, (m, _) in states.stop_minutes(best, reverse).items()]
             yield pd.DataFrame(out, columns=["origin", "stop_ix", "minutes"])
 
-    return origins.select(F.col("origin").cast("string").alias("origin"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).dropna().mapInPandas(search, "origin string, stop_ix int, minutes double")
+    placed = origins.select(F.col("origin").cast("string").alias("origin"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).dropna()
+    if straight:
+        placed = placed.withColumn("walked", F.lit(None).cast("array<struct<stop_ix:int,minutes:double>>"))
+    else:
+        placed = placed.join(walked.groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("stop_ix", "minutes"))).alias("walked")), "origin", "left")
+    return placed.mapInPandas(search, "origin string, stop_ix int, minutes double")
 
 
 def point_times(at_stops: DataFrame, stops: DataFrame, origins: DataFrame, points: DataFrame, walk: Walk, direct_walk_m: float | None = None) -> DataFrame:
@@ -318,6 +325,15 @@ def node_times(at_stops: DataFrame, stop_walks: DataFrame, origin_walks: DataFra
     return on_foot.unionByName(ridden).groupBy("origin", "node").agg(F.min("minutes").alias("minutes"))
 
 
+def street_point_times(at_stops: DataFrame, stop_walks: DataFrame, origin_walks: DataFrame, snaps: DataFrame, limit_m: float, speed: float) -> DataFrame:
+    """(origin, point, minutes) as point_times, along streets: node_times plus the point's own snap (point, node, snap_m), each walk within the limit."""
+    ends = lambda walks, c: walks.select(F.col("source").alias(c), "node", "metres").join(snaps, "node").withColumn("metres", F.col("metres") + F.col("snap_m")).filter(F.col("metres") <= limit_m)
+    on_foot = ends(origin_walks, "origin").select("origin", "point", (F.col("metres") / speed).alias("minutes"))
+    egress = ends(stop_walks, "stop_ix").withColumn("stop_ix", F.col("stop_ix").cast("int"))
+    ridden = at_stops.join(egress, "stop_ix").select("origin", "point", (F.col("minutes") + F.col("metres") / speed).alias("minutes"))
+    return on_foot.unionByName(ridden).groupBy("origin", "point").agg(F.min("minutes").alias("minutes"))
+
+
 def street_neighbors(stop_walks: DataFrame, snaps: DataFrame, limit_m: float, speed: float) -> DataFrame:
     """(a, b, minutes): stops joined along streets: snap + path + snap within the limit; both directions, never a stop with itself.
 

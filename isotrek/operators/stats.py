@@ -58,15 +58,17 @@ def scope(has_streets: bool, has_boundary: bool) -> str:
     return "streets" if has_streets else "boundary" if has_boundary else "served"
 
 
-def city_stats(waits: DataFrame, lines: DataFrame, stops: DataFrame, share: DataFrame, threshold: float, scope_name: str) -> DataFrame:
-    """One row of nested statistics: counts, reach, headway with the list by line."""
+def city_stats(waits: DataFrame, lines: DataFrame, stops: DataFrame, share: DataFrame, threshold: float, scope_name: str, node_share: DataFrame | None = None) -> DataFrame:
+    """One row of nested statistics: counts, reach (with percent_nodes if the share of street nodes is given), headway with the list by line."""
     medians = line_headways(waits)
     by_line = medians.join(lines.select("line_ix", "line_id"), "line_ix").agg(F.array_sort(F.collect_list(F.struct("line_ix", "line_id", "median_min"))).alias("by_line"))
     counts = stops.agg(F.count("*").alias("stops")).crossJoin(lines.agg(F.count("*").alias("lines")))
+    nodes = [] if node_share is None else ["percent_nodes"]
+    share = share if node_share is None else share.crossJoin(node_share.select(F.col("percent_stops").alias("percent_nodes")))
     together = counts.crossJoin(share).crossJoin(headway_summary(medians)).crossJoin(by_line)
     return together.select(
         "stops", "lines",
-        F.struct(F.lit(float(threshold)).alias("threshold_min"), "origins", F.lit(scope_name).alias("scope"), "percent_stops").alias("reach"),
+        F.struct(F.lit(float(threshold)).alias("threshold_min"), "origins", F.lit(scope_name).alias("scope"), "percent_stops", *nodes).alias("reach"),
         F.struct("typical_min", "best_min", F.transform("by_line", lambda x: F.struct(x["line_id"].alias("id"), x["median_min"].alias("median_min"))).alias("by_line")).alias("headway"),
     )
 

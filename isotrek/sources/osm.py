@@ -11,6 +11,7 @@ from urllib.error import URLError
 from urllib.parse import urlencode
 from urllib.request import Request, urlopen
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from isotrek.functions.geo import thin_ring
 from isotrek.functions.numbers import round_half_even
-from isotrek.operators.streets import hilbert_numbers
+from isotrek.operators.streets import SCALE, hilbert_numbers
 from isotrek.session import ship
 
 # The ways people walk on, by the class they are drawn in (0 path, 1 minor, 2 main).
@@ -121,6 +122,29 @@ def street_ways(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return used.join(numbers.withColumnRenamed("node", "osm"), "osm").select(F.col("node_ix").alias("node"), "lat", "lon"), ways_out
 
 
+def cached_streets(spark: SparkSession, part: dict) -> tuple[DataFrame, DataFrame]:
+    """(nodes (node, lat, lon), ways (way, nodes, cls)) of a cached street map: a saved answer, or packed as delta-coded positions in 1e-5 degrees, ways and classes."""
+    if "elements" in part:
+        nodes, ways = street_ways(elements(spark, [part]))
+    else:
+        running = lambda values: np.cumsum(values, dtype="int64").tolist()
+        places = [(i, a / SCALE, b / SCALE) for i, (a, b) in enumerate(zip(running(part["lat"]), running(part["lon"])))]
+        nodes = spark.createDataFrame(places, "node int, lat double, lon double")
+        ways = spark.createDataFrame([(i, running(w), c) for i, (w, c) in enumerate(zip(part["ways"], part["cls"]))], "way long, nodes array<int>, cls tinyint")
+    if ways.isEmpty():
+        raise OsmError("the street map has no walkable way")
+    return nodes, ways
+
+
+def cached_boundary(spark: SparkSession, part: dict) -> dict:
+    """(id, polygons) of a cached boundary, as it is published: rings of [lat, lon], the outer one first."""
+    if "elements" not in part:
+        return part
+    ids = [e["id"] for e in part["elements"] if e.get("type") == "relation"]
+    found = boundary(elements(spark, [part]), ids[0] if ids else 0).orderBy("id").collect()
+    return {"id": ids[0], "polygons": [[[[v.lat, v.lon] for v in ring] for ring in polygon] for row in found for polygon in row.polygons]}
+
+
 def join_rings(ways: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
     """Closed rings from open ways joined end to end, whichever way they run; starts from the last way, drops what does not close or has under four points."""
     rest, rings = [list(w) for w in ways if len(w) > 1], []

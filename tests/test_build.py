@@ -1,10 +1,13 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from isotrek import build
 from isotrek.operators import published
+from isotrek.sources import assets, osm
 from tests.conftest import rows
+from tests.feeds import at
 from tests.test_more import make_zip
 from tests.test_spatial import box, zone
 
@@ -37,6 +40,58 @@ def test_build(spark, tmp_path, capsys):
     assert run("--today", "2026-03-02") == 1
 
 
+STREET_STOPS = {"S1": (0, 0), "S2": (300, 0), "S3": (0, 200), "S4": (5000, 0)}
+STREET_FILES = FILES | {
+    "stops.txt": "stop_id,stop_name,stop_lat,stop_lon\n" + "".join(f"{s},{s},{at(*p)[0]},{at(*p)[1]}\n" for s, p in STREET_STOPS.items()),
+    "routes.txt": "route_id,route_short_name,route_type\nA,1,3\nB,2,3\n",
+    "trips.txt": "route_id,service_id,trip_id,shape_id\nA,W,t1,sh\nB,W,t2,\n",
+    "stop_times.txt": "trip_id,arrival_time,departure_time,stop_id,stop_sequence\nt1,8:00:00,8:00:00,S1,1\nt1,8:10:00,8:10:00,S4,2\nt2,9:00:00,9:00:00,S2,1\nt2,9:10:00,9:10:00,S3,2\n",
+    "shapes.txt": "shape_id,shape_pt_lat,shape_pt_lon,shape_pt_sequence\nsh,41.6,-4.64,10\nsh,41.6,-4.7,2\nsh,41.61,-4.66,9\n",
+}
+
+
+def test_build_along_streets(spark, tmp_path, capsys):
+    feed, city, cache = tmp_path / "f.zip", tmp_path / "mini.json", str(tmp_path / "cache")
+    make_zip(str(feed), STREET_FILES)
+    city.write_text(json.dumps(CITY | {"center": list(at(0, 0)), "modes": CITY["modes"] | {"walk": {"kind": "walk", "network": "streets"}}}))
+    run = lambda out: build.main([str(city), "--gtfs", str(feed), "--out", str(tmp_path / out), "--osm-cache", cache, "--today", "2026-03-02"], spark)
+    places = [at(*p) for p in ((0, 0), (0, 500), (300, 500), (300, 0))]
+    packed = {"lat": assets.deltas([round(p[0] * 1e5) for p in places]), "lon": assets.deltas([round(p[1] * 1e5) for p in places]), "ways": [[0, 1, 1, 1]], "cls": [1]}
+    west = [[list(at(*p)) for p in ((-50, -50), (100, -50), (100, 550), (-50, 550), (-50, -50))]]
+    osm.save_cache({"boundary": {"id": None, "polygons": []}, "basemap": {}}, cache)
+    assert run("none") == 1 and "street map" in capsys.readouterr().err and not (tmp_path / "none" / "mini").exists()
+    osm.save_cache({"streets": packed}, cache)
+    assert run("open") == 0 and "line B:0: straight stop segments" in capsys.readouterr().err
+    got = assets.load_assets(str(tmp_path / "open" / "mini"), streets=True)
+    near = got["graph"]["neighbors"]  # four edges of 56 m from the corner and a snap of 22 m
+    assert [(n["a"], n["b"]) for n in near] == [(0, 2), (2, 0)] and all(abs(n["minutes"] - (4 * 56 + 22.5) / 75) < 0.02 for n in near)
+    assert got["stats"]["reach"]["scope"] == "streets" and got["stats"]["reach"]["percent_stops"] == 50.0 and 70 < got["stats"]["reach"]["percent_nodes"] < 85
+    assert got["walk"]["stops"]["node"][3] == -1 and min(got["walk"]["stops"]["node"][:3]) >= 0 and 1290 <= sum(got["walk"]["m"]) <= 1310
+    assert got["lines"]["lines"][0] == {"id": "A:0", "mode": "bus", "source": "shapes", "points": [[41.6, -4.7], [41.61, -4.66], [41.6, -4.64]]}
+    assert got["lines"]["lines"][1]["source"] == "stops" and len(got["lines"]["lines"][1]["points"]) == 2
+    way = {"type": "way", "id": 7, "tags": {"highway": "residential"}, "nodes": [1, 2, 3, 4], "geometry": [{"lat": a, "lon": b} for a, b in places]}
+    osm.save_cache({"streets": {"elements": [way]}, "boundary": {"id": 1, "polygons": [west]}}, cache)
+    assert run("west") == 0
+    west_got = assets.load_assets(str(tmp_path / "west" / "mini"), streets=True)
+    assert west_got["walk"] == got["walk"] and west_got["stats"]["reach"]["percent_stops"] == 100.0 and west_got["stats"]["reach"]["percent_nodes"] == 100.0
+    far = [[list(at(*p)) for p in ((9000, 0), (9100, 0), (9100, 100), (9000, 0))]]
+    with pytest.raises(build.FeedError, match="none of the stops"):
+        build.confined(spark.createDataFrame([at(0, 0)], "lat double, lon double"), [far], "stops")
+
+
+def test_build_inside_a_boundary(spark, tmp_path):
+    feed, city, cache = tmp_path / "f.zip", tmp_path / "mini.json", str(tmp_path / "cache")
+    make_zip(str(feed), STREET_FILES)
+    city.write_text(json.dumps(CITY | {"center": list(at(0, 0))}))
+    ring = [{"lat": at(*p)[0], "lon": at(*p)[1]} for p in ((-50, -50), (6000, -50), (6000, 100), (-50, 100), (-50, -50))]
+    relation = {"type": "relation", "id": 5, "members": [{"type": "way", "role": "outer", "geometry": ring}]}
+    osm.save_cache({"boundary": {"elements": [relation]}, "basemap": {}}, cache)
+    assert build.main([str(city), "--gtfs", str(feed), "--out", str(tmp_path), "--osm-cache", cache, "--today", "2026-03-02"], spark) == 0
+    got = assets.load_assets(str(tmp_path / "mini"))
+    assert got["boundary"]["id"] == 5 and len(got["boundary"]["polygons"][0][0]) == 5
+    assert got["stats"]["reach"] == {"threshold_min": 30.0, "origins": 1, "scope": "boundary", "percent_stops": 100.0}
+
+
 def test_published(spark):
     pts = "array<struct<lat:double,lon:double>>"
     line, other = [(0.0, 0.0), (0.0, 0.01)], [(0.0, 0.0), (0.0, 0.02)]
