@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isotrek.functions.geo import segments_cross
+from isotrek.functions.geo import planar, segments_cross
 from isotrek.functions.numbers import round_half_even
 from isotrek.functions.text import display_name, normalise_name
 from isotrek.operators.numbering import dense_index
-from isotrek.operators.proximity import k_nearest, near_join
+from isotrek.operators.proximity import near_join
 from isotrek.operators.streets import components
 
 GROUP_RADIUS_M, INTER_COMPLEX_M = 350.0, 450.0
@@ -131,7 +131,7 @@ def river_walks(walks: DataFrame, rivers: DataFrame, bridges: DataFrame, limit_m
     around = walks.join(cut_off, "walk", "left_semi").withColumn("cx", F.explode(F.sequence(cell("ax") - 1, cell("ax") + 1))).withColumn("cy", F.explode(F.sequence(cell("ay") - 1, cell("ay") + 1)))
     near = around.join(bridges.withColumn("cx", cell("x")).withColumn("cy", cell("y")), ["cx", "cy"])
     leg = lambda p, q: F.sqrt(F.pow(F.col("x") - F.col(p), 2) + F.pow(F.col("y") - F.col(q), 2))
-    over = near.withColumn("metres", leg("ax", "ay") + leg("bx", "by")).filter(F.col("metres") <= limit_m).withColumn("option", F.monotonically_increasing_id())
+    over = near.withColumn("metres", leg("ax", "ay") + leg("bx", "by")).filter(F.col("metres") <= limit_m).withColumn("option", F.struct("walk", "x", "y"))
     first = over.select(F.struct("option", F.lit(1).alias("leg")).alias("walk"), "ax", "ay", F.col("x").alias("bx"), F.col("y").alias("by"))
     second = over.select(F.struct("option", F.lit(2).alias("leg")).alias("walk"), F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", "by")
     blocked = crossing_rivers(first.unionByName(second), rivers).select(F.col("walk.option").alias("option")).distinct()
@@ -146,10 +146,27 @@ def bridges_over_rivers(bridges: DataFrame, rivers: DataFrame, bucket_m: float =
     return crossing.groupBy(*bucket).agg(F.min(F.struct("walk", "x", "y")).alias("f")).select("f.x", "f.y")
 
 
-def cell_access(cells: DataFrame, stations: DataFrame, rail: DataFrame, radius_m: float, any_kind: int = 5, of_rail: int = 3) -> DataFrame:
-    """(cell, station, metres): the nearest stations of any kind and the nearest rail stations of each land cell; one row a station."""
-    both = k_nearest(cells, stations, radius_m, any_kind).unionByName(k_nearest(cells, rail, radius_m, of_rail))
-    return both.groupBy(F.col("key").alias("cell"), F.col("nearest").alias("station")).agg(F.min("metres").alias("metres"))
+def on_foot(pairs: DataFrame, rivers: DataFrame | None, bridges: DataFrame | None, origin: tuple[float, float]) -> DataFrame:
+    """(walk, metres) of pairs (walk, lat_a, lon_a, lat_b, lon_b, metres): river_walks planar about ``origin``, or as they are without rivers."""
+    if (rivers is None) != (bridges is None):
+        raise ValueError("rivers and bridges belong together")
+    if rivers is None:
+        return pairs.select("walk", "metres")
+    (ax, ay), (bx, by) = (planar(F.col(f"lat_{s}"), F.col(f"lon_{s}"), *origin) for s in "ab")
+    return river_walks(pairs.select("walk", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by")), rivers, bridges)
+
+
+def cell_access(cells: DataFrame, stations: DataFrame, rail: DataFrame, radius_m: float, any_kind: int = 5, of_rail: int = 3, rivers: DataFrame | None = None, bridges: DataFrame | None = None, origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """(cell, station, metres): the nearest stations of any kind and the nearest rail stations of each land cell; one row a station.
+
+    With rivers and bridges (as for river_walks, planar about ``origin``) every station within the radius
+    is ranked by its walk around them, and those without a walk do not count.
+    """
+    kinds = [near_join(cells, df, radius_m).withColumn("k", F.lit(k)).withColumn("kind", F.lit(i)) for i, (df, k) in enumerate(((stations, any_kind), (rail, of_rail)))]
+    pairs = kinds[0].unionByName(kinds[1]).withColumn("walk", F.struct("kind", "k", "key_a", "key_b", "lat_a", "lon_a", "lat_b", "lon_b"))
+    best = on_foot(pairs, rivers, bridges, origin).groupBy(*(F.col(f"walk.{c}") for c in ("kind", "k", "key_a", "key_b"))).agg(F.min("metres").alias("metres"))
+    nearest = best.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "key_a").orderBy("metres", "key_b"))).filter("rank <= k")
+    return nearest.groupBy(F.col("key_a").alias("cell"), F.col("key_b").alias("station")).agg(F.min("metres").alias("metres"))
 
 
 def capped_times(access: DataFrame, station_minutes: DataFrame) -> DataFrame:
