@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from isotrek.functions.geo import planar, segments_cross
 from isotrek.functions.numbers import round_half_even
 from isotrek.functions.text import display_name, normalise_name
+from isotrek.functions.values import key
 from isotrek.operators.numbering import dense_index
 from isotrek.operators.proximity import near_join
 from isotrek.operators.streets import components
@@ -39,6 +40,18 @@ def stop_complexes(stops: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members.select("stop_id", "complex_id"), common.join(centres, "complex_id").select("complex_id", display_name(F.col("s.name")).alias("name"), "lat", "lon")
 
 
+def fixed_trips(trips: DataFrame) -> DataFrame:
+    """Trips that run by fixed times: demand-responsive ones, which have a non-blank TAD, are dropped."""
+    return trips.filter(key("TAD").isNull()) if "TAD" in trips.columns else trips
+
+
+def translated_stops(stops: DataFrame, translations: DataFrame, language: str) -> DataFrame:
+    """Stops under the names of a language; a name without a translation stays, the last one in file order (row_no) of several counts."""
+    of = (F.col("table_name") == "stops") & (F.col("field_name") == "stop_name") & (F.col("language") == language) & (F.col("field_value") != "")
+    names = translations.filter(of).groupBy(F.col("field_value").alias("stop_name")).agg(F.max_by(F.struct("translation"), "row_no").alias("t"))
+    return stops.join(names, "stop_name", "left").withColumn("stop_name", F.coalesce("t.translation", "stop_name")).select(stops.columns)
+
+
 def half_headway(window_minutes: float, departures: Column) -> Column:
     return F.least(F.lit(MAX_WAIT), F.greatest(F.lit(MIN_WAIT), F.lit(float(window_minutes)) / departures / 2))
 
@@ -63,6 +76,11 @@ def direction_waits(hops: DataFrame, window_minutes: float) -> DataFrame:
     return per_direction.groupBy("complex_id", "route_id").agg(F.avg("n").alias("mean")).select("complex_id", "route_id", round_half_even(half_headway(window_minutes, F.col("mean")), 2).alias("wait"))
 
 
+def route_waits(served: DataFrame, waits: DataFrame) -> DataFrame:
+    """served (complex_id, route_id, ..) with the wait there; where a route is served but never boarded in the window, the default."""
+    return served.join(waits, ["complex_id", "route_id"], "left").withColumn("wait", F.coalesce("wait", F.lit(DEFAULT_WAIT)))
+
+
 def branch_waits(all_hops: DataFrame, in_window: DataFrame, window_minutes: float) -> DataFrame:
     """(a, b, route_id, minutes, extra): median ride, and the extra wait where a line splits.
 
@@ -156,6 +174,13 @@ def on_foot(pairs: DataFrame, rivers: DataFrame | None, bridges: DataFrame | Non
     return river_walks(pairs.select("walk", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by")), rivers, bridges)
 
 
+def near_complexes(complexes: DataFrame, rivers: DataFrame | None = None, bridges: DataFrame | None = None, origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """(a, b, metres): different complexes (complex_id, name, lat, lon) at most 450 m apart on foot, around rivers as for cell_access; what transfer_edges takes."""
+    points = complexes.select(F.col("complex_id").alias("key"), "lat", "lon")
+    pairs = near_join(points, points, INTER_COMPLEX_M, "key_a <> key_b").withColumn("walk", F.struct("key_a", "key_b"))
+    return on_foot(pairs, rivers, bridges, origin).filter(F.col("metres") <= INTER_COMPLEX_M).select(F.col("walk.key_a").alias("a"), F.col("walk.key_b").alias("b"), "metres")
+
+
 def cell_access(cells: DataFrame, stations: DataFrame, rail: DataFrame, radius_m: float, any_kind: int = 5, of_rail: int = 3, rivers: DataFrame | None = None, bridges: DataFrame | None = None, origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """(cell, station, metres): the nearest stations of any kind and the nearest rail stations of each land cell; one row a station.
 
@@ -195,14 +220,20 @@ def trips_inside(stop_times: DataFrame, inside: DataFrame, trip: str = "trip_id"
     return kept.withColumn("_n", F.count("*").over(Window.partitionBy(trip))).filter("_n >= 2").drop("_n")
 
 
+def line_stats(states: DataFrame) -> DataFrame:
+    """(route_id, stations, headway): stations of each line among route states (complex_id, route_id, wait), and twice the median wait, rounded to 1."""
+    return states.groupBy("route_id").agg(F.count("*").alias("stations"), round_half_even(F.median("wait") * 2, 1).alias("headway"))
+
+
 def network_stats(states: DataFrame, times: DataFrame) -> DataFrame:
-    """(stations, within_15, within_30, farthest, near_20), one row: whole percents of rail stations (station, name, minutes) reached, the farthest and the one closest to 20 minutes."""
+    """(stations, within_15, within_30, farthest, near_20, lines), one row: whole percents of rail stations (station, name, minutes) reached, the farthest and the one closest to 20 minutes, and line_stats of the rail states."""
     n = times.agg(
         F.count("*").alias("stations"), F.floor(100 * F.count_if(F.col("minutes") <= 15) / F.count("*") + 0.5).cast("int").alias("within_15"),
         F.floor(100 * F.count_if(F.col("minutes") <= 30) / F.count("*") + 0.5).cast("int").alias("within_30"),
         F.max_by("name", F.struct("minutes", "name")).alias("farthest"), F.min_by("name", F.struct(F.abs(F.col("minutes") - 20), F.col("name"))).alias("near_20"),
     )
-    return n
+    lines = line_stats(states).agg(F.array_sort(F.collect_list(F.struct("route_id", "stations", "headway"))).alias("lines"))
+    return n.crossJoin(lines)
 
 
 def trip_sanity(pairs: DataFrame) -> DataFrame:
