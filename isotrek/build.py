@@ -68,7 +68,7 @@ def along_streets(city: City, net: network.Network, origin: DataFrame, part: dic
     origin_walks = cut(search.street_reach(edges, sources(snapped(origin, "origin")), walk.max_access_m))
     to_stops = origin_walks.join(found, "node").withColumn("metres", F.col("metres") + F.col("snap_m")).filter(F.col("metres") <= walk.max_access_m)
     walked = to_stops.select(F.col("source").alias("origin"), "stop_ix", (F.col("metres") / walk.speed_m_per_min).alias("minutes"))
-    at_stops = cut(search.stop_times(search.net_arrays(net, city), origin, walked=walked))
+    at_stops = cut(search.network_stop_times(net, city, origin, walked=walked))
     ends = found.join(net.stops.select("stop_ix", F.col("stop_id").alias("point")), "stop_ix").select("point", "node", "snap_m")
     times = search.street_point_times(at_stops, stop_walks, origin_walks, ends, walk.max_access_m, walk.speed_m_per_min)
     at_nodes = search.node_times(at_stops, stop_walks, origin_walks, walk.speed_m_per_min).withColumn("point", F.col("node").cast("string"))
@@ -118,7 +118,7 @@ def build_assets(city: City, feed: dict[str, DataFrame], today: date, built_at:
         net, times, at_nodes, nodes, extra = along_streets(city, net, origin, context["streets"])
         node_share = stats.reach_share(at_nodes, confined(nodes.select(F.col("node_ix").cast("string").alias("point"), "lat", "lon"), polygons, "street nodes"), origin, THRESHOLD_MIN)
     else:
-        times = search.point_times(search.stop_times(search.net_arrays(net, city), origin), net.stops, origin, points, city.walk)
+        times = search.point_times(search.network_stop_times(net, city, origin), net.stops, origin, points, city.walk)
     share = stats.reach_share(times, points, origin, THRESHOLD_MIN)
     row = stats.city_stats(net.waits, net.lines, net.stops, share, THRESHOLD_MIN, stats.scope(city.walk.streets, bool(polygons)), node_share).first()
     return {

@@ -24,6 +24,10 @@ from isotrek.session import cut, ship
 MAX_SENT_EDGES = 5_000_000  # a network with more goes through relaxed_stop_times
 
 
+class TooManyRows(ValueError):
+    """A table that is not sent to workers."""
+
+
 @dataclass
 class Csr:
     """Directed weighted edges by source: those of i are targets[start[i]:start[i+1]]."""
@@ -198,17 +202,17 @@ def _changes(r_codes: np.ndarray, n_lines: int, neighbors: np.ndarray, waits: np
 def _records(df: DataFrame, columns: list[str], limit: int = MAX_SENT_EDGES) -> np.ndarray:
     rows = df.select(*columns).limit(limit + 1).toPandas()
     if len(rows) > limit:
-        raise ValueError(f"over {limit} rows are too many to send to every worker; use relaxed_stop_times")
+        raise TooManyRows(f"over {limit} rows are too many to send to every worker; use relaxed_stop_times")
     return rows.sort_values(columns).to_records(index=False)
 
 
-def net_arrays(net: Network, city: City) -> NetArrays:
-    """Collect a network after counting that it is small enough to be sent."""
-    stops = _records(net.stops, ["stop_ix", "lat", "lon"])
-    lines = _records(net.lines, ["line_ix", "mode"])
+def net_arrays(net: Network, city: City, limit: int = MAX_SENT_EDGES) -> NetArrays:
+    """Collect a network after counting that it is small enough to be sent; TooManyRows if it is not."""
+    stops = _records(net.stops, ["stop_ix", "lat", "lon"], limit)
+    lines = _records(net.lines, ["line_ix", "mode"], limit)
     return NetArrays(
         np.asarray(stops["lat"], float), np.asarray(stops["lon"], float), [str(m) for m in lines["mode"]],
-        _records(net.rides, ["line_ix", "a", "b", "minutes"]), _records(net.waits, ["stop_ix", "line_ix", "wait"]), _records(net.neighbors, ["a", "b", "minutes"]),
+        _records(net.rides, ["line_ix", "a", "b", "minutes"], limit), _records(net.waits, ["stop_ix", "line_ix", "wait"], limit), _records(net.neighbors, ["a", "b", "minutes"], limit),
         {m.id: float(m.transfer_min) for m in city.modes}, city.walk,
     )
 
@@ -255,6 +259,29 @@ def stop_times(net: NetArrays, origins: DataFrame, modes: tuple[str, ...] | None
     return placed.mapInPandas(search, "origin string, stop_ix int, minutes double")
 
 
+def network_stop_times(net: Network, city: City, origins: DataFrame, modes: tuple[str, ...] | None = None, reverse: bool = False, walked: DataFrame | None = None, limit: int = MAX_SENT_EDGES) -> DataFrame:
+    """stop_times of a network of any size: by the array kernel, or, if it has too many rows to be sent, as joins. There a repeated origin counts once."""
+    try:
+        return stop_times(net_arrays(net, city, limit), origins, modes, reverse, walked)
+    except TooManyRows:
+        pass
+    placed = origins.select(F.col("origin").cast("string").alias("key"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).dropna()
+    if walked is None:
+        near = near_join(placed, net.stops.select(F.col("stop_ix").alias("key"), "lat", "lon"), city.walk.max_access_m)
+        walked = near.select(F.col("key_a").alias("origin"), F.col("key_b").alias("stop_ix"), (F.col("metres") * city.walk.minutes(1.0)).alias("minutes"))
+    walked = walked.join(placed.select(F.col("key").alias("origin")).distinct(), "origin", "left_semi")
+    edges = cut(state_edges(net, city, None if modes is None else list(modes)))
+    stop = F.split("state", ":")[1].cast("int").alias("stop_ix")
+    if reverse:
+        ridden = edges.select(F.col("dst").alias("state")).filter("state like 'R:%'").distinct()
+        seeds = walked.join(ridden.select("state", stop), "stop_ix")
+        edges = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost")
+    else:
+        seeds = walked.withColumn("state", F.concat(F.lit("S:"), F.col("stop_ix").cast("string")))
+    found = relaxed_stop_times(edges, seeds.select("origin", "state", "minutes")).filter(F.col("state").startswith("S:" if reverse else "R:"))
+    return found.select("origin", stop, "minutes").groupBy("origin", "stop_ix").agg(F.min("minutes").alias("minutes"))
+
+
 def point_times(at_stops: DataFrame, stops: DataFrame, origins: DataFrame, points: DataFrame, walk: Walk, direct_walk_m: float | None = None) -> DataFrame:
     """(origin, point, minutes): least of walking all the way and of riding to a stop and walking on; out of reach: no row.
 
@@ -288,15 +315,22 @@ def relaxed_stop_times(edges: DataFrame, seeds: DataFrame, limit: float | None =
     return best
 
 
-def street_reach(edges: DataFrame, sources: DataFrame, limit_m: float) -> DataFrame:
+def street_reach(edges: DataFrame, sources: DataFrame, limit_m: float, most: int = MAX_SENT_EDGES) -> DataFrame:
     """(source, node, metres): street metres within ``limit_m`` of each source (source, node, metres0 already walked), by the array kernel.
 
-    edges (a, b, metres) undirected. The edge table is counted before it is sent.
+    edges (a, b, metres) undirected. The edge table is counted before it is sent; one of over ``most``
+    rows is searched as joins.
     """
     ship(edges.sparkSession)
     both = edges.select("a", "b", F.col("metres").cast("double").alias("metres"))
     both = both.union(both.select("b", "a", "metres"))
-    records = _records(both, ["a", "b", "metres"])
+    rows = sources.select(F.col("source").cast("string").alias("source"), F.col("node").cast("long").alias("node"), F.col("metres0").cast("double").alias("metres0")).dropna()
+    try:
+        records = _records(both, ["a", "b", "metres"], most)
+    except TooManyRows:
+        seeds = rows.filter(F.col("metres0") <= limit_m).select(F.col("source").alias("origin"), F.col("node").alias("state"), F.col("metres0").alias("minutes"))
+        found = relaxed_stop_times(both.select(F.col("a").alias("src"), F.col("b").cast("long").alias("dst"), F.col("metres").alias("cost")), seeds, limit_m)
+        return found.select(F.col("origin").alias("source"), F.col("state").alias("node"), F.col("minutes").alias("metres"))
     n = int(max(records["a"].max(initial=-1), records["b"].max(initial=-1))) + 1
     graph = Csr.of(n, np.asarray(records["a"], int), np.asarray(records["b"], int), np.asarray(records["metres"], float))
     sent = edges.sparkSession.sparkContext.broadcast(graph)
@@ -309,7 +343,6 @@ def street_reach(edges: DataFrame, sources: DataFrame, limit_m: float) -> DataFr
                 best = settle(sent.value, [(float(walked), int(node))], limit_m)[0] if node < sent.value.size else {int(node): float(walked)}
                 yield pd.DataFrame({"source": source, "node": list(best), "metres": list(best.values())})
 
-    rows = sources.select(F.col("source").cast("string").alias("source"), F.col("node").cast("long").alias("node"), F.col("metres0").cast("double").alias("metres0")).dropna()
     return rows.mapInPandas(search, "source string, node long, metres double")
 
 

@@ -351,14 +351,13 @@ def network_waits(spark: SparkSession, d: str) -> DataFrame:
 
 def transit_times(spark: SparkSession, d: str) -> DataFrame:
     """Stop minutes from a corner of every zone, by the array kernel."""
-    arrays = search.net_arrays(_network(spark, d), CITY)
-    return search.stop_times(arrays, _origins(spark, d))
+    return search.network_stop_times(_network(spark, d), CITY, _origins(spark, d))
 
 
 def point_times(spark: SparkSession, d: str) -> DataFrame:
     """Minutes from every zone's corner to the stops near what is reached."""
     net = _network(spark, d)
-    at_stops = search.stop_times(search.net_arrays(net, CITY), _origins(spark, d))
+    at_stops = search.network_stop_times(net, CITY, _origins(spark, d))
     points = net.stops.select(F.col("stop_id").alias("point"), "lat", "lon")
     return search.point_times(at_stops, net.stops, _origins(spark, d), points, CITY.walk)
 
