@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -242,12 +242,12 @@ def rank_lines(spark: SparkSession, d: str) -> DataFrame:
     return rankings.competition_ranks(trips, F.desc("trips"))
 
 
-def transport_day(spark: SparkSession, d: str) -> DataFrame:
-    """Departures of the reference day's transport day, with those of the days beside it, at each stop: first and last."""
+def transport_day(spark: SparkSession, d: str, day: str = "20260602") -> DataFrame:
+    """First and last departure at each stop on the transport day of one feed_day (a fixed one, as in the SQL twin, unless given), with the days beside it."""
     rows = _boardings(spark, d).join(table(spark, d, "trips").select(key("trip_id").alias("trip_id"), strip("feed_day").alias("feed_day")).distinct(), "trip_id").join(trip_lines(spark, d), "trip_id")
-    of = lambda day: rows.filter(F.col("feed_day") == day).select("stop_id", "route_id", "dep")
-    day = rankings.transport_day(of("20260602"), of("20260601"), of("20260603"))
-    return rankings.first_and_last(day, ["stop_id"], "route_id")
+    middle = datetime.strptime(day, "%Y%m%d")
+    of = lambda shift: rows.filter(F.col("feed_day") == (middle + timedelta(days=shift)).strftime("%Y%m%d")).select("stop_id", "route_id", "dep")
+    return rankings.first_and_last(rankings.transport_day(of(0), of(-1), of(1)), ["stop_id"], "route_id")
 
 
 def normalise_names(spark: SparkSession, d: str) -> DataFrame:
