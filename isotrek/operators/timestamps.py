@@ -20,7 +20,9 @@ from pyspark.sql import types as T
 from isotrek.functions.values import WHITE_SPACE
 from isotrek.functions.zones import ABBREVIATION_MINUTES, DAY, database_version, zone_table
 
-LONGEST = 96  # no notation that is understood is longer
+HELD_CELLS = 4_000_000  # characters that are laid out at once; longer values go through in smaller groups
+CACHED_MASK = 128  # masks up to this length are remembered with their parsers
+EXACT_DIGITS = 15  # digits of an hour count whose seconds still fit 64 bits
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 WEEKDAYS = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
 PLAIN = re.compile(r"9{1,2}:99:99")
@@ -39,18 +41,26 @@ TIME = r"(?P<h>99?):(?P<mi>99)(?::(?P<s>99)(?:[.,]9+)?)?"
 ZONE = r"(?:(?P<z>A)|(?P<off> ?[+-](?:99:?99|99))(?:\[[A9_+/-]+\])?|\[(?P<bracket>[A9_+/-]+)\]| (?P<name>A[A9_+-]*(?:/[A9_+-]+)+)| (?P<abbr>A{2,5}))"
 DATED = re.compile(rf"{DATE}(?P<sep>A| +)(?:{TIME}|(?P<bt>999999|9999))(?P<ap> ?AA(?!A))?{ZONE}?")
 CLOCK = re.compile(rf"(?P<h>9+):(?P<mi>99)(?::(?P<s>99))?(?P<ap> ?AA)?")
-NUMBER = re.compile(r"9{10}|9{13}|9{14}|9{16}")
+NUMBER = re.compile(r"9{9,17}")
+#: Unix time by magnitude: up to so many digits are seconds, milliseconds, microseconds. Fourteen digits are a calendar reading.
+UNIX_DIGITS = ((11, 1), (13, 10**3), (17, 10**6))
 
 
-@lru_cache(65_536)
 def plan_of(mask: str) -> tuple[str, dict[str, tuple[int, int]]] | None:
     """What a mask is and where its fields stand; None for a mask of no known notation."""
+    return _remembered(mask) if len(mask) <= CACHED_MASK else _compiled(mask)
+
+
+def _compiled(mask: str) -> tuple[str, dict[str, tuple[int, int]]] | None:
     for kind, pattern in (("number", NUMBER), ("clock", CLOCK), ("dated", DATED)):
         if m := pattern.fullmatch(mask):
             return kind, {k: m.span(k) for k, v in m.groupdict().items() if v is not None}
     return None
 
 
+_remembered = lru_cache(65_536)(_compiled)
+
+
 def _days(year: np.ndarray, month: np.ndarray, day: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Days since 1970-01-01 of a civil date, and whether there is such a date."""
     leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
@@ -75,7 +85,7 @@ class _Group:
     def number(self, field: str | tuple[int, int]) -> np.ndarray:
         a, b = self.spans[field] if isinstance(field, str) else field
         out = np.zeros(len(self.codes), "int64")
-        for i in range(a, b):
+        for i in range(max(a, b - EXACT_DIGITS - 3), b):
             out = out * 10 + (self.codes[:, i].astype("int64") - 48)
         return out
 
@@ -94,6 +104,9 @@ def _clock(group: _Group) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         h, mi = group.number("h"), group.number("mi")
         s = group.number("s") if group.has("s") else np.zeros_like(h)
     ok = (mi < 60) & (s < 60)
+    if group.has("h"):
+        a, b = group.spans["h"]
+        ok &= (group.codes[:, a : max(a, b - EXACT_DIGITS)] == ord("0")).all(axis=1)
     if group.has("ap"):
         half = np.char.lower(np.char.strip(group.text("ap")))
         ok &= np.isin(half, ["am", "pm"]) & (h >= 1) & (h <= 12)
@@ -164,7 +177,8 @@ def _convert(kind: str, group: _Group, zones: np.ndarray, service_day: np.ndarra
     if kind == "number":
         width = group.codes.shape[1]
         if width != 14:
-            return group.number((0, width)) // {10: 1, 13: 10**3, 16: 10**6}[width], np.ones(len(group.codes), bool)
+            per_second = next(unit for most, unit in UNIX_DIGITS if width <= most)
+            return group.number((0, width)) // per_second, np.ones(len(group.codes), bool)
         day, real = _days(group.number((0, 4)), group.number((4, 6)), group.number((6, 8)))
         h, mi, s = (group.number(x) for x in ((8, 10), (10, 12), (12, 14)))
         utc, shown = _by_zone(zones, day * DAY + h * 3600 + mi * 60 + s)
@@ -175,8 +189,6 @@ def _convert(kind: str, group: _Group, zones: np.ndarray, service_day: np.ndarra
         utc, shown = _by_zone(zones, service_day * DAY + second)
         return utc, ok & shown & has_day
     if kind == "clock":
-        if group.spans["h"][1] - group.spans["h"][0] > 3:
-            return second, np.zeros(len(second), bool)
         noon, shown = _by_zone(zones, service_day * DAY + DAY // 2)
         return noon - DAY // 2 + second, ok & shown & has_day
     day, real = _date(group, service_day, has_day)
@@ -206,16 +218,40 @@ def _convert(kind: str, group: _Group, zones: np.ndarray, service_day: np.ndarra
 def to_instants(values: pd.Series, zones: pd.Series, service_days: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     """Seconds since 1970 UTC of each value, and whether it means a time at all.
 
-    zones holds IANA names (null: zone unknown), service_days yyyyMMdd (null: none). Null, blank,
-    over-long and unreadable values, unreal days and clock times, and readings that the zone's clock
-    skips mean no time.
+    zones holds IANA names (null: zone unknown), service_days yyyyMMdd (null: none). Null, blank
+    and unreadable values, unreal days and clock times, and readings that the zone's clock skips mean
+    no time; so do hour counts of over fifteen digits, whose instant no 64-bit second can hold, and bare
+    digits of other lengths than nine to seventeen. A value may be of any length: its mask decides.
     """
     n = len(values)
     utc, ok = np.zeros(n, "int64"), np.zeros(n, bool)
-    text = values.fillna("").astype(str).str.strip(WHITE_SPACE)
-    text = text.where(text.str.len() <= LONGEST, "")
     if not n:
         return utc, ok
+    text = values.fillna("").astype(str).str.strip(WHITE_SPACE)
+    lengths = text.str.len().to_numpy()
+    if int(lengths.max()) * n > HELD_CELLS:
+        order = np.argsort(lengths, kind="stable")
+        for rows in _groups_by_size(order, lengths[order]):
+            utc[rows], ok[rows] = _to_instants(text.iloc[rows], zones.iloc[rows], service_days.iloc[rows])
+        return utc, ok
+    return _to_instants(text, zones, service_days)
+
+
+def _groups_by_size(order: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Parts of ``order`` (by rising length) of which each takes at most HELD_CELLS characters, or is a single value."""
+    start = 0
+    while start < len(order):
+        end = start + 1
+        while end < len(order) and int(lengths[end]) * (end + 1 - start) <= HELD_CELLS:
+            end += 1
+        yield order[start:end]
+        start = end
+
+
+def _to_instants(text: pd.Series, zones: pd.Series, service_days: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """to_instants of stripped values that fit into memory side by side."""
+    n = len(text)
+    utc, ok = np.zeros(n, "int64"), np.zeros(n, bool)
     zone = zones.fillna("").to_numpy().astype("U")
     days = service_days.fillna("").astype(str).str.strip(WHITE_SPACE)
     day_number, has_day = np.zeros(n, "int64"), days.str.fullmatch("[0-9]{8}").to_numpy(bool)

@@ -1,3 +1,6 @@
+from datetime import datetime, timedelta, timezone
+from zoneinfo import ZoneInfo
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -67,3 +70,23 @@ def test_operator_keeps_rows_and_columns(spark):
 def test_what_the_library_would_take_but_names_no_day_or_digit():
     values = pd.Series(["2026-366T16:54:30Z", "1٢:00:00"])
     assert not to_instants(values, pd.Series(["Europe/Paris"] * 2), pd.Series(["20260601"] * 2))[1].any()
+
+
+def test_long_values_and_many_hours():
+    noon = 1780308000 - 12 * 3600  # 2026-06-01 in Madrid, noon minus 12 hours
+    cases = {
+        "2026-06-01T10:00:00." + "0" * 80 + "Z": 1780308000, "2026-06-01" + " " * 90 + "12:00:00": 1780308000, "1000:00:00": noon + 3_600_000, "0" * 200 + "6:30": noon + 23_400,
+        "999999999": 999_999_999, "999999999123": 999_999_999, "999999999123456": 999_999_999, "9" * 16 + ":00": None, "12345678": None, "9" * 18: None, "x" * 100_000: None, "": None,
+    }
+    utc, ok = to_instants(pd.Series(list(cases) * 50), pd.Series(["Europe/Madrid"] * len(cases) * 50), pd.Series(["20260601"] * len(cases) * 50))
+    assert [int(u) if o else None for u, o in zip(utc, ok)] == [None if v is None else v for v in cases.values()] * 50
+
+
+@pytest.mark.parametrize("zone", [*ZONES, "Africa/Casablanca", "America/New_York", "Europe/Dublin", "Pacific/Apia", "Australia/Lord_Howe", "Asia/Tehran", "America/Nuuk"])
+def test_zone_tables_equal_the_library(zone):
+    tz, table = ZoneInfo(zone), zone_table(zone)
+    at = np.random.default_rng(3).integers(-2_000_000_000, 4_000_000_000, 3_000)
+    near = (table.starts[(table.starts > -2_000_000_000) & (table.starts < 4_000_000_000), None] + np.array([-1, 0, 3600])).ravel()
+    for second in [*at.tolist(), *near.tolist()]:
+        local = (datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=second)).astimezone(tz)
+        assert local.utcoffset().total_seconds() == table.offsets[np.searchsorted(table.starts, second, side="right")], second
