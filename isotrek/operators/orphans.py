@@ -39,16 +39,25 @@ def known_keys(parent: DataFrame, parent_key: str) -> DataFrame:
     )
 
 
-def direct_orphans(child: DataFrame, parent: DataFrame, ref: Reference) -> DataFrame:
-    """(src, field, rec_key, ref_month, kind) of child rows whose reference does not resolve.
+def row_identity(ref: Reference, references: list[Reference]) -> Column:
+    """What tells one row of a referenced child table from another of the same key: null where nothing refers to the table."""
+    if all(r.parent != ref.child for r in references):
+        return F.lit(None).cast("string")
+    fields = dict.fromkeys([ref.rec_key, *(r.field for r in references if r.child == ref.child), "received_at"])
+    return F.to_json(F.struct(*(F.col(f).cast("string").alias(f) for f in fields)))
+
+
+def direct_orphans(child: DataFrame, parent: DataFrame, ref: Reference, identity: Column | None = None) -> DataFrame:
+    """(src, field, rec_key, ref_month, kind, row) of child rows whose reference does not resolve.
 
     kind: missing (no row has the key), else deleted (every row with it was withdrawn at or before the
     child arrived), else late (every row with it arrived after the child). References are stripped;
     null and blank ones give no row. A child without received_at can only miss its parent. Repeated
     rows of a child give one row.
     """
+    identity = F.lit(None).cast("string") if identity is None else identity
     rows = child.select(
-        key(ref.field).alias("ref"), key(F.col(ref.rec_key).cast("string")).alias("rec_key"), _month(ref).alias("ref_month"), F.col("received_at").alias("seen")
+        key(ref.field).alias("ref"), key(F.col(ref.rec_key).cast("string")).alias("rec_key"), _month(ref).alias("ref_month"), F.col("received_at").alias("seen"), identity.alias("row")
     ).filter("ref is not null")
     kind = (
         F.when(F.col("last_gone").isNull(), "missing")
@@ -59,33 +68,43 @@ def direct_orphans(child: DataFrame, parent: DataFrame, ref: Reference) -> DataF
         rows.join(known_keys(parent, ref.parent_key), "ref", "left")
         .withColumn("kind", kind)
         .filter("kind is not null")
-        .select(F.lit(ref.child).alias("src"), F.lit(ref.field).alias("field"), "rec_key", "ref_month", "kind")
+        .select(F.lit(ref.child).alias("src"), F.lit(ref.field).alias("field"), "rec_key", "ref_month", "kind", "row")
         .distinct()
     )
 
 
-def orphan_cascade(tables: dict[str, DataFrame], references: list[Reference], inherit: bool = True) -> DataFrame:
+def orphan_cascade(tables: dict[str, DataFrame], references: list[Reference]) -> DataFrame:
     """(src, field, rec_key, ref_month, kind, level): orphans of a foreign-key graph; level 0 is direct.
 
-    Children of orphaned records are inherited orphans (kind 'inherited', level of the parent plus 1)
-    unless they are orphans themselves. A fixpoint: each round semi-joins the children of what the
-    last round found. In a graph without cycles the longest chain of references bounds the rounds and
-    the plan stays lazy; with a cycle each round is cut by a checkpoint and an empty one ends the loop.
+    A key is lost once every row that has it is an orphan; a row whose reference names a lost key is an
+    inherited orphan in that field (kind 'inherited', level one more than the round before), unless the
+    same reference is an orphan already. A fixpoint: each round semi-joins the children of the keys that
+    the last round lost, and is cut by a checkpoint. In a graph without cycles the longest chain of
+    references bounds the rounds; with a cycle an empty round ends them.
     """
-    everything = _union([direct_orphans(tables[r.child], tables[r.parent], r).withColumn("level", F.lit(0)) for r in references])
-    rounds = longest_chain(references) if inherit else 0
-    frontier, level = everything, 0
-    while rounds is None or level < rounds:
+    by_table = {r.child: r for r in references}
+    found = cut(_union([direct_orphans(tables[r.child], tables[r.parent], r, row_identity(r, references)).withColumn("level", F.lit(0)) for r in references]))
+    rounds, level, frontier = longest_chain(references), 0, found
+    inner = sorted({r.parent for r in references} & set(by_table))
+    while inner and (rounds is None or level < rounds):
         level += 1
-        parents = {r.child for r in references}
-        heirs = _union([_heirs(tables[r.child], frontier, r, level) for r in references if r.parent in parents])
-        frontier = heirs.join(everything.select("src", "rec_key").distinct(), ["src", "rec_key"], "left_anti").select(everything.columns)
-        if rounds is None:
-            frontier = cut(frontier)
-            if frontier.isEmpty():
-                break
-        everything = everything.unionByName(frontier)
-    return everything
+        lost = {t: _lost_keys(tables[t], by_table[t], row_identity(by_table[t], references), found, frontier) for t in inner}
+        heirs = _union([_heirs(tables[r.child], lost[r.parent], r, row_identity(r, references), level) for r in references if r.parent in inner])
+        known = found.select("src", "field", "rec_key", F.coalesce("row", F.lit("")).alias("same")).distinct()
+        frontier = cut(heirs.withColumn("same", F.coalesce("row", F.lit(""))).join(known, ["src", "field", "rec_key", "same"], "left_anti").select(found.columns))
+        if rounds is None and frontier.isEmpty():
+            break
+        found = found.unionByName(frontier)
+    return found.drop("row").distinct()
+
+
+def _lost_keys(table: DataFrame, ref: Reference, identity: Column, found: DataFrame, frontier: DataFrame) -> DataFrame:
+    """(ref): the keys of the last round's orphans that no sound row of the table has."""
+    orphaned = found.filter(F.col("src") == ref.child).select("row").distinct()
+    fresh = frontier.filter(F.col("src") == ref.child).select(F.col("rec_key").alias("ref")).distinct()
+    rows = table.select(key(F.col(ref.rec_key).cast("string")).alias("ref"), identity.alias("row"))
+    sound = rows.join(fresh, "ref", "left_semi").join(orphaned, "row", "left_anti").select("ref")
+    return fresh.join(sound, "ref", "left_anti")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -101,12 +120,11 @@ def _month(ref: Reference) -> Column:
     return F.concat_ws("-", F.substring(ref.month_from, 1, 4), F.substring(ref.month_from, 5, 2))
 
 
-def _heirs(child: DataFrame, frontier: DataFrame, ref: Reference, level: int) -> DataFrame:
-    lost = frontier.filter(F.col("src") == ref.parent).select(F.col("rec_key").alias("ref")).distinct()
-    rows = child.select(key(ref.field).alias("ref"), key(F.col(ref.rec_key).cast("string")).alias("rec_key"), _month(ref).alias("ref_month"))
+def _heirs(child: DataFrame, lost: DataFrame, ref: Reference, identity: Column, level: int) -> DataFrame:
+    rows = child.select(key(ref.field).alias("ref"), key(F.col(ref.rec_key).cast("string")).alias("rec_key"), _month(ref).alias("ref_month"), identity.alias("row"))
     return (
         rows.join(lost, "ref", "left_semi")
-        .select(F.lit(ref.child).alias("src"), F.lit(ref.field).alias("field"), "rec_key", "ref_month", F.lit("inherited").alias("kind"))
+        .select(F.lit(ref.child).alias("src"), F.lit(ref.field).alias("field"), "rec_key", "ref_month", F.lit("inherited").alias("kind"), "row")
         .distinct()
         .withColumn("level", F.lit(level))
     )

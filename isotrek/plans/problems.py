@@ -92,7 +92,8 @@ def _feed(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return orphan_cascade(_feed(spark, d), REFERENCES, inherit=False).drop("level")
+    """The direct kinds of the cascade."""
+    return orphan_cascade(_feed(spark, d), REFERENCES).filter("level = 0").drop("level")
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:

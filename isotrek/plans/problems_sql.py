@@ -119,10 +119,17 @@ P1_MASKS = f"""select field, regexp_replace(regexp_replace(value, '[0-9]', '9',
 from ({_TIMES}) where value <> '' group by 1, 2"""
 
 P5_REPORT = f"""with direct as ({P5}),
+trip_rows as (
+  select t.*, {_strip('t.trip_id')} as k, {_strip('t.route_id')} <> '' and (
+    not exists (select 1 from routes r where {_strip('r.route_id')} = {_strip('t.route_id')})
+    or not exists (select 1 from routes r where {_strip('r.route_id')} = {_strip('t.route_id')} and (r.deleted_at is null or r.deleted_at > t.received_at))
+    or not exists (select 1 from routes r where {_strip('r.route_id')} = {_strip('t.route_id')} and r.received_at <= t.received_at)) as orphan
+  from trips t),
+lost as (select k from trip_rows where k <> '' group by k having bool_and(coalesce(orphan, false))),
 heirs as (
   select distinct 'stop_times' as src, 'trip_id' as field, cast(st_id as varchar) as rec_key, feed_day[1:4] || '-' || feed_day[5:6] as ref_month, 'inherited' as kind
-  from stop_times where {_strip('trip_id')} in (select rec_key from direct where src = 'trips')
-    and cast(st_id as varchar) not in (select rec_key from direct where src = 'stop_times'))
+  from stop_times where {_strip('trip_id')} in (select k from lost)
+    and cast(st_id as varchar) not in (select rec_key from direct where src = 'stop_times' and field = 'trip_id'))
 select src, field, ref_month, kind, count(*) as orphans from (select * from direct union all select * from heirs) group by 1, 2, 3, 4"""
 
 SQL = {"p1_masks": P1_MASKS, "p5_report": P5_REPORT, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_found": P6}

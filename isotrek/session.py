@@ -23,6 +23,7 @@ def local_session(cores: str = "8", app: str = "isotrek") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("ISOTREK_DRIVER_MEMORY", "8g"))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # a round's checkpoint goes when nothing refers to it
         .getOrCreate()
     )
 

@@ -32,11 +32,32 @@ def test_cascade(spark):
     t = tables(spark)
     got = rows(orphan_cascade(t, REFS).select("src", "rec_key", "kind", "level"))
     assert ("times", "2", "inherited", 1) in got and ("times", "3", "inherited", 1) in got and ("times", "4", "missing", 0) in got and len(got) == 6
-    assert rows(orphan_cascade(t, REFS, inherit=False).select("level").distinct()) == [(0,)]
     assert sum(r.orphans for r in orphan_report(orphan_cascade(t, REFS)).collect()) == 6
     assert longest_chain(REFS) == 1 and longest_chain([*REFS, Reference("routes", "route_id", "route_id", "times", "st_id")]) is None
 
 
+def test_a_key_with_a_sound_row_is_not_lost(spark):
+    t = tables(spark)
+    day = lambda rows: spark.createDataFrame([(*r, "20260315", T[4], None) for r in rows], "trip_id string, route_id string, feed_day string, received_at timestamp_ntz, deleted_at timestamp_ntz")
+    t["trips"] = day([("T1", "R1"), ("T1", "R9"), ("T1", "R9"), ("T2", "R9"), ("T2", "R8"), ("T3", None)])
+    t["times"] = spark.createDataFrame([(1, "T1", "S", "20260401", T[4]), (2, "T2", "X", "20260401", T[4]), (3, "T2", "X", "20260401", T[4]), (4, "T3", None, "20260401", T[4])], "st_id long, trip_id string, stop_id string, feed_day string, received_at timestamp_ntz")
+    t["stops"] = spark.createDataFrame([("S", T[0], None)], "stop_id string, received_at timestamp_ntz, deleted_at timestamp_ntz")
+    refs = [*REFS, Reference("times", "stop_id", "st_id", "stops", "stop_id", "feed_day")]
+    got = rows(orphan_cascade(t, refs).filter("src = 'times'").select("field", "rec_key", "kind", "level"))
+    assert got == [("stop_id", "2", "missing", 0), ("stop_id", "3", "missing", 0), ("trip_id", "2", "inherited", 1), ("trip_id", "3", "inherited", 1)]
+
+
+def test_cycles_and_longer_chains_end(spark):
+    at = "received_at timestamp_ntz"
+    t = {
+        "a": spark.createDataFrame([("a1", "c9", T[0]), ("a2", "c1", T[0])], f"id string, c string, {at}"), "b": spark.createDataFrame([("b1", "a1", T[0]), ("b2", "a2", T[0])], f"id string, a string, {at}"),
+        "c": spark.createDataFrame([("c1", "b1", T[0]), ("c2", "b2", T[0])], f"id string, b string, {at}"),
+    }
+    refs = [Reference("a", "c", "id", "c", "id"), Reference("b", "a", "id", "a", "id"), Reference("c", "b", "id", "b", "id")]
+    got = rows(orphan_cascade(t, refs).select("rec_key", "level"))
+    assert got == [("a1", 0), ("a2", 3), ("b1", 1), ("b2", 4), ("c1", 2), ("c2", 5)]
+
+
 def test_empty_tables(spark):
     t = {k: v.limit(0) for k, v in tables(spark).items()}
     assert orphan_cascade(t, REFS).collect() == []
