@@ -9,8 +9,8 @@ Grammar (RFC 4180 with located errors):
     bare    = *( any character but "," DQUOTE CR LF )
 
 On an error inside a record the reader resumes at the next line that is a validated record start: a
-line that reads as a whole record of the expected width. Where the records come one a row, each row
-is such an anchor by itself.
+line that reads as a whole record of the expected width. Where the records come one a row, each row is
+read as such a text: its fault is located and what follows the next anchor in it is loaded.
 """
 
 from __future__ import annotations
@@ -24,14 +24,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isotrek.functions.values import DAY_PATTERN, DECIMAL_PATTERN, DIGITS_PATTERN, WHITE_SPACE
+from isotrek.functions.values import DAY_PATTERN, DECIMAL_PATTERN, DIGITS_PATTERN, WHITE_SPACE, digits_only, real_day
 
+WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 BOM = "﻿"
 QUOTING, COLUMN_COUNT, INVALID_VALUE = "quoting", "column_count", "invalid_value"
 #: Per file of a feed the one field that is judged, and the check it has to pass.
 JUDGED = {"stops": ("stop_lat", "latitude"), "stop_times": ("stop_sequence", "digits"), "calendar": ("start_date", "day")}
 
-_BARE = re.compile(r'[^",\r\n]*')
+#: The columns that are loaded of each file, and their types.
+LOADED = {
+    "stops": {"stop_id": "text", "stop_name": "text", "stop_lat": "number", "stop_lon": "number"},
+    "stop_times": {"trip_id": "text", "arrival_time": "text", "departure_time": "text", "stop_id": "text", "stop_sequence": "digits"},
+    "calendar": {"service_id": "text", **dict.fromkeys(WEEKDAYS, "flag"), "start_date": "day", "end_date": "day"},
+}
+
+#: A lone carriage return in the middle of a line belongs to the value.
+_BARE = re.compile(r'(?:[^",\r\n]|\r(?!\n|\Z))*+')
+_LINE = re.compile(r'[^"\r\n]*+(?=\r?\n|\r?\Z)')
 _INSIDE = re.compile(r'[^"]*')
 _DECIMAL, _DIGITS, _DAY = (re.compile(p) for p in (DECIMAL_PATTERN, DIGITS_PATTERN, DAY_PATTERN))
 
@@ -69,9 +79,6 @@ class _Reader:
         self.at = m.end()
         if self.text.startswith('"', self.at):
             raise _Broken(SyntaxProblem(QUOTING, self.at, "quote inside an unquoted value"))
-        if self.at < len(self.text) and self.text[self.at] == "\r" and not self.text.startswith("\r\n", self.at) and self.at + 1 < len(self.text):
-            self.at += 1  # a lone carriage return in the middle belongs to the value
-            return m.group() + "\r" + self.bare()
         return m.group()
 
     def quoted(self) -> str:
@@ -102,60 +109,77 @@ def blank(line: str | None) -> bool:
     return line is None or not line.strip(WHITE_SPACE + BOM)
 
 
-def parse_line(line: str) -> tuple[list[str], SyntaxProblem | None]:
-    """The stripped values of a text that holds one record, or the first syntax error in it.
+def parse_text(text: str, width: int = 0) -> Iterator[tuple[int, list[str], SyntaxProblem | None]]:
+    """(offset, stripped values, problem) of every record of a text; blank lines and blank records are skipped.
 
-    A BOM at the start and a carriage return or line break at the end belong to no value.
-    """
-    skip = len(line) - len(line.lstrip(BOM))
-    reader = _Reader(line[skip:].rstrip("\r\n"))
-    try:
-        values = reader.record()
-        if reader.at < len(reader.text):
-            return [], SyntaxProblem(QUOTING, skip + reader.at, "line break outside quotes")
-    except _Broken as e:
-        return [], SyntaxProblem(e.problem.reason, skip + e.problem.offset, e.problem.detail)
-    return [v.strip(WHITE_SPACE) for v in values], None
-
-
-def parse_text(text: str) -> Iterator[tuple[int, list[str], SyntaxProblem | None]]:
-    """(offset, values, problem) of every record of a whole text, its header first; blank lines are skipped.
-
-    After broken quoting the next line that reads as a record as wide as the header is the anchor at
-    which reading goes on; what lies between is one faulty record.
+    ``width``: how many values a record has; 0 takes the first record that reads as the header and lets it
+    decide. A BOM at the start belongs to no value. After broken quoting the next line that reads as a
+    whole record of that width is the anchor at which reading goes on, also if the record runs over
+    several lines; what lies between is one faulty record. A record of commas only is a record.
     """
-    at, width = len(text) - len(text.lstrip(BOM)), 0
+    at = len(text) - len(text.lstrip(BOM))
     while at < len(text):
         if text[at] in "\r\n":
             at += 1
             continue
-        reader = _Reader(text, at)
-        try:
-            values = [v.strip(WHITE_SPACE) for v in reader.record()]
-            end, problem = reader.at, None
-        except _Broken as e:
-            values, problem = [], e.problem
-            end = _anchor(text, at, width)
-        if problem is None and width and any(values) and len(values) != width:
+        problem, plain = None, _LINE.match(text, at)
+        if plain:  # a line without quotes is split at its commas, which is what the descent would do
+            values, end = [v.strip(WHITE_SPACE) for v in plain.group().split(",")], plain.end()
+        else:
+            reader = _Reader(text, at)
+            try:
+                values = [v.strip(WHITE_SPACE) for v in reader.record()]
+                end = reader.at
+            except _Broken as e:
+                values, problem, end = [], e.problem, _anchor(text, at, width)
+        empty = len(values) == 1 and not values[0]
+        if problem is None and width and not empty and len(values) != width:
             problem = SyntaxProblem(COLUMN_COUNT, at, f"{len(values)} values, the header has {width}")
-        if any(values) or problem:
+        if problem or not empty:
             yield at, values, problem
-        width = width or len(values)
+        if problem is None and not empty:
+            width = width or len(values)
         at = end
 
 
 def _anchor(text: str, at: int, width: int) -> int:
+    """Where the next line begins that reads as a record of the width; the end of the text if none does."""
     while (at := text.find("\n", at) + 1) > 0:
-        reader = _Reader(text, at)
-        try:
-            values = reader.record()
-        except _Broken:
-            continue
-        if "\n" not in text[at : reader.at] and (len(values) == width if width else any(values)):
+        plain = _LINE.match(text, at)
+        if plain:
+            values = plain.group().split(",")
+        else:
+            reader = _Reader(text, at)
+            try:
+                values = reader.record()
+            except _Broken:
+                continue
+        if len(values) == width if width else any(v.strip(WHITE_SPACE) for v in values):
             return at
     return len(text)
 
 
+def parse_line(line: str, width: int = 0) -> tuple[list[str], SyntaxProblem | None]:
+    """The stripped values of a text that is meant to hold one record, or its first fault."""
+    for _, values, problem in parse_row(line, width):
+        return ([], problem) if problem and problem.reason == QUOTING else (values, problem)
+    return [""], None
+
+
+def parse_row(line: str, width: int = 0) -> list[tuple[int, list[str], SyntaxProblem | None]]:
+    """parse_text of a text that is meant to hold one record: its fault first, then the records that reading resumed at.
+
+    A BOM at the start and a carriage return or line break at the end belong to no value. A second
+    record that no broken quoting precedes is a fault: the line break before it stands outside quotes.
+    """
+    text = line.rstrip("\r\n")
+    found = list(parse_text(text, width))
+    if (len(found) > 1 and (found[0][2] is None or found[0][2].reason != QUOTING)) or text.lstrip(BOM)[:1] in ("\r", "\n"):
+        at = found[1][0] if len(found) > 1 else 0
+        return [(at, [], SyntaxProblem(QUOTING, at, "line break outside quotes"))]
+    return found
+
+
 def value_is_valid(check: str, value: str) -> bool:
     """The checks of JUDGED on one stripped value; the column forms of functions.values agree with them."""
     if check == "latitude":
@@ -176,39 +200,43 @@ def _header(line: str) -> tuple[str, ...] | None:
     return None if problem else tuple(values)
 
 
-def judge_line(line: str, header: str | None, file_name: str | None) -> SyntaxProblem | None:
-    """The first fault of one record: quoting, else width against its header, else the judged value.
+def read_row(line: str, header: str | None, file_name: str | None) -> list[tuple[int, list[str], SyntaxProblem | None]]:
+    """parse_row against a header, with the judged value checked: (offset, values, problem) of each record.
 
-    Without a readable header only the quoting can be judged; a header without the judged field
-    leaves the value unjudged.
+    Faults in their order: quoting, else width against the header, else the judged value. Without a
+    readable header only the quoting can be judged; a header without the judged field leaves the value
+    unjudged.
     """
-    values, problem = parse_line(line)
     names = _header(header) if header is not None else None
-    if problem or names is None:
-        return problem
-    if len(values) != len(names):
-        return SyntaxProblem(COLUMN_COUNT, 0, f"{len(values)} values, the header has {len(names)}")
     base = re.sub(r"^.*/|\.[^.]*$", "", file_name or "")
     field, check = JUDGED.get(base, (None, None))
-    if field in names and not value_is_valid(check, values[names.index(field)]):
-        return SyntaxProblem(INVALID_VALUE, 0, f"{field}={values[names.index(field)]!r}")
-    return None
+    place = names.index(field) if names and field in names else -1
+    out = []
+    for at, values, problem in parse_row(line, len(names) if names else 0):
+        if problem is None and place >= 0 and not value_is_valid(check, values[place]):
+            problem = SyntaxProblem(INVALID_VALUE, at, f"{field}={values[place]!r}")
+        out.append((at, values, problem))
+    return out
+
+
+def judge_line(line: str, header: str | None, file_name: str | None) -> SyntaxProblem | None:
+    """The first fault of one record."""
+    return next((p for _, _, p in read_row(line, header, file_name) if p), None)
+
+
+def _with_headers(lines: DataFrame) -> DataFrame:
+    """(line_id, feed_file, line, header) of the records that are no headers; of several headers of a file the one with the lowest line_id holds."""
+    headers = lines.filter("line_no = 1").groupBy("feed_file").agg(F.min_by("line", "line_id").alias("header"))
+    body = lines.filter("line_no is null or line_no != 1").select("line_id", "feed_file", "line")
+    return body.join(headers, "feed_file", "left").select("line_id", "feed_file", "line", "header")
 
 
 def faulty_lines(lines: DataFrame) -> DataFrame:
     """(line_id, feed_file, reason, at_offset, detail) of the records of raw_lines(line_id, feed_file, line_no, line) that cannot be read.
 
     Headers and lines of white space only give no row; null lines count as white space. Other columns
-    are ignored. Of several headers of a file the one with the lowest line_id holds.
+    are ignored.
     """
-    headers = (
-        lines.filter("line_no = 1")
-        .groupBy("feed_file")
-        .agg(F.min_by("line", "line_id").alias("header"))
-    )
-    body = lines.filter("line_no is null or line_no != 1").select("line_id", "feed_file", "line")
-    together = body.join(headers, "feed_file", "left").select("line_id", "feed_file", "line", "header")
-
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -217,24 +245,37 @@ def faulty_lines(lines: DataFrame) -> DataFrame:
                     rows.append((line_id, name, p.reason, p.offset, p.detail))
             yield pd.DataFrame(rows, columns=["line_id", "feed_file", "reason", "at_offset", "detail"])
 
-    return together.mapInPandas(judge, "line_id long, feed_file string, reason string, at_offset int, detail string")
+    return _with_headers(lines).mapInPandas(judge, "line_id long, feed_file string, reason string, at_offset int, detail string")
 
 
 def readable_lines(lines: DataFrame, base: str) -> DataFrame:
-    """The records of raw_lines that can be read, as (line_id, feed_file, fields map<string,string>), for files named ``base``.txt."""
-    headers = lines.filter("line_no = 1").groupBy("feed_file").agg(F.min_by("line", "line_id").alias("header"))
-    body = lines.filter((F.col("line_no") != 1) & F.col("feed_file").rlike(f"(^|/){base}\\.txt$"))
-    together = body.select("line_id", "feed_file", "line").join(headers, "feed_file").select("line_id", "feed_file", "line", "header")
+    """The sound records of raw_lines for files named ``base``.txt, typed: (line_id, at_offset, and the columns of LOADED[base]).
 
+    Rows with a fault give the records after it at which reading resumed. A field that the header lacks,
+    a blank one and one that is not of its type is null; without a readable header nothing is loaded.
+    """
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for line_id, name, line, header in zip(*(batch[c] for c in batch.columns)):
-                if not blank(line) and judge_line(line, header, name) is None and header is not None and _header(header):
-                    rows.append((line_id, name, dict(zip(_header(header), parse_line(line)[0]))))
-            yield pd.DataFrame(rows, columns=["line_id", "feed_file", "fields"])
-
-    return together.mapInPandas(read, "line_id long, feed_file string, fields map<string,string>")
+                if not blank(line) and header is not None and (names := _header(header)):
+                    rows += [(line_id, at, dict(zip(names, values))) for at, values, problem in read_row(line, header, name) if problem is None]
+            yield pd.DataFrame(rows, columns=["line_id", "at_offset", "fields"])
+
+    of_file = lines.filter(F.col("feed_file").rlike(f"(^|/){base}\\.txt$"))
+    found = _with_headers(of_file).mapInPandas(read, "line_id long, at_offset int, fields map<string,string>")
+    return found.select("line_id", "at_offset", *(_typed(F.try_element_at("fields", F.lit(c)), kind).alias(c) for c, kind in LOADED[base].items()))
+
+
+def _typed(value: Column, kind: str) -> Column:
+    value = F.nullif(value, F.lit(""))
+    if kind == "day":
+        return F.date_from_unix_date(real_day(value))
+    if kind == "flag":
+        return F.when(value == "1", True).when(value == "0", False)
+    if kind == "number":
+        return F.when(value.rlike(f"^{DECIMAL_PATTERN}$"), value).try_cast("double")
+    return F.when(digits_only(value), value).try_cast("long") if kind == "digits" else value
 
 
 def faulty_values(df: DataFrame, src: str, key: Column, valid: Column) -> DataFrame:

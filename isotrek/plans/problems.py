@@ -9,7 +9,7 @@ from isotrek.functions.values import decimal_between, digits_only, key, real_day
 from isotrek.operators.intervals import periods_and_gaps
 from isotrek.operators.orphans import Reference, orphan_cascade, orphan_report
 from isotrek.operators.proximity import near_pairs, points_in_zones
-from isotrek.operators.records import faulty_lines, faulty_values
+from isotrek.operators.records import LOADED, faulty_lines, faulty_values, readable_lines
 from isotrek.operators.timestamps import change_day_rows, normalise_timestamps
 from isotrek.session import table
 
@@ -74,6 +74,18 @@ def p3_located(spark: SparkSession, d: str) -> DataFrame:
     return faulty_lines(table(spark, d, "raw_lines"))
 
 
+def p3_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """The records of raw_lines that can be read, typed; the columns of other files are null."""
+    parts = []
+    for base, columns in LOADED.items():
+        shown = {"day": lambda c: F.col(c).cast("string"), "number": F.col}
+        parts.append(readable_lines(table(spark, d, "raw_lines"), base).select(F.lit(base).alias("src"), "line_id", *(shown.get(k, F.col)(c).alias(c) for c, k in columns.items())))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole
+
+
 def placed_stops(spark: SparkSession, d: str) -> DataFrame:
     """(key, lat, lon) of the stops with a readable position."""
     stops = table(spark, d, "stops")
@@ -115,4 +127,4 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("entity").alias("service_id"), "kind", day_text(F.col("first")).alias("first_day"), day_text(F.col("last")).alias("last_day"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_masks, p3_found, p3_located, p4_found, p5_found, p5_report, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masks, p3_found, p3_located, p3_loaded, p4_found, p5_found, p5_report, p6_found)}

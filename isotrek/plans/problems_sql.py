@@ -22,8 +22,7 @@ def _day_ok(value: str) -> str:
     return f"(regexp_full_match({value}, '[0-9]{{8}}') and try_strptime({value}, '%Y%m%d') is not null)"
 
 
-P3 = rf"""
-with lines as (
+_RAW_FIELDS = rf"""with lines as (
   select line_id, feed_file, line_no, regexp_replace(line, '^\x{{feff}}+|[\r\n]+$', '', 'g') as line
   from raw_lines where line is not null),
 heads as (
@@ -35,7 +34,10 @@ fields as (
       lambda v: regexp_replace(case when starts_with(v, '"') then replace(v[2:len(v) - 1], '""', '"') else v end, '^{_WS}+|{_WS}+$', '', 'g')) as vals,
     list_transform(string_split(head, ','), lambda v: {_strip('v')}) as names
   from lines left join heads using (feed_file)
-  where line_no <> 1 and regexp_replace(line, '{_WS}', '', 'g') <> ''),
+  where line_no <> 1 and regexp_replace(line, '{_WS}', '', 'g') <> '')"""
+
+P3 = rf"""
+{_RAW_FIELDS},
 judged as (
   select line_id, well_formed, names, len(vals) as n,
     vals[list_position(names, case when feed_file like '%/stops.txt' then 'stop_lat' when feed_file like '%/stop_times.txt' then 'stop_sequence' else 'start_date' end)] as v, feed_file
@@ -59,6 +61,31 @@ select distinct src, rec_key, reason from (
 where reason is not null
 """
 
+_RAW_VALID = f"""(case when feed_file like '%/stops.txt' then {_lat_ok('judged')}
+        when feed_file like '%/stop_times.txt' then regexp_full_match(judged, '[0-9]+') else {_day_ok('judged')} end)"""
+
+
+def _raw(field: str) -> str:
+    return f"nullif(vals[list_position(names, '{field}')], '')"
+
+
+_DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+P3_LOADED = rf"""
+{_RAW_FIELDS},
+named as (
+  select *, vals[list_position(names, case when feed_file like '%/stops.txt' then 'stop_lat' when feed_file like '%/stop_times.txt' then 'stop_sequence' else 'start_date' end)] as judged,
+    regexp_extract(feed_file, '([a-z_]+)\.txt$', 1) as src
+  from fields where well_formed and len(vals) = len(names))
+select src, line_id, {_raw('stop_id')} as stop_id, {_raw('stop_name')} as stop_name,
+  try_cast(case when regexp_full_match({_raw('stop_lat')}, '{_DECIMAL}') then {_raw('stop_lat')} end as double) as stop_lat,
+  try_cast(case when regexp_full_match({_raw('stop_lon')}, '{_DECIMAL}') then {_raw('stop_lon')} end as double) as stop_lon,
+  {_raw('trip_id')} as trip_id, {_raw('arrival_time')} as arrival_time, {_raw('departure_time')} as departure_time,
+  try_cast(case when regexp_full_match({_raw('stop_sequence')}, '[0-9]+') then {_raw('stop_sequence')} end as bigint) as stop_sequence,
+  {_raw('service_id')} as service_id, {', '.join(f"case {_raw(x)} when '1' then true when '0' then false end as {x}" for x in _DAYS)},
+  {', '.join(f"case when {_day_ok(_raw(x))} then {_raw(x)}[1:4] || '-' || {_raw(x)}[5:6] || '-' || {_raw(x)}[7:8] end as {x}" for x in ('start_date', 'end_date'))}
+from named where coalesce({_RAW_VALID}, list_position(names, case when src = 'stops' then 'stop_lat' when src = 'stop_times' then 'stop_sequence' else 'start_date' end) is null)
+"""
+
 P4 = f"""
 with placed as (
   select distinct {_strip('stop_id')} as k, cast({_strip('stop_lat')} as double) as lat, cast({_strip('stop_lon')} as double) as lon
@@ -132,4 +159,4 @@ heirs as (
     and cast(st_id as varchar) not in (select rec_key from direct where src = 'stop_times' and field = 'trip_id'))
 select src, field, ref_month, kind, count(*) as orphans from (select * from direct union all select * from heirs) group by 1, 2, 3, 4"""
 
-SQL = {"p1_masks": P1_MASKS, "p5_report": P5_REPORT, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_found": P6}
+SQL = {"p1_masks": P1_MASKS, "p5_report": P5_REPORT, "p3_found": P3, "p3_loaded": P3_LOADED, "p4_found": P4, "p5_found": P5, "p6_found": P6}

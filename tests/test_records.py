@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from isotrek.functions.values import decimal_between, digits_only, real_day
-from isotrek.operators.records import COLUMN_COUNT, INVALID_VALUE, QUOTING, faulty_lines, judge_line, parse_line, parse_text, readable_lines, value_is_valid
+from isotrek.operators.records import COLUMN_COUNT, INVALID_VALUE, QUOTING, _Broken, _Reader, faulty_lines, judge_line, parse_line, parse_text, readable_lines, value_is_valid
 from pyspark.sql import functions as F
 from tests.conftest import rows
 
@@ -62,5 +62,31 @@ def test_tables_of_lines(spark):
     ]
     df = spark.createDataFrame(data, "line_id long, feed_file string, line_no int, line string").withColumn("reason", F.lit("clash"))
     assert rows(faulty_lines(df).select("line_id", "reason")) == sorted([(5, INVALID_VALUE), (5, INVALID_VALUE), (7, QUOTING), (8, COLUMN_COUNT), (9, INVALID_VALUE)], key=str)
-    assert [r.fields for r in readable_lines(df, "stops").collect()] == [{"stop_id": "S1", "stop_lat": "1"}]
+    assert [(r.line_id, r.stop_id, r.stop_lat, r.stop_name) for r in readable_lines(df, "stops").collect()] == [(2, "S1", 1.0, None)]
     assert faulty_lines(df.limit(0)).collect() == []
+
+
+def test_records_after_a_broken_one_in_the_same_row_are_loaded(spark):
+    data = [(1, "f/calendar.txt", 1, "service_id,monday,start_date"), (2, "f/calendar.txt", 2, 'W,"1,20260101\nX,0,20260301\nY,1,"20260302"\r\n'), (3, "f/calendar.txt", 3, "Z,1,20260230"), (4, "f/calendar.txt", 4, ",,")]
+    df = spark.createDataFrame(data, "line_id long, feed_file string, line_no int, line string")
+    assert rows(faulty_lines(df).select("line_id", "reason", "at_offset")) == [(2, QUOTING, 32), (3, INVALID_VALUE, 0), (4, INVALID_VALUE, 0)]
+    assert rows(readable_lines(df, "calendar").select("line_id", "at_offset", "service_id", "monday", F.col("start_date").cast("string"), "end_date")) == [(2, 14, "X", False, "2026-03-01", None), (2, 27, "Y", True, "2026-03-02", None)]
+
+
+def test_many_carriage_returns_and_records_of_several_lines():
+    assert parse_line("a" + "\rb" * 5000)[0] == ["a" + "\rb" * 5000]
+    assert parse_line("a,b\r\n")[0] == ["a", "b"] and parse_line("a\nb")[1].reason == QUOTING and parse_line('"a"\rb')[1].reason == QUOTING and parse_line("\na")[1].reason == QUOTING
+    text = 'k,v\n1,"open\n2,"over\ntwo lines"\n3,x\n'
+    assert [(v, p and p.reason) for _, v, p in parse_text(text)] == [(["k", "v"], None), ([], QUOTING), (["2", "over\ntwo lines"], None), (["3", "x"], None)]
+    assert list(parse_text("1\n1,2\n", 2))[0][2].reason == COLUMN_COUNT
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet='ab", \r\n', max_size=14))
+def test_lines_split_at_commas_equal_the_descent(text):
+    for at, values, problem in parse_text(text):
+        if problem is None:
+            try:
+                assert values == [v.strip() for v in _Reader(text, at).record()]
+            except _Broken:
+                raise AssertionError(text) from None
