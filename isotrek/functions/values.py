@@ -24,8 +24,7 @@ def key(col: Column | str) -> Column:
 
 def decimal_between(col: Column, low: float, high: float) -> Column:
     """The number written in ``col`` if it is a plain decimal number in [low, high], else null."""
-    text = strip(col)
-    number = F.when(text.rlike(f"^{DECIMAL_PATTERN}$"), text.try_cast("double"))
+    number = F.regexp_substr(strip(col), F.lit(f"^{DECIMAL_PATTERN}$")).try_cast("double")
     return F.when(number.between(low, high), number)
 
 
@@ -36,18 +35,8 @@ def digits_only(col: Column) -> Column:
 
 def real_day(col: Column) -> Column:
     """The day number since 1970-01-01 of a yyyyMMdd value that names a real day, else null."""
-    text = strip(col)
-    well_formed = text.rlike(f"^{DAY_PATTERN}$")
-    safe = F.when(well_formed, text)
-    year, month, day = (F.substring(safe, a, n).cast("int") for a, n in ((1, 4), (5, 2), (7, 2)))
-    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-    length = (
-        F.when(month == 2, F.when(leap, 29).otherwise(28))
-        .when(month.isin(4, 6, 9, 11), 30)
-        .otherwise(31)
-    )
-    exists = (year >= 1) & month.between(1, 12) & (day >= 1) & (day <= length)
-    return F.when(exists, F.unix_date(F.make_date(year, month, day)))
+    digits = F.regexp_substr(strip(col), F.lit(f"^(?!0000){DAY_PATTERN}$"))
+    return F.unix_date(F.try_to_timestamp(digits, F.lit("yyyyMMdd")).cast("date"))
 
 
 def day_text(day_number: Column) -> Column:

@@ -1,9 +1,11 @@
 """Overlapping and gapped intervals per entity.
 
-The aggregate is mergeable: its state is a sorted list of disjoint intervals, and two states combine
-by a linear merge. Each partition reduces its rows to one state per entity, a salted round merges
-these per entity and salt, a last round per entity. A state holds at most one interval for every
-second day between the first and the last representable day, however many rows an entity has.
+The aggregate is mergeable: its state is a sorted list of disjoint intervals, and states combine by a
+linear merge (they are sorted runs, which the stable merge sort joins run by run). Each partition
+reduces its rows to states, a salted round merges these per entity and salt, a last round, in the order
+of entities, per entity. A state holds at most one interval for every second day between the first and
+the last representable day, however many rows an entity has; the first two rounds hand on what they
+hold when it grows large, so a task keeps no more than that and one entity's state.
 
 All entities of a partition are merged together: days are moved by a large stride per entity, so that
 intervals of different entities never touch, and one vectorised merge serves them all.
@@ -18,8 +20,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isotrek.session import shuffle_partitions
-
 SALTS = 16
 STRIDE = 1 << 34  # days are 32-bit integers; between entities lies more than all of them
 HELD_ROWS = 500_000  # rows that a task takes in before it merges them into its state
@@ -81,13 +81,36 @@ def _merge_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state.append(batch[["entity", "kind", "first", "last"]])
         fresh += len(batch)
         if fresh > HELD_ROWS:
-            state, fresh = [_merged(state)], 0
+            merged = _merged(state)
+            if len(merged) > HELD_ROWS:  # too many entities to hold: a later round goes on merging
+                yield merged
+                state, fresh = [], 0
+            else:
+                state, fresh = [merged], 0
     if sum(map(len, state)):
         yield _merged(state)
 
 
+def _whole_entities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows that come in the order of entities, regrouped so that no entity is divided."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        inside = (batch["entity"] != batch["entity"].iloc[-1]).to_numpy()
+        if inside.any() or (held and held[-1]["entity"].iloc[-1] != batch["entity"].iloc[-1]):
+            yield pd.concat([*held, batch[inside]])
+            held = [batch[~inside]]
+        else:
+            held.append(batch)
+            if sum(map(len, held)) > HELD_ROWS:
+                held = [_merged(held)]
+    if held:
+        yield pd.concat(held)
+
+
 def _periods(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for state in _merge_batches(batches):
+    for state in _whole_entities(batches):
         codes, entities = pd.factorize(state["entity"])
         lists = {}
         for kind in ("add", "cut"):
@@ -108,8 +131,7 @@ def interval_states(intervals: DataFrame, salts: int = SALTS) -> DataFrame:
     """
     rows = intervals.select("entity", "kind", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last")).dropna().filter("first <= last")
     partial = rows.mapInPandas(_merge_batches, STATE).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    parts = shuffle_partitions(intervals.sparkSession)
-    return partial.repartition(parts, "entity", "salt").mapInPandas(_merge_batches, STATE)
+    return partial.repartition("entity", "salt").mapInPandas(_merge_batches, STATE)
 
 
 def periods_and_gaps(intervals: DataFrame, salts: int = SALTS) -> DataFrame:
@@ -119,5 +141,4 @@ def periods_and_gaps(intervals: DataFrame, salts: int = SALTS) -> DataFrame:
     entity's days are those of its adds less those of its cuts; an entity without a day gives no row,
     and neither does an empty table. Repeated rows change nothing, other columns are ignored.
     """
-    parts = shuffle_partitions(intervals.sparkSession)
-    return interval_states(intervals, salts).repartition(parts, "entity").mapInPandas(_periods, STATE)
+    return interval_states(intervals, salts).repartition("entity").sortWithinPartitions("entity").mapInPandas(_periods, STATE)

@@ -117,8 +117,10 @@ def service_intervals(spark: SparkSession, d: str) -> DataFrame:
     """(entity, kind, first, last): what adds days to a service and what cuts them."""
     calendar = table(spark, d, "calendar").select(key("service_id").alias("entity"), F.lit("add").alias("kind"), real_day(F.col("start_date")).alias("first"), real_day(F.col("end_date")).alias("last"))
     dates = table(spark, d, "calendar_dates").select("cd_id", key("service_id").alias("entity"), real_day(F.col("date")).alias("day"), strip("exception_type").alias("type"))
-    decided = dates.filter("type in ('1', '2') and day is not null").groupBy("entity", "day").agg(F.max_by("type", "cd_id").alias("type"))
-    exceptions = decided.select("entity", F.when(F.col("type") == "1", "add").otherwise("cut").alias("kind"), F.col("day").alias("first"), F.col("day").alias("last"))
+    last = lambda kind: F.max(F.when(F.col("type") == kind, F.col("cd_id")))
+    decided = dates.filter("type in ('1', '2') and day is not null").groupBy("entity", "day").agg(last("1").alias("added"), last("2").alias("removed"))
+    kind = F.when(F.col("removed").isNull() | (F.col("added") > F.col("removed")), "add").otherwise("cut")
+    exceptions = decided.select("entity", kind.alias("kind"), F.col("day").alias("first"), F.col("day").alias("last"))
     return calendar.unionByName(exceptions)
 
 

@@ -1,8 +1,11 @@
 import random
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from isotrek.operators import intervals
 from isotrek.operators.intervals import periods_and_gaps
 from isotrek.operators.orphans import Reference, direct_orphans, longest_chain, orphan_cascade, orphan_report
 from tests.conftest import rows
@@ -84,3 +87,14 @@ def test_periods_equal_days_one_by_one(spark):
     df = spark.createDataFrame(data, "entity string, kind string, first int, last int").withColumn("salt", F.lit("clash")).repartition(7)
     assert rows(periods_and_gaps(df)) == sorted(want, key=lambda t: tuple((x is None, str(x)) for x in t))
     assert periods_and_gaps(df.limit(0)).collect() == []
+    held = intervals.HELD_ROWS
+    frames = [f.assign(first=f["first"], last=f["last"]) for f in [g.iloc[i : i + 23] for g in [df.dropna().filter("first <= last").select("entity", "kind", "first", "last").toPandas().sort_values("entity")] for i in range(0, len(g), 23)]]
+    try:
+        intervals.HELD_ROWS = 7  # whatever a task may hold, the result is the same
+        small = pd.concat(list(intervals._periods(intervals._whole_entities(iter([*frames, frames[0][:0]])))))
+        parts = pd.concat(list(intervals._merge_batches(iter(frames)))).sort_values("entity")
+        again = pd.concat(list(intervals._periods(iter([parts.iloc[i : i + 50] for i in range(0, len(parts), 50)]))))
+    finally:
+        intervals.HELD_ROWS = held
+    for found in (small, again):
+        assert sorted(map(tuple, found.itertuples(index=False)), key=lambda t: tuple((x is None, str(x)) for x in t)) == sorted(want, key=lambda t: tuple((x is None, str(x)) for x in t))
