@@ -70,12 +70,34 @@ def near_join(left: DataFrame, right: DataFrame, radius_m: float, keep: str = "t
     )
 
 
+def _half_around(points: DataFrame, radius_m: float) -> DataFrame:
+    """Each point in its own cell (home) and in those east and north of it: of two neighbouring cells one looks into the other."""
+    h = _band_height_deg(radius_m)
+    own = F.floor((F.col("lat") + 90) / h)
+    ahead = points.withColumn("own", own).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    ahead = ahead.withColumn("cells", _cells_of_band(F.col("band"), radius_m)).withColumn("at", _cell_at(F.col("lon"), F.col("cells")))
+    steps = F.when(F.col("band") == F.col("own"), F.expr("array(0L, 1L)")).otherwise(F.expr("array(-1L, 0L, 1L)"))
+    beside = F.array_distinct(F.transform(steps, lambda x: F.pmod(F.col("at") + x, F.col("cells"))))
+    ahead = ahead.withColumn("cell", F.explode(beside))
+    return ahead.withColumn("home", (F.col("band") == F.col("own")) & (F.col("cell") == F.pmod(F.col("at"), F.col("cells")))).drop("own", "cells", "at")
+
+
 def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
     """(key_a, key_b, metres) of all pairs of different keys with positions at most ``radius_m`` apart, key_a < key_b.
 
     A key with several positions is near whatever one of them is near; metres is the smallest distance.
+    Rows with a null give nothing and repeated rows count once. Each pair of cells is compared once.
     """
-    return near_join(points, points, radius_m, "key_a < key_b").groupBy("key_a", "key_b").agg(F.min("metres").alias("metres"))
+    placed = points.select("key", "lat", "lon").dropna().distinct()
+    named = lambda df, x, *more: df.select("band", "cell", *more, *(F.col(c).alias(f"{c}_{x}") for c in ("key", "lat", "lon")))
+    metres = haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
+    met = (
+        named(_own_cell(placed, radius_m), "a")
+        .join(named(_half_around(placed, radius_m), "b", "home"), ["band", "cell"])
+        .filter(f"key_a <> key_b and (not home or key_a < key_b) and abs(lat_a - lat_b) <= {_band_height_deg(radius_m)!r}")
+        .select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), metres.alias("metres"))
+    )
+    return met.filter(F.col("metres") <= radius_m).groupBy("key_a", "key_b").agg(F.min("metres").alias("metres"))
 
 
 def nearest(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
@@ -91,8 +113,8 @@ def k_nearest(left: DataFrame, right: DataFrame, radius_m: float, k: int) -> Dat
     return ranked.select(F.col("key_a").alias("key"), F.col("key_b").alias("nearest"), "metres", "rank")
 
 
-def zone_edges(zones: DataFrame) -> DataFrame:
-    """The edges of zones(zone_id, polygons array<array<array<struct<lat,lon>>>>), hashed to the cells in which a ray to the east can meet them."""
+def _zone_spans(zones: DataFrame) -> DataFrame:
+    """The edges of zones(zone_id, polygons array<array<array<struct<lat,lon>>>>), with the first and last band and cell in which a ray to the east can meet them."""
     rings = (
         zones.select("zone_id", F.posexplode("polygons").alias("polygon", "rings"))
         .withColumn("west", F.expr("array_min(transform(flatten(rings), v -> v.lon))"))
@@ -105,9 +127,15 @@ def zone_edges(zones: DataFrame) -> DataFrame:
     ).select("zone_id", "polygon", "west", "east", "e.*")
     band = lambda c: f"cast(floor((least(90D, greatest(-90D, {c})) + 90) / {ZONE_BAND_DEG}) as int)"
     cell = lambda c: f"cast(floor(({c} + 180) / {ZONE_CELL_DEG}) as int)"
+    return edges.selectExpr("*", f"{band('least(lat1, lat2)')} as band1", f"{band('greatest(lat1, lat2)')} as band2", f"{cell('west')} as cell1", f"{cell('greatest(lon1, lon2)')} as cell2")
+
+
+def zone_edges(zones: DataFrame) -> DataFrame:
+    """The edges of zones, a row for each cell in which a ray to the east can meet them."""
+    spans = _zone_spans(zones)
     return (
-        edges.withColumn("band", F.explode(F.expr(f"sequence({band('least(lat1, lat2)')}, {band('greatest(lat1, lat2)')})")))
-        .withColumn("cell", F.explode(F.expr(f"sequence({cell('west')}, {cell('greatest(lon1, lon2)')})")))
+        spans.withColumn("band", F.explode(F.sequence("band1", "band2"))).withColumn("cell", F.explode(F.sequence("cell1", "cell2")))
+        .drop("band1", "band2", "cell1", "cell2")
     )
 
 
@@ -122,7 +150,8 @@ def points_in_zones(points: DataFrame, zones: DataFrame, broadcast_rows: int = 2
     edges = zone_edges(zones)
     place = points.select("key", "lat", "lon").dropna().distinct()
     place = place.withColumn("band", F.floor((F.col("lat") + 90) / ZONE_BAND_DEG).cast("int")).withColumn("cell", F.floor((F.col("lon") + 180) / ZONE_CELL_DEG).cast("int"))
-    small = edges.limit(broadcast_rows + 1).count() <= broadcast_rows
+    rows = _zone_spans(zones).agg(F.sum(F.expr("(band2 - band1 + 1L) * (cell2 - cell1 + 1L)"))).first()[0]  # counted without making them
+    small = (rows or 0) <= broadcast_rows
     crossing = (
         "(lat1 <= lat) != (lat2 <= lat) and lon >= west and lon <= east "
         "and lon < lon1 + (lat - lat1) / (lat2 - lat1) * (lon2 - lon1)"
