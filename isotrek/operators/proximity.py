@@ -82,13 +82,14 @@ def _half_around(points: DataFrame, radius_m: float) -> DataFrame:
     return ahead.withColumn("home", (F.col("band") == F.col("own")) & (F.col("cell") == F.pmod(F.col("at"), F.col("cells")))).drop("own", "cells", "at")
 
 
-def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
+def near_pairs(points: DataFrame, radius_m: float, repeated: bool = True) -> DataFrame:
     """(key_a, key_b, metres) of all pairs of different keys with positions at most ``radius_m`` apart, key_a < key_b.
 
     A key with several positions is near whatever one of them is near; metres is the smallest distance.
     Rows with a null give nothing and repeated rows count once. Each pair of cells is compared once.
+    ``repeated``: whether there may be repeated rows or nulls; without, they need not be looked for.
     """
-    placed = points.select("key", "lat", "lon").dropna().distinct()
+    placed = points.select("key", "lat", "lon").dropna().distinct() if repeated else points
     named = lambda df, x, *more: df.select("band", "cell", *more, *(F.col(c).alias(f"{c}_{x}") for c in ("key", "lat", "lon")))
     metres = haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
     met = (
@@ -139,16 +140,17 @@ def zone_edges(zones: DataFrame) -> DataFrame:
     )
 
 
-def points_in_zones(points: DataFrame, zones: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+def points_in_zones(points: DataFrame, zones: DataFrame, broadcast_rows: int = 200_000, repeated: bool = True) -> DataFrame:
     """(key, zone_id): the zones of which a polygon holds the point: inside its outer ring, in none of its holes.
 
     Even-odd rule over all rings of a polygon, edges straight in longitude and latitude, a ray going
     east meets an edge at lower latitude <= lat < upper latitude. Points and edges meet in grid cells;
     what a ray crosses is counted per point and polygon. Null positions, null or empty polygons give
-    no row. Edges are broadcast only if counting finds at most ``broadcast_rows`` of them.
+    no row. Edges are broadcast only if counting finds at most ``broadcast_rows`` of them. ``repeated``
+    as in near_pairs.
     """
     edges = zone_edges(zones)
-    place = points.select("key", "lat", "lon").dropna().distinct()
+    place = points.select("key", "lat", "lon").dropna().distinct() if repeated else points
     place = place.withColumn("band", F.floor((F.col("lat") + 90) / ZONE_BAND_DEG).cast("int")).withColumn("cell", F.floor((F.col("lon") + 180) / ZONE_CELL_DEG).cast("int"))
     rows = _zone_spans(zones).agg(F.sum(F.expr("(band2 - band1 + 1L) * (cell2 - cell1 + 1L)"))).first()[0]  # counted without making them
     small = (rows or 0) <= broadcast_rows

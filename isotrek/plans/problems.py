@@ -94,8 +94,8 @@ def placed_stops(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     stops = cut(placed_stops(spark, d).distinct())  # read and parsed once for both kinds
-    near = near_pairs(stops, WALK_REACH_M).select(F.lit("near").alias("kind"), "key_a", "key_b")
-    held = points_in_zones(stops, table(spark, d, "zones")).select(F.lit("zone").alias("kind"), F.col("key").alias("key_a"), F.col("zone_id").alias("key_b"))
+    near = near_pairs(stops, WALK_REACH_M, repeated=False).select(F.lit("near").alias("kind"), "key_a", "key_b")
+    held = points_in_zones(stops, table(spark, d, "zones"), repeated=False).select(F.lit("zone").alias("kind"), F.col("key").alias("key_a"), F.col("zone_id").alias("key_b"))
     return near.unionByName(held)
 
 
