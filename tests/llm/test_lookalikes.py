@@ -1,9 +1,10 @@
 import random
+import unicodedata
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from isotrek.llm.lookalikes import LOOK_ALIKES, Rewriter, UnionFind, look_alike_classes, look_alike_pairs, same_as, with_appearance
+from isotrek.llm.lookalikes import LOOK_ALIKES, Rewriter, UnionFind, character_counts, look_alike_classes, look_alike_pairs, read_pairs, same_as, with_appearance
 from tests.conftest import rows
 
 
@@ -17,7 +18,27 @@ def test_union_find_is_transitive():
 def test_properties_of_characters():
     assert [same_as(c) for c in "​­﻿ 　Ａ（ﬁ"] == ["", "", "", " ", " ", "A", "(", "fi"]
     assert [same_as(c) for c in "aA1é²½"] == [None] * 6
-    assert sum(map(len, LOOK_ALIKES.values())) < 200
+    assert same_as("Ⅳ") == "IV" and same_as("𝐀") is None
+
+
+def test_scripts_and_what_differs_visibly():
+    r = Rewriter(look_alike_classes(Counter("AOop" + "ᎪꓮⅠ𐐬ᴏρסɑα−")))
+    assert [r(c) for c in "ᎪꓮⅠ𐐬ᴏρ"] == [r(c) for c in "AAIoop"]
+    for a, b in (("ס", "o"), ("ɑ", "a"), ("α", "a"), ("−", "-"), ("–", "-"), ("𝐀", "A")):
+        assert r(a) != r(b), (a, b)
+    assert all(unicodedata.lookup(n) for names in LOOK_ALIKES.values() for n in names)
+
+
+def test_pairs_of_a_file_join_the_classes(tmp_path):
+    file = tmp_path / "pairs.txt"
+    file.write_text("# list\n05E1 ;\t006F ;\tMA\t# samekh\n0072 006E ; 006D ; MA\n\n", encoding="utf-8")
+    r = Rewriter(look_alike_classes(Counter("omom"), read_pairs(str(file))))
+    assert r("סrn") == r("om") == "om" and read_pairs(str(file)) == [("ס", "o"), ("rn", "m")]
+
+
+def test_counts_are_of_the_corpus(spark):
+    df = spark.createDataFrame([("аа", 5), ("aaa", 1), (None, 9)], "t string, n long")
+    assert character_counts(df, "t", "n") == Counter({"а": 10, "a": 3}) and character_counts(df, "t") == Counter({"а": 2, "a": 3})
 
 
 def test_representatives_follow_frequency():
