@@ -11,6 +11,7 @@ pattern first; no token crosses pieces, so equal pieces are encoded once per wor
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,9 +20,12 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isotrek.session import ship, spread
+
 #: Unicode white space as the pattern's \s means it; Python's own \s takes four control characters more.
 _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECES = regex.compile(
@@ -31,7 +35,9 @@ _ASCII_SPACE = "\\t\\n\\x0b\\x0c\\r "
 ASCII_PIECES = re.compile(
     rf"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^{_ASCII_SPACE}A-Za-z0-9]+|[{_ASCII_SPACE}]+(?![^{_ASCII_SPACE}])|[{_ASCII_SPACE}]+"
 )
-CACHED_PIECES, CACHED_PAIRS = 500_000, 1_000_000  # what a worker remembers; the ids are the same without
+#: What a worker remembers; the ids are the same without. Pieces are bounded by their bytes, longer ones are not kept.
+CACHED_BYTES, CACHED_PIECE_CHARS, CACHED_PAIRS = 96 << 20, 200, 1_000_000
+PIECE_OVERHEAD = 250  # bytes that Python needs for an entry besides its text
 
 
 def _byte_letters() -> dict[str, int]:
@@ -68,6 +74,7 @@ class Vocabulary:
         self.automaton.make_automaton()
         self.known: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether no merge takes place over the border of two tokens that stand side by side.
@@ -93,6 +100,8 @@ class Vocabulary:
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one piece of text."""
         data = piece.encode("utf-8", "replace").decode("latin-1")
+        # The last token of a whole piece is the longest token that ends it, and one that spans it needs no test of
+        # compatibility: what the loop below would store at the end. (A test shows that no token is split by its own merges.)
         if (whole := self.automaton.get(data, None)) is not None:
             return [whole[1]]
         known, last, size = self.known, [0] * (len(data) + 1), [0] * (len(data) + 1)
@@ -113,6 +122,8 @@ class Vocabulary:
             last[end + 1], size[end + 1], settled = token, length, end
         out, at = [], len(data)
         while at > 0:
+            if not size[at]:
+                raise ValueError(f"the vocabulary has no token for byte {ord(data[at - 1]):#04x}")
             out.append(last[at])
             at -= size[at]
         return out[::-1]
@@ -124,10 +135,19 @@ class Vocabulary:
             return b"".join([known[p] for p in pieces])
         except KeyError:
             pass
-        if len(known) > CACHED_PIECES:
+        if self.held > CACHED_BYTES:
             known.clear()
+            self.held = 0
+        long: dict[str, bytes] = {}
         for p in {p for p in pieces if p not in known}:
-            known[p] = np.array(self.encode_piece(p), "<i4").tobytes()
+            ids = np.array(self.encode_piece(p), "<i4").tobytes()
+            if len(p) <= CACHED_PIECE_CHARS:
+                known[p] = ids
+                self.held += PIECE_OVERHEAD + len(p) + len(ids)
+            else:
+                long[p] = ids
+        if long:
+            return b"".join([known[p] if p in known else long[p] for p in pieces])
         return b"".join([known[p] for p in pieces])
 
     def encode(self, text: str) -> np.ndarray:
@@ -144,10 +164,15 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str, out: str = "ids"
     """(key, ids array<int>): each row's text by the vocabulary at ``path``, without special tokens.
 
     A null text and an empty text both give an empty list, one row for each row of ``df``. The strings
-    of special tokens in a text are ordinary text. The file has to be at the same path on all executors.
+    of special tokens in a text are ordinary text. The driver sends the file to the executors.
     """
+    spark = df.sparkSession
+    ship(spark)
+    spark.sparkContext.addFile(path)
+    name = os.path.basename(path)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
+        vocab = vocabulary(SparkFiles.get(name))
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -158,4 +183,4 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str, out: str = "ids"
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))], names=[key, out])
 
     rows = df.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`").cast("string").alias(text))
-    return rows.mapInArrow(encode, f"`{key}` long, `{out}` array<int>")
+    return spread(rows).mapInArrow(encode, f"`{key}` long, `{out}` array<int>")
