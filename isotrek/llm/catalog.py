@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isotrek.llm.lookalikes import look_alike_pairs
+from isotrek.llm.lookalikes import look_alike_pairs, read_pairs
 from isotrek.llm.passages import leaked_passages
 from isotrek.llm.reading import reading_grades
 from isotrek.llm.tokens import encode_texts
@@ -21,7 +21,9 @@ def tokenizer_path(spark: SparkSession) -> str:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = look_alike_pairs(table(spark, d, "stops"), "stop_id", "stop_name")
+    """Look-alikes of the file named in spark.isotrek.confusables, if any, are added to the fixed ones."""
+    file = spark.conf.get("spark.isotrek.confusables", None)
+    pairs = look_alike_pairs(table(spark, d, "stops"), "stop_id", "stop_name", read_pairs(file) if file else ())
     return pairs.select(F.col("id_a").alias("stop_id_a"), F.col("id_b").alias("stop_id_b"))
 
 
@@ -30,11 +32,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_passages(spark, d).select("doc_id", "item_id").distinct()
+    return p8_passages(spark, d).filter("field = 'prompt'").select("doc_id", "item_id").distinct()
 
 
 def p8_passages(spark: SparkSession, d: str) -> DataFrame:
-    """Cell, part and character offsets of every leaked passage."""
+    """Cell, part and character offsets of every leaked passage of a prompt or an answer."""
     return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 

@@ -4,11 +4,12 @@ Graded texts and documents are joined to the words they use (edge weight: occurr
 word's inverse document frequency). Grades are clamped at the graded texts; in each round a word takes
 the weighted mean level of its documents and a document that of its words. A document's final level is
 read against the levels that the graded texts get when they are let go in the last round, so the
-contraction that comes with propagation falls out.
+contraction that comes with propagation falls out. Rounds end at a stated residual.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isotrek.llm.notebooks import segments
-from isotrek.llm.passages import PassageFinder, item_blocks, words_of
-from isotrek.session import cut, ship
+from isotrek.llm.passages import BLOCK_CHARS, PassageFinder, digest, document_rows, finder_in_worker, in_slices, item_blocks, words_of
+from isotrek.session import cut, ship, spread
 
 GRADES = ("primary", "secondary", "undergraduate", "research")
-MIN_WORDS, ROUNDS = 60, 4
+MIN_WORDS = 60
+#: Rounds end when the word levels of two rounds differ, up to scale and shift, by at most this share of their spread.
+RESIDUAL = 0.01
 #: Up to so many words the level of each is sent to the workers (some 10 MB); beyond, words and documents are joined.
 SENT_WORDS = 500_000
 EVAL_RUN = 8  # consecutive words of a test item that are no prose of the document
@@ -43,35 +46,62 @@ def prose_lines(text: str | None, nb_format: str | None) -> Iterator[list[str]]:
                         yield words
 
 
-def prose_profiles(documents: DataFrame, items: DataFrame | None, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per document with at least ``min_words`` words of prose: its words and how often each occurs; level is null."""
-    ship(documents.sparkSession)
-    blocks = [] if items is None else list(item_blocks(items))
-    sent = documents.sparkSession.sparkContext.broadcast([i for b in blocks for i in b])
+def prose_profiles(documents: DataFrame, items: DataFrame | None, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """One row per document with at least ``min_words`` words of prose: its words and how often each occurs; level is null.
+
+    Words of runs of EVAL_RUN that a test item has do not count. One block of items is taken out while
+    the texts are parsed; several are looked for in the lines of prose, which are written once.
+    """
+    sc = documents.sparkSession.sparkContext
+    blocks = iter([[]]) if items is None else item_blocks(items, block_chars)
+    block, after = next(blocks), next(blocks, None)
+    rows = spread(document_rows(documents))
+    if after is not None:
+        return _profiles_of_lines(rows, itertools.chain([block, after], blocks), min_words)
+    sent, key = sc.broadcast(block), digest(block)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = PassageFinder(sent.value, EVAL_RUN)
+        finder = finder_in_worker(key, lambda: sent.value, EVAL_RUN)
         for batch in batches:
             ids, totals, words, counts = [], [], [], []
             for start in range(0, batch.num_rows, 256):
                 for doc_id, text, nb_format in zip(*(c.to_pylist() for c in batch.slice(start, 256).columns)):
                     found: Counter[str] = Counter()
                     for line in prose_lines(text, nb_format):
-                        found.update(w for w in _prose_only(finder, line) if w.isalpha())
+                        covered = _covered(finder, line)
+                        found.update(w for i, w in enumerate(line) if w.isalpha() and i not in covered)
                     if (n := found.total()) >= min_words:
                         ids.append(doc_id), totals.append(n), words.append(list(found)), counts.append(list(found.values()))
             yield _profiles(ids, [None] * len(ids), totals, words, counts)
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("nb_format").cast("string").alias("nb_format"))
-    return rows.filter("text is not null").mapInArrow(profile, PROFILE)
+    return rows.mapInArrow(profile, PROFILE)
+
+
+def _profiles_of_lines(rows: DataFrame, blocks: Iterator[list], min_words: int) -> DataFrame:
+    sc = rows.sparkSession.sparkContext
+    split = lambda found: [(row, doc_id, i, line) for row, doc_id, text, nb_format in found for i, line in enumerate(prose_lines(text, nb_format))]
+    schema, types = "row long, doc_id long, line int, words array<string>", [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())]
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), *rows.columns)
+    lines, hits = cut(numbered.mapInArrow(in_slices(split, types, ["row", "doc_id", "line", "words"]), schema)), None
+    for block in blocks:
+        sent, key = sc.broadcast(block), digest(block)
+
+        def look(found: list[tuple], sent=sent, key=key) -> list[tuple]:
+            finder = finder_in_worker(key, lambda: sent.value, EVAL_RUN)
+            return [(row, line, sorted(covered)) for row, _, line, words in found if (covered := _covered(finder, words))]
 
+        part = cut(lines.mapInArrow(in_slices(look, [pa.int64(), pa.int32(), pa.list_(pa.int32())], ["row", "line", "covered"]), "row long, line int, covered array<int>"))
+        sent.unpersist()
+        hits = part if hits is None else hits.unionByName(part)
+    covered = hits.groupBy("row", "line").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"))  # at most a line's words
+    left = lines.join(covered, ["row", "line"], "left").withColumn("words", F.when(F.col("covered").isNull(), F.col("words")).otherwise(F.filter("words", lambda w, i: ~F.array_contains("covered", i))))
+    counted = left.select("row", "doc_id", F.explode("words").alias("word")).filter("word rlike '^\\\\p{L}+$'").groupBy("row", "doc_id", "word").agg(F.count("*").cast("int").alias("n"))
+    whole = counted.groupBy("row", "doc_id").agg(F.sum("n").cast("int").alias("n_words"), F.collect_list(F.struct("word", "n")).alias("w")).filter(F.col("n_words") >= min_words)
+    return whole.select("doc_id", F.lit(None).cast("double").alias("level"), "n_words", F.col("w.word").alias("words"), F.col("w.n").alias("counts"))
 
-def _prose_only(finder: PassageFinder, line: list[str]) -> list[str]:
-    hits = finder.hits(line)
-    if not hits:
-        return line
-    covered = {i for _, a, b in hits for i in range(a, b + 1)}
-    return [w for i, w in enumerate(line) if i not in covered]
+
+def _covered(finder: PassageFinder, line: list[str]) -> set[int]:
+    return {i for _, a, b in finder.hits(line) for i in range(a, b + 1)}
 
 
 def _profiles(ids: list, levels: list, totals: list, words: list, counts: list) -> pa.RecordBatch:
@@ -98,26 +128,44 @@ def graded_profiles(graded: DataFrame) -> DataFrame:
     return rows.mapInArrow(profile, PROFILE)
 
 
-def harmonic_levels(profiles: DataFrame, rounds: int = ROUNDS, sent_words: int = SENT_WORDS) -> DataFrame:
+def unlike(before: np.ndarray, after: np.ndarray, weight: np.ndarray) -> float:
+    """How much two sets of levels differ beyond scale and shift: the root of 1 - r2 of their weighted correlation.
+
+    Grades are read against the levels of the graded texts, so scale and shift change none of them.
+    """
+    a, b = (x - np.average(x, weights=weight) for x in (before, after))
+    spread_a, spread_b = np.average(a * a, weights=weight), np.average(b * b, weights=weight)
+    if spread_a <= 1e-18 or spread_b <= 1e-18:
+        return 0.0 if abs(spread_a - spread_b) <= 1e-18 else 1.0
+    return float(np.sqrt(max(0.0, 1 - np.average(a * b, weights=weight) ** 2 / (spread_a * spread_b))))
+
+
+def harmonic_levels(profiles: DataFrame, residual: float = RESIDUAL, sent_words: int = SENT_WORDS) -> DataFrame:
     """(doc_id, level, free): clamped and freely propagated level of each node; free is null where no word of a node has a level.
 
-    Words of one node only pass nothing on and are left out, which changes no other level.
+    Words of one node only pass nothing on and are left out, which changes no other level. A round gives
+    each word the weighted mean level of its nodes and each node that of its words; rounds go on until
+    every word that can be reached has a level and ``unlike`` of two rounds is at most ``residual``.
     """
     spark = profiles.sparkSession
-    edges = profiles.select(F.explode("words").alias("word"))
-    vocabulary = edges.groupBy("word").agg(F.count("*").alias("df")).filter("df > 1")
     n_nodes = profiles.count()
-    if vocabulary.limit(sent_words + 1).count() > sent_words:
-        return _joined_rounds(profiles, vocabulary, n_nodes, rounds)
+    vocabulary = cut(profiles.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df")).filter("df > 1"))
+    if vocabulary.count() > sent_words:
+        return _joined_rounds(profiles, vocabulary, n_nodes, residual)
     words = vocabulary.orderBy("word").toPandas()  # at most sent_words rows
     weight = np.log(n_nodes / words["df"].to_numpy("float64")) + 1e-6
     level, known = np.zeros(len(words)), np.zeros(len(words), bool)
     names = pa.array(words["word"].to_list(), pa.string())
-    for k in range(rounds):
+    moved, first = np.inf, True
+    while moved > residual:
         sent = spark.sparkContext.broadcast((names, weight, level, known))
-        sums = profiles.mapInArrow(_word_sums(sent, first=k == 0), "word int, upper double, lower double").groupBy("word").agg(F.sum("upper").alias("upper"), F.sum("lower").alias("lower")).toPandas()
-        level, known = np.zeros(len(words)), np.zeros(len(words), bool)
-        level[sums["word"]], known[sums["word"]] = sums["upper"] / sums["lower"], True
+        sums = profiles.mapInArrow(_word_sums(sent, first), "word int, upper double, lower double").groupBy("word").agg(F.sum("upper").alias("upper"), F.sum("lower").alias("lower")).toPandas()
+        sent.unpersist()
+        new, mass = np.zeros(len(words)), np.zeros(len(words))
+        new[sums["word"]], mass[sums["word"]] = sums["upper"] / sums["lower"], sums["lower"]
+        same_words = bool((known == (mass > 0)).all())
+        moved = unlike(level[known], new[known], mass[known]) if same_words and known.any() else np.inf if (mass > 0).any() else 0.0
+        level, known, first = new, mass > 0, False
     sent = spark.sparkContext.broadcast((names, weight, level, known))
     return profiles.mapInArrow(_node_levels(sent), "doc_id long, level double, free double")
 
@@ -163,21 +211,40 @@ def _node_levels(sent):
     return step
 
 
-def _joined_rounds(profiles: DataFrame, vocabulary: DataFrame, n_nodes: int, rounds: int) -> DataFrame:
+def _joined_rounds(profiles: DataFrame, vocabulary: DataFrame, n_nodes: int, residual: float) -> DataFrame:
     """The same rounds for a vocabulary of any size: edges are joined with word levels, then with node levels."""
     weights = vocabulary.select("word", (F.log(F.lit(float(n_nodes)) / F.col("df")) + 1e-6).alias("weight"))
-    pairs = profiles.select("doc_id", F.explode(F.arrays_zip("words", "counts")).alias("e")).select("doc_id", F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
-    edges = cut(pairs.join(weights, "word").select("doc_id", "word", (F.col("n") * F.col("weight")).alias("edge")))
-    clamped = profiles.select("doc_id", "level")
-    nodes, free = clamped.withColumn("node", F.col("level")), None
-    for _ in range(rounds):
-        words = edges.join(nodes.filter("node is not null").select("doc_id", "node"), "doc_id").groupBy("word").agg((F.sum(F.col("edge") * F.col("node")) / F.sum("edge")).alias("word_level"))
-        free = edges.join(words, "word").groupBy("doc_id").agg((F.sum(F.col("edge") * F.col("word_level")) / F.sum("edge")).alias("free"))
-        nodes = cut(clamped.join(free, "doc_id", "left").withColumn("node", F.coalesce("level", "free")))
-    return nodes.select("doc_id", "level", "free")
-
-
-def reading_grades(documents: DataFrame, graded: DataFrame, items: DataFrame | None = None, min_words: int = MIN_WORDS, rounds: int = ROUNDS, sent_words: int = SENT_WORDS) -> DataFrame:
+    numbered = cut(profiles.withColumn("node", F.monotonically_increasing_id()))
+    pairs = numbered.select("node", F.explode(F.arrays_zip("words", "counts")).alias("e")).select("node", F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
+    edges = cut(pairs.join(weights, "word").select("node", "word", (F.col("n") * F.col("weight")).alias("edge")))
+    clamped = numbered.select("node", "doc_id", "level")
+    nodes, before, moved = clamped.select("node", F.col("level").alias("at")), None, np.inf
+    while moved > residual:
+        words = cut(edges.join(nodes.filter("at is not null"), "node").groupBy("word").agg((F.sum(F.col("edge") * F.col("at")) / F.sum("edge")).alias("word_level"), F.sum("edge").alias("mass")))
+        moved = np.inf if before is None else _unlike_joined(before, words)
+        if words.isEmpty():
+            moved = 0.0
+        free = edges.join(words.select("word", "word_level"), "word").groupBy("node").agg((F.sum(F.col("edge") * F.col("word_level")) / F.sum("edge")).alias("free"))
+        levels = cut(clamped.join(free, "node", "left"))
+        nodes, before = levels.select("node", F.coalesce("level", "free").alias("at")), words
+    return levels.select("doc_id", "level", "free")
+
+
+def _unlike_joined(before: DataFrame, after: DataFrame) -> float:
+    """``unlike`` of two tables of word levels: two passes over their join, each one aggregation."""
+    both = after.join(before.select("word", F.col("word_level").alias("old")), "word", "full_outer")
+    mean = lambda x: F.sum(F.col("mass") * x) / F.sum("mass")
+    m = both.agg(F.count(F.when(F.col("old").isNull() | F.col("word_level").isNull(), 1)).alias("lost"), mean(F.col("old")).alias("a"), mean(F.col("word_level")).alias("b")).first()
+    if m.lost or m.a is None:
+        return np.inf if m.lost else 0.0
+    a, b = F.col("old") - m.a, F.col("word_level") - m.b
+    s = both.agg(mean(a * a).alias("aa"), mean(b * b).alias("bb"), mean(a * b).alias("ab")).first()
+    if s.aa <= 1e-18 or s.bb <= 1e-18:
+        return 0.0 if abs(s.aa - s.bb) <= 1e-18 else 1.0
+    return float(np.sqrt(max(0.0, 1 - s.ab**2 / (s.aa * s.bb))))
+
+
+def reading_grades(documents: DataFrame, graded: DataFrame, items: DataFrame | None = None, min_words: int = MIN_WORDS, residual: float = RESIDUAL, sent_words: int = SENT_WORDS) -> DataFrame:
     """(doc_id, grade, difficulty) of each document with enough prose; the caller chooses the language.
 
     Copied passages of ``items`` are taken out of the prose first. Without any graded text there is no
@@ -185,7 +252,7 @@ def reading_grades(documents: DataFrame, graded: DataFrame, items: DataFrame | N
     middle of the scale. Null texts give no row; a repeated doc_id gives a row for each of its rows.
     """
     profiles = cut(prose_profiles(documents, items, min_words).unionByName(graded_profiles(graded)))
-    levels = harmonic_levels(profiles, rounds, sent_words)
+    levels = harmonic_levels(profiles, residual, sent_words)
     centres = {r.level: r.free for r in levels.filter("level is not null").groupBy("level").agg(F.avg("free").alias("free")).collect() if r.free is not None}
     known = sorted(centres)
     if not known:

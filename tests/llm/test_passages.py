@@ -1,10 +1,13 @@
 import json
 import random
+import unicodedata
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from isotrek.llm.notebooks import segments, sniff
-from isotrek.llm.passages import PassageFinder, leaked_passages, words_of
+from isotrek.llm.passages import PassageFinder, find_in_text, fold, leaked_passages, words_of
 from tests.conftest import rows
 
 PROMPT = "On day 18 the keeper Tokleki moved 454 salt blocks from Treku to the hall of Trotulu, yet Vuza paid only 159 coins."
@@ -59,12 +62,37 @@ def test_leaks(spark):
     queries = spark.createDataFrame(items, "item_id long, prompt string").withColumn("doc_id", F.lit(7))
     found = leaked_passages(df, queries)
     assert rows(found.select("doc_id", "item_id").distinct()) == sorted(want, key=lambda t: tuple(map(str, t))) and len(want) > 15
-    assert rows(leaked_passages(df, queries, per_block=2).select("doc_id", "item_id").distinct()) == rows(found.select("doc_id", "item_id").distinct())
+    assert rows(leaked_passages(df, queries, block_chars=40_000).select("doc_id", "item_id").distinct()) == rows(found.select("doc_id", "item_id").distinct())
     spans = found.filter("doc_id = 103 and item_id = 1").first()
     assert PROMPT[spans.first_char : spans.last_char] == PROMPT[:-1] and spans.n_words == len(words_of(PROMPT))
     assert leaked_passages(df.limit(0), queries).collect() == [] and leaked_passages(df, queries.limit(0)).collect() == []
 
 
 def test_runs_are_merged():
-    finder = PassageFinder([(1, "a b c d e f")], 3)
-    assert finder.hits("x a b c d y b c d e f".split()) == [(1, 1, 4), (1, 6, 10)]
+    finder = PassageFinder([(1, "prompt", "a b c d e f")], 3)
+    assert finder.hits("x a b c d y b c d e f".split()) == [((1, "prompt"), 1, 4), ((1, "prompt"), 6, 10)]
+
+
+def test_offsets_map_back_where_folding_changes_lengths():
+    prompt = "İzmir café one two three four five six seven eight nine ten eleven"
+    finder = PassageFinder([(1, "prompt", prompt)], 12)
+    for text in (f"İİ x. {prompt}!", f"e\u0301İ. {unicodedata.normalize('NFD', prompt)}, end", f"plain {prompt.replace('İ', 'İ')}", f"각 {prompt}"):
+        (found,) = find_in_text(finder, text)
+        item, field, a, b, n = found
+        assert (item, field) == (1, "prompt") and unicodedata.normalize("NFC", text[a:b]) == prompt and n == len(words_of(prompt))
+
+
+def test_answers_are_patterns_too(spark):
+    answer = "because the salt was weighed twice and the second scale was found to be false"
+    df = spark.createDataFrame([(1, f"so {answer.upper()}.", "log"), (2, PROMPT, "log")], "doc_id long, text string, nb_format string")
+    items = spark.createDataFrame([(7, PROMPT, answer), (8, None, None)], "item_id long, prompt string, answer string")
+    for size in (1_000_000, 50):
+        assert rows(leaked_passages(df, items, block_chars=size).select("doc_id", "item_id", "field")) == [(1, 7, "answer"), (2, 7, "prompt")]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aİé e\u0301\u0308ßΣK각\u1100\u1161x.", max_size=20))
+def test_folding_places(text):
+    folded, places = fold(text)
+    assert places is None or (len(places) == len(folded) + 1 and places == sorted(places) and places[-1] == len(text))
+    assert places is not None or len(folded) == len(text)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from isotrek.llm.reading import GRADES, graded_profiles, harmonic_levels, prose_lines, prose_profiles, reading_grades
+from isotrek.llm.reading import GRADES, graded_profiles, harmonic_levels, prose_lines, prose_profiles, reading_grades, unlike
 
 WORDS = {g: [f"{g[:3]}{'abcdefghij'[i]}" for i in range(10)] for g in GRADES}
 COMMON = ["the", "of", "and", "to", "is"]
@@ -41,7 +41,7 @@ def test_held_out_grades(spark, corpus):
 def test_sent_and_joined_rounds_agree(spark, corpus):
     _, docs, graded = corpus
     profiles = prose_profiles(docs, None).unionByName(graded_profiles(graded)).cache()
-    a, b = ({r.doc_id: r.free for r in harmonic_levels(profiles, 3, n).collect()} for n in (10_000, 3))
+    a, b = ({r.doc_id: r.free for r in harmonic_levels(profiles, 0.02, n).collect()} for n in (10_000, 3))
     assert a.keys() == b.keys() and all((a[k] is None) == (b[k] is None) and (a[k] is None or abs(a[k] - b[k]) < 1e-9) for k in a)
 
 
@@ -52,8 +52,19 @@ def test_eval_passages_do_not_count(spark, corpus):
     extended = docs.withColumn("text", F.concat("text", F.lit(f"\n\n{passage}.\n")))
     plain = {r.doc_id: r.n_words for r in prose_profiles(docs.filter("doc_id < 120"), None).collect()}
     assert {r.doc_id: r.n_words for r in prose_profiles(extended.filter("doc_id < 120"), items).collect()} == plain
+    several = spark.createDataFrame([(1, passage), (2, "other words " * 20), (3, "more words " * 20)], "item_id long, prompt string")
+    one, many = ({r.doc_id: (r.n_words, sorted(zip(r.words, r.counts))) for r in prose_profiles(extended, several, block_chars=n).collect()} for n in (10**6, 100))
+    assert one == many and len(one) > 100
 
 
 def test_what_is_prose():
     text = "# Title here now\n\nThe cat sat down. It ran.\n\nsee below\n\n[link](http://a.b/c) is here\n\n$$ a b c d $$\n\n> quoted words are out\n\n    5%|███  | 4/788\n"
     assert list(prose_lines(text, "md_export")) == [["the", "cat", "sat", "down", "it", "ran"]]
+
+
+def test_more_rounds_change_no_grade(spark, corpus):
+    _, docs, graded = corpus
+    few, many = ({r.doc_id: r.grade for r in reading_grades(docs, graded, residual=x).collect()} for x in (0.01, 0.0002))
+    assert few.keys() == many.keys() and sum(few[k] != many[k] for k in few) <= 1
+    x = np.random.default_rng(1).random(50)
+    assert unlike(x, 3 * x + 2, np.ones(50)) < 1e-6 and unlike(x, x[::-1].copy(), np.ones(50)) > 0.5 and unlike(np.ones(3), np.ones(3), np.ones(3)) == 0.0
