@@ -23,7 +23,7 @@ from isotrek.sources import assets, gtfs, osm
 THRESHOLD_MIN = 30
 
 
-def fetch(sources: list[str], folder: str, today: date, spark: SparkSession, allow_expired: bool = False, opener=gtfs.urlopen) -> tuple[str, dict[str, DataFrame], tuple[date, date]]:
+def fetch(sources: list[str], folder: str, today: date, spark: SparkSession, allow_expired: bool = False, opener=gtfs.web) -> tuple[str, dict[str, DataFrame], tuple[date, date]]:
     """Path, tables and validity of the first source that gives a feed valid today, else what checks.choose_offer allows."""
     offers, read = [], {}
     for i, source in enumerate(sources):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,9 +13,9 @@ from isotrek.functions.geo import METRES_PER_DEGREE, hilbert_key, simplify_indic
 from isotrek.functions.numbers import round_half_even
 from isotrek.operators.numbering import dense_index
 from isotrek.operators.proximity import haversine_m, nearest
-from isotrek.session import cut
+from isotrek.session import cut, ship
 
-SPACING_M, SIMPLIFY_M, SCALE = 60.0, 4.0, 100_000
+SPACING_M, SIMPLIFY_M, SCALE = 60.0, 2.5, 100_000
 
 
 def segments(nodes: DataFrame, ways: DataFrame) -> DataFrame:
@@ -85,59 +87,80 @@ def junctions(links: DataFrame) -> DataFrame:
     return met.union(ends.agg(F.min("node").alias("node")).filter("node is not null")).distinct()
 
 
+def chain_heads(steps: DataFrame, stops: DataFrame) -> DataFrame:
+    """(u, v, su, sv, hops): for each directed step (u, v) of a graph the first step (su, sv) of its chain and how many steps lie before it.
+
+    A chain begins where a step leaves one of ``stops`` (node); everywhere else two links meet. Every step
+    points to the one before it, and in each round to what that one points to, so the rounds grow with
+    the logarithm of the longest chain. Steps of a ring without a stop belong to no chain and are left out.
+    """
+    at_stop = stops.select(F.col("node").alias("u"))
+    before = steps.select(F.col("u").alias("su"), F.col("v").alias("sv"))
+    heads = steps.join(at_stop, "u", "left_semi").select("u", "v", F.col("u").alias("su"), F.col("v").alias("sv"), F.lit(0).cast("long").alias("hops"), F.lit(True).alias("done"))
+    inner = steps.join(at_stop, "u", "left_anti").join(before, (F.col("u") == F.col("sv")) & (F.col("v") != F.col("su")))
+    state = cut(heads.unionByName(inner.select("u", "v", "su", "sv", F.lit(1).cast("long").alias("hops"), F.lit(False).alias("done"))))
+    for _ in range(state.count().bit_length() + 1):
+        waiting = state.filter("not done")
+        if waiting.isEmpty():
+            break
+        target = state.select(F.col("u").alias("su"), F.col("v").alias("sv"), F.col("su").alias("nu"), F.col("sv").alias("nv"), F.col("hops").alias("more"), F.col("done").alias("there"))
+        moved = waiting.join(target, ["su", "sv"]).select("u", "v", F.col("nu").alias("su"), F.col("nv").alias("sv"), (F.col("hops") + F.col("more")).alias("hops"), F.col("there").alias("done"))
+        state = cut(state.filter("done").unionByName(moved))
+    return state.filter("done").drop("done")
+
+
+def _pieces(batches: Iterator[pd.DataFrame], spacing_m: float, simplify_m: float) -> Iterator[pd.DataFrame]:
+    """The parts into which chains fall, each from its lower end to its higher one."""
+    for batch in batches:
+        out = []
+        for su, sv, cls, chain in zip(batch["su"], batch["sv"], batch["cls"], batch["chain"]):
+            node, lat, lon = ([p[c] for p in chain] for c in ("node", "lat", "lon"))
+            cuts, lengths, run = [0], [], 0.0
+            for i, step in enumerate(p["metres"] for p in chain[1:]):
+                if i > cuts[-1] and run + step > spacing_m:
+                    cuts.append(i)
+                    lengths.append(run)
+                    run = 0.0
+                run += step
+            cuts.append(len(node) - 1)
+            lengths.append(run)
+            for first, last, metres in zip(cuts, cuts[1:], lengths):
+                if node[first] == node[last]:
+                    continue
+                along = range(first, last + 1) if node[first] < node[last] else range(last, first - 1, -1)
+                y, x = (np.array([values[i] for i in along]) for values in (lat, lon))
+                kept = simplify_indices(x * METRES_PER_DEGREE * np.cos(np.radians(y[0])), y * METRES_PER_DEGREE, simplify_m)[1:-1]
+                shape = [{"lat": round(float(y[i]), 5), "lon": round(float(x[i]), 5)} for i in kept]
+                out.append((node[along[0]], node[along[-1]], metres, su, sv, first, cls, shape))
+        yield pd.DataFrame(out, columns=["a", "b", "exact", "su", "sv", "first", "cls", "shape"])
+
+
 def contract(nodes: DataFrame, links: DataFrame, spacing_m: float = SPACING_M, simplify_m: float = SIMPLIFY_M) -> DataFrame:
     """(a, b, metres, cls, shape array<struct<lat,lon>>): chains between junctions as edges, with a node kept about every ``spacing_m``.
 
-    Chains are walked one after another in node order, because where a node is kept depends on the
-    walk so far; one task walks one city's links. Of parallel edges the shortest stays, loops vanish,
+    A chain runs from the lower of its junctions, one that returns to its junction towards the lower
+    neighbour; a node is kept before the step that would pass the spacing. Chains come together by
+    pointer jumping and are cut each by itself; a chain is one stretch of road without a crossing. Of
+    parallel edges the shortest stays (of equally long ones that of the lowest chain), loops vanish,
     metres are whole and at least 1, inner points are simplified and run from a to b, a < b.
     """
-    keep = junctions(links).withColumn("junction", F.lit(True))
-    ends = links.select("a", "b", "metres", "cls").union(links.select("b", "a", "metres", "cls"))
-    table = ends.join(nodes.select(F.col("node").alias("b"), "lat", "lon"), "b").join(keep.withColumnRenamed("node", "a"), "a", "left")
-    here = nodes.select(F.col("node").alias("a"), F.col("lat").alias("lat0"), F.col("lon").alias("lon0"))
-    table = table.join(here, "a").withColumn("city", F.lit(1))
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["a", "b"])
-        place = dict(zip(frame["a"].tolist(), zip(frame["lat0"].tolist(), frame["lon0"].tolist())))
-        beside: dict[int, list[tuple[int, float, int]]] = {}
-        for a, b, m, c in zip(frame["a"].tolist(), frame["b"].tolist(), frame["metres"].tolist(), frame["cls"].tolist()):
-            beside.setdefault(a, []).append((b, m, c))
-        stops = sorted(set(frame.loc[frame["junction"].eq(True), "a"].tolist()))
-        is_stop, walked, best = set(stops), set(), {}
-
-        def emit(chain: list[int], metres: float, cls: int) -> None:
-            if chain[0] == chain[-1]:
-                return
-            chain = chain if chain[0] < chain[-1] else chain[::-1]
-            at = (chain[0], chain[-1])
-            if at not in best or metres < best[at][0]:
-                best[at] = (metres, cls, chain)
-
-        for start in stops:
-            for node, metres, cls in beside[start]:
-                if (start, node) in walked:
-                    continue
-                before, chain, total = start, [start, node], metres
-                walked |= {(start, node), (node, start)}
-                while node not in is_stop:
-                    after, step = next((b, m) for b, m, _ in beside[node] if b != before)
-                    if total + step > spacing_m:
-                        emit(chain, total, cls)
-                        chain, total = [node], 0.0
-                    walked |= {(node, after), (after, node)}
-                    chain.append(after)
-                    before, node, total = node, after, total + step
-                emit(chain, total, cls)
-        rows = []
-        for (a, b), (metres, cls, chain) in sorted(best.items()):
-            lat, lon = (np.array([place[n][i] for n in chain]) for i in (0, 1))
-            inner = simplify_indices(lon * METRES_PER_DEGREE * np.cos(np.radians(lat[0])), lat * METRES_PER_DEGREE, simplify_m)[1:-1]
-            rows.append((a, b, max(1, round(metres)), cls, [{"lat": round(lat[i], 5), "lon": round(lon[i], 5)} for i in inner]))
-        return pd.DataFrame(rows, columns=["a", "b", "metres", "cls", "shape"])
-
-    return table.groupBy("city").applyInPandas(walk, "a long, b long, metres int, cls int, shape array<struct<lat:double,lon:double>>")
+    ship(links.sparkSession)
+    one_way = links.select(F.col("a").alias("u"), F.col("b").alias("v"), "metres", "cls")
+    half = cut(one_way.unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"), "metres", "cls")))
+    heads = chain_heads(half.select("u", "v"), junctions(links))
+    back = heads.select(F.col("u").alias("v"), F.col("v").alias("u"), F.col("su").alias("tu"), F.col("sv").alias("tv"))
+    chosen = heads.join(back, ["u", "v"]).filter("su < tu or (su = tu and sv < tv)").select("u", "v", "su", "sv", "hops").join(half, ["u", "v"])
+    place = lambda c: nodes.select(F.col("node").alias(c), "lat", "lon")
+    stop = F.struct(F.col("hops") + 1, F.col("v").alias("node"), "lat", "lon", "metres")
+    rest = chosen.join(place("v"), "v").groupBy("su", "sv").agg(F.min("cls").cast("int").alias("cls"), F.array_sort(F.collect_list(stop)).alias("rest"))
+    whole = rest.join(place("su"), "su").select("su", "sv", "cls", F.concat(
+        F.array(F.struct(F.col("su").alias("node"), "lat", "lon", F.lit(0.0).alias("metres"))),
+        F.transform("rest", lambda p: F.struct(p["node"].alias("node"), p["lat"].alias("lat"), p["lon"].alias("lon"), p["metres"].alias("metres"))),
+    ).alias("chain"))
+    shape = "array<struct<lat:double,lon:double>>"
+    pieces = whole.mapInPandas(lambda batches: _pieces(batches, spacing_m, simplify_m), f"a long, b long, exact double, su long, sv long, first int, cls int, shape {shape}")
+    best = pieces.groupBy("a", "b").agg(F.min_by(F.struct("cls", "shape", "exact"), F.struct("exact", "su", "sv", "first")).alias("e"))
+    return best.select("a", "b", F.greatest(F.lit(1), F.rint("e.exact").cast("int")).alias("metres"), "e.cls", "e.shape")
 
 
 def hilbert_numbers(nodes: DataFrame) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 import csv
 import hashlib
 import io
+import os
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timezone
-from pathlib import Path
+from functools import partial
 from urllib.parse import urlparse
-from urllib.request import urlopen
+from urllib.request import Request, urlopen
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from isotrek.functions.values import WHITE_SPACE
 from isotrek.operators.checks import FeedError
 
 MAX_FEED_BYTES, CHUNK, MAX_DOWNLOAD_BYTES = 2 << 30, 64 << 10, 100 << 20
+USER_AGENT, ANSWER_SECONDS = "isotrek (transit reach on Spark)", 60
 SCHEMA = "table_name string, row_no long, fields map<string,string>, missing array<string>"
 
 
@@ -37,16 +39,12 @@ def safe_members(archive: zipfile.ZipFile, max_bytes: int = MAX_FEED_BYTES) -> l
     return [n for n in archive.namelist() if n.endswith(".txt") and "/" not in n]
 
 
-def parse_table(raw: bytes, name: str) -> Iterator[tuple[dict[str, str], list[str]]]:
-    """(fields, missing) of each row: header and values trimmed, a BOM dropped, rows of white space skipped.
+def parse_rows(lines: Iterable[str]) -> Iterator[tuple[dict[str, str], list[str]]]:
+    """(fields, missing) of each row: header and values trimmed, rows of white space skipped.
 
-    A short row lacks its last fields, a long one loses what has no header. Text that is not UTF-8 is an error.
+    A short row lacks its last fields, a long one loses what has no header.
     """
-    try:
-        text = raw.decode("utf-8-sig")
-    except UnicodeDecodeError as e:
-        raise FeedError(f"{name}: not UTF-8 (byte {e.start})") from None
-    rows = csv.reader(io.StringIO(text, newline=""))
+    rows = csv.reader(lines)
     header = [h.strip(WHITE_SPACE) for h in next(rows, [])]
     for row in rows:
         values = [v.strip(WHITE_SPACE) for v in row]
@@ -54,7 +52,18 @@ def parse_table(raw: bytes, name: str) -> Iterator[tuple[dict[str, str], list[st
             yield dict(zip(header, values)), header[len(values) :]
 
 
+def parse_table(raw: bytes, name: str) -> Iterator[tuple[dict[str, str], list[str]]]:
+    """parse_rows of a whole file; a BOM is dropped, text that is not UTF-8 is an error."""
+    try:
+        text = raw.decode("utf-8-sig")
+    except UnicodeDecodeError as e:
+        raise FeedError(f"{name}: not UTF-8 (byte {e.start})") from None
+    yield from parse_rows(io.StringIO(text, newline=""))
+
+
 class FeedReader(DataSourceReader):
+    """Reads a member as a stream: a task holds one row at a time, however long the table is. A packed member cannot be divided."""
+
     def __init__(self, path: str, tables: list[str]):
         self.path, self.tables = path, tables
 
@@ -64,13 +73,15 @@ class FeedReader(DataSourceReader):
         return [InputPartition(m) for m in members if not self.tables or m[:-4] in self.tables]
 
     def read(self, partition: InputPartition):
-        with zipfile.ZipFile(self.path) as archive:
-            try:
-                raw = archive.read(partition.value)
-            except (zipfile.BadZipFile, OSError) as e:
-                raise FeedError(f"{partition.value}: damaged ({e})") from None
-        for row_no, (fields, missing) in enumerate(parse_table(raw, partition.value)):
-            yield partition.value[:-4], row_no, fields, missing
+        name = partition.value
+        try:
+            with zipfile.ZipFile(self.path) as archive, archive.open(name) as packed, io.TextIOWrapper(packed, encoding="utf-8-sig", newline="") as lines:
+                for row_no, (fields, missing) in enumerate(parse_rows(lines)):
+                    yield name[:-4], row_no, fields, missing
+        except UnicodeDecodeError as e:
+            raise FeedError(f"{name}: not UTF-8 ({e.reason})") from None
+        except (zipfile.BadZipFile, OSError) as e:
+            raise FeedError(f"{name}: damaged ({e})") from None
 
 
 class FeedSource(DataSource):
@@ -108,24 +119,40 @@ def read_feed(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return tables
 
 
-def download(url: str, target: str, max_bytes: int = MAX_DOWNLOAD_BYTES, opener=urlopen) -> int:
-    """Fetch a feed with a cap on the declared and on the streamed size; a malformed length counts as unknown."""
+def web(url: str):
+    """Open a web address; the server has to answer within ANSWER_SECONDS."""
+    return urlopen(Request(url, headers={"User-Agent": USER_AGENT}), timeout=ANSWER_SECONDS)
+
+
+def within(pieces: Iterable[bytes], limit: int, what: str) -> Iterator[bytes]:
+    """The pieces of a stream; an error as soon as they are together longer than ``limit``."""
+    room = limit
+    for piece in pieces:
+        if (room := room - len(piece)) < 0:
+            raise FeedError(f"{what}: more than {limit} bytes")
+        yield piece
+
+
+def download(url: str, target: str, max_bytes: int = MAX_DOWNLOAD_BYTES, opener: Callable = web) -> int:
+    """Fetch a feed and give its size, which is limited as declared and as it comes; a malformed declaration counts as none."""
     if urlparse(url).scheme not in ("http", "https", "file"):
         raise FeedError(f"{url}: not a web address")
-    with opener(url) as answer, open(target, "wb") as out:
-        declared = (answer.headers.get("Content-Length") or "").strip()
-        if declared.isdigit() and int(declared) > max_bytes:
-            raise FeedError(f"{url}: {declared} bytes declared, more than {max_bytes}")
-        got = 0
-        while chunk := answer.read(CHUNK):
-            got += len(chunk)
-            if got > max_bytes:
-                raise FeedError(f"{url}: more than {max_bytes} bytes")
-            out.write(chunk)
-    return got
+    with opener(url) as answer:
+        declared = re.fullmatch(r"\s*(\d+)\s*", answer.headers.get("Content-Length") or "")
+        if declared and int(declared[1]) > max_bytes:
+            raise FeedError(f"{url}: {declared[1]} bytes declared, more than {max_bytes}")
+        with open(target, "wb") as out:
+            out.writelines(within(iter(partial(answer.read, CHUNK), b""), max_bytes, url))
+            return out.tell()
+
+
+def manifest_of(path: str) -> tuple[int, str]:
+    """Size and SHA-256 of a file, read in pieces."""
+    with open(path, "rb") as f:
+        return os.path.getsize(path), hashlib.file_digest(f, "sha256").hexdigest()
 
 
 def manifest(path: str, source: str, now: datetime | None = None) -> dict:
     """Source, time, size and SHA-256 of a fetched file."""
-    data = Path(path).read_bytes()
-    return {"source": source, "fetched_at": (now or datetime.now(timezone.utc)).isoformat(), "bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()}
+    size, digest = manifest_of(path)
+    return {"source": source, "fetched_at": (now or datetime.now(timezone.utc)).isoformat(), "bytes": size, "sha256": digest}

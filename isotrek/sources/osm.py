@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable, Iterator
-from math import ceil
+from collections import defaultdict, deque
+from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise, product
 from pathlib import Path
 from urllib.error import URLError
 from urllib.parse import urlencode
@@ -31,6 +32,9 @@ ROAD_CLASSES = {
 SHUT_SERVICES = ["parking_aisle", "driveway", "drive-through"]
 FOOT_ALLOWED = ["yes", "designated", "permissive"]
 TILE_DEG = 0.1
+# Public map servers.
+ENDPOINTS = ("https://overpass-api.de/api/interpreter", "https://overpass.private.coffee/api/interpreter")
+USER_AGENT, ANSWER_SECONDS = "isotrek (transit reach on Spark)", 200
 POINT = "struct<lat:double,lon:double>"
 ELEMENTS = f"tile int, type string, id long, tags map<string,string>, nodes array<long>, geometry array<{POINT}>, members array<struct<type:string,role:string,geometry:array<{POINT}>>>"
 
@@ -55,11 +59,11 @@ def road_class(highway: Column) -> Column:
 
 def tiles(west: float, south: float, east: float, north: float, step: float = TILE_DEG) -> list[tuple[float, float, float, float]]:
     """(south, west, north, east) of the tiles of a box, row by row from the south-west."""
-    cols, rows = (max(1, ceil((b - a) / step - 1e-9)) for a, b in ((west, east), (south, north)))
-    return [
-        (round(south + r * step, 6), round(west + c * step, 6), round(min(north, south + (r + 1) * step), 6), round(min(east, west + (c + 1) * step), 6))
-        for r in range(rows) for c in range(cols)
-    ]
+    def cuts(low: float, high: float) -> list[float]:
+        inner = low + step * np.arange(1, int((high - low) / step) + 1)
+        return np.round([low, *inner[inner < high - 1e-9 * step], high], 6).tolist()
+
+    return [(s, w, n, e) for (s, n), (w, e) in product(pairwise(cuts(south, north)), pairwise(cuts(west, east)))]
 
 
 def street_query(box: tuple[float, float, float, float]) -> str:
@@ -67,9 +71,24 @@ def street_query(box: tuple[float, float, float, float]) -> str:
     return f'[out:json][timeout:180];way[highway~"^({kinds})$"][foot!~"^no$"][access!~"^(private|no)$"][service!~"^({"|".join(SHUT_SERVICES)})$"]({",".join(map(str, box))});out geom;'
 
 
-def ask(query: str, endpoints: list[str], rounds: int = 3, pause: float = 5.0, post: Callable[[str, bytes], bytes] | None = None, sleep: Callable[[float], None] = time.sleep) -> dict:
+def boundary_query(relation_id: int) -> str:
+    return f"[out:json][timeout:120];relation({relation_id});out geom;"
+
+
+def basemap_query(box: tuple[float, float, float, float]) -> str:
+    """Water and parks of a box (south, west, north, east)."""
+    at = ",".join(map(str, box))
+    return f"[out:json][timeout:180];(nwr[natural=water]({at});nwr[leisure=park]({at}););out geom;"
+
+
+def _post(url: str, data: bytes) -> bytes:
+    with urlopen(Request(url, data, {"User-Agent": USER_AGENT}), timeout=ANSWER_SECONDS) as answer:
+        return answer.read()
+
+
+def ask(query: str, endpoints: Iterable[str] = ENDPOINTS, rounds: int = 3, pause: float = 5.0, post: Callable[[str, bytes], bytes] | None = None, sleep: Callable[[float], None] = time.sleep) -> dict:
     """The first good answer of the endpoints, tried in turn with growing pauses; runtime errors inside an answer and answers without elements are no good."""
-    post = post or (lambda url, data: urlopen(Request(url, data)).read())
+    post = post or _post
     faults = []
     for turn in range(rounds):
         for endpoint in endpoints:
@@ -146,32 +165,40 @@ def cached_boundary(spark: SparkSession, part: dict) -> dict:
 
 
 def join_rings(ways: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
-    """Closed rings from open ways joined end to end, whichever way they run; starts from the last way, drops what does not close or has under four points."""
-    rest, rings = [list(w) for w in ways if len(w) > 1], []
-    while rest:
-        ring = rest.pop()
+    """Closed rings from open ways joined end to end, whichever way they run; drops what does not close or has under four points.
+
+    An index of end points tells which ways meet, so the work grows with the points. A ring begins with
+    the last way that is left and takes the first way that touches one of its ends, its far end first.
+    """
+    left = {i: way for i, way in enumerate(ways) if len(way) > 1}
+    touching: dict[tuple[float, float], list[int]] = defaultdict(list)
+    for i in reversed(left):
+        for end in {left[i][0], left[i][-1]}:
+            touching[end].append(i)  # the first way lies on top
+
+    def first_at(point: tuple[float, float]) -> int | None:
+        stack = touching[point]
+        while stack and stack[-1] not in left:
+            stack.pop()
+        return stack[-1] if stack else None
+
+    rings = []
+    while left:
+        ring = deque(left.popitem()[1])
         while ring[0] != ring[-1]:
-            for i, way in enumerate(rest):
-                joined = next((j for j in _joins(ring, way) if j), None)
-                if joined:
-                    ring = joined
-                    del rest[i]
-                    break
-            else:
+            meeting = [i for i in (first_at(ring[-1]), first_at(ring[0])) if i is not None]
+            if not meeting:
                 break
+            way = left.pop(min(meeting))
+            if ring[-1] in (way[0], way[-1]):
+                ring.extend(way[1:] if way[0] == ring[-1] else reversed(way[:-1]))
+            else:
+                ring.extendleft(way[1:] if way[0] == ring[0] else reversed(way[:-1]))
         if ring[0] == ring[-1] and len(ring) > 3:
-            rings.append(ring)
+            rings.append(list(ring))
     return rings
 
 
-def _joins(ring: list, way: list) -> Iterator[list | None]:
-    """The four ways to put a way to an end of a ring, in the order they are tried."""
-    yield ring + way[1:] if way[0] == ring[-1] else None
-    yield ring + way[-2::-1] if way[-1] == ring[-1] else None
-    yield way[:-1] + ring if way[-1] == ring[0] else None
-    yield way[:0:-1] + ring if way[0] == ring[0] else None
-
-
 def _holds(ring: list[tuple[float, float]], point: tuple[float, float]) -> bool:
     lat, lon = point
     inside = False
@@ -219,9 +246,7 @@ def boundary(found: DataFrame, relation_id: int, min_distance_m: float = 15.0) -
 def basemap(polygons: DataFrame) -> DataFrame:
     """(layer, id, polygons): water, parks or neither by tags; water wins where both are tagged."""
     t = lambda k: F.try_element_at("tags", F.lit(k))
-    water = (t("natural") == "water") | (t("waterway") == "riverbank") | (t("landuse") == "reservoir")
-    park = t("leisure").isin("park", "garden") | t("landuse").isin("grass", "forest", "recreation_ground") | (t("natural") == "wood")
-    layer = F.when(F.coalesce(water, F.lit(False)), "water").when(F.coalesce(park, F.lit(False)), "parks")
+    layer = F.when(t("natural") == "water", "water").when(t("leisure") == "park", "parks")
     return polygons.select(layer.alias("layer"), "id", "polygons").filter("layer is not null")
 
 
