@@ -6,9 +6,13 @@ import argparse
 import json
 import sys
 import tempfile
+from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import replace
 from datetime import date, datetime, timezone
+from functools import partial
 from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,28 +58,34 @@ def confined(points: DataFrame, polygons: list, what: str) -> DataFrame:
     return kept
 
 
-def along_streets(city: City, net: network.Network, origin: DataFrame, part: dict) -> tuple[network.Network, DataFrame, DataFrame, DataFrame, dict[str, object]]:
-    """The network with its neighbours along streets, times (origin, point, minutes) at its stops and at street nodes, the nodes, and the street asset."""
-    walk = city.walk
+def street_tables(city: City, net: network.Network, part: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, snaps (key = stop_ix, node_ix, snap_m)) of a cached street map."""
     nodes, edges = (cut(df) for df in streets.build_street_graph(*osm.cached_streets(net.stops.sparkSession, part)))
-    snapped = lambda df, c: streets.snap(df.select(F.col(c).alias("key"), "lat", "lon"), nodes, walk.max_snap_m)
+    return nodes, edges, cut(streets.snap(net.stops.select(F.col("stop_ix").alias("key"), "lat", "lon"), nodes, city.walk.max_snap_m))
+
+
+def walk_asset(nodes: DataFrame, edges: DataFrame, snaps: DataFrame) -> dict:
+    stop_snaps = [None if r.node_ix is None else (r.node_ix, r.snap_m) for r in snaps.orderBy("key").collect()]
+    drawn = [(r.a, r.b, r.metres, r.cls, [(p.lat, p.lon) for p in r["shape"]]) for r in edges.collect()]
+    return assets.street_asset([(r.lat, r.lon) for r in nodes.orderBy("node_ix").collect()], drawn, stop_snaps)
+
+
+def along_streets(city: City, net: network.Network, origin: DataFrame, nodes: DataFrame, edges: DataFrame, snaps: DataFrame) -> tuple[network.Network, DataFrame, DataFrame]:
+    """The network with its neighbours along streets, and times (origin, point, minutes) at its stops and at street nodes."""
+    walk = city.walk
     sources = lambda df: df.select(F.col("key").alias("source"), F.col("node_ix").alias("node"), F.col("snap_m").alias("metres0"))
-    snaps = cut(snapped(net.stops, "stop_ix"))
     found = snaps.filter("node_ix is not null").select(F.col("key").alias("stop_ix"), F.col("node_ix").alias("node"), "snap_m")
     reached = cut(search.street_reach(edges, sources(snaps), max(walk.max_access_m, walk.max_transfer_walk_m)))
     net = replace(net, neighbors=cut(search.street_neighbors(reached, found, walk.max_transfer_walk_m, walk.speed_m_per_min)))
     stop_walks = reached.filter(F.col("metres") <= walk.max_access_m)
-    origin_walks = cut(search.street_reach(edges, sources(snapped(origin, "origin")), walk.max_access_m))
-    to_stops = origin_walks.join(found, "node").withColumn("metres", F.col("metres") + F.col("snap_m")).filter(F.col("metres") <= walk.max_access_m)
-    walked = to_stops.select(F.col("source").alias("origin"), "stop_ix", (F.col("metres") / walk.speed_m_per_min).alias("minutes"))
+    at_origin = streets.snap(origin.select(F.col("origin").alias("key"), "lat", "lon"), nodes, walk.max_snap_m)
+    origin_walks = cut(search.street_reach(edges, sources(at_origin), walk.max_access_m))
+    walked = search.stops_walked_to(origin_walks, found, walk.max_access_m, walk.speed_m_per_min)
     at_stops = cut(search.network_stop_times(net, city, origin, walked=walked))
     ends = found.join(net.stops.select("stop_ix", F.col("stop_id").alias("point")), "stop_ix").select("point", "node", "snap_m")
     times = search.street_point_times(at_stops, stop_walks, origin_walks, ends, walk.max_access_m, walk.speed_m_per_min)
     at_nodes = search.node_times(at_stops, stop_walks, origin_walks, walk.speed_m_per_min).withColumn("point", F.col("node").cast("string"))
-    stop_snaps = [None if r.node_ix is None else (r.node_ix, r.snap_m) for r in snaps.orderBy("key").collect()]
-    drawn = [(r.a, r.b, r.metres, r.cls, [(p.lat, p.lon) for p in r["shape"]]) for r in edges.collect()]
-    asset = assets.street_asset([(r.lat, r.lon) for r in nodes.orderBy("node_ix").collect()], drawn, stop_snaps)
-    return net, times, at_nodes, nodes, {"walk": asset}
+    return net, times, at_nodes
 
 
 def lines_asset(found: DataFrame) -> dict:
@@ -85,10 +95,10 @@ def lines_asset(found: DataFrame) -> dict:
     return {"lines": drawn, "warnings": [f"line {r.line_id}: {r.warning}" for r in rows if r.warning]}
 
 
-def build_assets(city: City, feed: dict[str, DataFrame], today: date, built_at: datetime, context: dict) -> dict[str, object]:
+def build_assets(city: City, feed: dict[str, DataFrame], today: date, built_at: datetime, context: dict, feed_meta: dict | None = None, source: str = "cache") -> dict[str, object]:
     """Every asset of a city, with the statistics from its centre.
 
-    context: the cached parts of the map. A city that walks along streets gets its neighbours, times and
+    context: the parts of the map, ``source``: where they come from; feed_meta: source and validity of the feed. A city that walks along streets gets its neighbours, times and
     shares from them; a boundary confines what the shares are taken of.
     """
     if city.walk.streets and not context.get("streets"):
@@ -107,33 +117,59 @@ def build_assets(city: City, feed: dict[str, DataFrame], today: date, built_at:
     feed, active = feed | {"trips": trips}, service_days.services_on(days, F.lit(reference.day))
     net = network.build_network(feed, active, city)
     spark = days.sparkSession
-    boundary = osm.cached_boundary(spark, context.get("boundary") or {})
+    boundary = osm.NO_BOUNDARY | osm.cached_boundary(spark, context.get("boundary") or {})
     polygons = boundary.get("polygons") or []
     origin = spark.createDataFrame([("center", *map(float, city.center))], "origin string, lat double, lon double")
     if net.stops.isEmpty():
         raise FeedError("no line departs inside the window")
     points = confined(net.stops.select(F.col("stop_id").alias("point"), "lat", "lon"), polygons, "stops")
-    extra, node_share = {}, None
+    node_share = None
+    walked = street_tables(city, net, context["streets"]) if context.get("streets") else None
     if city.walk.streets:
-        net, times, at_nodes, nodes, extra = along_streets(city, net, origin, context["streets"])
-        node_share = stats.reach_share(at_nodes, confined(nodes.select(F.col("node_ix").cast("string").alias("point"), "lat", "lon"), polygons, "street nodes"), origin, THRESHOLD_MIN)
+        net, times, at_nodes = along_streets(city, net, origin, *walked)
+        node_share = stats.reach_share(at_nodes, confined(walked[0].select(F.col("node_ix").cast("string").alias("point"), "lat", "lon"), polygons, "street nodes"), origin, THRESHOLD_MIN)
     else:
         times = search.point_times(search.network_stop_times(net, city, origin), net.stops, origin, points, city.walk)
     share = stats.reach_share(times, points, origin, THRESHOLD_MIN)
     row = stats.city_stats(net.waits, net.lines, net.stops, share, THRESHOLD_MIN, stats.scope(city.walk.streets, bool(polygons)), node_share).first()
+    day, feed_meta = reference.day.isoformat(), feed_meta or {}
     return {
-        "meta": {"schema": assets.VERSION, "city": city.id, "built_at": built_at.isoformat(), "built_on": today.isoformat(), "reference_date": reference.day.isoformat()},
-        "graph": assets.graph_asset(assets.graph_tables(net, feed["routes"])), "lines": lines_asset(network.feed_geometry(feed, active, net.lines)),
-        "boundary": boundary, "basemap": context.get("basemap", {}), "stats": row.asDict(recursive=True),
-    } | extra
-
-
-def main(argv: list[str] | None = None, spark: SparkSession | None = None, now: datetime | None = None) -> int:
+        "meta": {
+            "schema": assets.VERSION, "city": {"id": city.id, "name": city.other.get("name", city.id)}, "built_at": built_at.isoformat(), "built_on": today.isoformat(),
+            "reference_date": day, "feed": feed_meta, "osm": {"source": source},
+        },
+        "graph": assets.graph_asset(assets.graph_tables(net, feed["routes"]), city, reference.day), "lines": lines_asset(network.feed_geometry(feed, active, net.lines)),
+        "boundary": boundary, "basemap": osm.cached_basemap(spark, context.get("basemap") or {}),
+        "stats": row.asDict(recursive=True) | {"reference_date": day, "built_on": today.isoformat(), "feed": feed_meta},
+        "walk": walk_asset(*walked) if walked else assets.street_asset([], [], [None] * net.stops.count()),
+    }
+
+
+@contextmanager
+def shared_folder(spark: SparkSession):
+    """A folder for downloads that the executors can read: beside the checkpoints where spark.checkpoint.dir names a path, local only in a local session."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = urlparse(named).path if named and urlparse(named).scheme in ("", "file") else None
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise OSError("set spark.checkpoint.dir to a folder that all executors share")
+    if base:
+        Path(base).mkdir(parents=True, exist_ok=True)
+    with tempfile.TemporaryDirectory(prefix="isotrek-feed-", dir=base) as folder:
+        yield folder
+
+
+def path_source(sources: list[str], path: str) -> str:
+    """The source that a downloaded file, named by its place in the list, was fetched from."""
+    return sources[int(Path(path).stem)]
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, now: datetime | None = None, ask: Callable[[str], dict] = osm.ask) -> int:
     parser = argparse.ArgumentParser(prog="isotrek.build")
     parser.add_argument("city", help="path of the city's configuration")
     parser.add_argument("--gtfs", action="append", default=[], help="feed zip or web address; several are tried in turn")
     parser.add_argument("--out", required=True)
-    parser.add_argument("--osm-cache")
+    parser.add_argument("--osm-cache", help="folder of the saved map; without it and without --refresh-osm there is no map")
+    parser.add_argument("--refresh-osm", action="store_true", help="ask the map servers instead of the saved map")
     parser.add_argument("--allow-expired", action="store_true")
     parser.add_argument("--today", help="day of the build, YYYY-MM-DD")
     args = parser.parse_args(argv)
@@ -142,14 +178,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, now:
     try:
         path = Path(args.city)
         city = parse_city(json.loads(path.read_text(encoding="utf-8")), path.stem)
-        context, warning = osm.choose_context(None, args.osm_cache or "", skip=not args.osm_cache, streets=city.walk.streets)
         if spark is None:
             from isotrek.session import local_session
 
             spark = local_session()
-        with tempfile.TemporaryDirectory() as folder:
-            _, feed, valid = fetch(args.gtfs, folder, today, spark, args.allow_expired)
-            built = build_assets(city, feed, today, built_at, context)
+        live = partial(osm.fetch_live, spark, city, ask) if args.refresh_osm else None
+        context, origin, warning = osm.choose_context(live, args.osm_cache or "", args.refresh_osm, not (args.osm_cache or args.refresh_osm), city.walk.streets)
+        sources = args.gtfs or (city.other.get("gtfs") or {}).get("sources", [])
+        with shared_folder(spark) as folder:
+            path, feed, valid = fetch(sources, folder, today, spark, args.allow_expired)
+            meta = {"source": Path(path).name if path in sources else path_source(sources, path), "valid_from": valid[0].isoformat(), "valid_to": valid[1].isoformat(), "expired": valid[1] < today}
+            built = build_assets(city, feed, today, built_at, context, meta, origin)
             assets.write_assets(built, str(Path(args.out, city.id)))
         if checks.check_expiry(valid[1], today, True):
             print(f"warning: feed expired on {valid[1].isoformat()}", file=sys.stderr)

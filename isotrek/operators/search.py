@@ -358,6 +358,12 @@ def node_times(at_stops: DataFrame, stop_walks: DataFrame, origin_walks: DataFra
     return on_foot.unionByName(ridden).groupBy("origin", "node").agg(F.min("minutes").alias("minutes"))
 
 
+def stops_walked_to(origin_walks: DataFrame, snaps: DataFrame, limit_m: float, speed: float) -> DataFrame:
+    """(origin, stop_ix, minutes): stops that an origin reaches along streets: its walk to the stop's node plus the stop's snap, within the limit."""
+    ends = origin_walks.join(snaps, "node").withColumn("metres", F.col("metres") + F.col("snap_m")).filter(F.col("metres") <= limit_m)
+    return ends.groupBy(F.col("source").alias("origin"), "stop_ix").agg((F.min("metres") / speed).alias("minutes"))
+
+
 def street_point_times(at_stops: DataFrame, stop_walks: DataFrame, origin_walks: DataFrame, snaps: DataFrame, limit_m: float, speed: float) -> DataFrame:
     """(origin, point, minutes) as point_times, along streets: node_times plus the point's own snap (point, node, snap_m), each walk within the limit."""
     ends = lambda walks, c: walks.select(F.col("source").alias(c), "node", "metres").join(snaps, "node").withColumn("metres", F.col("metres") + F.col("snap_m")).filter(F.col("metres") <= limit_m)

@@ -68,7 +68,7 @@ def city_stats(waits: DataFrame, lines: DataFrame, stops: DataFrame, share: Data
     together = counts.crossJoin(share).crossJoin(headway_summary(medians)).crossJoin(by_line)
     return together.select(
         "stops", "lines",
-        F.struct(F.lit(float(threshold)).alias("threshold_min"), "origins", F.lit(scope_name).alias("scope"), "percent_stops", *nodes).alias("reach"),
+        F.struct(F.lit(threshold).alias("threshold_min"), "origins", F.lit(scope_name).alias("scope"), "percent_stops", *nodes).alias("reach"),
         F.struct("typical_min", "best_min", F.transform("by_line", lambda x: F.struct(x["line_id"].alias("id"), x["median_min"].alias("median_min"))).alias("by_line")).alias("headway"),
     )
 

@@ -15,7 +15,7 @@ MIN_RIDE_MINUTES = 0.4
 NETWORKS = ("straight", "streets")
 CITY_KEYS = {
     "id", "name", "country", "timezone", "bbox", "center", "modes", "window", "isochrones", "max_minutes", "grid", "feeds",
-    "boundary", "default_language", "geocoder", "attribution", "languages", "allow_expired", "stats",
+    "boundary", "gtfs", "locale", "default_language", "geocoder", "attribution", "languages", "allow_expired", "stats",
 }
 
 

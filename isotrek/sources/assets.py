@@ -6,15 +6,20 @@ import json
 import os
 import shutil
 import tempfile
+from dataclasses import asdict
+from datetime import date
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isotrek.functions.numbers import round_half_even
 from isotrek.operators.network import Network
+from isotrek.params import City, Mode, Walk
 
 VERSION, SCALE = 1, 100_000
+# The names of the published files.
 REQUIRED, OPTIONAL, STREET_ONLY = ("meta", "graph", "lines", "boundary", "basemap"), ("stats",), ("walk",)
 
 
@@ -54,17 +59,38 @@ def load_assets(folder: str, streets: bool = False) -> dict[str, object]:
 
 def graph_tables(net: Network, routes: DataFrame) -> dict[str, DataFrame]:
     """The network as the published tables: stops, lines with route names, rides, waits, neighbours with minutes rounded to 2; each sorted by its key."""
-    names = routes.select("route_id", *(F.col(c) for c in ("route_short_name", "route_long_name") if c in routes.columns)).dropDuplicates(["route_id"])
-    near = net.neighbors.select("a", "b", F.round("minutes", 2).alias("minutes"))
+    shown = [c for c in ("route_short_name", "route_long_name") if c in routes.columns]
+    names = routes.groupBy("route_id").agg(*(F.min(c).alias(c) for c in shown)) if shown else routes.select("route_id").distinct()
+    near = net.neighbors.select("a", "b", round_half_even(F.col("minutes"), 2).alias("minutes"))
     return {
         "stops": net.stops.orderBy("stop_ix"), "lines": net.lines.join(names, "route_id", "left").orderBy("line_ix"), "rides": net.rides.orderBy("line_ix", "a", "b"),
         "waits": net.waits.orderBy("stop_ix", "line_ix"), "neighbors": near.orderBy("a", "b"),
     }
 
 
-def graph_asset(tables: dict[str, DataFrame]) -> dict:
-    """The published tables as one JSON value; they are one city's and small enough for the driver."""
-    return {"schema": VERSION} | {name: [row.asDict(recursive=True) for row in df.collect()] for name, df in tables.items()}
+def graph_asset(tables: dict[str, DataFrame], city: City, reference_date: date) -> dict:
+    """The published graph: stops and lines as objects, waits, rides and neighbours as rows of numbers; one city's tables are small enough for the driver."""
+    rows = {name: df.collect() for name, df in tables.items()}
+    near: list[list[list]] = [[] for _ in rows["stops"]]
+    for r in rows["neighbors"]:
+        near[r.a].append([r.b, r.minutes])
+    text = lambda r, c: (r[c] if c in r and r[c] is not None else "")
+    return {
+        "schema": VERSION, "reference_date": reference_date.isoformat(), "walk": walk_block(city.walk), "modes": {m.id: mode_block(m) for m in city.modes},
+        "stops": [{"id": r.stop_id, "name": r.name, "lat": r.lat, "lon": r.lon} for r in rows["stops"]],
+        "lines": [{"id": r.line_id, "route_id": r.route_id, "direction": r.direction, "mode": r["mode"], "name": text(r, "route_short_name"), "long_name": text(r, "route_long_name")} for r in rows["lines"]],
+        "waits": [[r.stop_ix, r.line_ix, r.wait] for r in rows["waits"]], "rides": [[r.line_ix, r.a, r.b, r.minutes] for r in rows["rides"]], "neighbors": near,
+    }
+
+
+def walk_block(walk: Walk) -> dict:
+    block = {"kind": "walk", **{k: getattr(walk, k) for k in ("detour_factor", "speed_m_per_min", "max_access_m", "max_transfer_walk_m")}}
+    return block | ({"network": walk.network, "max_snap_m": walk.max_snap_m} if walk.streets else {})
+
+
+def mode_block(mode: Mode) -> dict:
+    numbers = [int(t) if t.isdigit() else t for t in mode.route_types]
+    return {"kind": "transit", "route_types": numbers, "wait": asdict(mode.wait), "transfer_min": mode.transfer_min, "enabled_default": mode.enabled_default}
 
 
 def save_tables(tables: dict[str, DataFrame], folder: str, city: str) -> None:
@@ -82,14 +108,20 @@ def undelta(values: list[int]) -> list[int]:
 
 
 def street_asset(nodes: list[tuple[float, float]], edges: list[tuple[int, int, int, int, list[tuple[float, float]]]], snaps: list[tuple[int, float] | None] | None = None) -> dict:
-    """Nodes and edges (a, b, metres, class, inner points; a < b, each once) as delta-coded arrays; stop snaps in whole metres."""
-    ordered = sorted(edges)
-    degree = np.bincount([e[0] for e in ordered], minlength=len(nodes)).tolist() if ordered else [0] * len(nodes)
-    shape = [p for e in ordered for p in e[4]]
-    fixed = lambda pts, i: deltas([round(p[i] * SCALE) for p in pts])
+    """Nodes and edges (a, b, metres, class, inner points; a < b, each once) as arrays; stop snaps in whole metres.
+
+    Nodes are delta-coded in order. An edge stands under its lower node a (``deg`` edges each) with b - a; its
+    inner points are differences, the first to node a.
+    """
+    fixed = lambda points: np.rint(np.asarray(points, float).reshape(-1, 2) * SCALE).astype("int64")
+    ordered, at = sorted(edges, key=lambda e: (e[0], e[1])), fixed(nodes)
+    steps = [np.diff(np.vstack([at[e[0]][None], fixed(e[4])]), axis=0) for e in ordered if e[4]]
+    shape = np.vstack(steps) if steps else np.zeros((0, 2), "int64")
+    ends = np.array([(e[0], e[1]) for e in ordered], "int64").reshape(-1, 2)
     asset = {
-        "schema": VERSION, "scale": SCALE, "n": len(nodes), "lat": fixed(nodes, 0), "lon": fixed(nodes, 1), "deg": degree, "to": [e[1] for e in ordered],
-        "m": [e[2] for e in ordered], "cls": [e[3] for e in ordered], "geo": [len(e[4]) for e in ordered], "glat": fixed(shape, 0), "glon": fixed(shape, 1),
+        "schema": VERSION, "scale": SCALE, "n": len(nodes), "lat": deltas(at[:, 0].tolist()), "lon": deltas(at[:, 1].tolist()),
+        "deg": np.bincount(ends[:, 0], minlength=len(nodes)).tolist(), "to": (ends[:, 1] - ends[:, 0]).tolist(),
+        "m": [e[2] for e in ordered], "cls": [e[3] for e in ordered], "geo": [len(e[4]) for e in ordered], "glat": shape[:, 0].tolist(), "glon": shape[:, 1].tolist(),
     }
     if snaps is not None:
         asset["stops"] = {"node": [s[0] if s else -1 for s in snaps], "snap_m": [round(s[1]) if s else 0 for s in snaps]}
@@ -100,10 +132,15 @@ def decode_street_asset(spark: SparkSession, asset: dict) -> tuple[DataFrame, Da
     """(nodes (node_ix, lat, lon), edges (a, b, metres, cls, shape)) of a street asset."""
     if asset.get("schema") != VERSION:
         raise ValueError(f"street asset of version {asset.get('schema')}, {VERSION} expected")
-    lat, lon, glat, glon = (np.cumsum(asset[k]) / asset["scale"] if asset[k] else np.zeros(0) for k in ("lat", "lon", "glat", "glon"))
-    sources = np.repeat(np.arange(asset["n"]), asset["deg"])
-    ends = np.cumsum(asset["geo"]) if asset["geo"] else np.zeros(0, int)
-    shapes = [[(float(glat[i]), float(glon[i])) for i in range(e - n, e)] for e, n in zip(ends.tolist(), asset["geo"])]
-    nodes = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(lat, lon))], "node_ix int, lat double, lon double")
-    edges = spark.createDataFrame([(int(a), int(b), int(m), int(c), s) for a, b, m, c, s in zip(sources, asset["to"], asset["m"], asset["cls"], shapes)], "a int, b int, metres int, cls int, shape array<struct<lat:double,lon:double>>")
+    scale = asset["scale"]
+    at = np.column_stack([undelta(asset["lat"]), undelta(asset["lon"])]).astype("int64").reshape(-1, 2)
+    lower = np.repeat(np.arange(asset["n"]), asset["deg"])
+    inner, counts = np.column_stack([asset["glat"], asset["glon"]]).astype("int64").reshape(-1, 2), np.asarray(asset["geo"], "int64")
+    edge = np.repeat(np.arange(len(counts)), counts)
+    run = np.vstack([np.zeros((1, 2), "int64"), np.cumsum(inner, axis=0)])
+    before = run[(np.cumsum(counts) - counts)]
+    points = (at[lower[edge]] + run[1:] - before[edge]) / scale if len(edge) else np.zeros((0, 2))
+    shapes = [list(map(tuple, part.tolist())) for part in np.split(points, np.cumsum(counts)[:-1])] if len(counts) else []
+    nodes = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(at / scale)], "node_ix int, lat double, lon double")
+    edges = spark.createDataFrame([(int(a), int(a) + int(step), int(m), int(c), s) for a, step, m, c, s in zip(lower, asset["to"], asset["m"], asset["cls"], shapes)], "a int, b int, metres int, cls int, shape array<struct<lat:double,lon:double>>")
     return nodes, edges

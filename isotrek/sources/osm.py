@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 from isotrek.functions.geo import thin_ring
 from isotrek.functions.numbers import round_half_even
 from isotrek.operators.streets import SCALE, hilbert_numbers
-from isotrek.session import ship
+from isotrek.params import City
+from isotrek.session import cut, ship
 
 # The ways people walk on, by the class they are drawn in (0 path, 1 minor, 2 main).
 ROAD_CLASSES = {
@@ -160,7 +161,9 @@ def cached_boundary(spark: SparkSession, part: dict) -> dict:
     if "elements" not in part:
         return part
     ids = [e["id"] for e in part["elements"] if e.get("type") == "relation"]
-    found = boundary(elements(spark, [part]), ids[0] if ids else 0).orderBy("id").collect()
+    if not ids:
+        raise OsmError("the boundary's answer holds no relation")
+    found = boundary(elements(spark, [part]), ids[0]).orderBy("id").collect()
     return {"id": ids[0], "polygons": [[[[v.lat, v.lon] for v in ring] for ring in polygon] for row in found for polygon in row.polygons]}
 
 
@@ -251,6 +254,45 @@ def basemap(polygons: DataFrame) -> DataFrame:
 
 
 CACHE_PARTS = ("boundary", "basemap", "streets")
+NO_BOUNDARY, NO_BASEMAP = {"id": None, "polygons": []}, {"parks": [], "water": []}
+
+
+def cached_basemap(spark: SparkSession, part: dict) -> dict:
+    """(water, parks) of a cached basemap, as it is published: polygons of rings of [lat, lon]."""
+    if "elements" not in part:
+        return NO_BASEMAP | part
+    layers: dict[str, list] = {"parks": [], "water": []}
+    for row in basemap(element_polygons(elements(spark, [part]))).orderBy("layer", "id").collect():
+        layers[row.layer] += [[[[v.lat, v.lon] for v in ring] for ring in polygon] for polygon in row.polygons]
+    return layers
+
+
+def pack_streets(nodes: DataFrame, ways: DataFrame) -> dict:
+    """street_ways in the form that is cached: positions in 1e-5 degrees and node numbers, both as differences; one city's map fits a driver."""
+    places, rows = nodes.orderBy("node").collect(), ways.orderBy("way").collect()
+    steps = lambda values: np.diff(np.asarray([0, *values], "int64")).tolist()
+    fixed = lambda c: steps([round(p[c] * SCALE) for p in places])
+    return {"lat": fixed("lat"), "lon": fixed("lon"), "ways": [steps(r.nodes) for r in rows], "cls": [r["cls"] for r in rows]}
+
+
+def fetch_streets(spark: SparkSession, bbox: tuple[float, float, float, float], fetch: Callable[[str], dict] = ask) -> dict:
+    """The walkable ways of a box (west, south, east, north), asked for tile by tile, in the cached form."""
+    nodes, ways = street_ways(elements(spark, [fetch(street_query(tile)) for tile in tiles(*bbox)]))
+    packed = pack_streets(cut(nodes), cut(ways))
+    if not packed["ways"]:
+        raise OsmError("no walkable way in the box of the city")
+    return packed
+
+
+def fetch_live(spark: SparkSession, city: City, fetch: Callable[[str], dict] = ask) -> dict[str, dict]:
+    """All parts of a city's map from the map servers; streets only for a city that walks along them."""
+    west, south, east, north = city.bbox
+    relation = (city.other.get("boundary") or {}).get("osm_relation_id")
+    parts = {
+        "boundary": cached_boundary(spark, fetch(boundary_query(relation))) if relation else NO_BOUNDARY,
+        "basemap": cached_basemap(spark, fetch(basemap_query((south, west, north, east)))),
+    }
+    return parts | ({"streets": fetch_streets(spark, city.bbox, fetch)} if city.walk.streets else {})
 
 
 def save_cache(parts: dict[str, dict], folder: str) -> None:
@@ -271,15 +313,29 @@ def load_cache(folder: str) -> dict[str, dict]:
     return parts
 
 
-def choose_context(live: Callable[[], dict] | None, folder: str, refresh: bool = False, skip: bool = False, streets: bool = False) -> tuple[dict, str | None]:
-    """(parts, warning): the cache unless a refresh is asked for; a failed refresh falls back to the cache; skipping is refused for a city that walks along streets."""
+def choose_context(live: Callable[[], dict] | None, folder: str, refresh: bool = False, skip: bool = False, streets: bool = False) -> tuple[dict, str, str | None]:
+    """(parts, source, warning): the cache if it has what the city needs and no refresh is asked for, else live, else the cache after all.
+
+    Skipping is refused for a city that walks along streets. Without ``live`` only the cache can serve.
+    """
     if skip:
         if streets:
             raise OsmError("a city that walks along streets needs the street map")
-        return {}, None
-    if refresh and live:
-        try:
-            return live(), None
-        except OsmError as e:
-            return load_cache(folder), f"map servers failed, using the cache: {e}"
-    return load_cache(folder), None
+        return {}, "skipped", None
+    fault = None
+    try:
+        parts = load_cache(folder)
+        if streets and "streets" not in parts:
+            parts, fault = None, OsmError(f"{folder}: the cache has no street map, which a city that walks along streets needs")
+    except OsmError as e:
+        parts, fault = None, e
+    if parts is not None and not (refresh and live):
+        return parts, "cache", None
+    if live is None:
+        raise fault
+    try:
+        return live(), "live", None
+    except OsmError as e:
+        if parts is None:
+            raise OsmError(f"{e}; {fault}") from None
+        return parts, "cache", f"map servers failed, using the cache: {e}"

@@ -1,10 +1,13 @@
 import json
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 from isotrek import build
 from isotrek.operators import published
+from isotrek.operators.checks import release_problems
+from isotrek.params import parse_city
 from isotrek.sources import assets, osm
 from tests.conftest import rows
 from tests.feeds import at
@@ -29,8 +32,15 @@ def test_build(spark, tmp_path, capsys):
     assert run("--today", "2026-03-02") == 0
     first = {p.name: p.read_bytes() for p in (out / "mini").iterdir()}
     graph, meta, stats = (json.loads(first[f"{n}.json"]) for n in ("graph", "meta", "stats"))
-    assert [r["minutes"] for r in graph["rides"]] == [5, 10, 7] and [w["wait"] for w in graph["waits"]] == [15, 15, 15] and graph["waits"][0]["headway"] == 780
-    assert meta["reference_date"] == "2026-03-03" and stats["stops"] == 4 and stats["headway"]["typical_min"] == 780
+    assert graph["rides"] == [[0, 0, 1, 5.0], [1, 1, 2, 10.0], [2, 2, 3, 7.0]] and graph["waits"] == [[0, 0, 15], [1, 1, 15], [2, 2, 15]] and graph["neighbors"] == [[], [], [], []]
+    assert graph["stops"][0] == {"id": "S1", "lat": 41.6, "lon": -4.7, "name": "One"} and graph["lines"][0] == {"direction": "0", "id": "A:0", "long_name": "", "mode": "bus", "name": "1", "route_id": "A"}
+    assert graph["modes"] == {"bus": {"enabled_default": True, "kind": "transit", "route_types": [3], "transfer_min": 1.5, "wait": {"factor": 0.5, "max": 15, "min": 1}}}
+    assert graph["walk"] == {"detour_factor": 1.0, "kind": "walk", "max_access_m": 1000, "max_transfer_walk_m": 400, "speed_m_per_min": 75} and graph["reference_date"] == "2026-03-03"
+    assert meta["reference_date"] == "2026-03-03" and stats["stops"] == 4 and stats["headway"]["typical_min"] == 780 and stats["feed"] == meta["feed"]
+    assert meta["feed"] == {"expired": False, "source": "f.zip", "valid_from": "2026-01-01", "valid_to": "2027-12-31"} and meta["city"] == {"id": "mini", "name": "mini"} and meta["osm"] == {"source": "skipped"}
+    assert json.loads(first["walk.json"])["n"] == 0 and json.loads(first["basemap.json"]) == {"parks": [], "water": []} and json.loads(first["boundary.json"]) == {"id": None, "polygons": []}
+    metas = spark.createDataFrame([(meta["city"]["id"], meta["feed"]["valid_to"], meta["feed"]["expired"])], "city string, valid_to string, expired boolean")
+    assert release_problems(metas, metas.select("city"), date(2026, 3, 2)).collect() == [] and release_problems(metas, metas.select("city"), date(2028, 3, 2)).count() == 1
     assert run("--today", "2026-03-02") == 0
     again = {p.name: p.read_bytes() for p in (out / "mini").iterdir()}
     assert {k: v for k, v in first.items() if k != "meta.json"} == {k: v for k, v in again.items() if k != "meta.json"}
@@ -64,7 +74,7 @@ def test_build_along_streets(spark, tmp_path, capsys):
     assert run("open") == 0 and "line B:0: straight stop segments" in capsys.readouterr().err
     got = assets.load_assets(str(tmp_path / "open" / "mini"), streets=True)
     near = got["graph"]["neighbors"]  # four edges of 56 m from the corner and a snap of 22 m
-    assert [(n["a"], n["b"]) for n in near] == [(0, 2), (2, 0)] and all(abs(n["minutes"] - (4 * 56 + 22.5) / 75) < 0.02 for n in near)
+    assert [[b for b, _ in n] for n in near] == [[2], [], [0], []] and all(abs(n[0][1] - (4 * 56 + 22.5) / 75) < 0.02 for n in near if n)
     assert got["stats"]["reach"]["scope"] == "streets" and got["stats"]["reach"]["percent_stops"] == 50.0 and 70 < got["stats"]["reach"]["percent_nodes"] < 85
     assert got["walk"]["stops"]["node"][3] == -1 and min(got["walk"]["stops"]["node"][:3]) >= 0 and 1290 <= sum(got["walk"]["m"]) <= 1310
     assert got["lines"]["lines"][0] == {"id": "A:0", "mode": "bus", "source": "shapes", "points": [[41.6, -4.7], [41.61, -4.66], [41.6, -4.64]]}
@@ -89,7 +99,51 @@ def test_build_inside_a_boundary(spark, tmp_path):
     assert build.main([str(city), "--gtfs", str(feed), "--out", str(tmp_path), "--osm-cache", cache, "--today", "2026-03-02"], spark) == 0
     got = assets.load_assets(str(tmp_path / "mini"))
     assert got["boundary"]["id"] == 5 and len(got["boundary"]["polygons"][0][0]) == 5
-    assert got["stats"]["reach"] == {"threshold_min": 30.0, "origins": 1, "scope": "boundary", "percent_stops": 100.0}
+    assert got["stats"]["reach"] == {"threshold_min": 30, "origins": 1, "scope": "boundary", "percent_stops": 100.0}
+
+
+def test_street_asset_in_the_published_form(spark):
+    asset = {
+        "schema": 1, "scale": 100000, "n": 3, "lat": [4160000, 100, 0], "lon": [-470000, 100, 100], "deg": [2, 1, 0], "to": [1, 2, 1], "m": [100, 300, 50], "cls": [1, 2, 0],
+        "geo": [0, 0, 1], "glat": [5], "glon": [-3], "stops": {"node": [1, -1], "snap_m": [7, 0]},
+    }
+    nodes, edges = assets.decode_street_asset(spark, asset)
+    assert [(r.lat, r.lon) for r in nodes.orderBy("node_ix").collect()] == [(41.6, -4.7), (41.601, -4.699), (41.601, -4.698)]
+    got = [(r.a, r.b, r.metres, r.cls, [tuple(p) for p in r.shape]) for r in edges.orderBy("a", "b").collect()]
+    assert got == [(0, 1, 100, 1, []), (0, 2, 300, 2, []), (1, 2, 50, 0, [(41.60105, -4.69903)])]
+    assert assets.street_asset([(41.6, -4.7), (41.601, -4.699), (41.601, -4.698)], got, [(1, 7.2), None]) == asset
+
+
+def test_map_from_servers(spark, tmp_path):
+    way = lambda i, hw, *pts: {"type": "way", "id": i, "tags": {"highway": hw}, "nodes": [n for n, _, _ in pts], "geometry": [{"lat": a, "lon": b} for _, a, b in pts]}
+    ring = [{"lat": a, "lon": b} for a, b in ((41.5, -4.8), (41.5, -4.6), (41.8, -4.6), (41.5, -4.8))]
+    asked = []
+
+    def answer(query):
+        asked.append(query)
+        if "relation" in query:
+            return {"elements": [{"type": "relation", "id": 7, "members": [{"type": "way", "role": "outer", "geometry": ring}]}]}
+        if "natural=water" in query:
+            return {"elements": [{"type": "way", "id": 3, "tags": {"natural": "water", "leisure": "park"}, "geometry": ring}, {"type": "way", "id": 4, "tags": {"leisure": "garden"}, "geometry": ring}]}
+        return {"elements": [way(1, "residential", (10, 41.6, -4.7), (11, 41.601, -4.7)), way(2, "motorway", (10, 41.6, -4.7), (12, 41.7, -4.7))]}
+
+    raw = CITY | {"boundary": {"osm_relation_id": 7}, "bbox": [-4.8, 41.55, -4.65, 41.65], "modes": CITY["modes"] | {"walk": {"kind": "walk", "network": "streets"}}}
+    parts = osm.fetch_live(spark, parse_city(raw), answer)
+    assert len(asked) == 4 and len(osm.tiles(*raw["bbox"])) == 2 and len(parts["basemap"]["water"]) == 1 and parts["basemap"]["parks"] == [] and parts["boundary"]["id"] == 7
+    assert parts["streets"] == {"lat": [4160000, 100], "lon": [-470000, 0], "ways": [[0, 1]], "cls": [1]}
+    folder = str(tmp_path / "c")
+    live = lambda: osm.fetch_live(spark, parse_city(raw), answer)
+    assert osm.choose_context(live, folder, streets=True)[1:] == ("live", None)
+    osm.save_cache({k: v for k, v in parts.items() if k != "streets"}, folder)
+    assert osm.choose_context(live, folder, streets=True)[1] == "live" and osm.choose_context(live, folder)[1] == "cache"
+    osm.save_cache(parts, folder)
+
+    def down():
+        raise osm.OsmError("down")
+
+    assert osm.choose_context(down, folder, refresh=True, streets=True)[1] == "cache" and "down" in osm.choose_context(down, folder, refresh=True)[2]
+    with pytest.raises(osm.OsmError):
+        osm.choose_context(down, str(tmp_path / "empty"))
 
 
 def test_published(spark):

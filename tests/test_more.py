@@ -1,3 +1,4 @@
+import random
 import io
 import json
 import zipfile
@@ -120,6 +121,19 @@ def test_street_graph(spark):
     assert rows(coded) == [(0, 5), (1, 4), (2, -7)] and rows(streets.delta_decode(coded, "v", "i")) == [(0, 5), (1, 9), (2, 2)]
 
 
+def test_contraction_of_random_trees(spark):
+    r = random.Random(8)
+    edges = [(i, r.randrange(max(0, i - 4), i)) if r.random() < 0.3 else (i, i - 1) for i in range(1, 200)]
+    nodes = spark.createDataFrame([(i, 41.0 + r.random() / 100, -4.0 + r.random() / 100) for i in range(200)], "node long, lat double, lon double")
+    links = spark.createDataFrame([(a, b, 5.0 + r.random() * 50, 1) for a, b in edges], "a long, b long, metres double, cls int")
+    got, kept = streets.contract(nodes, links, 60.0).collect(), {x.node for x in streets.junctions(links).collect()}
+    assert abs(sum(x.metres for x in got) - links.agg(F.sum("metres")).first()[0]) <= len(got) / 2 and all(x.a < x.b and x.metres <= 60 for x in got)
+    ends = {x for e in got for x in (e.a, e.b)}
+    assert kept <= ends and len(got) == len(ends) - 1 and len(ends) < 200  # a tree stays a tree
+    one = spark.createDataFrame([(0, 1, 40.0, 1), (1, 2, 10.0, 1), (2, 3, 15.0, 1), (0, 4, 20.0, 1), (0, 5, 20.0, 1), (3, 6, 9.0, 1), (3, 7, 9.0, 1), (8, 9, 1.0, 1), (9, 10, 1.0, 1), (10, 8, 1.0, 1)], "a long, b long, metres double, cls int")
+    assert rows(streets.contract(nodes, one, 60.0).select("a", "b", "metres")) == [(0, 2, 50), (0, 4, 20), (0, 5, 20), (2, 3, 15), (3, 6, 9), (3, 7, 9)]  # the ring 8-9-10 hangs on nothing
+
+
 def test_components_on_a_long_path(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     assert rows(streets.components(path).groupBy("component").count()) == [(0, 61), (100, 2)]
