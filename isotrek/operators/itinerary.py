@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isotrek.operators.search import NetArrays, StateGraph, distances_m, settle, walkable_stops
-from isotrek.session import ship
+from isotrek.operators.search import NetArrays, StateGraph, distances_m, settle, states_in_worker, walkable_stops
+from isotrek.session import ship, spread
 
 LEG = "struct<type:string,minutes:double,line:int,from_stop:int,to_stop:int,stops:array<int>,walk_minutes:double,penalty_minutes:double>"
 RESULT = f"trip string, total double, legs array<{LEG}>, path array<struct<lat:double,lon:double>>"
@@ -50,8 +50,8 @@ def legs_of(states: StateGraph, chain: list[int]) -> list[dict]:
 
 def best_trip(net: NetArrays, states: StateGraph, anchor: tuple[float, float], point: tuple[float, float], reverse: bool, direct_m: float) -> tuple[float, list[dict], list[tuple[float, float]]] | None:
     """Total, legs and polyline of the best way; walking all the way wins ties, then the lower stop; None if out of reach."""
-    best, before = settle(states.backward if reverse else states.forward, states.entries(walkable_stops(net, *anchor), reverse))
-    at_stops = states.stop_minutes(best, reverse)
+    best, before = settle(states.edges, states.entries(walkable_stops(net, *anchor)))
+    at_stops = states.stop_minutes(best)
     direct = float(distances_m(*anchor, np.array([point[0]]), np.array([point[1]]))[0])
     total, via = (net.walk.minutes(direct), None) if direct <= direct_m else (np.inf, None)
     for stop, minutes in walkable_stops(net, *point):
@@ -87,13 +87,12 @@ def itineraries(net: NetArrays, trips: DataFrame, modes: tuple[str, ...] | None
     ``scale_minutes``: trips longer than the scale count as unreachable. Totals equal point_times.
     """
     ship(trips.sparkSession)
-    sent = trips.sparkSession.sparkContext.broadcast(net)
+    sent, key = trips.sparkSession.sparkContext.broadcast(net), net.digest
     direct_m = max(net.walk.max_access_m, direct_walk_m or 0.0)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        states = sent.value.states(modes)
         for batch in batches:
-            out = []
+            states, out = states_in_worker(key, lambda: sent.value, modes, reverse), []
             for trip, lat, lon, to_lat, to_lon in zip(*(batch[c] for c in ("trip", "lat", "lon", "to_lat", "to_lon"))):
                 found = best_trip(sent.value, states, (lat, lon), (to_lat, to_lon), reverse, direct_m)
                 if found and (scale_minutes is None or found[0] <= scale_minutes):
@@ -101,7 +100,7 @@ def itineraries(net: NetArrays, trips: DataFrame, modes: tuple[str, ...] | None
             yield pd.DataFrame(out, columns=["trip", "total", "legs", "path"])
 
     rows = trips.select(F.col("trip").cast("string").alias("trip"), *(F.col(c).cast("double").alias(c) for c in ("lat", "lon", "to_lat", "to_lon"))).dropna()
-    return rows.mapInPandas(search, RESULT)
+    return spread(rows).mapInPandas(search, RESULT)
 
 
 def describe_leg(leg: Column, stop_names: Column, line_names: Column) -> Column:

@@ -111,36 +111,64 @@ def waits_table(spark, city: City) -> DataFrame:
     return spark.createDataFrame(rows or [("", 0.5, 1.0, 15.0)], "mode string, factor double, low double, high double")
 
 
-def build_network(feed: dict[str, DataFrame], active: DataFrame, city: City) -> Network:
-    """The network of one service day: stops in use, lines (route and direction), rides, waits and walking neighbours (straight lines).
+@dataclass
+class Timetable:
+    """The same network by ids, before anything is numbered."""
+
+    rides: DataFrame  # route_id, direction, mode, a, b, minutes
+    waits: DataFrame  # route_id, direction, mode, stop_id, departures, headway, wait
+    stops: DataFrame  # stop_id, name, lat, lon
+
+
+def stop_places(stops: DataFrame) -> DataFrame:
+    """(stop_id, name, lat, lon): one row a stop; of repeated rows the one of the lowest latitude, longitude and name."""
+    number = lambda c: strip(c).try_cast("double").alias(c[5:])
+    rows = stops.select(key("stop_id").alias("stop_id"), strip("stop_name").alias("name"), number("stop_lat"), number("stop_lon")).filter("stop_id is not null")
+    return rows.groupBy("stop_id").agg(F.min(F.struct(F.col("lat").isNull().alias("lost"), "lat", "lon", "name")).alias("p")).select("stop_id", "p.name", "p.lat", "p.lon")
+
+
+def timetable(feed: dict[str, DataFrame], active: DataFrame, city: City) -> Timetable:
+    """Rides, waits and the stops in use of one service day.
 
     ``active``: (service_id) of the day. No hop in the window gives empty tables. The timetable is read
     once: rides and departures come from one aggregation by hop, which is cut by a checkpoint.
     """
-    spark = active.sparkSession
     found = line_hops(feed, active, city)
     line = ["route_id", "direction", "mode"]
     start, end = city.window.seconds
     minutes = F.greatest(F.lit(0), F.col("arr") - F.col("dep")) / 60.0
     measured = cut(found.groupBy(*line, "a", "b").agg(F.median(minutes).alias("m"), F.count("*").alias("n")))
     rides = measured.select(*line, "a", "b", round_half_even(F.greatest(F.lit(MIN_RIDE_MINUTES), F.col("m")), 2).alias("minutes"))
-    boards = measured.groupBy(*line, "a").agg(F.sum("n").alias("departures")).withColumn("headway", F.lit((end - start) / 60.0) / F.col("departures"))
-    lines = dense_index(rides.select(*line).distinct(), ["route_id", "direction"], "line_ix").withColumn("line_ix", F.col("line_ix").cast("int")).withColumn("line_id", F.concat_ws(":", "route_id", "direction"))
+    headway, wait = F.lit((end - start) / 60.0) / F.col("departures"), boarding_wait(F.col("headway"), F.col("factor"), F.col("low"), F.col("high"))
+    boards = measured.groupBy(*line, F.col("a").alias("stop_id")).agg(F.sum("n").alias("departures")).withColumn("headway", headway).join(F.broadcast(waits_table(active.sparkSession, city)), "mode")
+    waits = boards.select(*line, "stop_id", "departures", round_half_even(F.col("headway"), 2).alias("headway"), round_half_even(wait, 2).alias("wait"))
     used = rides.select(F.col("a").alias("stop_id")).union(rides.select("b")).distinct()
-    places = feed["stops"].select(key("stop_id").alias("stop_id"), strip("stop_name").alias("name"), strip("stop_lat").try_cast("double").alias("lat"), strip("stop_lon").try_cast("double").alias("lon")).dropDuplicates(["stop_id"])
-    stops = dense_index(used.join(places, "stop_id"), ["stop_id"], "stop_ix").withColumn("stop_ix", F.col("stop_ix").cast("int"))
+    return Timetable(rides, waits, used.join(stop_places(feed["stops"]), "stop_id").select("stop_id", "name", "lat", "lon"))
+
+
+def walking_neighbors(stops: DataFrame, ident: str, city: City) -> DataFrame:
+    """(a, b, minutes): stops within the transfer walk of each other in a straight line, by their column ``ident``."""
+    points = stops.select(F.col(ident).alias("key"), "lat", "lon")
+    near = near_join(points, points, city.walk.max_transfer_walk_m, "key_a <> key_b")
+    return near.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), (F.col("metres") * city.walk.detour_factor / city.walk.speed_m_per_min).alias("minutes"))
+
+
+def numbered(found: Timetable, city: City) -> Network:
+    """The network with dense numbers: stops by id, lines by route and direction."""
+    rides = found.rides
+    lines = dense_index(rides.select("route_id", "direction", "mode").distinct(), ["route_id", "direction"], "line_ix").withColumn("line_ix", F.col("line_ix").cast("int")).withColumn("line_id", F.concat_ws(":", "route_id", "direction"))
+    stops = dense_index(found.stops, ["stop_id"], "stop_ix").withColumn("stop_ix", F.col("stop_ix").cast("int"))
     number = stops.select("stop_id", "stop_ix")
     at = lambda df, c, name: df.join(number.select(F.col("stop_id").alias(c), F.col("stop_ix").alias(name)), c)
-    ride_ix = at(at(rides.join(lines.drop("mode"), ["route_id", "direction"]), "a", "ix_a"), "b", "ix_b").select("line_ix", F.col("ix_a").alias("a"), F.col("ix_b").alias("b"), "minutes")
-    waiting = at(boards.join(lines.drop("mode"), ["route_id", "direction"]), "a", "stop_ix").join(F.broadcast(waits_table(spark, city)), "mode")
-    waits = waiting.select(
-        "stop_ix", "line_ix", "departures", round_half_even(F.col("headway"), 2).alias("headway"),
-        round_half_even(boarding_wait(F.col("headway"), F.col("factor"), F.col("low"), F.col("high")), 2).alias("wait"),
-    )
-    points = stops.select(F.col("stop_ix").alias("key"), "lat", "lon")
-    near = near_join(points, points, city.walk.max_transfer_walk_m, "key_a <> key_b")
-    neighbors = near.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), (F.col("metres") * city.walk.detour_factor / city.walk.speed_m_per_min).alias("minutes"))
-    return Network(stops.select("stop_ix", "stop_id", "name", "lat", "lon"), lines.select("line_ix", "line_id", "route_id", "direction", "mode"), ride_ix, waits, neighbors)
+    of_line = lines.select("route_id", "direction", "line_ix")
+    ride_ix = at(at(rides.join(of_line, ["route_id", "direction"]), "a", "ix_a"), "b", "ix_b").select("line_ix", F.col("ix_a").alias("a"), F.col("ix_b").alias("b"), "minutes")
+    waits = at(found.waits.join(of_line, ["route_id", "direction"]), "stop_id", "stop_ix").select("stop_ix", "line_ix", "departures", "headway", "wait")
+    return Network(stops.select("stop_ix", "stop_id", "name", "lat", "lon"), lines.select("line_ix", "line_id", "route_id", "direction", "mode"), ride_ix, waits, walking_neighbors(stops, "stop_ix", city))
+
+
+def build_network(feed: dict[str, DataFrame], active: DataFrame, city: City) -> Network:
+    """The network of one service day: stops in use, lines (route and direction), rides, waits and walking neighbours (straight lines)."""
+    return numbered(timetable(feed, active, city), city)
 
 
 def most_common(df: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -171,7 +199,7 @@ def feed_geometry(feed: dict[str, DataFrame], active: DataFrame, lines: DataFram
         shapes = spark.createDataFrame([], "shape_id string, points array<struct<lat:double,lon:double>>")
     times = feed["stop_times"].select(key("trip_id").alias("trip"), key("stop_id").alias("stop_id"), sequence_number(F.col("stop_sequence")).alias("seq")).filter("seq is not null and stop_id is not null")
     patterns = trip_patterns(times.join(trips.select("trip"), "trip", "left_semi"), "trip", ["seq"], "stop_id").join(trips.select("trip", "line_id"), "trip")
-    stops = feed["stops"].select(key("stop_id").alias("stop_id"), number("stop_lat").alias("lat"), number("stop_lon").alias("lon")).dropna().dropDuplicates(["stop_id"])
+    stops = stop_places(feed["stops"]).select("stop_id", "lat", "lon").dropna()
     drawn = spark.createDataFrame([], "line_id string, points array<struct<lat:double,lon:double>>")
     found = line_geometry(lines, trips.select("line_id", F.col("shape").alias("shape_id")), shapes, drawn, patterns.select("line_id", "pattern"), stops)
     return found.join(lines.select("line_id", "line_ix", "mode"), "line_id")

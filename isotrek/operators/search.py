@@ -2,26 +2,29 @@
 
 States of the transit search are S(stop): walked to and may board; B(stop, line): boarded, nothing
 ridden; R(stop, line): after at least one hop. They are numbered once into a sparse matrix; a search to
-a place runs on its transpose. Origins are rows of a DataFrame; each task searches from its own.
+a place runs on its transpose. Origins are rows of a DataFrame; each task searches from its own. A
+network that is too large to send is searched as joins.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isotrek.operators.network import Network
+from isotrek.operators.network import Network, Timetable, numbered, walking_neighbors
 from isotrek.operators.proximity import near_join
 from isotrek.params import City, Walk
-from isotrek.session import cut, ship
+from isotrek.session import cut, ship, spread
 
-MAX_SENT_EDGES = 5_000_000  # a network with more goes through relaxed_stop_times
+MAX_SENT_EDGES = 2_000_000  # rows of a table that are sent to workers; more are searched as joins, with the same result
 
 
 class TooManyRows(ValueError):
@@ -71,31 +74,34 @@ def settle(graph: Csr, seeds: list[tuple[float, int]], limit: float = np.inf) ->
 
 @dataclass
 class StateGraph:
-    """The numbered search states of a network for one choice of modes; kind 0 S, 1 B, 2 R."""
+    """The numbered search states of a network for one choice of modes and one direction; kind 0 S, 1 B, 2 R."""
 
     kind: np.ndarray
     stop: np.ndarray
     line: np.ndarray
-    forward: Csr
-    backward: Csr
+    edges: Csr  # turned around for a search towards a place
+    reverse: bool
     penalty: np.ndarray  # by line
     walk_between: dict[tuple[int, int], float]
     wait: dict[tuple[int, int], float]
     ride: dict[tuple[int, int, int], float]
 
-    def entries(self, walked: list[tuple[int, float]], reverse: bool) -> list[tuple[float, int]]:
-        """Seeds: S of stops walked to, or, towards a place, every R at stops one can walk on from."""
-        minutes = dict(walked)
-        if reverse:
-            return [(minutes[s], i) for i, (k, s) in enumerate(zip(self.kind.tolist(), self.stop.tolist())) if k == 2 and s in minutes]
-        return [(m, self.s_of[s]) for s, m in walked if s in self.s_of]
-
     def __post_init__(self):
-        self.s_of = {int(self.stop[i]): int(i) for i in np.flatnonzero(self.kind == 0)}
+        wanted = np.flatnonzero(self.kind == (2 if self.reverse else 0))
+        wanted = wanted[np.argsort(self.stop[wanted], kind="stable")]
+        self.entry, self.entry_stop = wanted, self.stop[wanted]
+
+    def entries(self, walked: list[tuple[int, float]]) -> list[tuple[float, int]]:
+        """Seeds: S of stops walked to, or, towards a place, every R at stops one can walk on from."""
+        seeds = []
+        for stop, minutes in walked:
+            a, b = np.searchsorted(self.entry_stop, [stop, stop + 1])
+            seeds += [(minutes, int(i)) for i in self.entry[a:b]]
+        return seeds
 
-    def stop_minutes(self, best: dict[int, float], reverse: bool) -> dict[int, tuple[float, int]]:
+    def stop_minutes(self, best: dict[int, float]) -> dict[int, tuple[float, int]]:
         """Per stop the least minutes and the state that gives it: R going out, S coming in; the lower state settles ties."""
-        wanted, out = (0 if reverse else 2), {}
+        wanted, out = (0 if self.reverse else 2), {}
         for state in sorted(best):
             if self.kind[state] == wanted:
                 s, cost = int(self.stop[state]), best[state]
@@ -139,9 +145,15 @@ class NetArrays:
     neighbors: np.ndarray
     penalties: dict[str, float]
     walk: Walk
-    stop_walks: dict[int, list[tuple[int, float]]] | None = None
+    stop_ids: list[str]
+    line_ids: list[str]
+
+    def __post_init__(self):
+        self.by_lat = np.argsort(self.stop_lat, kind="stable")
+        self.sorted_lat = self.stop_lat[self.by_lat]
+        self.digest = hashlib.sha256(b"".join(np.ascontiguousarray(x).tobytes() for x in (self.stop_lat, self.stop_lon, self.rides, self.waits, self.neighbors))).hexdigest()
 
-    def states(self, modes: tuple[str, ...] | None) -> StateGraph:
+    def states(self, modes: tuple[str, ...] | None, reverse: bool = False) -> StateGraph:
         on = np.array([m in self.penalties and (modes is None or m in modes) for m in self.line_mode], bool)
         rides = self.rides[on[self.rides["line_ix"]]] if len(self.rides) else self.rides
         waits = self.waits[on[self.waits["line_ix"]]] if len(self.waits) else self.waits
@@ -165,7 +177,7 @@ class NetArrays:
         kind = np.r_[np.zeros(n_s, int), np.ones(n_b, int), np.full(len(r_codes), 2)]
         return StateGraph(
             kind, np.r_[stops, b_codes // n_lines, r_codes // n_lines].astype(int), np.r_[np.full(n_s, -1), b_codes % n_lines, r_codes % n_lines].astype(int),
-            Csr.of(n, source.astype(int), target.astype(int), cost), Csr.of(n, target.astype(int), source.astype(int), cost), penalty,
+            Csr.of(n, *(x.astype(int) for x in ((target, source) if reverse else (source, target))), cost), reverse, penalty,
             dict(zip(zip(self.neighbors["a"].tolist(), self.neighbors["b"].tolist()), self.neighbors["minutes"].tolist())),
             dict(zip(zip(waits["stop_ix"].tolist(), waits["line_ix"].tolist()), waits["wait"].tolist())),
             {(line, a, b): m for line, a, b, m in zip(rides["line_ix"].tolist(), rides["a"].tolist(), rides["b"].tolist(), rides["minutes"].tolist())},
@@ -199,24 +211,60 @@ def _changes(r_codes: np.ndarray, n_lines: int, neighbors: np.ndarray, waits: np
     return first_r + state, board_state(at[board], other[board]), penalty[other[board]] + minutes[pair] + wait[board]
 
 
-def _records(df: DataFrame, columns: list[str], limit: int = MAX_SENT_EDGES) -> np.ndarray:
-    rows = df.select(*columns).limit(limit + 1).toPandas()
+def _table(df: DataFrame, columns: list[str], limit: int = MAX_SENT_EDGES) -> pd.DataFrame:
+    rows = df.select(*columns).limit(limit + 1).toArrow().to_pandas()
     if len(rows) > limit:
         raise TooManyRows(f"over {limit} rows are too many to send to every worker; use relaxed_stop_times")
-    return rows.sort_values(columns).to_records(index=False)
+    return rows.sort_values(columns, ignore_index=True)
+
+
+def _records(df: DataFrame, columns: list[str], limit: int = MAX_SENT_EDGES) -> np.ndarray:
+    return _table(df, columns, limit).to_records(index=False)
 
 
 def net_arrays(net: Network, city: City, limit: int = MAX_SENT_EDGES) -> NetArrays:
     """Collect a network after counting that it is small enough to be sent; TooManyRows if it is not."""
-    stops = _records(net.stops, ["stop_ix", "lat", "lon"], limit)
-    lines = _records(net.lines, ["line_ix", "mode"], limit)
+    stops = _table(net.stops, ["stop_ix", "lat", "lon", "stop_id"], limit)
+    lines = _table(net.lines, ["line_ix", "mode", "line_id"], limit)
     return NetArrays(
-        np.asarray(stops["lat"], float), np.asarray(stops["lon"], float), [str(m) for m in lines["mode"]],
+        stops["lat"].to_numpy(float), stops["lon"].to_numpy(float), [str(m) for m in lines["mode"]],
         _records(net.rides, ["line_ix", "a", "b", "minutes"], limit), _records(net.waits, ["stop_ix", "line_ix", "wait"], limit), _records(net.neighbors, ["a", "b", "minutes"], limit),
-        {m.id: float(m.transfer_min) for m in city.modes}, city.walk,
+        {m.id: float(m.transfer_min) for m in city.modes}, city.walk, stops["stop_id"].tolist(), lines["line_id"].tolist(),
+    )
+
+
+def timetable_arrays(found: Timetable, city: City, limit: int = MAX_SENT_EDGES, neighbors: DataFrame | None = None) -> NetArrays:
+    """net_arrays of a timetable by ids; the numbers, those of ``numbered``, are made on the driver. ``neighbors`` (a, b, minutes): by stop_id, else straight lines."""
+    stops = _table(found.stops, ["stop_id", "lat", "lon"], limit)
+    rides = _table(found.rides, ["route_id", "direction", "a", "b", "minutes", "mode"], limit)
+    waits = _table(found.waits, ["route_id", "direction", "stop_id", "wait"], limit)
+    near = _table(walking_neighbors(found.stops, "stop_id", city) if neighbors is None else neighbors, ["a", "b", "minutes"], limit)
+    line_of = pd.MultiIndex.from_frame(rides[["route_id", "direction"]]).unique().sort_values()
+    stop_of = pd.Index(stops["stop_id"])
+    number = lambda ids: stop_of.get_indexer(ids).astype("int32")
+    line = lambda df: line_of.get_indexer(pd.MultiIndex.from_frame(df[["route_id", "direction"]])).astype("int32")
+    records = lambda order, **columns: pd.DataFrame(columns).query(" and ".join(f"{c} >= 0" for c in order)).sort_values(order).to_records(index=False)
+    modes = rides.groupby(["route_id", "direction"])["mode"].first().reindex(line_of)
+    return NetArrays(
+        stops["lat"].to_numpy(float), stops["lon"].to_numpy(float), [str(m) for m in modes],
+        records(["line_ix", "a", "b"], line_ix=line(rides), a=number(rides["a"]), b=number(rides["b"]), minutes=rides["minutes"].to_numpy(float)),
+        records(["stop_ix", "line_ix"], stop_ix=number(waits["stop_id"]), line_ix=line(waits), wait=waits["wait"].to_numpy(float)),
+        records(["a", "b"], a=number(near["a"]), b=number(near["b"]), minutes=near["minutes"].to_numpy(float)),
+        {m.id: float(m.transfer_min) for m in city.modes}, city.walk, stops["stop_id"].tolist(), [":".join(x) for x in line_of],
     )
 
 
+_states: dict[tuple, StateGraph] = {}
+
+
+def states_in_worker(key: str, net: Callable[[], NetArrays], modes: tuple[str, ...] | None, reverse: bool) -> StateGraph:
+    """The states of the network of that digest; a worker that has numbered them for the task before takes them again."""
+    if (key, modes, reverse) not in _states:
+        _states.clear()
+        _states[key, modes, reverse] = net().states(modes, reverse)
+    return _states[key, modes, reverse]
+
+
 def distances_m(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
     """Great-circle metres from one position to many."""
     p, q = np.radians(lat), np.radians(lats)
@@ -225,9 +273,14 @@ def distances_m(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> n
 
 
 def walkable_stops(net: NetArrays, lat: float, lon: float) -> list[tuple[int, float]]:
-    """(stop, minutes) of the stops within walking access of a position, straight lines, limit inclusive."""
-    metres = distances_m(lat, lon, net.stop_lat, net.stop_lon)
-    return [(int(s), net.walk.minutes(float(metres[s]))) for s in np.flatnonzero(metres <= net.walk.max_access_m)]
+    """(stop, minutes) of the stops within walking access of a position, straight lines, limit inclusive; only stops of the latitudes in question are measured."""
+    height = np.degrees(net.walk.max_access_m / 6_371_000.0) * (1 + 1e-9)
+    a, b = np.searchsorted(net.sorted_lat, [lat - height, lat + height], side="left")
+    b = np.searchsorted(net.sorted_lat, lat + height, side="right")
+    beside = net.by_lat[a:b]
+    metres = distances_m(lat, lon, net.stop_lat[beside], net.stop_lon[beside])
+    near = metres <= net.walk.max_access_m
+    return [(int(s), net.walk.minutes(float(m))) for s, m in sorted(zip(beside[near], metres[near]))]
 
 
 def stop_times(net: NetArrays, origins: DataFrame, modes: tuple[str, ...] | None = None, reverse: bool = False, walked: DataFrame | None = None) -> DataFrame:
@@ -235,28 +288,27 @@ def stop_times(net: NetArrays, origins: DataFrame, modes: tuple[str, ...] | None
 
     ``reverse``: minutes from boarding at each stop until the place is reached. Stops out of reach give
     no row; origins with a null position give none; a repeated origin is searched again. ``walked``
-    (origin, stop_ix, minutes): the stops walked to along streets, else those in straight lines.
+    (origin, stop_ix, minutes): the stops walked to along streets, else those in straight lines. The
+    origins are spread over all cores; a worker numbers the states once for all its tasks.
     """
     ship(origins.sparkSession)
-    sent, straight = origins.sparkSession.sparkContext.broadcast(net), walked is None
+    sent, straight, key = origins.sparkSession.sparkContext.broadcast(net), walked is None, net.digest
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        states = sent.value.states(modes)
         for batch in batches:
-            out = []
+            states = states_in_worker(key, lambda: sent.value, modes, reverse)
             for origin, lat, lon, known in zip(batch["origin"], batch["lat"], batch["lon"], batch["walked"]):
                 near = walkable_stops(sent.value, lat, lon) if straight else [(int(w["stop_ix"]), float(w["minutes"])) for w in (known if known is not None else ())]
-                seeds = states.entries(near, reverse)
-                best, _ = settle(states.backward if reverse else states.forward, seeds)
-                out += [(origin, s, m) for s, (m, _) in states.stop_minutes(best, reverse).items()]
-            yield pd.DataFrame(out, columns=["origin", "stop_ix", "minutes"])
+                found = states.stop_minutes(settle(states.edges, states.entries(near))[0]) if near else {}
+                if found:
+                    yield pd.DataFrame({"origin": origin, "stop_ix": list(found), "minutes": [m for m, _ in found.values()]})
 
     placed = origins.select(F.col("origin").cast("string").alias("origin"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).dropna()
     if straight:
         placed = placed.withColumn("walked", F.lit(None).cast("array<struct<stop_ix:int,minutes:double>>"))
     else:
         placed = placed.join(walked.groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("stop_ix", "minutes"))).alias("walked")), "origin", "left")
-    return placed.mapInPandas(search, "origin string, stop_ix int, minutes double")
+    return spread(placed).mapInPandas(search, "origin string, stop_ix int, minutes double")
 
 
 def network_stop_times(net: Network, city: City, origins: DataFrame, modes: tuple[str, ...] | None = None, reverse: bool = False, walked: DataFrame | None = None, limit: int = MAX_SENT_EDGES) -> DataFrame:
@@ -264,7 +316,22 @@ def network_stop_times(net: Network, city: City, origins: DataFrame, modes: tupl
     try:
         return stop_times(net_arrays(net, city, limit), origins, modes, reverse, walked)
     except TooManyRows:
-        pass
+        return joined_stop_times(net, city, origins, modes, reverse, walked)
+
+
+def timetable_stop_times(found: Timetable, city: City, origins: DataFrame, modes: tuple[str, ...] | None = None, reverse: bool = False, limit: int = MAX_SENT_EDGES) -> DataFrame:
+    """(origin, stop_id, minutes): network_stop_times of a timetable by ids, which is numbered as tables only if it has too many rows to be sent."""
+    try:
+        arrays = timetable_arrays(found, city, limit)
+    except TooManyRows:
+        net = numbered(found, city)
+        return joined_stop_times(net, city, origins, modes, reverse).join(net.stops.select("stop_ix", "stop_id"), "stop_ix").select("origin", "stop_id", "minutes")
+    ids = origins.sparkSession.createDataFrame(pa.table({"stop_ix": pa.array(range(len(arrays.stop_ids)), pa.int32()), "stop_id": pa.array(arrays.stop_ids, pa.string())}))
+    return stop_times(arrays, origins, modes, reverse).join(F.broadcast(ids), "stop_ix").select("origin", "stop_id", "minutes")
+
+
+def joined_stop_times(net: Network, city: City, origins: DataFrame, modes: tuple[str, ...] | None = None, reverse: bool = False, walked: DataFrame | None = None) -> DataFrame:
+    """stop_times as joins, for a network of any size. A repeated origin counts once."""
     placed = origins.select(F.col("origin").cast("string").alias("key"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).dropna()
     if walked is None:
         near = near_join(placed, net.stops.select(F.col("stop_ix").alias("key"), "lat", "lon"), city.walk.max_access_m)
@@ -282,18 +349,18 @@ def network_stop_times(net: Network, city: City, origins: DataFrame, modes: tupl
     return found.select("origin", stop, "minutes").groupBy("origin", "stop_ix").agg(F.min("minutes").alias("minutes"))
 
 
-def point_times(at_stops: DataFrame, stops: DataFrame, origins: DataFrame, points: DataFrame, walk: Walk, direct_walk_m: float | None = None) -> DataFrame:
+def point_times(at_stops: DataFrame, stops: DataFrame, origins: DataFrame, points: DataFrame, walk: Walk, direct_walk_m: float | None = None, ident: str = "stop_ix") -> DataFrame:
     """(origin, point, minutes): least of walking all the way and of riding to a stop and walking on; out of reach: no row.
 
-    at_stops: result of stop_times; stops (stop_ix, lat, lon); origins (origin, lat, lon); points
+    at_stops: result of stop_times; stops (stop_ix, or ``ident``, lat, lon); origins (origin, lat, lon); points
     (point, lat, lon). The egress join is a grid join within max_access_m, the direct one within the
     larger of that and ``direct_walk_m``. Both directions use the same distances.
     """
     of = lambda df, c: df.select(F.col(c).cast("string").alias("key"), "lat", "lon")
     minutes = lambda m: F.col(m) * walk.detour_factor / walk.speed_m_per_min
     direct = near_join(of(origins, "origin"), of(points, "point"), max(walk.max_access_m, direct_walk_m or 0.0)).select(F.col("key_a").alias("origin"), F.col("key_b").alias("point"), minutes("metres").alias("minutes"))
-    egress = near_join(of(stops, "stop_ix"), of(points, "point"), walk.max_access_m).select(F.col("key_a").cast("int").alias("stop_ix"), F.col("key_b").alias("point"), minutes("metres").alias("on_foot"))
-    ridden = at_stops.join(egress, "stop_ix").select("origin", "point", (F.col("minutes") + F.col("on_foot")).alias("minutes"))
+    egress = near_join(of(stops, ident), of(points, "point"), walk.max_access_m).select(F.col("key_a").cast(at_stops.schema[ident].dataType).alias(ident), F.col("key_b").alias("point"), minutes("metres").alias("on_foot"))
+    ridden = at_stops.join(egress, ident).select("origin", "point", (F.col("minutes") + F.col("on_foot")).alias("minutes"))
     return direct.unionByName(ridden).groupBy("origin", "point").agg(F.min("minutes").alias("minutes"))
 
 
@@ -343,7 +410,7 @@ def street_reach(edges: DataFrame, sources: DataFrame, limit_m: float, most: int
                 best = settle(sent.value, [(float(walked), int(node))], limit_m)[0] if node < sent.value.size else {int(node): float(walked)}
                 yield pd.DataFrame({"source": source, "node": list(best), "metres": list(best.values())})
 
-    return rows.mapInPandas(search, "source string, node long, metres double")
+    return spread(rows).mapInPandas(search, "source string, node long, metres double")
 
 
 def node_times(at_stops: DataFrame, stop_walks: DataFrame, origin_walks: DataFrame, speed: float) -> DataFrame:

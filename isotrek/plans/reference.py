@@ -18,7 +18,7 @@ from isotrek.operators.checks import foreign_keys_hold
 from isotrek.operators.itinerary import itineraries
 from isotrek.operators.proximity import k_nearest, near_pairs, nearest
 from isotrek.params import City, Mode, Wait, Walk, Window
-from isotrek.session import table
+from isotrek.session import cut, table
 
 TODAY = date(2026, 3, 2)
 CITY = City(
@@ -331,13 +331,13 @@ def thinned_trips(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("trip_id", F.size("r").alias("points"), F.size(thin_line(points, 500.0)).alias("kept"))
 
 
-def _network(spark: SparkSession, d: str) -> net_ops.Network:
-    """The network of all services at once, so that the test tables give a dense one."""
+def _timetable(spark: SparkSession, d: str) -> net_ops.Timetable:
+    """The timetable of all services at once, so that the test tables give a dense one."""
     feed = {t: table(spark, d, t) for t in ("routes", "trips", "stop_times")}
     feed["stop_times"] = feed["stop_times"].withColumn("row_no", F.col("st_id"))
     feed["stops"] = table(spark, d, "stops").filter(decimal_between(F.col("stop_lat"), -90, 90).isNotNull() & decimal_between(F.col("stop_lon"), -180, 180).isNotNull())
     active = feed["trips"].select(key("service_id").alias("service_id")).distinct()
-    return net_ops.build_network(feed, active, CITY)
+    return net_ops.timetable(feed, active, CITY)
 
 
 def _origins(spark: SparkSession, d: str) -> DataFrame:
@@ -345,26 +345,28 @@ def _origins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def network_waits(spark: SparkSession, d: str) -> DataFrame:
-    net = _network(spark, d)
-    return net.waits.join(net.lines, "line_ix").join(net.stops, "stop_ix").select("line_id", "mode", "stop_id", "departures", "headway", "wait")
+    found = _timetable(spark, d)
+    placed = found.waits.join(found.stops.select("stop_id"), "stop_id", "left_semi")
+    return placed.select(F.concat_ws(":", "route_id", "direction").alias("line_id"), "mode", "stop_id", "departures", "headway", "wait")
 
 
 def transit_times(spark: SparkSession, d: str) -> DataFrame:
-    """Stop minutes from a corner of every zone, by the array kernel."""
-    return search.network_stop_times(_network(spark, d), CITY, _origins(spark, d))
+    """Minutes from a corner of every zone to the stops reached, by the array kernel."""
+    return search.timetable_stop_times(_timetable(spark, d), CITY, _origins(spark, d))
 
 
 def point_times(spark: SparkSession, d: str) -> DataFrame:
     """Minutes from every zone's corner to the stops near what is reached."""
-    net = _network(spark, d)
-    at_stops = search.network_stop_times(net, CITY, _origins(spark, d))
-    points = net.stops.select(F.col("stop_id").alias("point"), "lat", "lon")
-    return search.point_times(at_stops, net.stops, _origins(spark, d), points, CITY.walk)
+    found = _timetable(spark, d)
+    stops = cut(found.stops.dropna(subset=["lat", "lon"]))
+    at_stops = search.timetable_stop_times(net_ops.Timetable(found.rides, found.waits, stops), CITY, _origins(spark, d))
+    points = stops.select(F.col("stop_id").alias("point"), "lat", "lon")
+    return search.point_times(at_stops, stops, _origins(spark, d), points, CITY.walk, ident="stop_id")
 
 
 def trips_between_zones(spark: SparkSession, d: str) -> DataFrame:
     """Itineraries from every zone's corner to the next zone's one."""
-    arrays = search.net_arrays(_network(spark, d), CITY)
+    arrays = search.timetable_arrays(_timetable(spark, d), CITY)
     origins = _origins(spark, d).withColumn("i", F.expr("cast(substring(origin, 2) as int)"))
     ends = origins.select((F.col("i") - 1).alias("i"), F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"))
     found = itineraries(arrays, origins.join(ends, "i").select(F.col("origin").alias("trip"), "lat", "lon", "to_lat", "to_lon"), direct_walk_m=10_000)
