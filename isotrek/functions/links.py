@@ -68,3 +68,33 @@ def serialise_state(city: Column, state: Column) -> Column:
     }
     named = [F.when(v.isNotNull(), F.concat(F.lit(f"{k}="), v)) for k, v in parts.items()]
     return F.array_join(F.filter(F.array(*named), lambda x: x.isNotNull()), "&")
+
+
+def parse_reach_link(query: Column, choices: tuple[int, ...] = (15, 30, 45, 60), default_minutes: int = 60) -> Column:
+    """struct of a link of the second rule set: from, to, arrival, bus, max_minutes, isochrones.
+
+    Places are 'lat,lon' without a box; the map runs towards the destination only if there is one; a scale
+    outside 20..90 is not taken; isochrones other than the ``choices`` are left out, null if not given.
+    """
+    p = parameters(query)
+    at = lambda k: F.try_element_at(p, F.lit(k))
+    place = lambda k: coordinates(at(k), float("-inf"), float("-inf"), float("inf"), float("inf"))
+    scale = at("max").try_cast("double")
+    wanted = F.transform(F.split(at("iso"), ","), lambda x: F.trim(x).try_cast("int"))
+    return F.struct(
+        place("from").alias("from"), place("to").alias("to"), (place("to").isNotNull() & F.coalesce(at("carte") == "arrivee", F.lit(False))).alias("arrival"),
+        F.coalesce(at("bus") == "1", F.lit(False)).alias("bus"), F.when(scale.between(20, 90), scale.cast("int")).otherwise(default_minutes).alias("max_minutes"),
+        F.array_sort(F.array_intersect(wanted, F.array(*(F.lit(c) for c in choices)))).alias("isochrones"),
+    )
+
+
+def serialise_reach(state: Column, default_minutes: int = 60, default_isochrones: tuple[int, ...] = (15, 30)) -> Column:
+    """The query string of a state of the second rule set; defaults are left out, no isochrone is written 0."""
+    place = lambda c: F.when(c.isNotNull(), F.concat_ws(",", F.format_string("%.5f", c["lat"]), F.format_string("%.5f", c["lon"])))
+    rings = F.array_join(F.array_sort(state["isochrones"]), ",")
+    parts = {
+        "from": place(state["from"]), "to": place(state["to"]), "carte": F.when(state["arrival"], "arrivee"), "bus": F.when(state["bus"], "1"),
+        "max": F.when(state["max_minutes"] != default_minutes, state["max_minutes"].cast("string")),
+        "iso": F.when(rings != ",".join(map(str, default_isochrones)), F.when(rings == "", "0").otherwise(rings)),
+    }
+    return F.array_join(F.filter(F.array(*(F.concat(F.lit(f"{k}="), v) for k, v in parts.items())), lambda x: x.isNotNull()), "&")

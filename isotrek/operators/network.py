@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from isotrek.functions.geo import thin_line
 from isotrek.functions.numbers import round_half_even
-from isotrek.functions.values import digits_only, key, strip
+from isotrek.functions.values import key, strip
 from isotrek.operators.numbering import dense_index
 from isotrek.operators.proximity import near_join
 from isotrek.params import MIN_RIDE_MINUTES, City
@@ -29,14 +29,14 @@ class Network:
 
 def service_seconds(col: Column) -> Column:
     """'H:MM:SS' to seconds of the service day; hours may pass 24; anything else is null."""
-    text = strip(col)
-    parts = F.transform(F.split(F.when(text.rlike("^[0-9]+:[0-9]{1,2}:[0-9]{1,2}$"), text), ":"), lambda p: p.try_cast("int"))
-    return F.aggregate(parts, F.lit(0), lambda s, p: s * 60 + p)
+    text = F.regexp_substr(strip(col), F.lit("^[0-9]+:[0-9]{1,2}:[0-9]{1,2}$"))
+    hours, minutes, seconds = F.substring_index(text, ":", 1), F.substring_index(F.substring_index(text, ":", 2), ":", -1), F.substring_index(text, ":", -1)
+    return F.try_add(F.try_multiply(hours.try_cast("int"), F.lit(3600)), minutes.try_cast("int") * 60 + seconds.try_cast("int"))
 
 
 def sequence_number(col: Column) -> Column:
     """A stop_sequence of ASCII digits as a number; anything else is null. Rows without a sequence or a stop take no part in a trip."""
-    return F.when(digits_only(col), strip(col)).try_cast("int")
+    return F.regexp_substr(strip(col), F.lit("^[0-9]+$")).try_cast("int")
 
 
 def clock_text(seconds: Column) -> Column:

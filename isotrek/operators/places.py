@@ -93,3 +93,21 @@ def geocoder_places(replies: DataFrame, box: tuple[float, float, float, float],
     once = places.groupBy("query", "label", "lat", "lon").agg(F.min("pos").alias("pos")).withColumn("inside", in_box(F.col("lat"), F.col("lon"), *box))
     listed = once.groupBy("query").agg(F.array_sort(F.collect_list(F.when(F.col("inside"), F.struct("pos", "label", "lat", "lon")))).alias("r"), F.count_if(~F.col("inside")).alias("outside"))
     return listed.select("query", F.transform(F.slice("r", 1, limit), lambda x: F.struct(x["label"].alias("label"), x["lat"].alias("lat"), x["lon"].alias("lon"))).alias("results"), "outside")
+
+
+# How far from a marker, in pixels, a click still meets it.
+HIT_RADIUS = {"mouse": 10.0, "touch": 22.0}
+
+
+def marker_at(markers: DataFrame, clicks: DataFrame, kind: str = "mouse") -> DataFrame:
+    """(click, ix): the marker (ix, x, y) nearest to each click (click, x, y) within the radius (inclusive), the highest ix of equally near ones; null if none.
+
+    Both are put into squares as wide as the radius and meet only in neighbouring ones.
+    """
+    r = HIT_RADIUS[kind]
+    square = lambda c, r: F.floor(F.col(c) / r)
+    around = markers.select("ix", F.col("x").alias("mx"), F.col("y").alias("my")).withColumn("cx", F.explode(F.sequence(square("mx", r) - 1, square("mx", r) + 1))).withColumn("cy", F.explode(F.sequence(square("my", r) - 1, square("my", r) + 1)))
+    away = F.sqrt(F.pow(F.col("mx") - F.col("x"), 2) + F.pow(F.col("my") - F.col("y"), 2))
+    met = clicks.withColumn("cx", square("x", r)).withColumn("cy", square("y", r)).join(around, ["cx", "cy"]).withColumn("away", away).filter(F.col("away") <= r)
+    best = met.groupBy("click").agg(F.min(F.struct("away", (-F.col("ix")).alias("last"))).alias("m")).select("click", (-F.col("m.last")).alias("ix"))
+    return clicks.select("click").distinct().join(best, "click", "left")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 # What a mode has if its configuration leaves it out.
@@ -107,24 +108,42 @@ class Query:
         return self.max_minutes if self.modes is not None and not self.modes else None
 
 
-ACTIONS = ("origin", "destination", "direction", "modes", "toggle_mode", "max_minutes", "isochrones", "clear")
+ACTIONS = ("origin", "destination", "direction", "invert", "modes", "toggle_mode", "travel", "max_minutes", "isochrones", "clear")
+LEAST_SCALE, MOST_SCALE = 5, 120
 
 
-def reduce_query(query: Query, action: str, value: object = None) -> Query:
-    """The query after one action; an action that changes nothing gives the same object back."""
+def reduce_query(query: Query, action: str, value: object = None, city: City | None = None) -> Query:
+    """The query after one action; an action that changes nothing, or whose value is not usable, gives the same object back.
+
+    With a ``city`` places outside its box and unknown modes are refused, and null modes stand for all of its
+    modes, so that toggling one switches it off. The scale is rounded and clamped.
+    """
     if action not in ACTIONS:
         raise ValueError(f"unknown action {action!r}")
-    from dataclasses import replace
-
+    known = tuple(m.id for m in city.modes) if city else ()
+    change: dict[str, object] = {}
     if action == "clear":
-        new = replace(query, origin=None, destination=None)
+        change = {"origin": None, "destination": None}
+    elif action in ("origin", "destination"):
+        west, south, east, north = city.bbox if city else (-180.0, -90.0, 180.0, 90.0)
+        if value is None or (south <= value[0] <= north and west <= value[1] <= east):
+            change = {action: None if value is None else tuple(value)}
+    elif action == "invert":
+        change = {"direction": "to" if query.direction == "from" else "from"}
+    elif action == "travel":
+        if value in ("walk", "transit") and (value == "walk") != (query.modes == ()):
+            change = {"modes": () if value == "walk" else known or None}
     elif action == "toggle_mode":
-        on = set(query.modes or ()) ^ {value}
-        new = replace(query, modes=tuple(sorted(on)))
+        if not city or value in known:
+            change = {"modes": tuple(sorted(set(known if query.modes is None else query.modes) ^ {value}))}
+    elif action == "max_minutes":
+        if isinstance(value, (int, float)) and math.isfinite(value):
+            change = {"max_minutes": min(MOST_SCALE, max(LEAST_SCALE, math.floor(value + 0.5)))}
     elif action in ("modes", "isochrones"):
-        new = replace(query, **{action: None if value is None else tuple(sorted(set(value)))})
+        change = {action: None if value is None else tuple(sorted(set(value)))}
     else:
-        new = replace(query, **{action: value})
+        change = {action: value}
+    new = replace(query, **change)
     return query if new == query else new
 
 
@@ -217,3 +236,21 @@ def lint_cities(folder: str) -> dict[str, str]:
 def pick_city(ids: list[str], wanted: str | None) -> str:
     """The wanted city if there is one of that id, else the first by id."""
     return wanted if wanted in ids else min(ids)
+
+
+#: Half height and width in degrees of the boxes that the second rule set derives from a city's first place.
+DERIVED_BOXES = {"osmBbox": (0.22, 0.32), "parksBbox": (0.06, 0.08)}
+
+
+def second_defaults(raw: dict) -> dict:
+    """A city configuration of the second rule set with the values that engine code needs filled in: boxes [south, west, north, east] around the first place, country, geocoder, kind and source of rail lines."""
+    lat, lon = raw["defaultFrom"]["lat"], raw["defaultFrom"]["lon"]
+    boxes = {name: [round(lat - h, 2), round(lon - w, 2), round(lat + h, 2), round(lon + w, 2)] for name, (h, w) in DERIVED_BOXES.items()}
+    country = raw.get("country", "FR")
+    derived = {"kind": "tram", "country": country, "geocoder": "ban" if country == "FR" else "photon", "railGeometry": "gtfs", "lat0": round(lat, 2), "path": f"{raw['slug']}/", **boxes}
+    merged = derived | raw
+    return {"osmRailBbox": merged["osmBbox"]} | merged
+
+
+def load_second_city(slug: str, folder: str) -> dict:
+    return second_defaults(json.loads(Path(folder, f"{slug}.json").read_text(encoding="utf-8")))

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isotrek.plans import problems, problems_sql, reference, reference_sql
+from isotrek.plans import problems, problems_sql, reference, reference_sql, tables, tables_sql
 
 FLAGSHIP = "hop_median"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return problems.QUERIES | reference.QUERIES
+    return problems.QUERIES | reference.QUERIES | tables.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return problems_sql.SQL | reference_sql.SQL
+    return problems_sql.SQL | reference_sql.SQL | tables_sql.SQL

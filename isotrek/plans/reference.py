@@ -288,10 +288,14 @@ def feed_merge(spark: SparkSession, d: str) -> DataFrame:
     return variants.merge_feeds(main, extra, "x", ["stop_id"])
 
 
-def direction_waits(spark: SparkSession, d: str) -> DataFrame:
+def direction_waits_table(spark: SparkSession, d: str) -> DataFrame:
     rows = timed_rows(spark, d).filter("arr is not null").join(trip_lines(spark, d), "trip_id").withColumnRenamed("trip_id", "trip")
     members = table(spark, d, "stops").select(key("stop_id").alias("stop_id"), key("stop_id").alias("complex_id")).distinct()
-    return variants.direction_waits(variants.complex_hops(rows, members), 900).select("complex_id", "route_id", _r("wait", 1))
+    return variants.direction_waits(variants.complex_hops(rows, members), 900)
+
+
+def direction_waits(spark: SparkSession, d: str) -> DataFrame:
+    return direction_waits_table(spark, d).select("complex_id", "route_id", _r("wait", 1))
 
 
 def branch_waits(spark: SparkSession, d: str) -> DataFrame:

@@ -59,3 +59,33 @@ def test_colours(spark):
     df = spark.createDataFrame([(15.0,), (45.0,), (63.0,), (70.0,), (None,), (float("nan"),)], "m double")
     assert [tuple(r[0]) for r in df.select(heat_colour(F.col("m"), 60.0, ramp)).collect()] == [(50, 0, 0, 255), (100, 100, 0, 255), (100, 200, 0, 170), (0, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0)]
     assert spark.range(1).select(street_width(F.lit(2), F.lit(100.0)), street_width(F.lit(0), F.lit(0.1))).first() == (6.0, 0.4)
+
+
+def test_markers_and_links(spark):
+    from pyspark.sql import functions as F
+
+    from isotrek.functions.links import parse_reach_link, serialise_reach
+    from isotrek.operators.places import marker_at
+
+    markers = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.0, 6.0), (2, 6.0, 0.0), (3, 500.0, 0.0)], "ix int, x double, y double")
+    clicks = spark.createDataFrame([("tie", 3.0, 3.0), ("edge", 500.0, 10.0), ("out", 500.0, 10.01), ("none", -90.0, -90.0)], "click string, x double, y double")
+    assert dict(map(tuple, marker_at(markers, clicks).collect())) == {"tie": 2, "edge": 3, "out": None, "none": None}
+    assert dict(map(tuple, marker_at(markers, clicks, "touch").collect()))["out"] == 3 and marker_at(markers, clicks.limit(0)).collect() == []
+    texts = ["?from=41.5,-4.7&to=41,2&carte=arrivee&bus=1&max=45&iso=45,15", "?to=x&carte=arrivee&max=95&iso=0", "", None]
+    states = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", parse_reach_link(F.col("t")).alias("s"))
+    got = [r for r in states.select("s.*", serialise_reach(F.col("s")).alias("link")).collect()]
+    assert got[0].link == "from=41.50000,-4.70000&to=41.00000,2.00000&carte=arrivee&bus=1&max=45&iso=15,45" and got[0].arrival and got[0].bus
+    assert (got[1].to, got[1].arrival, got[1].max_minutes, got[1].isochrones, got[1].link) == (None, False, 60, [], "iso=0") and got[2].link == "" and got[3].max_minutes == 60
+
+
+def test_second_rule_set_configuration(tmp_path):
+    import json
+
+    from isotrek.params import load_second_city
+    from isotrek.sources import osm
+
+    (tmp_path / "x.json").write_text(json.dumps({"slug": "x", "defaultFrom": {"lat": 47.21, "lon": -1.55}, "country": "BE", "osmBbox": [1, 2, 3, 4]}))
+    city = load_second_city("x", str(tmp_path))
+    assert city["geocoder"] == "photon" and city["osmRailBbox"] == [1, 2, 3, 4] and city["parksBbox"] == [47.15, -1.63, 47.27, -1.47] and city["lat0"] == 47.21 and city["railGeometry"] == "gtfs"
+    assert "route" in osm.rail_query([1, 2, 3, 4], ["G", "H+"], "N") and "H\\+" in osm.rail_query([1, 2, 3, 4], ["G", "H+"], "N") and "bus" not in osm.rail_query([1, 2, 3, 4])
+    assert "( - .*)?$" in osm.river_query([1, 2, 3, 4], ["La Loire"]) and "bridge" in osm.bridge_query([1, 2, 3, 4]) and osm.land_query([5, 6]).count("relation(") == 2

@@ -1,4 +1,4 @@
-"""Every query with an SQL twin against DuckDB on the smallest test tables; the others only have to run."""
+"""Every query with an SQL twin against DuckDB on the smallest test tables; the others have to give rows (second readings: test_second_readings)."""
 
 import glob
 import os
@@ -36,7 +36,8 @@ def test_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, name):
-    assert catalog.queries()[name](spark, DATA).columns
+    df = catalog.queries()[name](spark, DATA)
+    assert df.columns and len(df.collect()) > 0
 
 
 def test_entry(spark):

@@ -157,6 +157,14 @@ def test_query_state():
 
     q = Query(origin=(1, 2), modes=("bus",))
     assert reduce_query(q, "direction", "from") is q
+    everything = Query()
+    assert reduce_query(everything, "toggle_mode", "bus", CITY).modes == ("tram",) and reduce_query(everything, "toggle_mode", "ferry", CITY) is everything
+    assert reduce_query(everything, "travel", "walk", CITY).modes == () and reduce_query(reduce_query(q, "travel", "walk", CITY), "travel", "transit", CITY).modes == ("bus", "tram") and reduce_query(q, "travel", "transit", CITY) is q
+    assert reduce_query(q, "invert").direction == "to" and reduce_query(reduce_query(q, "invert"), "invert") == q
+    assert reduce_query(q, "max_minutes", 9999).max_minutes == 120 and reduce_query(q, "max_minutes", 12.5).max_minutes == 13 and reduce_query(q, "max_minutes", float("nan")) is q
+    assert reduce_query(q, "origin", (0.0, 0.0), CITY) is q and reduce_query(q, "origin", BASE, CITY).origin == BASE and reduce_query(q, "destination", None) is q
+    with pytest.raises(ValueError):
+        reduce_query(q, "zoom")
     walk = reduce_query(q, "toggle_mode", "bus")
     assert walk.modes == () and walk.direct_minutes == 60 and q.direct_minutes is None
     assert stale_parts(q, reduce_query(q, "max_minutes", 30)) == {"paint", "trip"}
