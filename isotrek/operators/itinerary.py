@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isotrek.operators.search import NetArrays, StateGraph, distances_m, settle, states_in_worker, walkable_stops
+from isotrek.operators.search import NetArrays, StateGraph, distances_m, settle, states_in_worker, stops_walked_to, street_reach, street_routes, walkable_stops
+from isotrek.params import Walk
 from isotrek.session import ship, spread
 
 LEG = "struct<type:string,minutes:double,line:int,from_stop:int,to_stop:int,stops:array<int>,walk_minutes:double,penalty_minutes:double>"
@@ -48,13 +49,17 @@ def legs_of(states: StateGraph, chain: list[int]) -> list[dict]:
     return legs
 
 
-def best_trip(net: NetArrays, states: StateGraph, anchor: tuple[float, float], point: tuple[float, float], reverse: bool, direct_m: float) -> tuple[float, list[dict], list[tuple[float, float]]] | None:
-    """Total, legs and polyline of the best way; walking all the way wins ties, then the lower stop; None if out of reach."""
-    best, before = settle(states.edges, states.entries(walkable_stops(net, *anchor)))
+def best_trip(net: NetArrays, states: StateGraph, anchor: tuple[float, float], point: tuple[float, float], near: list[tuple[int, float]], ends: list[tuple[int, float]], direct: float) -> tuple[float, list[dict], list[tuple[float, float]]] | None:
+    """Total, legs and polyline of the best way; walking all the way wins ties, then the lower stop; None if out of reach.
+
+    near, ends: (stop, minutes) of the walks between the anchor, or the point, and the stops; ``direct``:
+    minutes of walking all the way, infinite where that is too far. The states' direction is the trip's.
+    """
+    reverse = states.reverse
+    best, before = settle(states.edges, states.entries(near))
     at_stops = states.stop_minutes(best)
-    direct = float(distances_m(*anchor, np.array([point[0]]), np.array([point[1]]))[0])
-    total, via = (net.walk.minutes(direct), None) if direct <= direct_m else (np.inf, None)
-    for stop, minutes in walkable_stops(net, *point):
+    total, via = direct, None
+    for stop, minutes in ends:
         if stop in at_stops and at_stops[stop][0] + minutes < total:
             total, via = at_stops[stop][0] + minutes, stop
     if not np.isfinite(total):
@@ -62,15 +67,15 @@ def best_trip(net: NetArrays, states: StateGraph, anchor: tuple[float, float], p
     start, end = (point, anchor) if reverse else (anchor, point)
     place = lambda s: (float(net.stop_lat[s]), float(net.stop_lon[s]))
     if via is None:
-        return total, [_leg("walk", total)] if direct > 0 else [], [start, end]
+        return total, [_leg("walk", total)] if total > 0 else [], [start, end]
     chain, state = [], at_stops[via][1]
     while state != -1:
         chain.append(state)
         state = before[state]
     chain = chain if reverse else chain[::-1]
     first, last = int(states.stop[chain[0]]), int(states.stop[chain[-1]])
-    walk = lambda p, s: net.walk.minutes(float(distances_m(*p, net.stop_lat[[s]], net.stop_lon[[s]])[0]))
-    head, tail = walk(start, first), walk(end, last)
+    walks = (dict(ends), dict(near)) if reverse else (dict(near), dict(ends))
+    head, tail = walks[0][first], walks[1][last]
     legs = [*([_leg("walk", head, None, None, first)] if head else []), *legs_of(states, chain), *([_leg("walk", tail, None, last, None)] if tail else [])]
     path = [start]
     for leg in legs:
@@ -80,29 +85,81 @@ def best_trip(net: NetArrays, states: StateGraph, anchor: tuple[float, float], p
     return total, legs, path if path[-1] == end else [*path, end]
 
 
-def itineraries(net: NetArrays, trips: DataFrame, modes: tuple[str, ...] | None = None, reverse: bool = False, direct_walk_m: float | None = None, scale_minutes: float | None = None) -> DataFrame:
+def itineraries(net: NetArrays, trips: DataFrame, modes: tuple[str, ...] | None = None, reverse: bool = False, direct_walk_m: float | None = None, scale_minutes: float | None = None, walked: DataFrame | None = None) -> DataFrame:
     """(trip, total, legs, path) for trips (trip, lat, lon, to_lat, to_lon); unreachable ones give no row.
 
     ``reverse``: (lat, lon) is the place to be reached and the trip runs from (to_lat, to_lon).
     ``scale_minutes``: trips longer than the scale count as unreachable. Totals equal point_times.
+    ``walked`` (trip, near array<struct<stop_ix,minutes>>, ends, direct double): the walks along streets between
+    (lat, lon), or (to_lat, to_lon), and the stops, and all the way (street_walks); else straight lines.
     """
     ship(trips.sparkSession)
     sent, key = trips.sparkSession.sparkContext.broadcast(net), net.digest
-    direct_m = max(net.walk.max_access_m, direct_walk_m or 0.0)
+    direct_m, straight = max(net.walk.max_access_m, direct_walk_m or 0.0), walked is None
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             states, out = states_in_worker(key, lambda: sent.value, modes, reverse), []
-            for trip, lat, lon, to_lat, to_lon in zip(*(batch[c] for c in ("trip", "lat", "lon", "to_lat", "to_lon"))):
-                found = best_trip(sent.value, states, (lat, lon), (to_lat, to_lon), reverse, direct_m)
+            for trip, lat, lon, to_lat, to_lon, near, ends, direct in zip(*(batch[c] for c in ("trip", "lat", "lon", "to_lat", "to_lon", "near", "ends", "direct"))):
+                if straight:
+                    near, ends = walkable_stops(sent.value, lat, lon), walkable_stops(sent.value, to_lat, to_lon)
+                    metres = float(distances_m(lat, lon, np.array([to_lat]), np.array([to_lon]))[0])
+                    direct = sent.value.walk.minutes(metres) if metres <= direct_m else np.inf
+                else:
+                    near, ends = ([(int(w["stop_ix"]), float(w["minutes"])) for w in (x if x is not None else ())] for x in (near, ends))
+                    direct = np.inf if direct is None or np.isnan(direct) else float(direct)
+                found = best_trip(sent.value, states, (lat, lon), (to_lat, to_lon), near, ends, direct)
                 if found and (scale_minutes is None or found[0] <= scale_minutes):
                     out.append((trip, found[0], found[1], [{"lat": a, "lon": b} for a, b in found[2]]))
             yield pd.DataFrame(out, columns=["trip", "total", "legs", "path"])
 
     rows = trips.select(F.col("trip").cast("string").alias("trip"), *(F.col(c).cast("double").alias(c) for c in ("lat", "lon", "to_lat", "to_lon"))).dropna()
+    if straight:
+        none = F.lit(None).cast("array<struct<stop_ix:int,minutes:double>>")
+        rows = rows.withColumn("near", none).withColumn("ends", none).withColumn("direct", F.lit(None).cast("double"))
+    else:
+        rows = rows.join(walked.select("trip", "near", "ends", "direct"), "trip", "left")
     return spread(rows).mapInPandas(search, RESULT)
 
 
+def street_walks(edges: DataFrame, trips: DataFrame, stop_snaps: DataFrame, walk: Walk, direct_walk_m: float | None = None) -> DataFrame:
+    """(trip, near, ends, direct) for itineraries along streets.
+
+    trips (trip, node_a, snap_a, node_b, snap_b): the street nodes of both places, null beyond the snap limit,
+    which cannot walk at all; stop_snaps (stop_ix, node, snap_m). Walks to stops are within max_access_m, the
+    whole way within the larger of that and ``direct_walk_m``; all in street metres, snaps included.
+    """
+    minutes = lambda c: F.col(c) / walk.speed_m_per_min
+    parts = []
+    for side in ("a", "b"):
+        ends = trips.select(F.col("trip").cast("string").alias("source"), F.col(f"node_{side}").alias("node"), F.col(f"snap_{side}").alias("metres0"))
+        reached = stops_walked_to(street_reach(edges, ends, walk.max_access_m), stop_snaps, walk.max_access_m, walk.speed_m_per_min)
+        parts.append(reached.groupBy(F.col("origin").alias("trip")).agg(F.array_sort(F.collect_list(F.struct("stop_ix", "minutes"))).alias("near" if side == "a" else "ends")))
+    whole = street_routes(edges, trips.withColumnRenamed("trip", "route"), max(walk.max_access_m, direct_walk_m or 0.0)).select(F.col("route").alias("trip"), minutes("metres").alias("direct"))
+    ids = trips.select(F.col("trip").cast("string").alias("trip")).distinct()
+    return ids.join(parts[0], "trip", "left").join(parts[1], "trip", "left").join(whole, "trip", "left").select("trip", "near", "ends", "direct")
+
+
+def walked_legs(found: DataFrame, places: DataFrame, edges: DataFrame, stop_snaps: DataFrame, shaped: DataFrame, limit_m: float) -> DataFrame:
+    """(trip, leg, metres, points): the street polyline of every walk and transfer leg of itineraries.
+
+    places (trip, from_node, from_snap, to_node, to_snap): street nodes of the trip's start and end in travel
+    order; shaped: edges for route_line. A transfer at one stop has no way to walk and gives no row.
+    """
+    legs = found.select("trip", F.posexplode("legs").alias("leg", "l")).filter("l.type = 'walk' or (l.type = 'transfer' and l.from_stop <> l.to_stop)")
+    legs = legs.select("trip", "leg", F.col("l.from_stop").alias("u"), F.col("l.to_stop").alias("v")).join(places, "trip")
+    at = lambda c, n: stop_snaps.select(F.col("stop_ix").alias(c), F.col("node").alias(f"{n}_at"), F.col("snap_m").alias(f"{n}_away"))
+    both = legs.join(at("u", "u"), "u", "left").join(at("v", "v"), "v", "left")
+    pick = lambda c, n, end, w: F.when(F.col(c).isNull(), F.col(end)).otherwise(F.col(f"{n}_{w}"))
+    pairs = both.select(
+        F.concat_ws("#", "trip", "leg").alias("route"), "trip", "leg", pick("u", "u", "from_node", "at").alias("node_a"), pick("u", "u", "from_snap", "away").alias("snap_a"),
+        pick("v", "v", "to_node", "at").alias("node_b"), pick("v", "v", "to_snap", "away").alias("snap_b"),
+    )
+    routes = street_routes(edges, pairs, limit_m)
+    drawn = route_line(routes.select("route", "nodes"), shaped)
+    return pairs.select("route", "trip", "leg").join(routes.select("route", "metres"), "route").join(drawn, "route", "left").select("trip", "leg", "metres", "points")
+
+
 def describe_leg(leg: Column, stop_names: Column, line_names: Column) -> Column:
     """One line of text for a leg; stop_names and line_names are maps from index to name."""
     minutes = F.greatest(F.lit(1), F.floor(leg["minutes"] + 0.5)).cast("string")

@@ -413,6 +413,38 @@ def street_reach(edges: DataFrame, sources: DataFrame, limit_m: float, most: int
     return spread(rows).mapInPandas(search, "source string, node long, metres double")
 
 
+def street_routes(edges: DataFrame, pairs: DataFrame, limit_m: float, most: int = MAX_SENT_EDGES) -> DataFrame:
+    """(route, metres, nodes array<long>): the shortest street way of each pair (route, node_a, snap_a, node_b, snap_b) with both snaps, at most ``limit_m`` in all; no row beyond.
+
+    nodes run from node_a to node_b. Edges (a, b, metres) are undirected and counted before they are sent;
+    TooManyRows if there are more than ``most``. Of equally long ways the one whose nodes settled first holds.
+    """
+    ship(edges.sparkSession)
+    both = edges.select("a", "b", F.col("metres").cast("double").alias("metres"))
+    records = _records(both.union(both.select("b", "a", "metres")), ["a", "b", "metres"], most)
+    n = int(max(records["a"].max(initial=-1), records["b"].max(initial=-1))) + 1
+    sent = edges.sparkSession.sparkContext.broadcast(Csr.of(n, np.asarray(records["a"], int), np.asarray(records["b"], int), np.asarray(records["metres"], float)))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for route, a, snap_a, b, snap_b in zip(*(batch[c] for c in ("route", "node_a", "snap_a", "node_b", "snap_b"))):
+                a, b, room = int(a), int(b), limit_m - snap_b
+                if a >= sent.value.size or b >= sent.value.size:
+                    best, before = ({a: snap_a}, {a: -1}) if snap_a <= room else ({}, {})
+                else:
+                    best, before = settle(sent.value, [(float(snap_a), a)], room)
+                if b in best:
+                    nodes = [b]
+                    while (last := before[nodes[-1]]) != -1:
+                        nodes.append(last)
+                    out.append((route, best[b] + snap_b, nodes[::-1]))
+            yield pd.DataFrame(out, columns=["route", "metres", "nodes"])
+
+    rows = pairs.select(F.col("route").cast("string").alias("route"), *(F.col(c).cast("long").alias(c) for c in ("node_a", "node_b")), *(F.col(c).cast("double").alias(c) for c in ("snap_a", "snap_b"))).dropna()
+    return spread(rows).mapInPandas(search, "route string, metres double, nodes array<long>")
+
+
 def node_times(at_stops: DataFrame, stop_walks: DataFrame, origin_walks: DataFrame, speed: float) -> DataFrame:
     """(origin, node, minutes) at street nodes: from the origin on foot, or from a stop after riding.
 

@@ -169,3 +169,35 @@ def test_query_state():
     assert walk.modes == () and walk.direct_minutes == 60 and q.direct_minutes is None
     assert stale_parts(q, reduce_query(q, "max_minutes", 30)) == {"paint", "trip"}
     assert "times" in stale_parts(walk, reduce_query(walk, "max_minutes", 30)) and stale_parts(q, q) == set()
+
+
+def test_itineraries_along_streets(spark):
+    """A river with one bridge: every walk goes over it, totals equal street_point_times, and the walks are drawn."""
+    from isotrek.operators.itinerary import street_walks, walked_legs
+
+    walk = Walk(1.3, 75, 1300, 400, "streets")
+    places = {0: (0, 0), 1: (0, 300), 2: (600, 300), 3: (600, 0), 4: (3000, 0), 5: (3000, 350), 6: (3400, 350)}
+    pairs = [(0, 1), (1, 2), (2, 3), (4, 5), (5, 6)]
+    span = {(a, b): int(abs(places[a][0] - places[b][0]) + abs(places[a][1] - places[b][1])) for a, b in pairs}
+    edges = spark.createDataFrame([(a, b, m) for (a, b), m in span.items()], "a long, b long, metres int")
+    shaped = spark.createDataFrame([(a, b, *at(*places[a]), *at(*places[b]), []) for a, b in pairs], "a long, b long, lat_a double, lon_a double, lat_b double, lon_b double, shape array<struct<lat:double,lon:double>>")
+    f = feed(spark, {"A": (600, 0), "B": (3000, 0), "C": (3400, 350), "D": (9000, 0)}, six_an_hour("L", [("A", 0), ("B", 6)]) + six_an_hour("M", [("C", 2), ("D", 9)]))
+    net = network.build_network(f, f["trips"].select("service_id").distinct(), CITY)
+    snaps = spark.createDataFrame([(0, 3, 5.0), (1, 4, 5.0), (2, 6, 10.0)], "stop_ix int, node long, snap_m double")
+    walks = search.street_reach(edges, snaps.select(F.col("stop_ix").alias("source"), "node", F.col("snap_m").alias("metres0")), 1300.0)
+    net.neighbors = search.street_neighbors(walks, snaps, 800.0, 75.0)
+    arrays = search.net_arrays(net, City("t", CITY.bbox, BASE, walk, CITY.modes, CITY.window))
+    ends = spark.createDataFrame([("x", 0, 20.0, 5, 30.0), ("near", 0, 20.0, 1, 0.0), ("lost", 0, 20.0, None, None)], "trip string, node_a long, snap_a double, node_b long, snap_b double")
+    trips = spark.createDataFrame([("x", *at(0, -20), *at(3000, 380)), ("near", *at(0, -20), *at(0, 300)), ("lost", *at(0, 0), *at(50_000, 0))], "trip string, lat double, lon double, to_lat double, to_lon double")
+    got = {r.trip: r for r in itineraries(arrays, trips, walked=street_walks(edges, ends, snaps, walk)).collect()}
+    assert set(got) == {"x", "near"} and abs(got["near"].total - 320 / 75) < 1e-9
+    assert [leg.type for leg in got["near"].legs] == ["walk"] and [leg.type for leg in got["x"].legs] == ["walk", "wait", "ride", "walk"]
+    assert abs(got["x"].total - (1225 / 75 + 5 + 6 + 385 / 75)) < 1e-9 and abs(sum(leg.minutes for leg in got["x"].legs) - got["x"].total) < 1e-9
+    stops = spark.createDataFrame([("x", 0, 20.0, 5, 30.0), ("near", 0, 20.0, 1, 0.0)], "trip string, from_node long, from_snap double, to_node long, to_snap double")
+    found = itineraries(arrays, trips, walked=street_walks(edges, ends, snaps, walk))
+    drawn = {(r.trip, r.leg): (r.metres, len(r.points)) for r in walked_legs(found, stops, edges, snaps, shaped, 1300.0).collect()}
+    assert drawn == {("x", 0): (1225.0, 4), ("x", 3): (385.0, 2), ("near", 0): (320.0, 2)}
+    turned = trips.select("trip", F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon"), F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"))
+    back_ends = ends.select("trip", F.col("node_b").alias("node_a"), F.col("snap_b").alias("snap_a"), F.col("node_a").alias("node_b"), F.col("snap_a").alias("snap_b"))
+    back = {r.trip: r for r in itineraries(arrays, turned, reverse=True, walked=street_walks(edges, back_ends, snaps, walk)).collect()}
+    assert back.keys() == got.keys() and all(abs(back[k].total - got[k].total) < 1e-9 and [x.type for x in back[k].legs] == [x.type for x in got[k].legs] for k in got)
