@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from isotrek.functions import colour, geo, links, numbers, text
 from isotrek.functions.values import decimal_between, key, real_day, strip
-from isotrek.operators import checks, network, places, proximity, published, rankings, raster, stats, streets, variants
+from isotrek.operators import checks, network, places, proximity, published, rankings, raster, search, stats, streets, variants
 from isotrek.plans import reference as R
 from isotrek.session import table
 
@@ -263,6 +263,34 @@ def markers_at(spark: SparkSession, d: str) -> DataFrame:
     return places.marker_at(markers, clicks, "touch")
 
 
+def street_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Shortest street metres between nations' nodes, ends included, and whether the node list is one such way."""
+    n = F.col("n_nationkey")
+    pairs = table(spark, d, "nation").select(n.alias("route"), n.alias("node_a"), F.lit(10.0).alias("snap_a"), ((n + 5) % 25).alias("node_b"), F.lit(5.0).alias("snap_b"))
+    found = search.street_routes(R._street_edges(spark, d), pairs, 915.0)
+    steps = found.select("route", "metres", F.explode(F.expr("transform(sequence(1, size(nodes) - 1), i -> struct(nodes[i - 1] as u, nodes[i] as v))")).alias("s"))
+    edges = R._street_edges(spark, d).withColumnRenamed("metres", "m")
+    summed = steps.join(edges, (F.least("s.u", "s.v") == F.col("a")) & (F.greatest("s.u", "s.v") == F.col("b"))).groupBy("route", "metres").agg(F.sum("m").alias("walked"))
+    return summed.select(F.col("route").cast("int").alias("route"), F.col("metres").cast("long").alias("metres"), (F.col("walked") + 15 == F.col("metres")).alias("exact"))
+
+
+def street_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    """Stops joined along streets: nations stand at street nodes, some metres away from them."""
+    n = F.col("n_nationkey")
+    snaps = table(spark, d, "nation").select(n.alias("stop_ix"), n.cast("long").alias("node"), (n % 10).cast("double").alias("snap_m"))
+    walks = search.street_reach(R._street_edges(spark, d), snaps.select(F.col("stop_ix").alias("source"), "node", F.col("snap_m").alias("metres0")), 700.0)
+    return search.street_neighbors(walks, snaps, 700.0, 75.0).select("a", "b", R._r("minutes"))
+
+
+def street_minutes(spark: SparkSession, d: str) -> DataFrame:
+    """Least minutes at street nodes: on foot from the origin, or from stops after a ride; nations are origins and stops."""
+    n = F.col("n_nationkey")
+    walks = search.street_reach(R._street_edges(spark, d), table(spark, d, "nation").select(n.alias("source"), n.cast("long").alias("node"), F.lit(0.0).alias("metres0")), 600.0)
+    nations = table(spark, d, "nation").select(n.alias("stop_ix"))
+    at_stops = nations.filter("stop_ix < 5").select(F.col("stop_ix").cast("string").alias("origin")).crossJoin(nations.filter("stop_ix % 6 = 1")).withColumn("minutes", 4.0 + F.col("stop_ix") % 3)  # 20 rows
+    return search.node_times(at_stops, walks, walks.filter("cast(source as int) < 5"), 75.0).select(F.col("origin").cast("int").alias("origin"), "node", R._r("minutes"))
+
+
 def countries(spark: SparkSession, d: str) -> DataFrame:
     cities = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("city"), F.col("n_name").alias("country"))
     found = published.cities_by_country(cities)
@@ -290,5 +318,5 @@ QUERIES = {f.__name__: f for f in (
     stop_neighbors, corner_stops, corner_three_stops, network_rides, line_medians, headway_figures, amount_medians, zone_measures, planar_stops, river_crossings, long_segments,
     open_routes, stops_in_box, stops_in_zone, found_stops, date_texts, number_texts, label_texts, rewritten_names, colour_texts, heat_colours, street_buckets, share_links,
     reach_links, ranked_cities, city_positions, agency_releases, lines_by_mode, walk_figures, thinned_lines, complex_sizes, transfer_minutes, route_line_stats, probe_speeds,
-    markers_at, countries, kept_trips, exception_days, delta_coded,
+    markers_at, street_pairs, street_neighbors, street_minutes, countries, kept_trips, exception_days, delta_coded,
 )}

@@ -51,6 +51,11 @@ def _ramp(i: int) -> str:
     return f"cast(floor(case when t <= {p1} then {a[i]} + ({b[i] - a[i]}) * t / {p1} else {b[i]} + ({c[i] - b[i]}) * (t - {p1}) / 0.6 end + 0.5) as integer)"
 
 
+def _walks(limit: int) -> str:
+    """The recursive CTE of street metres from every nation's node."""
+    return TRANSIT["bounded_reach"].rsplit("select source, node, metres from found", 1)[0].replace("<= 900", f"<= {limit}")
+
+
 _MONTHS = "['janvier', 'février', 'mars', 'avril', 'mai', 'juin', 'juillet', 'août', 'septembre', 'octobre', 'novembre', 'décembre']"
 _FOLDED = r"regexp_replace(strip_accents(lower(stop_name)), '[\x{0300}-\x{036f}]', '', 'g')"
 
@@ -127,6 +132,10 @@ SQL = {
       from (select a, route_id, round_even(least(15e0, greatest(1e0, 450e0 / avg(n))), 2) as w from n group by 1, 2) group by 1""",
     "probe_speeds": f"""with p as (select distinct o_orderkey as k, cast(o_orderkey % 9000 as double) as m, case when o_orderkey % 11 <> 0 then nullif(o_orderkey % 70, 0) end as t, o_orderkey % 11 = 0 as lost from orders)
       select k as from_id, {_r('m / 1000 / (t / 60e0)')} as kmh, case when lost then 'unreachable' when m > 2000 and m / 1000 / (t / 60e0) < 8 then 'slow' when m / 1000 / (t / 60e0) > 35 then 'fast' else 'ok' end as flag from p""",
+    "street_pairs": _walks(900) + "select source as route, metres + 15 as metres, true as exact from found where node = (source + 5) % 25 and metres <= 900",
+    "street_neighbors": _walks(700) + f"select f.source as a, cast(f.node as integer) as b, {_r('(f.metres + f.source % 10 + f.node % 10) / 75e0')} as minutes from found f where f.node < 25 and f.node <> f.source and f.metres + f.source % 10 + f.node % 10 <= 700",
+    "street_minutes": _walks(600) + f"""select origin, node, {_r('min(m)')} as minutes from (select source as origin, node, metres / 75e0 as m from found where source < 5
+      union all select o.n_nationkey, node, 4 + source % 3 + metres / 75e0 from found, nation o where o.n_nationkey < 5 and source % 6 = 1) group by origin, node""",
     "markers_at": """with m as (select s_suppkey as ix, (s_suppkey * 37) % 400 as x, (s_suppkey * 91) % 400 as y from supplier), c as (select c_custkey as click, (c_custkey * 53) % 401 as x, (c_custkey * 29) % 397 as y from customer),
       d as (select click, ix, (m.x - c.x) * (m.x - c.x) + (m.y - c.y) * (m.y - c.y) as q from c join m on abs(m.x - c.x) <= 22 and abs(m.y - c.y) <= 22)
       select click, f.ix as ix from c left join (select click, arg_max(ix, {'q': -q, 'ix': ix}) as ix from d where q <= 484 group by click) f using (click)""",
