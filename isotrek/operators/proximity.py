@@ -22,14 +22,17 @@ def _band_height_deg(radius_m: float) -> float:
     return math.degrees(radius_m / EARTH_M) * (1 + 1e-9)
 
 
-def _cells_of_band(band: Column, radius_m: float) -> Column:
-    """How many cells a latitude band is cut into, so that points within the radius lie in the same or in neighbouring cells, also in the bands beside."""
-    h = _band_height_deg(radius_m)
-    edge = F.greatest(F.abs((band - 1) * h - 90), F.abs((band + 2) * h - 90))
+def _lon_reach(band: Column, height_deg: float, radius_m: float) -> Column:
+    """How many degrees of longitude two points of a latitude band, or of it and a band beside, can differ within the radius."""
+    edge = F.greatest(F.abs((band - 1) * height_deg - 90), F.abs((band + 2) * height_deg - 90))
     narrowest = F.cos(F.radians(F.least(F.lit(90.0), edge)))
     ratio = math.sin(radius_m / (2 * EARTH_M)) / narrowest
-    width = F.when(narrowest <= 1e-12, 360.0).otherwise(F.degrees(2 * F.asin(F.least(F.lit(1.0), ratio))) * (1 + 1e-9))
-    return F.greatest(F.lit(1), F.floor(360.0 / width)).cast("long")
+    return F.when(narrowest <= 1e-12, 360.0).otherwise(F.degrees(2 * F.asin(F.least(F.lit(1.0), ratio))) * (1 + 1e-9))
+
+
+def _cells_of_band(band: Column, radius_m: float) -> Column:
+    """How many cells a latitude band is cut into, so that points within the radius lie in the same or in neighbouring cells, also in the bands beside."""
+    return F.greatest(F.lit(1), F.floor(360.0 / _lon_reach(band, _band_height_deg(radius_m), radius_m))).cast("long")
 
 
 def _own_cell(points: DataFrame, radius_m: float) -> DataFrame:
@@ -71,15 +74,22 @@ def near_join(left: DataFrame, right: DataFrame, radius_m: float, keep: str = "t
 
 
 def _half_around(points: DataFrame, radius_m: float) -> DataFrame:
-    """Each point in its own cell (home) and in those east and north of it: of two neighbouring cells one looks into the other."""
-    h = _band_height_deg(radius_m)
-    own = F.floor((F.col("lat") + 90) / h)
-    ahead = points.withColumn("own", own).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-    ahead = ahead.withColumn("cells", _cells_of_band(F.col("band"), radius_m)).withColumn("at", _cell_at(F.col("lon"), F.col("cells")))
-    steps = F.when(F.col("band") == F.col("own"), F.expr("array(0L, 1L)")).otherwise(F.expr("array(-1L, 0L, 1L)"))
-    beside = F.array_distinct(F.transform(steps, lambda x: F.pmod(F.col("at") + x, F.col("cells"))))
-    ahead = ahead.withColumn("cell", F.explode(beside))
-    return ahead.withColumn("home", (F.col("band") == F.col("own")) & (F.col("cell") == F.pmod(F.col("at"), F.col("cells")))).drop("own", "cells", "at")
+    """Each point in its own cell (home) and in those to the east and north that its radius touches.
+
+    Cells are twice as wide as the radius, so that most points touch few others; of two neighbouring cells
+    one looks into the other.
+    """
+    wide = 2 * radius_m
+    h, reach = _band_height_deg(wide), _band_height_deg(radius_m)
+    ahead = points.withColumn("own", F.floor((F.col("lat") + 90) / h))
+    to_north = (F.col("own") + 1) * h - 90 - F.col("lat")
+    ahead = ahead.withColumn("band", F.explode(F.when(to_north <= reach, F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array("own"))))
+    ahead = ahead.withColumn("cells", _cells_of_band(F.col("band"), wide)).withColumn("far", _lon_reach(F.col("band"), h, radius_m)).withColumn("at", _cell_at(F.col("lon"), F.col("cells")))
+    touched = lambda lon: F.floor((lon + 180) / (F.lit(360.0) / F.col("cells")))
+    east, west = touched(F.col("lon") + F.col("far")), touched(F.col("lon") - F.col("far"))
+    beside = F.when(F.col("band") == F.col("own"), F.array("at", east)).otherwise(F.array(west, "at", east))
+    ahead = ahead.withColumn("cell", F.explode(F.array_distinct(F.transform(beside, lambda x: F.pmod(x, F.col("cells"))))))
+    return ahead.withColumn("home", (F.col("band") == F.col("own")) & (F.col("cell") == F.pmod(F.col("at"), F.col("cells")))).drop("own", "cells", "far", "at")
 
 
 def near_pairs(points: DataFrame, radius_m: float, repeated: bool = True) -> DataFrame:
@@ -93,7 +103,7 @@ def near_pairs(points: DataFrame, radius_m: float, repeated: bool = True) -> Dat
     named = lambda df, x, *more: df.select("band", "cell", *more, *(F.col(c).alias(f"{c}_{x}") for c in ("key", "lat", "lon")))
     metres = haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
     met = (
-        named(_own_cell(placed, radius_m), "a")
+        named(_own_cell(placed, 2 * radius_m), "a")
         .join(named(_half_around(placed, radius_m), "b", "home"), ["band", "cell"])
         .filter(f"key_a <> key_b and (not home or key_a < key_b) and abs(lat_a - lat_b) <= {_band_height_deg(radius_m)!r}")
         .select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), metres.alias("metres"))

@@ -11,7 +11,7 @@ from isotrek.operators.orphans import Reference, orphan_cascade, orphan_report
 from isotrek.operators.proximity import near_pairs, points_in_zones
 from isotrek.operators.records import LOADED, faulty_lines, faulty_values, readable_lines
 from isotrek.operators.timestamps import change_day_rows, normalise_timestamps
-from isotrek.session import cut, table
+from isotrek.session import keep, table
 
 WALK_REACH_M = 150.0
 REFERENCES = [
@@ -93,7 +93,7 @@ def placed_stops(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    stops = cut(placed_stops(spark, d).distinct())  # read and parsed once for both kinds
+    stops = keep(placed_stops(spark, d).distinct())  # read and parsed once for both kinds
     near = near_pairs(stops, WALK_REACH_M, repeated=False).select(F.lit("near").alias("kind"), "key_a", "key_b")
     held = points_in_zones(stops, table(spark, d, "zones"), repeated=False).select(F.lit("zone").alias("kind"), F.col("key").alias("key_a"), F.col("zone_id").alias("key_b"))
     return near.unionByName(held)

@@ -1,3 +1,4 @@
+import pytest
 import math
 import random
 
@@ -32,6 +33,30 @@ def test_near_pairs_equal_brute_force(spark):
     assert near_pairs(df.limit(0), 150.0).collect() == []
 
 
+@pytest.mark.parametrize("radius", [150.0, 60_000.0, 900_000.0])
+def test_near_pairs_everywhere(spark, radius):
+    """Around the poles and the 180th meridian and in between, for small and for wide cells."""
+    r = random.Random(int(radius))
+    spread = radius / 111_000 * 2
+    centres = [(90.0, 0.0), (-90.0, 50.0), (89.9, 170.0), (0.0, 180.0), (10.0, -180.0), (60.0, 179.9), (-45.0, -179.99), (33.0, 7.0)]
+    data = []
+    for lat, lon in centres:
+        for _ in range(18):
+            y = max(-90.0, min(90.0, lat + r.uniform(-spread, spread)))
+            x = lon + r.uniform(-spread, spread) / max(0.02, math.cos(math.radians(y)))
+            data.append((f"k{len(data):03}", y, (x + 180) % 360 - 180))
+    data += [("e1", 0.0, 180.0), ("e2", 0.0, -180.0), ("n1", 90.0, 10.0), ("n2", 90.0, -120.0)]
+
+    def metres(a, b):
+        p, q = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 6_371_000 * math.asin(min(1.0, math.sqrt(h)))
+
+    want = {(a[0], b[0]) for a in data for b in data if a[0] < b[0] and metres(a, b) <= radius}
+    got = near_pairs(spark.createDataFrame(data, "key string, lat double, lon double"), radius).select("key_a", "key_b").collect()
+    assert {tuple(x) for x in got} == want and len(got) == len(want) > 50
+
+
 def test_nearest_and_k_nearest(spark):
     points = [p for p in cloud(2) if None not in p]
     left = [(f"L{i}", p[1] + 0.0004 if p[1] < 89 else p[1], p[2]) for i, p in enumerate(points[:60])]
