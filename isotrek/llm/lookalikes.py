@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isotrek.functions.values import key
-from isotrek.session import cut, ship
+from isotrek.session import keep, ship
 
 # Unicode names of letters of other scripts that are drawn like an ASCII letter or sign. Left out because
 # they differ visibly: letters of another shape (Greek alpha, Latin alpha, Hebrew samekh), dashes and the minus sign, which
@@ -217,9 +217,9 @@ def look_alike_pairs(rows: DataFrame, id_column: str, text_column: str, pairs: I
     which is what the result lists.
     """
     stripped = rows.select(key(F.col(f"`{id_column}`").cast("string")).alias("id"), key(F.col(f"`{text_column}`").cast("string")).alias("spelling")).dropna()
-    named = cut(stripped.groupBy("id", "spelling").agg(F.count("*").alias("times")))
+    named = keep(stripped.groupBy("id", "spelling").agg(F.count("*").alias("times")))
     spellings = named.groupBy("spelling").agg(F.sum("times").alias("times"))
-    seen = cut(with_appearance(cut(spellings), "spelling", weight="times", pairs=pairs).filter("appearance != ''").select("appearance", "spelling"))
+    seen = keep(with_appearance(spellings, "spelling", weight="times", pairs=pairs).filter("appearance != ''").select("appearance", "spelling"))
     left, right = seen.select("appearance", F.col("spelling").alias("a")), seen.select("appearance", F.col("spelling").alias("b"))
     unlike = left.join(right, "appearance").filter("a < b").select("a", "b")
     return (
