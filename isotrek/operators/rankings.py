@@ -36,7 +36,8 @@ def first_and_last(departures: DataFrame, keys: list[str], line: str, seconds: s
 def busiest(departures: DataFrame, station: str) -> DataFrame:
     """(station, tied, passages), one row: the station of most passages; equally busy ones are listed and none is named."""
     counted = departures.groupBy(F.col(station).alias("station")).agg(F.count("*").alias("passages"))
-    top = counted.withColumn("r", F.rank().over(Window.partitionBy().orderBy(F.desc("passages")))).filter("r = 1")
+    most = counted.agg(F.max("passages").alias("passages"))
+    top = counted.join(F.broadcast(most), "passages")  # one row
     listed = top.groupBy("passages").agg(F.array_sort(F.collect_list("station")).alias("all"))
     single = F.size("all") == 1
     return listed.select(F.when(single, F.element_at("all", 1)).alias("station"), F.when(single, F.array().cast("array<string>")).otherwise(F.col("all").cast("array<string>")).alias("tied"), "passages")
@@ -93,3 +94,22 @@ def city_positions(ranked: DataFrame, modes: DataFrame | None = None) -> DataFra
         ranked = ranked.withColumn("rank", F.rank().over(Window.partitionBy("ranking", "mode").orderBy("rank")))
     best = Window.partitionBy("city", "ranking").orderBy("rank", "line")
     return ranked.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("city", "ranking", "rank", "line", "value")
+
+
+def city_rankings(day: DataFrame, before: DataFrame, after: DataFrame, centre: DataFrame) -> dict[str, DataFrame]:
+    """The rankings of one city from the stop times of a service day and of the days beside it.
+
+    Rows (trip_id, route_id, direction, seq, stop_id, name, arr, dep, pickup_type), ``name`` normalised; centre
+    (name): the stations that count as the city's centre. Gives busiest (station, tied, passages), lines
+    (route_id, peak_passages, peak_headway, minutes, first_stop, last_stop), centre (first and last passage
+    of the transport day) and trips (weekday_trips), each of one row or one a line.
+    """
+    boards = {k: boardable(df, "trip_id", ["seq"]).filter("dep is not null") for k, df in (("day", day), ("before", before), ("after", after))}
+    peak = peak_headway(boards["day"], ["route_id"], ["stop_id", "direction"], "dep", 8 * 3600, 9 * 3600)
+    timed = day.filter("arr is not null and dep is not null").groupBy("trip_id", "route_id").agg(F.array_sort(F.collect_list(F.struct("seq", "stop_id", "arr", "dep"))).alias("r"))  # a trip's calls in a day
+    patterns = timed.select("route_id", F.col("r.stop_id").alias("pattern"), (F.element_at("r.arr", -1) - F.element_at("r.dep", 1)).alias("duration"))
+    at_centre = transport_day(*(boards[k].join(F.broadcast(centre.select("name").distinct()), "name", "left_semi") for k in ("day", "before", "after")))
+    return {
+        "busiest": busiest(boards["day"], "name"), "lines": peak.join(end_to_end(patterns, ["route_id"]), "route_id", "full_outer"),
+        "centre": first_and_last(at_centre.withColumn("place", F.lit("centre")), ["place"], "route_id").drop("place"), "trips": day.agg(F.countDistinct("trip_id").alias("weekday_trips")),
+    }

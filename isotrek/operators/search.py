@@ -211,7 +211,8 @@ def _changes(r_codes: np.ndarray, n_lines: int, neighbors: np.ndarray, waits: np
     return first_r + state, board_state(at[board], other[board]), penalty[other[board]] + minutes[pair] + wait[board]
 
 
-def _table(df: DataFrame, columns: list[str], limit: int = MAX_SENT_EDGES) -> pd.DataFrame:
+def collected(df: DataFrame, columns: list[str], limit: int = MAX_SENT_EDGES) -> pd.DataFrame:
+    """The rows of a table that must be small enough for the driver, sorted; TooManyRows if there are more than ``limit``."""
     rows = df.select(*columns).limit(limit + 1).toArrow().to_pandas()
     if len(rows) > limit:
         raise TooManyRows(f"over {limit} rows are too many to send to every worker; use relaxed_stop_times")
@@ -219,13 +220,13 @@ def _table(df: DataFrame, columns: list[str], limit: int = MAX_SENT_EDGES) -> pd
 
 
 def _records(df: DataFrame, columns: list[str], limit: int = MAX_SENT_EDGES) -> np.ndarray:
-    return _table(df, columns, limit).to_records(index=False)
+    return collected(df, columns, limit).to_records(index=False)
 
 
 def net_arrays(net: Network, city: City, limit: int = MAX_SENT_EDGES) -> NetArrays:
     """Collect a network after counting that it is small enough to be sent; TooManyRows if it is not."""
-    stops = _table(net.stops, ["stop_ix", "lat", "lon", "stop_id"], limit)
-    lines = _table(net.lines, ["line_ix", "mode", "line_id"], limit)
+    stops = collected(net.stops, ["stop_ix", "lat", "lon", "stop_id"], limit)
+    lines = collected(net.lines, ["line_ix", "mode", "line_id"], limit)
     return NetArrays(
         stops["lat"].to_numpy(float), stops["lon"].to_numpy(float), [str(m) for m in lines["mode"]],
         _records(net.rides, ["line_ix", "a", "b", "minutes"], limit), _records(net.waits, ["stop_ix", "line_ix", "wait"], limit), _records(net.neighbors, ["a", "b", "minutes"], limit),
@@ -235,10 +236,10 @@ def net_arrays(net: Network, city: City, limit: int = MAX_SENT_EDGES) -> NetArra
 
 def timetable_arrays(found: Timetable, city: City, limit: int = MAX_SENT_EDGES, neighbors: DataFrame | None = None) -> NetArrays:
     """net_arrays of a timetable by ids; the numbers, those of ``numbered``, are made on the driver. ``neighbors`` (a, b, minutes): by stop_id, else straight lines."""
-    stops = _table(found.stops, ["stop_id", "lat", "lon"], limit)
-    rides = _table(found.rides, ["route_id", "direction", "a", "b", "minutes", "mode"], limit)
-    waits = _table(found.waits, ["route_id", "direction", "stop_id", "wait"], limit)
-    near = _table(walking_neighbors(found.stops, "stop_id", city) if neighbors is None else neighbors, ["a", "b", "minutes"], limit)
+    stops = collected(found.stops, ["stop_id", "lat", "lon"], limit)
+    rides = collected(found.rides, ["route_id", "direction", "a", "b", "minutes", "mode"], limit)
+    waits = collected(found.waits, ["route_id", "direction", "stop_id", "wait"], limit)
+    near = collected(walking_neighbors(found.stops, "stop_id", city) if neighbors is None else neighbors, ["a", "b", "minutes"], limit)
     line_of = pd.MultiIndex.from_frame(rides[["route_id", "direction"]]).unique().sort_values()
     stop_of = pd.Index(stops["stop_id"])
     number = lambda ids: stop_of.get_indexer(ids).astype("int32")

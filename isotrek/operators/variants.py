@@ -27,7 +27,7 @@ def stop_complexes(stops: DataFrame) -> tuple[DataFrame, DataFrame]:
     of its stops, its display name the commonest spelling (the smallest of equally common ones). Names
     become components of a link graph, so no name is ever gathered in one task.
     """
-    named = stops.select("stop_id", "name", "lat", "lon", normalise_name(F.col("name")).alias("norm")).dropDuplicates(["stop_id"])
+    named = stops.select("stop_id", "name", "lat", "lon", normalise_name(F.col("name")).alias("norm")).groupBy("stop_id").agg(F.min(F.struct("lat", "lon", "name", "norm")).alias("s")).select("stop_id", "s.name", "s.lat", "s.lon", "s.norm")
     numbered = dense_index(named, ["stop_id"], "n")
     points = numbered.select(F.struct("norm", "n").alias("key"), "lat", "lon")
     links = near_join(points, points, GROUP_RADIUS_M, "key_a.norm = key_b.norm and key_a.n <= key_b.n").select(F.col("key_a.n").alias("a"), F.col("key_b.n").alias("b"))

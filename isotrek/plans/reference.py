@@ -329,7 +329,9 @@ def hilbert_order(spark: SparkSession, d: str) -> DataFrame:
 
 def thinned_trips(spark: SparkSession, d: str) -> DataFrame:
     """Each trip's stop polyline thinned to points at least 500 m apart."""
-    rows = timed_rows(spark, d).join(table(spark, d, "stops").select(key("stop_id").alias("stop_id"), decimal_between(F.col("stop_lat"), -90, 90).alias("lat"), decimal_between(F.col("stop_lon"), -180, 180).alias("lon")).dropna().dropDuplicates(["stop_id"]), "stop_id")
+    places = table(spark, d, "stops").select(key("stop_id").alias("stop_id"), decimal_between(F.col("stop_lat"), -90, 90).alias("lat"), decimal_between(F.col("stop_lon"), -180, 180).alias("lon")).dropna()
+    lowest = places.groupBy("stop_id").agg(F.min(F.struct("lat", "lon")).alias("p")).select("stop_id", "p.lat", "p.lon")
+    rows = timed_rows(spark, d).join(lowest, "stop_id")
     lines = rows.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("seq", "st_id", "lat", "lon"))).alias("r"))
     points = F.transform("r", lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
     return lines.select("trip_id", F.size("r").alias("points"), F.size(thin_line(points, 500.0)).alias("kept"))

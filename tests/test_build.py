@@ -4,9 +4,10 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from isotrek import build
+from isotrek import build, commands
 from isotrek.operators import published
 from isotrek.operators.checks import release_problems
+from isotrek.operators.rankings import city_rankings
 from isotrek.params import parse_city
 from isotrek.sources import assets, osm
 from tests.conftest import rows
@@ -102,6 +103,36 @@ def test_build_inside_a_boundary(spark, tmp_path):
     assert got["stats"]["reach"] == {"threshold_min": 30, "origins": 1, "scope": "boundary", "percent_stops": 100.0}
 
 
+def test_commands(spark, tmp_path, capsys):
+    feed, cities, data = tmp_path / "f.zip", tmp_path / "cities", tmp_path / "data"
+    make_zip(str(feed), FILES)
+    cities.mkdir()
+    (cities / "mini.json").write_text(json.dumps(CITY))
+    run = lambda *a: commands.main(["--today", "2026-03-02", *map(str, a)], spark, ask=lambda q: {"elements": []})
+    assert run("fetch", cities / "mini.json", "--gtfs", feed, "--out", tmp_path / "got") == 0
+    note = json.loads((tmp_path / "got" / "mini.manifest.json").read_text())
+    assert note["valid_to"] == "2027-12-31" and note["bytes"] == feed.stat().st_size and len(note["sha256"]) == 64 and not note["expired"]
+    assert commands.main(["--today", "2030-01-01", "fetch", str(cities / "mini.json"), "--gtfs", str(feed), "--out", str(tmp_path / "got")], spark) == 2
+    assert run("lint", cities) == 0 and run("release", data, cities) == 1 and "mini: no metadata" in capsys.readouterr().err
+    (data / "mini").mkdir(parents=True)
+    (data / "mini" / "meta.json").write_text(json.dumps({"feed": {"valid_to": "2027-12-31", "expired": False}}))
+    assert run("release", data, cities) == 0
+    assert run("map", cities / "mini.json", "--out", tmp_path / "map") == 0 and json.loads((tmp_path / "map" / "basemap.json").read_text()) == {"parks": [], "water": []}
+    (cities / "bad.json").write_text("{}")
+    assert run("lint", cities) == 1
+
+
+def test_city_rankings(spark):
+    rows_ = [("t1", "L", "0", 1, "A", "a", 28_900, 28_900, "0"), ("t1", "L", "0", 2, "B", "b", 29_500, 29_500, "0"), ("t1", "L", "0", 3, "C", "c", 30_100, 30_100, "0"), ("t2", "L", "0", 1, "A", "a", 90_000, 90_000, None), ("t2", "L", "0", 2, "B", "b", 90_600, 90_600, None)]
+    day = spark.createDataFrame(rows_, "trip_id string, route_id string, direction string, seq int, stop_id string, name string, arr int, dep int, pickup_type string")
+    found = city_rankings(day, day.limit(0), day.limit(0), spark.createDataFrame([("a",)], "name string"))
+    assert tuple(found["busiest"].first()) == ("a", [], 2) and found["trips"].first()[0] == 2
+    line = found["lines"].first()
+    assert (line.route_id, line.peak_passages, line.peak_headway, line.minutes, line.first_stop, line.last_stop) == ("L", 1, 60.0, 20, "A", "C")
+    centre = found["centre"].first()
+    assert (centre.first_time, centre.last_time) == ("08:01", "01:00 (+1)")
+
+
 def test_street_asset_in_the_published_form(spark):
     asset = {
         "schema": 1, "scale": 100000, "n": 3, "lat": [4160000, 100, 0], "lon": [-470000, 100, 100], "deg": [2, 1, 0], "to": [1, 2, 1], "m": [100, 300, 50], "cls": [1, 2, 0],

@@ -89,3 +89,21 @@ def test_second_rule_set_configuration(tmp_path):
     assert city["geocoder"] == "photon" and city["osmRailBbox"] == [1, 2, 3, 4] and city["parksBbox"] == [47.15, -1.63, 47.27, -1.47] and city["lat0"] == 47.21 and city["railGeometry"] == "gtfs"
     assert "route" in osm.rail_query([1, 2, 3, 4], ["G", "H+"], "N") and "H\\+" in osm.rail_query([1, 2, 3, 4], ["G", "H+"], "N") and "bus" not in osm.rail_query([1, 2, 3, 4])
     assert "( - .*)?$" in osm.river_query([1, 2, 3, 4], ["La Loire"]) and "bridge" in osm.bridge_query([1, 2, 3, 4]) and osm.land_query([5, 6]).count("relation(") == 2
+
+
+def test_seeds_around_a_river(spark):
+    import numpy as np
+
+    from isotrek.operators.route_states import around_rivers, solve
+
+    rivers, bridges = np.array([[50.0, -1000.0, 50.0, 1000.0]]), np.array([[50.0, 900.0]])
+    got = around_rivers(np.array([0.0, 0.0]), np.array([[40.0, 0.0], [60.0, 0.0], [60.0, 900.0], [60.0, 1500.0]]), rivers, bridges)
+    assert got[0] == 40.0 and abs(got[1] - (np.hypot(50, 900) + np.hypot(10, 900))) < 1e-9 and abs(got[2] - (np.hypot(50, 900) + 10)) < 1e-9
+    assert np.isinf(around_rivers(np.array([0.0, 0.0]), np.array([[60.0, 0.0]]), rivers, bridges, 1000.0)[0]) and np.isinf(around_rivers(np.array([0.0, 0.0]), np.array([[60.0, 0.0]]), rivers, np.zeros((0, 2)))[0])
+    states = spark.createDataFrame([(0, 0, "R", 2.0, 0.0, True), (1, 1, "R", 2.0, 0.0, True)], "state int, station int, route_id string, wait double, access double, rail boolean")
+    edges = spark.createDataFrame([], "src int, dst int, weight double, extra_wait double")
+    stations = spark.createDataFrame([(0, 0.0, 60 / 111_320), (1, 0.0, -100 / 111_320)], "station int, lat double, lon double")
+    water = spark.createDataFrame([(50.0, -5000.0, 50.0, 5000.0)], "x1 double, y1 double, x2 double, y2 double")
+    for river, want in ((None, {0, 1}), (water, {1})):
+        net = route_states(states, edges, stations, rivers=river, origin=(0.0, 0.0))
+        assert set(solve(net, 0.0, 0.0)[3]) == want
