@@ -25,6 +25,7 @@ from isotrek.params import City, Walk
 from isotrek.session import cut, ship, spread
 
 MAX_SENT_EDGES = 2_000_000  # rows of a table that are sent to workers; more are searched as joins, with the same result
+EDGES_A_ROW = 5  # changes of line for each row of that limit: ten million edges are some 250 MB a worker
 
 
 class TooManyRows(ValueError):
@@ -153,6 +154,20 @@ class NetArrays:
         self.sorted_lat = self.stop_lat[self.by_lat]
         self.digest = hashlib.sha256(b"".join(np.ascontiguousarray(x).tobytes() for x in (self.stop_lat, self.stop_lon, self.rides, self.waits, self.neighbors))).hexdigest()
 
+    def change_edges(self) -> int:
+        """How many edges of a change of line the states would have: the largest part of them, counted before they are made."""
+        n = len(self.stop_lat)
+        boards = np.bincount(self.waits["stop_ix"], minlength=n)
+        around = boards + np.bincount(self.neighbors["a"], weights=boards[self.neighbors["b"]], minlength=n)
+        ridden = np.unique(np.asarray(self.rides["b"], "int64") * max(1, len(self.line_mode)) + self.rides["line_ix"]) // max(1, len(self.line_mode))
+        return int(around[ridden].sum())
+
+    def fitting(self, limit: int) -> NetArrays:
+        """The arrays if a worker can hold their states; TooManyRows else."""
+        if self.change_edges() > limit * EDGES_A_ROW:
+            raise TooManyRows(f"over {limit * EDGES_A_ROW} changes of line are too many for a worker; use relaxed_stop_times")
+        return self
+
     def states(self, modes: tuple[str, ...] | None, reverse: bool = False) -> StateGraph:
         on = np.array([m in self.penalties and (modes is None or m in modes) for m in self.line_mode], bool)
         rides = self.rides[on[self.rides["line_ix"]]] if len(self.rides) else self.rides
@@ -231,7 +246,7 @@ def net_arrays(net: Network, city: City, limit: int = MAX_SENT_EDGES) -> NetArra
         stops["lat"].to_numpy(float), stops["lon"].to_numpy(float), [str(m) for m in lines["mode"]],
         _records(net.rides, ["line_ix", "a", "b", "minutes"], limit), _records(net.waits, ["stop_ix", "line_ix", "wait"], limit), _records(net.neighbors, ["a", "b", "minutes"], limit),
         {m.id: float(m.transfer_min) for m in city.modes}, city.walk, stops["stop_id"].tolist(), lines["line_id"].tolist(),
-    )
+    ).fitting(limit)
 
 
 def timetable_arrays(found: Timetable, city: City, limit: int = MAX_SENT_EDGES, neighbors: DataFrame | None = None) -> NetArrays:
@@ -252,7 +267,7 @@ def timetable_arrays(found: Timetable, city: City, limit: int = MAX_SENT_EDGES,
         records(["stop_ix", "line_ix"], stop_ix=number(waits["stop_id"]), line_ix=line(waits), wait=waits["wait"].to_numpy(float)),
         records(["a", "b"], a=number(near["a"]), b=number(near["b"]), minutes=near["minutes"].to_numpy(float)),
         {m.id: float(m.transfer_min) for m in city.modes}, city.walk, stops["stop_id"].tolist(), [":".join(x) for x in line_of],
-    )
+    ).fitting(limit)
 
 
 _states: dict[tuple, StateGraph] = {}
