@@ -12,7 +12,7 @@ BUSIEST_SHARE = 0.92
 
 
 def calendar_days(calendar: DataFrame) -> DataFrame:
-    """(service_id, day): every flagged day of every calendar row; unreadable or reversed dates give none.
+    """(service_id, day): the flagged days of every calendar row, a day that several rows have more than once; unreadable or reversed dates give none.
 
     The flags are read once a row and the days are chosen inside the array, so that only running days
     become rows.
@@ -21,26 +21,26 @@ def calendar_days(calendar: DataFrame) -> DataFrame:
     rows = calendar.select(key("service_id").alias("service_id"), real_day(F.col("start_date")).alias("a"), real_day(F.col("end_date")).alias("b"), flags.alias("flags"))
     whole = rows.filter("service_id is not null and a <= b").select("service_id", "flags", F.sequence(F.date_from_unix_date("a"), F.date_from_unix_date("b")).alias("days"))
     running = F.filter("days", lambda d: F.element_at("flags", F.weekday(d) + 1))
-    return whole.select("service_id", F.explode(running).alias("day")).distinct()
+    return whole.select("service_id", F.explode(running).alias("day"))
 
 
 def service_days(calendar: DataFrame, calendar_dates: DataFrame, row_order: str, other_types_remove: bool = False) -> DataFrame:
     """(service_id, day) that runs: calendar days plus additions less removals; of several exceptions for a service and day the last row decides.
 
     ``row_order`` numbers the exception rows. Types other than 1 and 2 are ignored, or remove if
-    ``other_types_remove`` (the second rule set). Dates that name no day count for nothing.
+    ``other_types_remove`` (the second rule set). Dates that name no day count for nothing. Days and
+    exceptions meet in one aggregation, which is combined before the only shuffle.
     """
     kind = strip("exception_type")
-    rows = calendar_dates.select(key("service_id").alias("service_id"), F.date_from_unix_date(real_day(F.col("date"))).alias("day"), kind.alias("kind"), F.col(row_order).alias("_row"))
+    rows = calendar_dates.select(key("service_id").alias("service_id"), F.date_from_unix_date(real_day(F.col("date"))).alias("day"), kind.alias("kind"), F.col(row_order).cast("long").alias("_row"))
     rows = rows.filter("service_id is not null and day is not null")
-    rows = rows.withColumn("adds", F.col("kind") == "1") if other_types_remove else rows.filter("kind in ('1', '2')").withColumn("adds", F.col("kind") == "1")
-    decided = rows.groupBy("service_id", "day").agg(F.max_by(F.coalesce("adds", F.lit(False)), "_row").alias("adds"))
-    return (
-        calendar_days(calendar)
-        .join(decided, ["service_id", "day"], "full_outer")
-        .filter("coalesce(adds, true)")
-        .select("service_id", "day")
-    )
+    rows = rows if other_types_remove else rows.filter("kind in ('1', '2')")
+    adds = F.coalesce(F.col("kind") == "1", F.lit(False))
+    none = F.lit(None).cast("long")
+    exceptions = rows.select("service_id", "day", F.lit(False).alias("_cal"), F.when(adds, F.col("_row")).alias("_add"), F.when(~adds, F.col("_row")).alias("_cut"))
+    whole = calendar_days(calendar).select("service_id", "day", F.lit(True).alias("_cal"), none.alias("_add"), none.alias("_cut")).unionByName(exceptions)
+    last = whole.groupBy("service_id", "day").agg(F.max("_cal").alias("_cal"), F.max("_add").alias("_add"), F.max("_cut").alias("_cut"))
+    return last.filter("case when _add is null and _cut is null then _cal else _add is not null and (_cut is null or _add > _cut) end").select("service_id", "day")
 
 
 def services_on(days: DataFrame, day: Column) -> DataFrame:
