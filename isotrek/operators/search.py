@@ -24,8 +24,8 @@ from isotrek.operators.proximity import near_join
 from isotrek.params import City, Walk
 from isotrek.session import cut, ship, spread
 
-MAX_SENT_EDGES = 2_000_000  # rows of a table that are sent to workers; more are searched as joins, with the same result
-EDGES_A_ROW = 5  # changes of line for each row of that limit: ten million edges are some 250 MB a worker
+MAX_SENT_EDGES = 500_000  # rows of a table that are sent to workers; more are searched as joins, with the same result
+EDGES_A_ROW = 20  # changes of line for each row of that limit: ten million edges are some 250 MB a worker
 
 
 class TooManyRows(ValueError):
@@ -238,8 +238,16 @@ def _records(df: DataFrame, columns: list[str], limit: int = MAX_SENT_EDGES) ->
     return collected(df, columns, limit).to_records(index=False)
 
 
+def counted(df: DataFrame, limit: int) -> DataFrame:
+    """The table itself if it has at most ``limit`` rows; TooManyRows, before anything is collected, if it has more."""
+    if df.limit(limit + 1).count() > limit:
+        raise TooManyRows(f"over {limit} rows are too many to send to every worker; use relaxed_stop_times")
+    return df
+
+
 def net_arrays(net: Network, city: City, limit: int = MAX_SENT_EDGES) -> NetArrays:
     """Collect a network after counting that it is small enough to be sent; TooManyRows if it is not."""
+    counted(net.rides, limit)
     stops = collected(net.stops, ["stop_ix", "lat", "lon", "stop_id"], limit)
     lines = collected(net.lines, ["line_ix", "mode", "line_id"], limit)
     return NetArrays(
@@ -251,6 +259,7 @@ def net_arrays(net: Network, city: City, limit: int = MAX_SENT_EDGES) -> NetArra
 
 def timetable_arrays(found: Timetable, city: City, limit: int = MAX_SENT_EDGES, neighbors: DataFrame | None = None) -> NetArrays:
     """net_arrays of a timetable by ids; the numbers, those of ``numbered``, are made on the driver. ``neighbors`` (a, b, minutes): by stop_id, else straight lines."""
+    counted(found.rides, limit)
     stops = collected(found.stops, ["stop_id", "lat", "lon"], limit)
     rides = collected(found.rides, ["route_id", "direction", "a", "b", "minutes", "mode"], limit)
     waits = collected(found.waits, ["route_id", "direction", "stop_id", "wait"], limit)
