@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from isotrek.operators.network import Network, Timetable, numbered, walking_neighbors
 from isotrek.operators.proximity import near_join
 from isotrek.params import City, Walk
-from isotrek.session import cut, ship, spread
+from isotrek.session import cut, keep, ship, spread
 
 MAX_SENT_EDGES = 500_000  # rows of a table that are sent to workers; more are searched as joins, with the same result
 EDGES_A_ROW = 20  # changes of line for each row of that limit: ten million edges are some 250 MB a worker
@@ -362,7 +362,7 @@ def joined_stop_times(net: Network, city: City, origins: DataFrame, modes: tuple
         near = near_join(placed, net.stops.select(F.col("stop_ix").alias("key"), "lat", "lon"), city.walk.max_access_m)
         walked = near.select(F.col("key_a").alias("origin"), F.col("key_b").alias("stop_ix"), (F.col("metres") * city.walk.minutes(1.0)).alias("minutes"))
     walked = walked.join(placed.select(F.col("key").alias("origin")).distinct(), "origin", "left_semi")
-    edges = cut(state_edges(net, city, None if modes is None else list(modes)))
+    edges = keep(state_edges(net, city, None if modes is None else list(modes)))
     stop = F.split("state", ":")[1].cast("int").alias("stop_ix")
     if reverse:
         ridden = edges.select(F.col("dst").alias("state")).filter("state like 'R:%'").distinct()
