@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isotrek.operators.search import NetArrays, StateGraph, distances_m, settle, states_in_worker, stops_walked_to, street_reach, street_routes, walkable_stops
+from isotrek.operators.search import Looked, NetArrays, StateGraph, distances_m, states_in_worker, stops_walked_to, street_reach, street_routes, walkable_stops
 from isotrek.params import Walk
 from isotrek.session import ship, spread
 
@@ -21,7 +21,7 @@ def _leg(kind: str, minutes: float, line: int | None = None, a: int | None = Non
     return {"type": kind, "minutes": minutes, "line": line, "from_stop": a, "to_stop": b, "stops": stops, "walk_minutes": walk, "penalty_minutes": penalty}
 
 
-def _edge(table: dict, key: tuple) -> float:
+def _edge(table: Looked, key: tuple) -> float:
     if key not in table:
         raise ValueError(f"inconsistent network: no edge {key}")
     return table[key]
@@ -56,22 +56,21 @@ def best_trip(net: NetArrays, states: StateGraph, anchor: tuple[float, float], p
     minutes of walking all the way, infinite where that is too far. The states' direction is the trip's.
     """
     reverse = states.reverse
-    best, before = settle(states.edges, states.entries(near))
-    at_stops = states.stop_minutes(best)
+    seeds = states.entries(near) if ends else []
+    found = states.search(seeds)
+    stops, at_stops, best_states = states.stop_minutes(found)
     total, via = direct, None
     for stop, minutes in ends:
-        if stop in at_stops and at_stops[stop][0] + minutes < total:
-            total, via = at_stops[stop][0] + minutes, stop
+        i = np.searchsorted(stops, stop)
+        if i < len(stops) and stops[i] == stop and at_stops[i] + minutes < total:
+            total, via = float(at_stops[i] + minutes), int(best_states[i])
     if not np.isfinite(total):
         return None
     start, end = (point, anchor) if reverse else (anchor, point)
     place = lambda s: (float(net.stop_lat[s]), float(net.stop_lon[s]))
     if via is None:
         return total, [_leg("walk", total)] if total > 0 else [], [start, end]
-    chain, state = [], at_stops[via][1]
-    while state != -1:
-        chain.append(state)
-        state = before[state]
+    chain = states.chain(found, seeds, via)
     chain = chain if reverse else chain[::-1]
     first, last = int(states.stop[chain[0]]), int(states.stop[chain[-1]])
     walks = (dict(ends), dict(near)) if reverse else (dict(near), dict(ends))

@@ -2,8 +2,9 @@
 
 States of the transit search are S(stop): walked to and may board; B(stop, line): boarded, nothing
 ridden; R(stop, line): after at least one hop. They are numbered once into a sparse matrix; a search to
-a place runs on its transpose. Origins are rows of a DataFrame; each task searches from its own. A
-network that is too large to send is searched as joins.
+a place runs on its transpose. Changes of line are no edges: whatever line one comes by, another one is
+best reached from the best or, if that is the line itself, the second best line of the stop. Origins are
+rows of a DataFrame; each task searches from its own. A network that is too large to send is searched as joins.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from isotrek.operators.proximity import near_join
 from isotrek.params import City, Walk
 from isotrek.session import cut, keep, ship, spread
 
-MAX_SENT_EDGES = 500_000  # rows of a table that are sent to workers; more are searched as joins, with the same result
-EDGES_A_ROW = 20  # changes of line for each row of that limit: ten million edges are some 250 MB a worker
+MAX_SENT_EDGES = 500_000  # rows of a table by ids that are sent to workers; more are numbered as tables first, or searched as joins, with the same result
+MAX_NUMBERED_EDGES = 3_000_000  # rows of a numbered table that are sent: some 60 MB; more are searched as joins
+EDGES_A_ROW = 6  # boardings that stops see, by their neighbours' too, for each row of that limit: 12 bytes each in a worker
+PAIRS_AT_ONCE = 50_000  # pairs of stops whose boardings are listed at once, which bounds a worker's memory
 
 
 class TooManyRows(ValueError):
@@ -73,6 +76,33 @@ def settle(graph: Csr, seeds: list[tuple[float, int]], limit: float = np.inf) ->
     return best, before
 
 
+def _least(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least value of each run and its first place."""
+    least = np.minimum.reduceat(values, starts)
+    hits = np.flatnonzero(values == np.repeat(least, np.diff(np.r_[starts, len(values)])))
+    return least, hits[np.searchsorted(hits, starts)]
+
+
+class Looked:
+    """Rows sorted by their key columns, looked up without a dictionary of them; of equal keys the last row counts."""
+
+    def __init__(self, rows: np.ndarray, keys: tuple[str, ...], value: str):
+        self.columns, self.values = [np.ascontiguousarray(rows[c]) for c in keys], rows[value]
+
+    def _at(self, key: tuple) -> tuple[int, int]:
+        a, b = 0, len(self.values)
+        for column, x in zip(self.columns, key):
+            a, b = a + np.searchsorted(column[a:b], x, side="left"), a + np.searchsorted(column[a:b], x, side="right")
+        return a, b
+
+    def __contains__(self, key: tuple) -> bool:
+        a, b = self._at(key)
+        return bool(a < b)
+
+    def __getitem__(self, key: tuple) -> float:
+        return float(self.values[self._at(key)[1] - 1])
+
+
 @dataclass
 class StateGraph:
     """The numbered search states of a network for one choice of modes and one direction; kind 0 S, 1 B, 2 R."""
@@ -80,17 +110,29 @@ class StateGraph:
     kind: np.ndarray
     stop: np.ndarray
     line: np.ndarray
-    edges: Csr  # turned around for a search towards a place
+    edges: Csr  # all but changes of line; turned around for a search towards a place
+    reach: Csr  # from each stop that is ridden to, the B states of all lines at it and its neighbours, with penalty, walk and wait; never turned around
+    ridden: np.ndarray  # the R states of stop i are ridden[i]:ridden[i+1]
     reverse: bool
     penalty: np.ndarray  # by line
-    walk_between: dict[tuple[int, int], float]
-    wait: dict[tuple[int, int], float]
-    ride: dict[tuple[int, int, int], float]
+    walk_between: Looked
+    wait: Looked
+    ride: Looked
 
     def __post_init__(self):
         wanted = np.flatnonzero(self.kind == (2 if self.reverse else 0))
         wanted = wanted[np.argsort(self.stop[wanted], kind="stable")]
         self.entry, self.entry_stop = wanted, self.stop[wanted]
+        self._backward: tuple[Csr, Csr] | None = None
+
+    def backward(self) -> tuple[Csr, Csr]:
+        """The edges by what they lead to, and the stops from which a B state is reached."""
+        if self._backward is None:
+            n = self.edges.size
+            source = np.repeat(np.arange(n, dtype="int32"), np.diff(self.edges.start))
+            stop = np.repeat(np.arange(self.reach.size, dtype="int32"), np.diff(self.reach.start))
+            self._backward = Csr.of(n, self.edges.targets, source, self.edges.costs), Csr.of(n, self.reach.targets, stop, self.reach.costs)
+        return self._backward
 
     def entries(self, walked: list[tuple[int, float]]) -> list[tuple[float, int]]:
         """Seeds: S of stops walked to, or, towards a place, every R at stops one can walk on from."""
@@ -100,17 +142,108 @@ class StateGraph:
             seeds += [(minutes, int(i)) for i in self.entry[a:b]]
         return seeds
 
-    def stop_minutes(self, best: dict[int, float]) -> dict[int, tuple[float, int]]:
-        """Per stop the least minutes and the state that gives it: R going out, S coming in; the lower state settles ties."""
-        wanted, out = (0 if self.reverse else 2), {}
-        for state in sorted(best):
-            if self.kind[state] == wanted:
-                s, cost = int(self.stop[state]), best[state]
-                if s not in out or cost < out[s][0]:
-                    out[s] = (cost, state)
+    def search(self, seeds: list[tuple[float, int]]) -> np.ndarray:
+        """The least cost of every state, infinite where none leads. Each round relaxes all that the last one improved, to the fixpoint, which is that of settle on all edges."""
+        found = np.full(self.edges.size, np.inf)
+        for cost, state in seeds:
+            found[state] = min(found[state], cost)
+        ahead = np.unique(np.array([state for _, state in seeds], "int64"))
+        offers = (np.full(self.reach.size, np.inf), np.full(self.reach.size, np.inf))
+        while len(ahead):
+            which, edge = _spread(self.edges.start, ahead)
+            better = [_improve(found, self.edges.targets[edge], found[ahead][which] + self.edges.costs[edge])]
+            better.append(self._change_back(found, ahead) if self.reverse else self._change(found, ahead, offers))
+            ahead = np.unique(np.concatenate(better))
+        return found
+
+    def _change(self, found: np.ndarray, ahead: np.ndarray, offers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Changes of line from the stops of the R states among ``ahead``, where their best two lines (``offers``) have become better."""
+        stops = np.unique(self.stop[ahead[self.kind[ahead] == 2]])
+        if not len(stops):
+            return stops
+        first, second, line = self._best_two(found, self.ridden, stops, None)
+        new = (first < offers[0][stops]) | (second < offers[1][stops])
+        stops, first, second, line = stops[new], first[new], second[new], line[new]
+        offers[0][stops], offers[1][stops] = first, second
+        which, edge = _spread(self.reach.start, stops)
+        target = self.reach.targets[edge]
+        return _improve(found, target, np.where(self.line[target] != line[which], first[which], second[which]) + self.reach.costs[edge])
+
+    def _change_back(self, found: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+        """Changes of line towards the B states among ``ahead``: every R state that can change into them has the best line of its stop's reach, or the second best if that is its own."""
+        boards = ahead[self.kind[ahead] == 1]
+        stops = np.unique(self.backward()[1].targets[_spread(self.backward()[1].start, boards)[1]])
+        if not len(stops):
+            return stops
+        first, second, line = self._best_two(found, self.reach.start, stops, self.reach)
+        which = np.repeat(np.arange(len(stops)), self.ridden[stops + 1] - self.ridden[stops])
+        state = _spread(self.ridden, stops)[1]
+        return _improve(found, state, np.where(self.line[state] != line[which], first[which], second[which]))
+
+    def _best_two(self, found: np.ndarray, start: np.ndarray, stops: np.ndarray, over: Csr | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By stop the least cost over its R states, or over what it reaches, the least one by another line, and the line of the first."""
+        which, at = _spread(start, stops)
+        states, values = (at, found[at]) if over is None else (over.targets[at], found[over.targets[at]] + over.costs[at])
+        runs = np.searchsorted(which, np.arange(len(stops)))
+        first, place = _least(values, runs)
+        line = self.line[states[place]]
+        others = np.where(self.line[states] == line[which], np.inf, values)
+        return first, np.minimum.reduceat(others, runs), line
+
+    def stop_minutes(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(stop, minutes, state): the stops reached, each with its least minutes and the state that gives it: R going out, S coming in; the lower state settles ties."""
+        if self.reverse:
+            stops = np.flatnonzero(np.isfinite(found[: self.reach.size]))
+            return stops, found[stops], stops
+        stops = np.flatnonzero(np.diff(self.ridden))
+        if not len(stops):
+            return stops, np.zeros(0), stops
+        minutes, place = _least(found[self.ridden[0] :], self.ridden[stops] - self.ridden[0])
+        met = np.isfinite(minutes)
+        return stops[met], minutes[met], place[met] + self.ridden[0]
+
+    def chain(self, found: np.ndarray, seeds: list[tuple[float, int]], state: int) -> list[int]:
+        """The states before ``state`` on a best way, from it back to a seed; of equally good ones the one that settle would have met first."""
+        begun: dict[int, float] = {}
+        for cost, s in seeds:
+            begun[s] = min(begun.get(s, np.inf), cost)
+        edges, reached_from = self.backward()
+        out = [state]
+        while begun.get(state, np.inf) != found[state]:
+            a, b = edges.start[state], edges.start[state + 1]
+            before, cost = [edges.targets[a:b]], [edges.costs[a:b]]
+            if self.kind[state] == (2 if self.reverse else 1):
+                a, b = (self.reach.start if self.reverse else reached_from.start)[[self.stop[state], self.stop[state] + 1] if self.reverse else [state, state + 1]]
+                if self.reverse:
+                    states, step = self.reach.targets[a:b], self.reach.costs[a:b]
+                else:
+                    which, states = _spread(self.ridden, reached_from.targets[a:b])
+                    step = reached_from.costs[a:b][which]
+                other = self.line[states] != self.line[state]
+                before.append(states[other])
+                cost.append(step[other])
+            before, cost = np.concatenate(before), np.concatenate(cost)
+            tight = before[(found[before] + cost == found[state]) & ~np.isin(before, out)]
+            state = int(tight[np.lexsort((tight, found[tight]))[0]])
+            out.append(state)
         return out
 
 
+def _spread(start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places start[i]:start[i+1] of each row: (index into rows, place), flattened."""
+    counts = start[rows + 1] - start[rows]
+    which = np.repeat(np.arange(len(rows)), counts)
+    return which, np.arange(len(which)) + np.repeat(start[rows] - np.cumsum(counts) + counts, counts)
+
+
+def _improve(found: np.ndarray, states: np.ndarray, costs: np.ndarray) -> np.ndarray:
+    """Lower what is found of the states to the costs; the states that became better, some of them repeated."""
+    better = costs < found[states]
+    states = states[better]
+    np.minimum.at(found, states, costs[better])
+    return states
+
+
 def state_edges(net: Network, city: City, modes: list[str] | None = None) -> DataFrame:
     """(src, dst, cost): the search states' edges as joins, states written 'S:stop', 'B:stop:line', 'R:stop:line'.
 
@@ -154,18 +287,21 @@ class NetArrays:
         self.sorted_lat = self.stop_lat[self.by_lat]
         self.digest = hashlib.sha256(b"".join(np.ascontiguousarray(x).tobytes() for x in (self.stop_lat, self.stop_lon, self.rides, self.waits, self.neighbors))).hexdigest()
 
-    def change_edges(self) -> int:
-        """How many edges of a change of line the states would have: the largest part of them, counted before they are made."""
-        n = len(self.stop_lat)
-        boards = np.bincount(self.waits["stop_ix"], minlength=n)
-        around = boards + np.bincount(self.neighbors["a"], weights=boards[self.neighbors["b"]], minlength=n)
-        ridden = np.unique(np.asarray(self.rides["b"], "int64") * max(1, len(self.line_mode)) + self.rides["line_ix"]) // max(1, len(self.line_mode))
-        return int(around[ridden].sum())
+    def __getstate__(self) -> dict:
+        return {k: _packed(v) if isinstance(v, np.ndarray) else v for k, v in self.__dict__.items()}
+
+    def __setstate__(self, kept: dict) -> None:
+        self.__dict__.update({k: _unpacked(*v) if isinstance(v, tuple) else v for k, v in kept.items()})
+
+    def reached(self) -> int:
+        """How many boardings the stops see, at themselves and at their neighbours: the largest part of the states' arrays, counted before they are made."""
+        boards = np.bincount(self.waits["stop_ix"], minlength=len(self.stop_lat))
+        return int(boards[np.unique(self.rides["b"])].sum() + boards[self.neighbors["b"]].sum())
 
     def fitting(self, limit: int) -> NetArrays:
         """The arrays if a worker can hold their states; TooManyRows else."""
-        if self.change_edges() > limit * EDGES_A_ROW:
-            raise TooManyRows(f"over {limit * EDGES_A_ROW} changes of line are too many for a worker; use relaxed_stop_times")
+        if self.reached() > limit * EDGES_A_ROW:
+            raise TooManyRows(f"over {limit * EDGES_A_ROW} boardings beside stops are too many for a worker; use relaxed_stop_times")
         return self
 
     def states(self, modes: tuple[str, ...] | None, reverse: bool = False) -> StateGraph:
@@ -182,23 +318,32 @@ class NetArrays:
         r_at = lambda c: n_s + n_b + np.searchsorted(r_codes, c)
         parts = [(waits["stop_ix"], b_at(code(waits["stop_ix"], waits["line_ix"])), waits["wait"])]
         a_code, b_code = code(rides["a"], rides["line_ix"]), code(rides["b"], rides["line_ix"])
-        parts.append((b_at(a_code), r_at(b_code), rides["minutes"]))
+        boarded, ridden_to = b_at(a_code), r_at(b_code)
+        parts.append((boarded, ridden_to, rides["minutes"]))
         on_board = np.isin(a_code, r_codes)
-        parts.append((r_at(a_code[on_board]), r_at(b_code[on_board]), rides["minutes"][on_board]))
+        parts.append((r_at(a_code[on_board]), ridden_to[on_board], rides["minutes"][on_board]))
         penalty = np.array([self.penalties.get(m, 0.0) for m in self.line_mode] or [0.0])
-        parts.append(_changes(r_codes, n_lines, self.neighbors, waits, penalty, n_s + n_b, lambda stop, line: b_at(code(stop, line))))
-        source, target, cost = (np.concatenate([np.asarray(p[i]) for p in parts]) for i in range(3))
+        source, target = (np.concatenate([np.asarray(p[i], "int32") for p in parts]) for i in range(2))
+        cost = np.concatenate([np.asarray(p[2]) for p in parts])
         n = n_s + n_b + len(r_codes)
-        kind = np.r_[np.zeros(n_s, int), np.ones(n_b, int), np.full(len(r_codes), 2)]
+        kind = np.r_[np.zeros(n_s, "int8"), np.ones(n_b, "int8"), np.full(len(r_codes), 2, "int8")]
         return StateGraph(
-            kind, np.r_[stops, b_codes // n_lines, r_codes // n_lines].astype(int), np.r_[np.full(n_s, -1), b_codes % n_lines, r_codes % n_lines].astype(int),
-            Csr.of(n, *(x.astype(int) for x in ((target, source) if reverse else (source, target))), cost), reverse, penalty,
-            dict(zip(zip(self.neighbors["a"].tolist(), self.neighbors["b"].tolist()), self.neighbors["minutes"].tolist())),
-            dict(zip(zip(waits["stop_ix"].tolist(), waits["line_ix"].tolist()), waits["wait"].tolist())),
-            {(line, a, b): m for line, a, b, m in zip(rides["line_ix"].tolist(), rides["a"].tolist(), rides["b"].tolist(), rides["minutes"].tolist())},
+            kind, np.r_[stops, b_codes // n_lines, r_codes // n_lines].astype("int32"), np.r_[np.full(n_s, -1), b_codes % n_lines, r_codes % n_lines].astype("int32"),
+            Csr.of(n, *((target, source) if reverse else (source, target)), cost), _reach(n_s, np.unique(r_codes // n_lines), self.neighbors, waits, penalty, lambda stop, line: b_at(code(stop, line))),
+            n_s + n_b + np.searchsorted(r_codes, np.arange(n_s + 1) * n_lines), reverse, penalty,
+            Looked(self.neighbors, ("a", "b"), "minutes"), Looked(waits, ("stop_ix", "line_ix"), "wait"), Looked(rides, ("line_ix", "a", "b"), "minutes"),
         )
 
 
+def _packed(x: np.ndarray) -> tuple:
+    x = np.ascontiguousarray(x)
+    return x.dtype.descr if x.dtype.names else x.dtype.str, x.nbytes, pa.compress(x.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(kind, size: int, data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, size, "zstd", asbytes=True) if size else b"", np.dtype(kind))
+
+
 def _spans(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each wanted key all its places in the sorted ``keys``: (index into wanted, place), flattened."""
     start = np.searchsorted(keys, wanted, side="left")
@@ -207,23 +352,23 @@ def _spans(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return which, np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(start, counts)
 
 
-def _changes(r_codes: np.ndarray, n_lines: int, neighbors: np.ndarray, waits: np.ndarray, penalty: np.ndarray, first_r: int, board_state) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges of a change of line: from every ridden state to every other line that boards at its stop or at a neighbour of it."""
-    stop, line = r_codes // n_lines, r_codes % n_lines
-    here = np.unique(stop)
-    a = np.r_[np.asarray(neighbors["a"], "int64"), here]
-    b = np.r_[np.asarray(neighbors["b"], "int64"), here]
-    minutes = np.r_[np.asarray(neighbors["minutes"], float), np.zeros(len(here))]
+def _reach(n_stops: int, ridden: np.ndarray, neighbors: np.ndarray, waits: np.ndarray, penalty: np.ndarray, board_state) -> Csr:
+    """From every stop that is ridden to, the lines that board at it or at a neighbour of it, with penalty, walk and wait."""
+    a, b = (np.r_[np.asarray(neighbors[c], "int32"), ridden.astype("int32")] for c in ("a", "b"))
+    minutes = np.r_[np.asarray(neighbors["minutes"], float), np.zeros(len(ridden))]
     order = np.argsort(a, kind="stable")
-    a, b, minutes = a[order], b[order], minutes[order]
+    order = order[np.isin(a[order], ridden)]
     by_stop = np.argsort(waits["stop_ix"], kind="stable")
     at, other, wait = (np.asarray(waits[c])[by_stop] for c in ("stop_ix", "line_ix", "wait"))
-    state, pair = _spans(a, stop)
-    step, board = _spans(at, b[pair])
-    state, pair = state[step], pair[step]
-    keep = other[board] != line[state]
-    state, pair, board = state[keep], pair[keep], board[keep]
-    return first_r + state, board_state(at[board], other[board]), penalty[other[board]] + minutes[pair] + wait[board]
+    a, b, minutes = a[order], b[order], minutes[order]
+    states, counts = np.asarray(board_state(at, other), "int32"), np.bincount(at, minlength=n_stops)[b]
+    ends = np.r_[0, np.cumsum(counts)]
+    targets, costs = np.empty(ends[-1], "int32"), np.empty(ends[-1])
+    for i in range(0, len(a), PAIRS_AT_ONCE):
+        pair, board = _spans(at, b[i : i + PAIRS_AT_ONCE])
+        part = slice(ends[i], ends[min(i + PAIRS_AT_ONCE, len(a))])
+        targets[part], costs[part] = states[board], penalty[other[board]] + minutes[i : i + PAIRS_AT_ONCE][pair] + wait[board]
+    return Csr(np.r_[0, np.cumsum(np.bincount(a, weights=counts, minlength=n_stops))].astype("int64"), targets, costs)
 
 
 def collected(df: DataFrame, columns: list[str], limit: int = MAX_SENT_EDGES) -> pd.DataFrame:
@@ -246,8 +391,7 @@ def counted(df: DataFrame, limit: int) -> DataFrame:
 
 
 def net_arrays(net: Network, city: City, limit: int = MAX_SENT_EDGES) -> NetArrays:
-    """Collect a network after counting that it is small enough to be sent; TooManyRows if it is not."""
-    counted(net.rides, limit)
+    """Collect a network that is small enough to be sent; TooManyRows, before more than ``limit`` rows of a table are collected, if it is not."""
     stops = collected(net.stops, ["stop_ix", "lat", "lon", "stop_id"], limit)
     lines = collected(net.lines, ["line_ix", "mode", "line_id"], limit)
     return NetArrays(
@@ -279,6 +423,15 @@ def timetable_arrays(found: Timetable, city: City, limit: int = MAX_SENT_EDGES,
     ).fitting(limit)
 
 
+def network_arrays(found: Timetable, city: City, limit: int = MAX_NUMBERED_EDGES) -> NetArrays:
+    """timetable_arrays, or, if the tables by ids have too many rows to be collected, net_arrays of the numbered ones. Both give the same numbers."""
+    try:
+        return timetable_arrays(found, city, min(limit, MAX_SENT_EDGES))
+    except TooManyRows:
+        counted(found.rides, limit)
+        return net_arrays(numbered(found, city), city, limit)
+
+
 _states: dict[tuple, StateGraph] = {}
 
 
@@ -324,9 +477,9 @@ def stop_times(net: NetArrays, origins: DataFrame, modes: tuple[str, ...] | None
             states = states_in_worker(key, lambda: sent.value, modes, reverse)
             for origin, lat, lon, known in zip(batch["origin"], batch["lat"], batch["lon"], batch["walked"]):
                 near = walkable_stops(sent.value, lat, lon) if straight else [(int(w["stop_ix"]), float(w["minutes"])) for w in (known if known is not None else ())]
-                found = states.stop_minutes(settle(states.edges, states.entries(near))[0]) if near else {}
-                if found:
-                    yield pd.DataFrame({"origin": origin, "stop_ix": list(found), "minutes": [m for m, _ in found.values()]})
+                stops, minutes, _ = states.stop_minutes(states.search(states.entries(near))) if near else ((), (), ())
+                if len(stops):
+                    yield pd.DataFrame({"origin": origin, "stop_ix": stops, "minutes": minutes})
 
     placed = origins.select(F.col("origin").cast("string").alias("origin"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).dropna()
     if straight:
@@ -336,7 +489,7 @@ def stop_times(net: NetArrays, origins: DataFrame, modes: tuple[str, ...] | None
     return spread(placed).mapInPandas(search, "origin string, stop_ix int, minutes double")
 
 
-def network_stop_times(net: Network, city: City, origins: DataFrame, modes: tuple[str, ...] | None = None, reverse: bool = False, walked: DataFrame | None = None, limit: int = MAX_SENT_EDGES) -> DataFrame:
+def network_stop_times(net: Network, city: City, origins: DataFrame, modes: tuple[str, ...] | None = None, reverse: bool = False, walked: DataFrame | None = None, limit: int = MAX_NUMBERED_EDGES) -> DataFrame:
     """stop_times of a network of any size: by the array kernel, or, if it has too many rows to be sent, as joins. There a repeated origin counts once."""
     try:
         return stop_times(net_arrays(net, city, limit), origins, modes, reverse, walked)
@@ -344,15 +497,15 @@ def network_stop_times(net: Network, city: City, origins: DataFrame, modes: tupl
         return joined_stop_times(net, city, origins, modes, reverse, walked)
 
 
-def timetable_stop_times(found: Timetable, city: City, origins: DataFrame, modes: tuple[str, ...] | None = None, reverse: bool = False, limit: int = MAX_SENT_EDGES) -> DataFrame:
-    """(origin, stop_id, minutes): network_stop_times of a timetable by ids, which is numbered as tables only if it has too many rows to be sent."""
+def timetable_stop_times(found: Timetable, city: City, origins: DataFrame, modes: tuple[str, ...] | None = None, reverse: bool = False, limit: int = MAX_NUMBERED_EDGES) -> DataFrame:
+    """(origin, stop_id, minutes): network_stop_times of a timetable by ids, which is numbered as tables only if it has too many rows to be collected by ids."""
     try:
-        arrays = timetable_arrays(found, city, limit)
+        arrays = network_arrays(found, city, limit)
     except TooManyRows:
         net = numbered(found, city)
         return joined_stop_times(net, city, origins, modes, reverse).join(net.stops.select("stop_ix", "stop_id"), "stop_ix").select("origin", "stop_id", "minutes")
     ids = origins.sparkSession.createDataFrame(pa.table({"stop_ix": pa.array(range(len(arrays.stop_ids)), pa.int32()), "stop_id": pa.array(arrays.stop_ids, pa.string())}))
-    return stop_times(arrays, origins, modes, reverse).join(F.broadcast(ids), "stop_ix").select("origin", "stop_id", "minutes")
+    return stop_times(arrays, origins, modes, reverse).join(F.broadcast(ids) if len(arrays.stop_ids) <= MAX_SENT_EDGES else ids, "stop_ix").select("origin", "stop_id", "minutes")
 
 
 def joined_stop_times(net: Network, city: City, origins: DataFrame, modes: tuple[str, ...] | None = None, reverse: bool = False, walked: DataFrame | None = None) -> DataFrame:
