@@ -28,6 +28,7 @@ from isotrek.session import cut, keep, ship, spread
 MAX_SENT_EDGES = 500_000  # rows of a table by ids that are sent to workers; more are numbered as tables first, or searched as joins, with the same result
 MAX_NUMBERED_EDGES = 3_000_000  # rows of a numbered table that are sent: some 60 MB; more are searched as joins
 EDGES_A_ROW = 6  # boardings that stops see, by their neighbours' too, for each row of that limit: 12 bytes each in a worker
+POINTS_AT_ONCE = 5_000  # points whose stops are measured at once, for the same reason as below
 PAIRS_AT_ONCE = 50_000  # pairs of stops whose boardings are listed at once, which bounds a worker's memory
 
 
@@ -542,6 +543,94 @@ def point_times(at_stops: DataFrame, stops: DataFrame, origins: DataFrame, point
     return direct.unionByName(ridden).groupBy("origin", "point").agg(F.min("minutes").alias("minutes"))
 
 
+def near_arrays(lat: np.ndarray, lon: np.ndarray, to_lat: np.ndarray, to_lon: np.ndarray, radius_m: float) -> Csr:
+    """From each position the others at most ``radius_m`` away (inclusive) and their metres, straight lines. The 180th meridian and the poles count; a place without a position is near nothing."""
+    height = np.degrees(radius_m / 6_371_000.0) * (1 + 1e-9)
+    placed = np.flatnonzero(np.isfinite(to_lat) & np.isfinite(to_lon))
+    keys = np.floor((to_lat[placed] + 90) / height) * 720 + to_lon[placed] + 180  # bands of latitude one after another, each by longitude
+    order = np.argsort(keys, kind="stable")
+    keys, placed = keys[order], placed[order]
+    counts, found = [], []
+    for i in range(0, len(lat), POINTS_AT_ONCE):
+        y, x = lat[i : i + POINTS_AT_ONCE], lon[i : i + POINTS_AT_ONCE]
+        known = np.isfinite(y) & np.isfinite(x)
+        band = np.floor((np.where(known, y, 0.0) + 90) / height)
+        ratio = np.sin(min(radius_m / (2 * 6_371_000.0), np.pi / 2)) / np.maximum(1e-12, np.cos(np.radians(np.minimum(90.0, np.abs(np.where(known, y, 0.0)) + 2 * height))))
+        wide = np.where(ratio >= 1, 360.0, np.degrees(2 * np.arcsin(np.minimum(1.0, ratio)))) + 1e-6
+        parts = []
+        for beside in (-1, 0, 1):
+            for turn in (-360.0, 0.0, 360.0):
+                west, east = (np.clip(np.where(known, x, 0.0) + turn + side * wide + 180, -1.0, 361.0) for side in (-1, 1))
+                a, b = np.searchsorted(keys, (band + beside) * 720 + west, side="left"), np.searchsorted(keys, (band + beside) * 720 + east, side="right")
+                size = np.where(known, np.maximum(0, b - a), 0)
+                which = np.repeat(np.arange(len(y)), size)
+                parts.append((which, placed[np.arange(len(which)) + np.repeat(a - np.cumsum(size) + size, size)]))
+        which, other = (np.concatenate([p[j] for p in parts]) for j in range(2))
+        metres = distances_m(y[which], x[which], to_lat[other], to_lon[other])
+        near = metres <= radius_m
+        which, other, metres = which[near], other[near], metres[near]
+        order = np.argsort(which, kind="stable")
+        counts.append(np.bincount(which, minlength=len(y)))
+        found.append((other[order].astype("int32"), metres[order]))
+    joined = lambda j, kind: np.concatenate([f[j] for f in found]) if found else np.zeros(0, kind)
+    return Csr(np.r_[0, np.cumsum(np.concatenate(counts))] if counts else np.zeros(1, int), joined(0, "int32"), joined(1, float))
+
+
+_walks: dict[tuple, Csr] = {}
+
+
+def kernel_point_times(net: NetArrays, origins: DataFrame, points: DataFrame, direct_walk_m: float | None = None, limit: int = MAX_NUMBERED_EDGES) -> DataFrame:
+    """(origin, point, minutes): point_times of a network that is sent; each task finds the points of its origins, so that no stop's minutes are joined to points.
+
+    TooManyRows if there are more than ``limit`` points.
+    """
+    ship(origins.sparkSession)
+    rows = collected(points.select(F.col("point").cast("string").alias("point"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).dropna(), ["point", "lat", "lon"], limit)
+    places, ids = (rows["lat"].to_numpy(float), rows["lon"].to_numpy(float)), rows["point"].tolist()
+    sc = origins.sparkSession.sparkContext
+    sent, sent_places, sent_ids, key = sc.broadcast(net), sc.broadcast([_packed(x) for x in places]), sc.broadcast(ids), (net.digest, hashlib.sha256(b"".join(x.tobytes() for x in places)).hexdigest())
+    direct_m = max(net.walk.max_access_m, direct_walk_m or 0.0)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        walk, names = sent.value.walk, None
+        minutes_of = lambda metres: metres * walk.detour_factor / walk.speed_m_per_min
+        for batch in batches:
+            if names is None:
+                names, (lat, lon) = np.array(sent_ids.value, object), (_unpacked(*x) for x in sent_places.value)
+            states = states_in_worker(key[0], lambda: sent.value, None, False)
+            if key not in _walks:
+                _walks.clear()
+                _walks[key] = near_arrays(lat, lon, sent.value.stop_lat, sent.value.stop_lon, walk.max_access_m)
+            walks = _walks[key]
+            reached_by = np.flatnonzero(np.diff(walks.start))
+            for origin, o_lat, o_lon in zip(batch["origin"], batch["lat"], batch["lon"]):
+                best = np.full(len(lat), np.inf)
+                direct = near_arrays(np.array([o_lat]), np.array([o_lon]), lat, lon, direct_m)
+                np.minimum.at(best, direct.targets, minutes_of(direct.costs))
+                near = walkable_stops(sent.value, o_lat, o_lon)
+                if near and len(reached_by):
+                    stops, minutes, _ = states.stop_minutes(states.search(states.entries(near)))
+                    at = np.full(len(sent.value.stop_lat), np.inf)
+                    at[stops] = minutes
+                    ridden = np.minimum.reduceat(at[walks.targets] + minutes_of(walks.costs), walks.start[reached_by])
+                    best[reached_by] = np.minimum(best[reached_by], ridden)
+                met = np.flatnonzero(np.isfinite(best))
+                if len(met):
+                    yield pd.DataFrame({"origin": origin, "point": names[met], "minutes": best[met]})
+
+    placed = origins.select(F.col("origin").cast("string").alias("origin"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).dropna()
+    return spread(placed).mapInPandas(search, "origin string, point string, minutes double").groupBy("origin", "point").agg(F.min("minutes").alias("minutes"))
+
+
+def timetable_point_times(found: Timetable, city: City, origins: DataFrame, points: DataFrame, direct_walk_m: float | None = None, limit: int = MAX_NUMBERED_EDGES) -> DataFrame:
+    """point_times of a timetable by ids, of any size: by the array kernel, or, if it has too many rows to be sent, as joins."""
+    try:
+        return kernel_point_times(network_arrays(found, city, limit), origins, points, direct_walk_m, limit)
+    except TooManyRows:
+        at_stops = timetable_stop_times(found, city, origins, limit=limit)
+        return point_times(at_stops, found.stops, origins, points, city.walk, direct_walk_m, "stop_id")
+
+
 def relaxed_stop_times(edges: DataFrame, seeds: DataFrame, limit: float | None = None) -> DataFrame:
     """(origin, state, minutes): the same search as joins, for networks too large to send and to check the other.
 

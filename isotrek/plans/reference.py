@@ -365,9 +365,8 @@ def point_times(spark: SparkSession, d: str) -> DataFrame:
     """Minutes from every zone's corner to the stops near what is reached."""
     found = _timetable(spark, d)
     stops = cut(found.stops.dropna(subset=["lat", "lon"]))
-    at_stops = search.timetable_stop_times(net_ops.Timetable(found.rides, found.waits, stops), CITY, _origins(spark, d))
     points = stops.select(F.col("stop_id").alias("point"), "lat", "lon")
-    return search.point_times(at_stops, stops, _origins(spark, d), points, CITY.walk, ident="stop_id")
+    return search.timetable_point_times(net_ops.Timetable(found.rides, found.waits, stops), CITY, _origins(spark, d), points)
 
 
 def trips_between_zones(spark: SparkSession, d: str) -> DataFrame:
