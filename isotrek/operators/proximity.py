@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isotrek.session import cut
+
 EARTH_M = 6_371_000.0
 ZONE_BAND_DEG, ZONE_CELL_DEG = 0.05, 0.5
 
@@ -118,10 +121,40 @@ def nearest(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
 
 
 def k_nearest(left: DataFrame, right: DataFrame, radius_m: float, k: int) -> DataFrame:
-    """(key, nearest, metres, rank): up to ``k`` nearest of ``right`` within the radius, ranked by distance, then key."""
+    """(key, nearest, metres, rank): up to ``k`` nearest of ``right`` within the radius, ranked by distance, then key.
+
+    Of the keys of ``right`` at one position only the ``k`` smallest can be among the nearest, whatever
+    is asked for. Searched in rounds of growing radius, the last one ``radius_m``: who has ``k`` within a
+    smaller radius is done, so that dense regions never list all that lies within the whole one.
+    """
     order = Window.partitionBy("key_a").orderBy("metres", "key_b")
-    ranked = near_join(left, right, radius_m).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select(F.col("key_a").alias("key"), F.col("key_b").alias("nearest"), "metres", "rank")
+    asked, rest = left.select("key", "lat", "lon").dropna().distinct(), right.select("key", "lat", "lon").dropna().distinct()
+    smallest = Window.partitionBy("lat", "lon").orderBy("key")
+    offered = cut(rest.withColumn("_n", F.row_number().over(smallest)).filter(F.col("_n") <= k).drop("_n"))
+    done = []
+    for metres in _growing(offered, radius_m, k):
+        ranked = near_join(asked, offered, metres).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        found = ranked.select(F.col("key_a").alias("key"), F.col("key_b").alias("nearest"), "metres", "rank")
+        if metres < radius_m:
+            found = cut(found)
+            whole = found.filter(F.col("rank") == k).select("key")
+            found, asked = found.join(whole, "key", "left_semi"), cut(asked.join(whole, "key", "left_anti"))
+        done.append(found)
+        if asked.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done)
+
+
+def _growing(points: DataFrame, radius_m: float, k: int) -> list[float]:
+    """Radii up to ``radius_m``: the first one holds some 4 ``k`` of the points where they lie as densely as on average over the cells of ``radius_m`` that have any."""
+    cells = _own_cell(points, radius_m).groupBy("band", "cell").agg(F.count("*").alias("n")).agg(F.sum("n"), F.count("*")).first()
+    in_reach = (cells[0] or 0) / max(1, cells[1]) * math.pi
+    first = radius_m * math.sqrt(min(1.0, 4 * k / in_reach)) if in_reach else radius_m
+    radii = []
+    while first < radius_m / 1.5:
+        radii.append(first)
+        first *= 3
+    return [*radii, radius_m]
 
 
 def _zone_spans(zones: DataFrame) -> DataFrame:
