@@ -371,7 +371,7 @@ def point_times(spark: SparkSession, d: str) -> DataFrame:
 
 def trips_between_zones(spark: SparkSession, d: str) -> DataFrame:
     """Itineraries from every zone's corner to the next zone's one."""
-    arrays = search.timetable_arrays(_timetable(spark, d), CITY)
+    arrays = search.network_arrays(_timetable(spark, d), CITY)
     origins = _origins(spark, d).withColumn("i", F.expr("cast(substring(origin, 2) as int)"))
     ends = origins.select((F.col("i") - 1).alias("i"), F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"))
     found = itineraries(arrays, origins.join(ends, "i").select(F.col("origin").alias("trip"), "lat", "lon", "to_lat", "to_lon"), direct_walk_m=10_000)
