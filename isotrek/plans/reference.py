@@ -92,6 +92,10 @@ def _days(spark: SparkSession, d: str) -> DataFrame:
     return service_days.service_days(table(spark, d, "calendar"), table(spark, d, "calendar_dates"), "cd_id")
 
 
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    return service_days.service_blocks(table(spark, d, "calendar"), table(spark, d, "calendar_dates"), "cd_id")
+
+
 def service_day_counts(spark: SparkSession, d: str) -> DataFrame:
     return _days(spark, d).groupBy("service_id").agg(F.count("*").alias("days"), F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"))
 
@@ -103,7 +107,7 @@ def services_of_days(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reference_day(spark: SparkSession, d: str) -> DataFrame:
-    return service_days.reference_day(_days(spark, d), table(spark, d, "trips"), F.lit(TODAY)).select(F.col("day").cast("string").alias("day"))
+    return service_days.reference_day(_blocks(spark, d), table(spark, d, "trips"), F.lit(TODAY)).select(F.col("day").cast("string").alias("day"))
 
 
 def typical_day(spark: SparkSession, d: str) -> DataFrame:
