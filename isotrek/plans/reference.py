@@ -111,7 +111,7 @@ def reference_day(spark: SparkSession, d: str) -> DataFrame:
 
 
 def typical_day(spark: SparkSession, d: str) -> DataFrame:
-    return service_days.typical_day(_days(spark, d).filter(F.col("day") >= F.lit(TODAY)), table(spark, d, "trips")).select(F.col("day").cast("string").alias("day"))
+    return service_days.typical_day(_blocks(spark, d), table(spark, d, "trips"), since=F.lit(TODAY)).select(F.col("day").cast("string").alias("day"))
 
 
 def next_saturday(spark: SparkSession, d: str) -> DataFrame:
