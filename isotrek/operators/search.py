@@ -381,7 +381,17 @@ def collected(df: DataFrame, columns: list[str], limit: int = MAX_SENT_EDGES) ->
 
 
 def _records(df: DataFrame, columns: list[str], limit: int = MAX_SENT_EDGES) -> np.ndarray:
-    return collected(df, columns, limit).to_records(index=False)
+    """collected as an array, without the copies that a data frame makes."""
+    rows = df.select(*columns).limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
+        raise TooManyRows(f"over {limit} rows are too many to send to every worker; use relaxed_stop_times")
+    parts = [rows[c].to_numpy() for c in columns]
+    del rows
+    order = np.lexsort(parts[::-1])
+    out = np.empty(len(order), [(c, x.dtype) for c, x in zip(columns, parts)])
+    for c, x in zip(columns, parts):
+        out[c] = x[order]
+    return out
 
 
 def counted(df: DataFrame, limit: int) -> DataFrame:
