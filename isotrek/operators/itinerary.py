@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isotrek.operators.search import Looked, NetArrays, StateGraph, distances_m, states_in_worker, stops_walked_to, street_reach, street_routes, walkable_stops
+from isotrek.operators.search import Looked, NetArrays, StateGraph, distances_m, network_in_worker, states_in_worker, stops_walked_to, street_reach, street_routes, walkable_stops
 from isotrek.params import Walk
 from isotrek.session import ship, spread
 
@@ -98,16 +98,16 @@ def itineraries(net: NetArrays, trips: DataFrame, modes: tuple[str, ...] | None
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            states, out = states_in_worker(key, lambda: sent.value, modes, reverse), []
+            states, out, net = states_in_worker(key, lambda: sent.value, modes, reverse), [], network_in_worker(key, lambda: sent.value)
             for trip, lat, lon, to_lat, to_lon, near, ends, direct in zip(*(batch[c] for c in ("trip", "lat", "lon", "to_lat", "to_lon", "near", "ends", "direct"))):
                 if straight:
-                    near, ends = walkable_stops(sent.value, lat, lon), walkable_stops(sent.value, to_lat, to_lon)
+                    near, ends = walkable_stops(net, lat, lon), walkable_stops(net, to_lat, to_lon)
                     metres = float(distances_m(lat, lon, np.array([to_lat]), np.array([to_lon]))[0])
-                    direct = sent.value.walk.minutes(metres) if metres <= direct_m else np.inf
+                    direct = net.walk.minutes(metres) if metres <= direct_m else np.inf
                 else:
                     near, ends = ([(int(w["stop_ix"]), float(w["minutes"])) for w in (x if x is not None else ())] for x in (near, ends))
                     direct = np.inf if direct is None or np.isnan(direct) else float(direct)
-                found = best_trip(sent.value, states, (lat, lon), (to_lat, to_lon), near, ends, direct)
+                found = best_trip(net, states, (lat, lon), (to_lat, to_lon), near, ends, direct)
                 if found and (scale_minutes is None or found[0] <= scale_minutes):
                     out.append((trip, found[0], found[1], [{"lat": a, "lon": b} for a, b in found[2]]))
             yield pd.DataFrame(out, columns=["trip", "total", "legs", "path"])

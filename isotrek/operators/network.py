@@ -13,7 +13,7 @@ from isotrek.functions.values import key, strip
 from isotrek.operators.numbering import dense_index
 from isotrek.operators.proximity import near_join
 from isotrek.params import MIN_RIDE_MINUTES, City
-from isotrek.session import cut
+from isotrek.session import keep
 
 
 @dataclass
@@ -118,6 +118,7 @@ class Timetable:
     rides: DataFrame  # route_id, direction, mode, a, b, minutes
     waits: DataFrame  # route_id, direction, mode, stop_id, departures, headway, wait
     stops: DataFrame  # stop_id, name, lat, lon
+    hops: DataFrame | None = None  # route_id, direction, mode, a, b, minutes, n: rides with how often they leave, of which waits are made
 
 
 def stop_places(stops: DataFrame) -> DataFrame:
@@ -131,19 +132,20 @@ def timetable(feed: dict[str, DataFrame], active: DataFrame, city: City) -> Time
     """Rides, waits and the stops in use of one service day.
 
     ``active``: (service_id) of the day. No hop in the window gives empty tables. The timetable is read
-    once: rides and departures come from one aggregation by hop, which is cut by a checkpoint.
+    once: rides and departures come from one aggregation by hop, which is kept as a table.
     """
     found = line_hops(feed, active, city)
     line = ["route_id", "direction", "mode"]
     start, end = city.window.seconds
     minutes = F.greatest(F.lit(0), F.col("arr") - F.col("dep")) / 60.0
-    measured = cut(found.groupBy(*line, "a", "b").agg(F.median(minutes).alias("m"), F.count("*").alias("n")))
-    rides = measured.select(*line, "a", "b", round_half_even(F.greatest(F.lit(MIN_RIDE_MINUTES), F.col("m")), 2).alias("minutes"))
+    measured = keep(found.groupBy(*line, "a", "b").agg(F.median(minutes).alias("m"), F.count("*").alias("n")))
+    hops = measured.select(*line, "a", "b", round_half_even(F.greatest(F.lit(MIN_RIDE_MINUTES), F.col("m")), 2).alias("minutes"), "n")
+    rides = hops.drop("n")
     headway, wait = F.lit((end - start) / 60.0) / F.col("departures"), boarding_wait(F.col("headway"), F.col("factor"), F.col("low"), F.col("high"))
     boards = measured.groupBy(*line, F.col("a").alias("stop_id")).agg(F.sum("n").alias("departures")).withColumn("headway", headway).join(F.broadcast(waits_table(active.sparkSession, city)), "mode")
     waits = boards.select(*line, "stop_id", "departures", round_half_even(F.col("headway"), 2).alias("headway"), round_half_even(wait, 2).alias("wait"))
     used = rides.select(F.col("a").alias("stop_id")).union(rides.select("b")).distinct()
-    return Timetable(rides, waits, used.join(stop_places(feed["stops"]), "stop_id").select("stop_id", "name", "lat", "lon"))
+    return Timetable(rides, waits, used.join(stop_places(feed["stops"]), "stop_id").select("stop_id", "name", "lat", "lon"), hops)
 
 
 def walking_neighbors(stops: DataFrame, ident: str, city: City) -> DataFrame:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isotrek.operators import mapped
 from isotrek.operators.network import Network, Timetable, numbered, walking_neighbors
 from isotrek.operators.proximity import near_join
 from isotrek.params import City, Walk
@@ -434,16 +435,30 @@ def timetable_arrays(found: Timetable, city: City, limit: int = MAX_SENT_EDGES,
     ).fitting(limit)
 
 
-def network_arrays(found: Timetable, city: City, limit: int = MAX_NUMBERED_EDGES) -> NetArrays:
-    """timetable_arrays, or, if the tables by ids have too many rows to be collected, net_arrays of the numbered ones. Both give the same numbers."""
+def network_arrays(found: Timetable, city: City, limit: int = MAX_NUMBERED_EDGES, reverse: bool = False) -> NetArrays | mapped.MappedNet:
+    """timetable_arrays, or, if the tables by ids have too many rows to be collected, the network in mapped files, of any size. Both give the same numbers.
+
+    ``reverse``: for a search towards a place, which mapped files do not have; there net_arrays of the numbered tables, or TooManyRows.
+    """
     try:
         return timetable_arrays(found, city, min(limit, MAX_SENT_EDGES))
     except TooManyRows:
+        if found.hops is not None and not reverse:
+            return mapped.network_files(found, city)
         counted(found.rides, limit)
         return net_arrays(numbered(found, city), city, limit)
 
 
 _states: dict[tuple, StateGraph] = {}
+_networks: dict[str, object] = {}
+
+
+def network_in_worker(key: str, net: Callable[[], NetArrays | mapped.MappedNet]) -> NetArrays | mapped.MappedNet:
+    """The network of that digest as the task before has opened it."""
+    if key not in _networks:
+        _networks.clear()
+        _networks[key] = net()
+    return _networks[key]
 
 
 def states_in_worker(key: str, net: Callable[[], NetArrays], modes: tuple[str, ...] | None, reverse: bool) -> StateGraph:
@@ -461,14 +476,15 @@ def distances_m(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> n
     return 2 * 6_371_000.0 * np.arcsin(np.minimum(1.0, np.sqrt(a)))
 
 
-def walkable_stops(net: NetArrays, lat: float, lon: float) -> list[tuple[int, float]]:
-    """(stop, minutes) of the stops within walking access of a position, straight lines, limit inclusive; only stops of the latitudes in question are measured."""
-    height = np.degrees(net.walk.max_access_m / 6_371_000.0) * (1 + 1e-9)
+def walkable_stops(net: NetArrays, lat: float, lon: float, limit_m: float | None = None) -> list[tuple[int, float]]:
+    """(stop, minutes) of the stops within walking access, or ``limit_m``, of a position, straight lines, limit inclusive; only stops of the latitudes in question are measured."""
+    limit_m = net.walk.max_access_m if limit_m is None else limit_m
+    height = np.degrees(limit_m / 6_371_000.0) * (1 + 1e-9)
     a, b = np.searchsorted(net.sorted_lat, [lat - height, lat + height], side="left")
     b = np.searchsorted(net.sorted_lat, lat + height, side="right")
     beside = net.by_lat[a:b]
     metres = distances_m(lat, lon, net.stop_lat[beside], net.stop_lon[beside])
-    near = metres <= net.walk.max_access_m
+    near = metres <= limit_m
     return [(int(s), net.walk.minutes(float(m))) for s, m in sorted(zip(beside[near], metres[near]))]
 
 
@@ -511,10 +527,12 @@ def network_stop_times(net: Network, city: City, origins: DataFrame, modes: tupl
 def timetable_stop_times(found: Timetable, city: City, origins: DataFrame, modes: tuple[str, ...] | None = None, reverse: bool = False, limit: int = MAX_NUMBERED_EDGES) -> DataFrame:
     """(origin, stop_id, minutes): network_stop_times of a timetable by ids, which is numbered as tables only if it has too many rows to be collected by ids."""
     try:
-        arrays = network_arrays(found, city, limit)
+        arrays = network_arrays(found, city, limit, reverse)
     except TooManyRows:
         net = numbered(found, city)
         return joined_stop_times(net, city, origins, modes, reverse).join(net.stops.select("stop_ix", "stop_id"), "stop_ix").select("origin", "stop_id", "minutes")
+    if isinstance(arrays, mapped.MappedNet):
+        return mapped.stop_times(arrays, origins, modes)
     ids = origins.sparkSession.createDataFrame(pa.table({"stop_ix": pa.array(range(len(arrays.stop_ids)), pa.int32()), "stop_id": pa.array(arrays.stop_ids, pa.string())}))
     return stop_times(arrays, origins, modes, reverse).join(F.broadcast(ids) if len(arrays.stop_ids) <= MAX_SENT_EDGES else ids, "stop_ix").select("origin", "stop_id", "minutes")
 
@@ -555,12 +573,17 @@ def point_times(at_stops: DataFrame, stops: DataFrame, origins: DataFrame, point
 
 def near_arrays(lat: np.ndarray, lon: np.ndarray, to_lat: np.ndarray, to_lon: np.ndarray, radius_m: float) -> Csr:
     """From each position the others at most ``radius_m`` away (inclusive) and their metres, straight lines. The 180th meridian and the poles count; a place without a position is near nothing."""
+    counts, targets, metres = ([*x] for x in zip((np.zeros(0, int), np.zeros(0, "int32"), np.zeros(0)), *near_parts(lat, lon, to_lat, to_lon, radius_m)))
+    return Csr(np.r_[0, np.cumsum(np.concatenate(counts))], np.concatenate(targets), np.concatenate(metres))
+
+
+def near_parts(lat: np.ndarray, lon: np.ndarray, to_lat: np.ndarray, to_lon: np.ndarray, radius_m: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """near_arrays of POINTS_AT_ONCE positions after another: (how many each has, which, metres)."""
     height = np.degrees(radius_m / 6_371_000.0) * (1 + 1e-9)
     placed = np.flatnonzero(np.isfinite(to_lat) & np.isfinite(to_lon))
     keys = np.floor((to_lat[placed] + 90) / height) * 720 + to_lon[placed] + 180  # bands of latitude one after another, each by longitude
     order = np.argsort(keys, kind="stable")
     keys, placed = keys[order], placed[order]
-    counts, found = [], []
     for i in range(0, len(lat), POINTS_AT_ONCE):
         y, x = lat[i : i + POINTS_AT_ONCE], lon[i : i + POINTS_AT_ONCE]
         known = np.isfinite(y) & np.isfinite(x)
@@ -580,10 +603,7 @@ def near_arrays(lat: np.ndarray, lon: np.ndarray, to_lat: np.ndarray, to_lon: np
         near = metres <= radius_m
         which, other, metres = which[near], other[near], metres[near]
         order = np.argsort(which, kind="stable")
-        counts.append(np.bincount(which, minlength=len(y)))
-        found.append((other[order].astype("int32"), metres[order]))
-    joined = lambda j, kind: np.concatenate([f[j] for f in found]) if found else np.zeros(0, kind)
-    return Csr(np.r_[0, np.cumsum(np.concatenate(counts))] if counts else np.zeros(1, int), joined(0, "int32"), joined(1, float))
+        yield np.bincount(which, minlength=len(y)), other[order].astype("int32"), metres[order]
 
 
 _walks: dict[tuple, Csr] = {}
@@ -635,8 +655,13 @@ def kernel_point_times(net: NetArrays, origins: DataFrame, points: DataFrame, di
 def timetable_point_times(found: Timetable, city: City, origins: DataFrame, points: DataFrame, direct_walk_m: float | None = None, limit: int = MAX_NUMBERED_EDGES) -> DataFrame:
     """point_times of a timetable by ids, of any size: by the array kernel, or, if it has too many rows to be sent, as joins."""
     try:
-        return kernel_point_times(network_arrays(found, city, limit), origins, points, direct_walk_m, limit)
+        arrays = network_arrays(found, city, limit)
+        if isinstance(arrays, mapped.MappedNet):
+            return mapped.point_times(arrays, origins, points, direct_walk_m)
+        return kernel_point_times(arrays, origins, points, direct_walk_m, limit)
     except TooManyRows:
+        if found.hops is not None:
+            return mapped.point_times(mapped.network_files(found, city), origins, points, direct_walk_m)
         at_stops = timetable_stop_times(found, city, origins, limit=limit)
         return point_times(at_stops, found.stops, origins, points, city.walk, direct_walk_m, "stop_id")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -370,7 +371,7 @@ def point_times(spark: SparkSession, d: str) -> DataFrame:
     found = _timetable(spark, d)
     stops = cut(found.stops.dropna(subset=["lat", "lon"]))
     points = stops.select(F.col("stop_id").alias("point"), "lat", "lon")
-    return search.timetable_point_times(net_ops.Timetable(found.rides, found.waits, stops), CITY, _origins(spark, d), points)
+    return search.timetable_point_times(replace(found, stops=stops), CITY, _origins(spark, d), points)
 
 
 def trips_between_zones(spark: SparkSession, d: str) -> DataFrame:

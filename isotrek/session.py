@@ -67,19 +67,41 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _goes_at_exit(spark: SparkSession, place: str, make: bool = False) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if make:
+        fs.mkdirs(path)
+    fs.deleteOnExit(path)
+
+
+def stored(df: DataFrame) -> str:
+    """Write ``df`` as a compressed table into the shared checkpoint folder; its place. It goes when the session ends."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    place = f"{spark.sparkContext.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(place)
+    _goes_at_exit(spark, place)
+    return place
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` as a compressed table into the shared checkpoint folder and go on from there.
 
     For large results that are read more than once, where cut() would need several times the disk; the
     table goes when the session ends.
     """
-    spark = df.sparkSession
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str | None:
+    """The path of a new folder in the shared checkpoint folder, if that is a local one; it goes when the session ends."""
     ensure_checkpoint_dir(spark)
-    place = f"{spark.sparkContext.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(place)
-    path = spark._jvm.org.apache.hadoop.fs.Path(place)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(place)
+    place = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    if not place.startswith(("file:", "/")):
+        return None
+    _goes_at_exit(spark, place, make=True)
+    return "/" + place.removeprefix("file:").lstrip("/")
 
 
 def spread(df: DataFrame) -> DataFrame:
