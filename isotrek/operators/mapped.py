@@ -31,7 +31,7 @@ from isotrek.operators.network import Timetable
 from isotrek.params import City, Walk
 from isotrek.session import ship, shared_folder, spread, stored
 
-ROWS_AT_ONCE = 500_000  # rows, edges or pairs that are in memory at once
+ROWS_AT_ONCE = 250_000  # rows, states, edges or pairs that are in memory at once
 ROWS_OUT = 100_000  # rows of a batch of results
 LINE = ["route_id", "direction", "mode"]
 
@@ -41,7 +41,7 @@ def _batches(uri: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
     fs, path = pa.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
     for name in sorted(i.path for i in fs.get_file_info(pa.fs.FileSelector(path)) if i.base_name.startswith("part-")):
         with fs.open_input_file(name) as file:
-            yield from pq.ParquetFile(file).iter_batches(ROWS_AT_ONCE, columns=columns)
+            yield from pq.ParquetFile(file).iter_batches(2 * ROWS_AT_ONCE, columns=columns)
 
 
 def _parts(counts: np.ndarray, most: int = ROWS_AT_ONCE) -> Iterator[slice]:
@@ -105,6 +105,7 @@ class Files:
                     if old.name != "lock":
                         old.unlink()
                 build(self)
+                pa.default_memory_pool().release_unused()
                 (self.folder / "done").touch()
         return self
 
@@ -313,7 +314,7 @@ class MappedStates:
         return [(minutes, stop) for stop, minutes in walked]
 
     def search(self, seeds: list[tuple[float, int]]) -> np.ndarray:
-        """The least cost of every state. Each round relaxes all that the last one improved, to the fixpoint."""
+        """The least cost of every state. Each round relaxes all that was improved, ROWS_AT_ONCE states after another, to the fixpoint."""
         found, better = np.full(self.size, np.inf), np.zeros(self.size, bool)
         for cost, stop in seeds:
             found[stop] = min(found[stop], cost)
@@ -321,14 +322,20 @@ class MappedStates:
         which, board = _between(self.board_start[stops], self.board_start[stops + 1])
         better[search._improve(found, self.b0 + board, found[stops][which] + np.where(self.on[self.board_line[board]], self.board_wait[board], np.inf))] = True
         offers = np.full(self.b0, np.inf), np.full(self.b0, np.inf)
-        while len(ahead := np.flatnonzero(better)):
-            better[ahead] = False
-            boards, rides = ahead[ahead < self.r0] - self.b0, ahead[ahead >= self.r0] - self.r0
-            for states, low, high in ((boards + self.b0, self.board_hop[boards], self.board_hop[boards + 1]), (rides + self.r0, self.r_low[rides], self.r_high[rides])):
-                for part in _parts(high - low):
-                    which, edge = _between(low[part], high[part])
-                    better[search._improve(found, self.hop_to[edge], found[states[part]][which] + self.hop_minutes[edge])] = True
-            self._change(found, np.unique(self.r_stop[rides]), offers, better)
+        ridden = np.zeros(self.b0, bool)
+        while better.any():
+            for i in range(self.b0, self.size, ROWS_AT_ONCE):
+                ahead = i + np.flatnonzero(better[i : i + ROWS_AT_ONCE])
+                better[ahead] = False
+                boards, rides = ahead[ahead < self.r0] - self.b0, ahead[ahead >= self.r0] - self.r0
+                ridden[self.r_stop[rides]] = True
+                for states, low, high in ((boards + self.b0, self.board_hop[boards], self.board_hop[boards + 1]), (rides + self.r0, self.r_low[rides], self.r_high[rides])):
+                    for part in _parts(high - low):
+                        which, edge = _between(low[part], high[part])
+                        better[search._improve(found, self.hop_to[edge], found[states[part]][which] + self.hop_minutes[edge])] = True
+            stops = np.flatnonzero(ridden)
+            ridden[stops] = False
+            self._change(found, stops, offers, better)
         return found
 
     def _change(self, found: np.ndarray, stops: np.ndarray, offers: tuple[np.ndarray, np.ndarray], better: np.ndarray) -> None:
@@ -421,7 +428,7 @@ def stop_times(net: MappedNet, origins: DataFrame, modes: tuple[str, ...] | None
             states, own = search.states_in_worker(net.digest, lambda: net, modes, False), search.network_in_worker(net.digest, lambda: net)
             for row in batch.to_pylist():
                 if near := search.walkable_stops(own, row["lat"], row["lon"]):
-                    stops, minutes, _ = states.stop_minutes(states.search(states.entries(near)))
+                    stops, minutes = states.stop_minutes(states.search(states.entries(near)))[:2]  # the states' costs go before the next search
                     yield from _rows(row["origin"], "stop_id", own.stop_ids, stops, minutes)
 
     return spread(_placed(origins)).mapInArrow(times, "origin string, stop_id string, minutes double")
@@ -465,7 +472,7 @@ def point_times(net: MappedNet, origins: DataFrame, points: DataFrame, direct_wa
                     for point, minutes in search.walkable_stops(around, place["lat"], place["lon"], direct_m):
                         best[point] = min(best[point], minutes)
                     if near := search.walkable_stops(own, place["lat"], place["lon"]):
-                        stops, minutes, _ = states.stop_minutes(states.search(states.entries(near)))
+                        stops, minutes = states.stop_minutes(states.search(states.entries(near)))[:2]  # the states' costs go before the next search
                         at = np.full(len(own.stop_lat), np.inf)
                         at[stops] = minutes
                         for part in _parts(start[reached_by + 1] - start[reached_by]):
